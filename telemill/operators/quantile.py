@@ -17,7 +17,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     """
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     names = list(qs)
-    slack = 2.0 / accuracy
+    slack = 4.0 / accuracy  # the sketch is off by at most n/accuracy ranks
     probes = []
     for q in qs.values():
         probes += [max(0.0, q - slack), min(1.0, q + slack)]
@@ -30,8 +30,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     specs = []
     for i, q in enumerate(qs.values()):
         rank = F.lit(q) * (F.col("__n") - 1)
-        lo = F.col("__min") if q - slack <= 0 else F.col("__p")[2 * i]
-        hi = F.col("__max") if q + slack >= 1 else F.col("__p")[2 * i + 1]
+        # a small group needs no bracket, and rank rounding would matter there
+        small = F.col("__n") <= 2 * accuracy
+        lo = F.when(small | F.lit(q - slack <= 0), F.col("__min")).otherwise(F.col("__p")[2 * i])
+        hi = F.when(small | F.lit(q + slack >= 1), F.col("__max")).otherwise(F.col("__p")[2 * i + 1])
         specs.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), rank.alias("rank")))
     brackets = sketch.select(*keys, F.array(*specs).alias("__specs"))
     if keys:
