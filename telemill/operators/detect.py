@@ -327,7 +327,8 @@ def median_filter(df: DataFrame, group: list[str], order: list[str], cols: dict[
         return F.when(m < F.col("__n"), m).otherwise(2 * F.col("__n") - 1 - m)
 
     def med(c: str) -> Column:
-        picks = [F.element_at(F.filter("__near", lambda e, o=o: e["i"] == reflected(o)), 1)[c] for o in range(-half, half + 1)]
+        at = lambda i: F.get(F.filter("__near", lambda e: e["i"] == i), F.lit(0))[c]
+        picks = [at(reflected(o)) for o in range(-half, half + 1)]
         return F.get(F.array_sort(F.array(*picks)), F.lit(half))
 
     return blocks.withColumns({new: med(c) for new, c in cols.items()}).drop("__idx", "__n", "__near", "block", "is_halo")

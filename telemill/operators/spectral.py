@@ -109,7 +109,7 @@ def _fit_weights(windows: DataFrame, low: int, chunk_ns: int) -> DataFrame:
 def residuals(windows: DataFrame, weights: DataFrame, low: int, n_fft: int, chunk_ns: int) -> DataFrame:
     """Residual deviation of each window under its series' model; model copies go to chunks, not to rows."""
     w = _chunked(_with_length(windows, n_fft), chunk_ns)
-    chunks = w.select(*SERIES, CHUNK).distinct().join(weights, list(SERIES))
+    chunks = cut(w.select(*SERIES, CHUNK).distinct().join(weights, list(SERIES)))
     out_schema = T.StructType([*_KEYS.fields, T.StructField("w_start", T.LongType()), T.StructField("w_end", T.LongType()), T.StructField("r", T.DoubleType())])
     names = [f.name for f in out_schema]
 
