@@ -93,15 +93,11 @@ r AS (SELECT entity_id, metric_id, seq, i, x::DOUBLE AS y FROM b WHERE i = 1
 """
 
 
-def _recursive(name, x, src, tail, uses, a=0.2):
-    from telemill.plans import registry as reg
+def _recursive(x, src, tail, a=0.2):
+    return _EWMA.format(x=x, src=src, a=a).strip() + " " + tail
 
-    body = _EWMA.format(x=x, src=src, a=a).strip().replace("WITH RECURSIVE ", "", 1)
-    parts = [f"{n} AS ({reg._CTES[n][0]})" for n in reg._collect(uses, [])]
-    return "WITH RECURSIVE " + ", ".join(parts) + ", " + body + tail
 
-
-@query("d6_ewma", _recursive("d6", "coalesce(value, 0)", "points", "SELECT seq, round(y, 6) AS y FROM r", ("points",)))
+@query("d6_ewma", _recursive("coalesce(value, 0)", "points", "SELECT seq, round(y, 6) AS y FROM r"), ("points",))
 def d6(spark, sf):
     p = points(spark, sf).withColumn("x", F.coalesce("value", F.lit(0.0)))
     e = ordered.ewma(p, ["entity_id", "metric_id"], ["ts_ns", "seq"], "x", 0.2, ordered.by_time(), "y")
@@ -145,12 +141,12 @@ def d7(spark, sf):
 @query(
     "d8_observe_points",
     _recursive(
-        "d8", "CASE WHEN mad > 0 THEN (value - median) / (1.4826 * mad) ELSE 0 END",
+        "CASE WHEN mad > 0 THEN (value - median) / (1.4826 * mad) ELSE 0 END",
         "(SELECT * FROM points JOIN st USING (entity_id, metric_id)) WHERE quality = 'observed' AND value IS NOT NULL",
         """SELECT seq, round(y, 6) AS ewma, (abs(y) > threshold * 0.5)::INT AS anomaly, CASE WHEN abs(y) > threshold * 0.5 THEN CASE WHEN y > 0 THEN 'up' ELSE 'down' END END AS direction
 FROM r JOIN thr ON thr.entity_id = r.entity_id AND thr.metric_id = r.metric_id""",
-        ("points", "st", "thr"),
     ),
+    ("points", "st", "thr"),
 )
 def d8(spark, sf):
     s, t = fitted(spark, sf)

@@ -44,8 +44,10 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
             body = sql.strip()
             parts = [f"{n} AS ({_CTES[n][0]})" for n in _collect(uses, [])]
             if body.upper().startswith("WITH "):
-                body = body[5:]
-                ORACLES[name] = ("WITH " + ", ".join(parts) + (", " if parts else "") + body)
+                recursive = body.upper().startswith("WITH RECURSIVE ")
+                body = body[15:] if recursive else body[5:]
+                head = "WITH RECURSIVE " if recursive else "WITH "
+                ORACLES[name] = head + ", ".join(parts) + (", " if parts else "") + body
             else:
                 ORACLES[name] = (("WITH " + ", ".join(parts) + " ") if parts else "") + body
         return fn
