@@ -248,3 +248,20 @@ def fold(
         kept = truth.where(F.col("__true") == F.col("__start")).select(*by, "__start", "__end")
         states = cut(kept.unionByName(redone))
     return src.join(states.select(*by, "__start"), by).groupBy(*by).applyInPandas(run_rows, schema)
+
+
+def with_time_halo(df: DataFrame, column: str, before: int, width: int) -> DataFrame:
+    """Copy each row into its own time block and into the block that still looks ``before`` back at it.
+
+    Inside (key, ``block``) a range frame of up to ``before`` preceding units
+    is then complete for the rows with ``NOT is_halo``. ``width`` must not be
+    smaller than ``before``.
+    """
+    home = F.floor(F.col(column) / F.lit(width)).cast("long")
+    ahead = F.floor((F.col(column) + before) / F.lit(width)).cast("long")
+    return (
+        df.withColumn("__home", home)
+        .withColumn("block", F.explode(F.array_distinct(F.array(home, ahead))))
+        .withColumn("is_halo", F.col("block") != F.col("__home"))
+        .drop("__home")
+    )
