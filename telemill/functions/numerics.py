@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import lgamma
+from math import comb, lgamma
 
 import numpy as np
 
@@ -125,11 +125,24 @@ def weighted_ci(cells: np.ndarray, weight: np.ndarray, x: int, y: int, given: tu
 class CauseSearch:
     """Neighbours of one indicator column at growing significance levels.
 
-    Tests are shared between levels: a p-value does not depend on alpha.
+    Tests are shared between levels: a p-value does not depend on alpha. The
+    number of conditioning sets grows as 2^columns, so wide groups condition
+    on smaller sets: the largest size whose tests stay within ``BUDGET``. Up
+    to ten columns nothing is left out.
     """
 
+    BUDGET = 20_000
+
+    @classmethod
+    def max_depth(cls, columns: int) -> int:
+        depth = 0
+        while depth < columns - 1 and columns * comb(columns - 1, depth + 1) <= cls.BUDGET:
+            depth += 1
+        return depth
+
     def __init__(self, cells: np.ndarray, weight: np.ndarray, indicator: int):
         self.cells, self.weight, self.f = cells, weight, indicator
+        self.deepest = self.max_depth(cells.shape[1] - 1)
         self._seen: dict[tuple, float] = {}
 
     def p(self, y: int, given: tuple[int, ...]) -> float:
@@ -153,7 +166,7 @@ class CauseSearch:
                         break
                     last[y] = p
             depth += 1
-            if depth > len(near) - 1:
+            if depth > min(len(near) - 1, self.deepest):
                 return {y: last.get(y, 0.0) for y in near}
 
     def ranking(self, start: float, min_nodes: int, step: float = 0.1, limit: float = 1.0) -> list[int]:

@@ -194,7 +194,7 @@ def a9(spark, sf):
 def _quartile_rows(spark, sf, n=12):
     """Samples binned at fixed values, so that SQL can repeat them."""
     s = _top_columns(spark, sf, n)
-    b = F.when(F.col("v") <= 0, 0).when(F.col("v") <= 150, 1).when(F.col("v") <= 300, 2).otherwise(3)
+    b = F.when(F.col("v") <= 0, 0).when(F.col("v") <= 20, 1).when(F.col("v") <= 60, 2).otherwise(3)
     return s.select("case", "side", "sec", "col", b.alias("bin"))
 
 
@@ -204,7 +204,7 @@ _TOPV = "SELECT cs, col FROM (SELECT cs, col, row_number() OVER (PARTITION BY cs
 @query(
     "a10_chi_square_ci",
     f"""
-WITH b AS (SELECT md.cs, md.col, sec, side, CASE WHEN v <= 0 THEN 0 WHEN v <= 150 THEN 1 WHEN v <= 300 THEN 2 ELSE 3 END AS bin FROM md),
+WITH b AS (SELECT md.cs, md.col, sec, side, CASE WHEN v <= 0 THEN 0 WHEN v <= 20 THEN 1 WHEN v <= 60 THEN 2 ELSE 3 END AS bin FROM md),
 c AS (SELECT cs, col, row_number() OVER (PARTITION BY cs ORDER BY col) AS i FROM (SELECT DISTINCT cs, col FROM md)),
 t AS (SELECT a.cs, a.col AS y, s.col AS s FROM c a JOIN c s ON s.cs = a.cs AND s.i = a.i + 1),
 o AS (SELECT t.cs, t.y, bs.bin AS s, bb.side, bb.bin AS yb, count(*) AS o FROM t JOIN b bb ON bb.cs = t.cs AND bb.col = t.y JOIN b bs ON bs.cs = t.cs AND bs.col = t.s AND bs.sec = bb.sec GROUP BY ALL),
@@ -218,7 +218,7 @@ def a10(spark, sf):
     from pyspark.sql import Window
 
     s = cut(metric_sided(spark, sf))
-    b = F.when(F.col("v") <= 0, 0).when(F.col("v") <= 150, 1).when(F.col("v") <= 300, 2).otherwise(3)
+    b = F.when(F.col("v") <= 0, 0).when(F.col("v") <= 20, 1).when(F.col("v") <= 60, 2).otherwise(3)
     rows = rca.sample_rows(s.select("case", "side", "sec", "col", b.alias("bin")))
     cols = s.select("case", "col").distinct()
     nxt = F.lead("col").over(Window.partitionBy("case").orderBy("col"))
@@ -330,14 +330,14 @@ def a18b(spark, sf):
 cte(
     "inc",
     f"""SELECT user_id % 3 AS cs, 'i' || seq AS incident_id, ts_ns AS s, ts_ns + (k % 7 + 1) * {HOUR // 24} AS e, CASE k % 3 WHEN 0 THEN 'anomaly' WHEN 1 THEN 'uncertain' ELSE 'normal' END AS status, value / 500 AS severity,
- metric_id AS m1, CASE WHEN k % 2 = 0 THEN 'zz' END AS m2, k FROM points WHERE value > 350""",
+ metric_id AS m1, CASE WHEN k % 2 = 0 THEN 'zz' END AS m2, k FROM points WHERE value > 100""",
     ("points",),
 )
 
 
 def incidents(spark, sf):
     k = F.col("k")
-    p = rca_points(spark, sf).where("value > 350")
+    p = rca_points(spark, sf).where("value > 100")
     two = k % 2 == 0
     return p.select(
         "case", F.concat(F.lit("i"), F.col("seq").cast("string")).alias("incident_id"), F.col("ts_ns").alias("start_ts_ns"), (F.col("ts_ns") + (k % 7 + 1) * (HOUR // 24)).alias("end_ts_ns"),
@@ -376,14 +376,14 @@ def a20(spark, sf):
 @query(
     "a21_abstain",
     """
-WITH c AS (SELECT user_id AS cs, count(*) FILTER (quality = 'observed') AS n, max(value) > 300 AS i FROM points GROUP BY 1)
+WITH c AS (SELECT user_id AS cs, count(*) FILTER (quality = 'observed') AS n, max(value) > 100 AS i FROM points GROUP BY 1)
 SELECT cs AS "case", (i AND n >= 2)::INT AS ok, CASE WHEN NOT coalesce(i, false) THEN 'no valid anomaly window in evidence' WHEN n < 2 THEN 'empty evidence series' END AS abstained_reason FROM c
 """.replace("(i AND n >= 2)::INT", "(coalesce(i, false) AND n >= 2)::INT"),
     ("points",),
 )
 def a21(spark, sf):
     p = points(spark, sf).withColumnRenamed("user_id", "case")
-    out = rca.abstain(p.select("case").distinct(), p.where("value > 300"), p.where("quality = 'observed'"))
+    out = rca.abstain(p.select("case").distinct(), p.where("value > 100"), p.where("quality = 'observed'"))
     return out.withColumn("ok", F.col("ok").cast("int"))
 
 

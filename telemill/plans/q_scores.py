@@ -11,7 +11,7 @@ from telemill.session import cut
 cte(
     "ser",
     """
-SELECT entity_id, seq, ts_ns, split, coalesce(value, 0) / 500.0::DOUBLE AS score, (metric_id = 'error')::INT AS label, (coalesce(value, 0) > 300)::INT AS pred, (k - 50) / 25.0::DOUBLE AS logit, k,
+SELECT entity_id, seq, ts_ns, split, coalesce(value, 0) / 150.0::DOUBLE AS score, (metric_id = 'error')::INT AS label, (coalesce(value, 0) > 80)::INT AS pred, (k - 50) / 25.0::DOUBLE AS logit, k,
   row_number() OVER (PARTITION BY entity_id ORDER BY ts_ns, seq) - 1 AS idx FROM labelled
 """,
     ("labelled",),
@@ -24,8 +24,8 @@ VCH = lambda c="score": F.floor(F.col(c) * 1000).cast("long")
 def series(spark, sf):
     v = F.coalesce("value", F.lit(0.0))
     return labelled(spark, sf).select(
-        "entity_id", "seq", "ts_ns", "split", (v / F.lit(500.0)).alias("score"), (F.col("metric_id") == "error").cast("int").alias("label"),
-        (v > 300).cast("int").alias("pred"), ((F.col("k") - 50) / F.lit(25.0)).alias("logit"), "k",
+        "entity_id", "seq", "ts_ns", "split", (v / F.lit(150.0)).alias("score"), (F.col("metric_id") == "error").cast("int").alias("label"),
+        (v > 80).cast("int").alias("pred"), ((F.col("k") - 50) / F.lit(25.0)).alias("logit"), "k",
     )
 
 

@@ -65,11 +65,11 @@ def w6(spark, sf):
 
 
 _EP_SQL = """SELECT seq AS ep, entity_id AS ep_entity, ts_ns AS start_ns, ts_ns + (k % 5 + 1) * 1800000000000 AS end_ns
-FROM points WHERE metric_id = 'error' AND value > 300"""
+FROM points WHERE metric_id = 'error' AND value > 100"""
 
 
 def episodes_from_errors(spark, sf):
-    return points(spark, sf).where("metric_id = 'error' AND value > 300").select(
+    return points(spark, sf).where("metric_id = 'error' AND value > 100").select(
         F.col("seq").alias("ep"),
         F.col("entity_id").alias("ep_entity"),
         F.col("ts_ns").alias("start_ns"),
