@@ -131,7 +131,7 @@ class CauseSearch:
     to ten columns nothing is left out.
     """
 
-    BUDGET = 20_000
+    BUDGET = 4_000
 
     @classmethod
     def max_depth(cls, columns: int) -> int:

@@ -177,10 +177,11 @@ def kbins_edges(sided: DataFrame, case: str = "case", bins: int = BINS, max_iter
     """
     key = [case, "col"]
     vals = cut(sided.groupBy(*key, "v").agg(F.count(F.lit(1)).alias("w")))
-    stats = vals.groupBy(*key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"))
+    stats = vals.groupBy(*key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"),
+                                      (F.sum(F.col("w") * F.col("v") * F.col("v")) / F.sum("w") - F.pow(F.sum(F.col("w") * F.col("v")) / F.sum("w"), F.lit(2.0))).alias("var"))
     width = (F.col("hi") - F.col("lo")) / bins
     start = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.col("lo") + width * (i + 0.5))
-    centres = cut(stats.where(F.col("n") >= bins).select(*key, start.alias("c")))
+    centres = cut(stats.where(F.col("n") >= bins).select(*key, start.alias("c"), "var"))
     mids = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: (a + b) / 2)
     for _ in range(max_iter):
         bin_ = F.size(F.filter("e", lambda e: F.col("v") >= e))
@@ -191,10 +192,11 @@ def kbins_edges(sided: DataFrame, case: str = "case", bins: int = BINS, max_iter
         packed = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("mm"))
         # an empty bin keeps its centre
         moved = F.transform("c", lambda c, i: F.coalesce(F.try_element_at("mm", i), c))
-        nxt = cut(centres.join(packed, key).select(*key, "c", F.array_sort(moved).alias("c2")))
-        far = F.exists(F.zip_with("c", "c2", lambda a, b: F.abs(a - b)), lambda d: d > 1e-9)
-        more = nxt.where(far).limit(1).count()
-        centres = nxt.select(*key, F.col("c2").alias("c"))
+        nxt = cut(centres.join(packed, key).select(*key, "var", "c", F.array_sort(moved).alias("c2")))
+        # the usual k-means stop: total squared shift within 1e-4 of the variance
+        shift = F.aggregate(F.zip_with("c", "c2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, d: acc + d)
+        more = nxt.where(shift > 1e-4 * F.col("var")).limit(1).count()
+        centres = nxt.select(*key, F.col("c2").alias("c"), "var")
         if not more:
             break
     by_means = centres.select(*key, mids(F.col("c")).alias("edges"))
