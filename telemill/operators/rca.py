@@ -484,12 +484,12 @@ def analyze(
     resample: int = RESAMPLE, gamma: int = GAMMA, bins: int = BINS, top_k: int | None = None, max_components: int | None = None,
 ) -> DataFrame:
     """The whole pipeline for many cases: tables, severities, clusters, causal refinement, report. ``inject``: (case, inject_s)."""
-    metric = decimate_rows(metric_table(points, case, bucket_ns), resample, case)
+    metric = decimate_rows(cut(metric_table(points, case, bucket_ns)), resample, case)
     m = cut(drop_constant(with_side(metric, inject, case), case))
     lg = cut(drop_constant(with_side(log_table(logs, case, bucket_ns), inject, case), case, per_side=False, mem_to_mb=False))
     err, lat = trace_tables(spans, case, bucket_ns)
-    te = drop_constant(with_side(err, inject, case), case, per_side=False, mem_to_mb=False)
-    tl = drop_constant(with_side(lat, inject, case), case, per_side=False, mem_to_mb=False)
+    te = cut(drop_constant(with_side(err, inject, case), case, per_side=False, mem_to_mb=False))
+    tl = cut(drop_constant(with_side(lat, inject, case), case, per_side=False, mem_to_mb=False))
     ranks = [cut(severity(m, case)), cut(severity(lg, case)), cut(severity(tl, case)), cut(severity(drop_last_normal_rows(te, 2, case), case))]
     matrix = cut(modality_matrix(rollup_sum(ranks[0], case), rollup_max(ranks[1], case), rollup_sum(ranks[2], case), rollup_sum(ranks[3], case), case))
     clusters = cut(symptom_clusters(matrix, case, max_components))
