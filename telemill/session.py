@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def builder(app: str = "telemill") -> SparkSession.Builder:
@@ -52,3 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/telemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that the optimizer evaluates once.
+
+    A filter on a plain column is pushed below the projection and takes copies
+    of its expression along; parsing would then run once per use. Filters do
+    not move below a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill.operators import ordered
+from telemill.session import pin
 
 # Channel path in the message, metric, group, kind (c = cumulative, g = gauge).
 HOST_CHANNELS = [
@@ -77,7 +78,7 @@ FEATURES = _st(
 
 
 def parse_features(df: DataFrame, column: str = "value") -> DataFrame:
-    return df.withColumn("m", F.from_json(column, FEATURES)).drop(column)
+    return pin(df, "m", F.from_json(column, FEATURES)).drop(column)
 
 
 def _raw(path: str) -> Column:
@@ -155,7 +156,7 @@ _EVIDENCE = (
 
 
 def parse_evidence(df: DataFrame, column: str = "value") -> DataFrame:
-    return df.withColumn("b", F.from_json(column, _EVIDENCE)).drop(column)
+    return pin(df, "b", F.from_json(column, _EVIDENCE)).drop(column)
 
 
 def evidence_points(parsed: DataFrame, keep: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill.schemas import ATTRS
+from telemill.session import pin
 
 _CORRUPT = "_corrupt_record"
 _RAW = T.StructType(
@@ -49,11 +50,8 @@ def parse_points_jsonl(lines: DataFrame, column: str = "value") -> tuple[DataFra
     """(points, rejects) from JSON lines; blank lines are skipped."""
     extra = [c for c in lines.columns if c != column]
     text = F.trim(F.col(column))
-    parsed = (
-        lines.where(text != "")
-        .select(*extra, text.alias("__line"))
-        .withColumn("p", F.from_json("__line", _RAW, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
-    )
+    kept = lines.where(text != "").select(*extra, text.alias("__line"))
+    parsed = pin(kept, "p", F.from_json("__line", _RAW, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
     p = lambda n: F.col(f"p.{n}")
     missing = p("ts_ns").isNull() | p("entity_id").isNull() | p("entity_type").isNull() | p("metric_id").isNull()
     reason = (
@@ -143,7 +141,7 @@ _OTLP = (
 def otlp_to_points(df: DataFrame, column: str = "value", source: str = "otlp") -> DataFrame:
     """Resource -> metric -> number point nesting to points."""
     extra = [c for c in df.columns if c != column]
-    d = df.select(*extra, F.from_json(column, _OTLP).alias("d"))
+    d = pin(df, "d", F.from_json(column, _OTLP)).select(*extra, "d")
     res = lambda k: F.nullif(F.col("d.resource")[k], F.lit(""))
     m = d.select(
         *extra, res("service.name").alias("svc"),
@@ -173,14 +171,14 @@ def prom_text_to_points(
     text = F.trim(F.col(column))
     src = lines.where((text != "") & ~text.startswith("#")).select(*extra, text.alias("line"))
     braced = F.instr("line", "{") > 0
-    name = F.when(braced, F.substring_index("line", "{", 1)).otherwise(F.substring_index("line", " ", 1))
-    label_text = F.when(braced, F.regexp_extract("line", r"\{([^}]*)\}", 1)).otherwise(F.lit(""))
-    rest = F.trim(
-        F.when(braced, F.regexp_extract("line", r"\}(.*)$", 1)).otherwise(F.regexp_extract("line", r"^\S+ (.*)$", 1))
+    head = F.struct(
+        braced.alias("braced"),
+        F.when(braced, F.substring_index("line", "{", 1)).otherwise(F.substring_index("line", " ", 1)).alias("name"),
+        F.when(braced, F.regexp_extract("line", r"\{([^}]*)\}", 1)).otherwise(F.lit("")).alias("labels"),
+        F.trim(F.when(braced, F.regexp_extract("line", r"\}(.*)$", 1)).otherwise(F.regexp_extract("line", r"^\S+ (.*)$", 1))).alias("rest"),
     )
-    parts = F.split(rest, r"\s+")
-    pairs = F.filter(F.split(label_text, ","), lambda kv: F.instr(kv, "=") > 0)
-    # later labels of a line win, and labels of a line win over the defaults
+    cut = pin(src, "h", head)
+    pairs = F.filter(F.split("h.labels", ","), lambda kv: F.instr(kv, "=") > 0)
     entries = F.transform(
         pairs,
         lambda kv: F.struct(
@@ -189,17 +187,21 @@ def prom_text_to_points(
         ),
     )
     fixed = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (labels or {}).items()])
-    allp = F.concat(fixed, entries) if labels else entries
-    keys = F.array_distinct(F.transform(allp, lambda e: e["key"]))
-    last_of = lambda k: F.element_at(F.filter(allp, lambda e: e["key"] == k), -1)["value"]
-    attrs = F.map_from_arrays(keys, F.transform(keys, last_of))
+    body = F.struct(F.split("h.rest", r"\s+").alias("parts"), (F.concat(fixed, entries) if labels else entries).alias("all"))
+    cut = pin(cut, "b", body)
+    # later labels of a line win, and labels of a line win over the defaults
+    keys = F.array_distinct(F.transform("b.all", lambda e: e["key"]))
+    last_of = lambda k: F.element_at(F.filter("b.all", lambda e: e["key"] == k), -1)["value"]
+    parts = F.col("b.parts")
     value = F.get(parts, F.lit(0)).try_cast("double")
     stamp = F.when(F.size(parts) > 1, F.get(parts, F.lit(1)).try_cast("double"))
-    empty = F.coalesce(rest == "", F.lit(True))
+    empty = F.coalesce(F.col("h.rest") == "", F.lit(True))
     bad = ~empty & (value.isNull() | ((F.size(parts) > 1) & stamp.isNull()))
-    bad = bad | (~braced & (F.instr("line", " ") == 0))
-    parsed = src.select("*", name.alias("metric_id"), value.alias("v"), stamp.alias("s"), attrs.alias("attrs"),
-                        F.coalesce(bad, F.lit(True)).alias("bad"), empty.alias("empty"))
+    bad = bad | (~F.col("h.braced") & (F.instr("line", " ") == 0))
+    parsed = cut.select(
+        *extra, "line", F.col("h.name").alias("metric_id"), value.alias("v"), stamp.alias("s"),
+        F.map_from_arrays(keys, F.transform(keys, last_of)).alias("attrs"), F.coalesce(bad, F.lit(True)).alias("bad"), empty.alias("empty"),
+    )
     good = parsed.where(~F.col("bad") & ~F.col("empty")).select(
         *extra, F.coalesce((F.col("s") * F.lit(1e9)).cast("long"), F.lit(0)).alias("ts_ns"),
         F.lit(entity_id).alias("entity_id"), F.lit("host").alias("entity_type"), "metric_id", F.col("v").alias("value"),
