@@ -34,7 +34,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         small = F.col("__n") <= 2 * accuracy
         lo = F.when(small | F.lit(q - slack <= 0), F.col("__min")).otherwise(F.col("__p")[2 * i])
         hi = F.when(small | F.lit(q + slack >= 1), F.col("__max")).otherwise(F.col("__p")[2 * i + 1])
-        specs.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), rank.alias("rank")))
+        specs.append(F.struct(F.lit(i).alias("__i"), lo.alias("lo"), hi.alias("hi"), rank.alias("rank")))
     brackets = sketch.select(*keys, F.array(*specs).alias("__specs"))
     if keys:
         joined = src.join(brackets, keys)
@@ -43,11 +43,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     wide = joined.withColumn("__s", F.explode("__specs"))
     side = F.when(F.col("__v") < F.col("__s.lo"), -1).when(F.col("__v") > F.col("__s.hi"), 1).otherwise(0)
     counted = (
-        wide.select(*keys, "__s.i", "__s.rank", side.alias("__side"), F.when(side == 0, F.col("__v")).alias("__v"))
-        .groupBy(*keys, "i", "__side", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"), F.first("rank").alias("__rank"))
+        wide.select(*keys, "__s.__i", F.col("__s.rank").alias("__rank"), side.alias("__side"), F.when(side == 0, F.col("__v")).alias("__v"))
+        .groupBy(*keys, "__i", "__side", "__v")
+        .agg(F.count(F.lit(1)).alias("__c"), F.first("__rank").alias("__rank"))
     )
-    w = Window.partitionBy(*keys, "i").orderBy("__side", "__v")
+    w = Window.partitionBy(*keys, "__i").orderBy("__side", "__v")
     ranked = counted.withColumn("__to", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     lower, upper = F.floor("__rank"), F.ceil("__rank")
     holds = lambda r: (F.col("__to") > r) & (F.col("__to") - F.col("__c") <= r)
@@ -59,11 +59,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
             ),
         )
     )
-    per = ranked.groupBy(*keys, "i").agg(
+    per = ranked.groupBy(*keys, "__i").agg(
         pick(lower).alias("__lo"), pick(upper).alias("__hi"), F.first(F.col("__rank") - lower).alias("__f")
     )
     val = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")
-    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, val)).alias(n) for i, n in enumerate(names)])
+    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, val)).alias(n) for i, n in enumerate(names)])
 
 
 def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:

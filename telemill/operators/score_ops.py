@@ -68,13 +68,13 @@ def fit_gpd(excess: DataFrame, keys: list[str], value: str = "x", rounds: int =
     spans = base.select(*keys, "n", "mean", "top", F.lit(-7.0).alias("lo"), F.lit(7.0).alias("hi"))
     best = None
     for _ in range(rounds):
-        points = spans.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid))))
-        u = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("g") / grid
+        points = spans.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(grid))))
+        u = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("__g") / grid
         points = points.withColumn("u", u).withColumn("theta", (F.exp("u") - 1) / F.col("top"))
-        packed = points.groupBy(*keys).agg(F.collect_list(F.struct("g", "theta")).alias("gs"))
-        terms = excess.select(*keys, x.alias("__x")).join(packed, keys).select(*keys, "__x", F.inline("gs"))
-        sums = terms.groupBy(*keys, "g").agg(F.avg(F.log1p(F.col("theta") * F.col("__x"))).alias("shape"))
-        j = points.join(sums, [*keys, "g"])
+        packed = points.groupBy(*keys).agg(F.collect_list(F.struct("__g", "theta")).alias("__gs"))
+        terms = excess.select(*keys, x.alias("__x")).join(packed, keys).select(*keys, "__x", F.inline("__gs"))
+        sums = terms.groupBy(*keys, "__g").agg(F.avg(F.log1p(F.col("theta") * F.col("__x"))).alias("shape"))
+        j = points.join(sums, [*keys, "__g"])
         flat = F.abs("theta") * F.col("top") < 1e-9
         scale = F.when(flat, F.col("mean")).otherwise(F.col("shape") / F.when(flat, F.lit(1.0)).otherwise(F.col("theta")))
         # shapes at or below -1 have no maximum
