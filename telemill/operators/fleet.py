@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.functions.integers import floor_div
 from telemill.operators import ordered, rca, windows
 from telemill.session import cut
 
@@ -81,7 +82,7 @@ def joint_analysis(points: DataFrame, logs: DataFrame, spans: DataFrame, message
 
     start = clock_correct(messages).groupBy(F.col("cluster_id").alias(case)).agg(F.min("wall_start_ns").alias("t"))
     bucket = params.get("bucket_ns", rca.SECOND)
-    inject = start.select(case, F.floor(F.col("t") / F.lit(bucket)).cast("long").alias("inject_s"))
+    inject = start.select(case, floor_div(F.col("t"), F.lit(bucket)).alias("inject_s"))
     rep = rca.analyze(
         moved(named(points, "entity_id"), "ts_ns"), moved(named(logs, "entity_id"), "ts_ns"), moved(named(spans, "service_name"), "start_ts_ns", "end_ts_ns"),
         cut(inject), case, **params,

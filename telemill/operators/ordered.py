@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.functions.integers import floor_div
 from telemill.session import cut
 
 CHUNK = "__chunk"
@@ -27,7 +28,7 @@ DAY_NS = 86_400_000_000_000
 
 def by_time(column: str = "ts_ns", width: int = DAY_NS) -> Column:
     """Chunk along a numeric column in steps of ``width``."""
-    return F.floor(F.col(column) / F.lit(width)).cast("long")
+    return floor_div(F.col(column), F.lit(width))
 
 
 def _order(order: Sequence) -> list[Column]:
@@ -257,8 +258,8 @@ def with_time_halo(df: DataFrame, column: str, before: int, width: int) -> DataF
     is then complete for the rows with ``NOT is_halo``. ``width`` must not be
     smaller than ``before``.
     """
-    home = F.floor(F.col(column) / F.lit(width)).cast("long")
-    ahead = F.floor((F.col(column) + before) / F.lit(width)).cast("long")
+    home = floor_div(F.col(column), F.lit(width))
+    ahead = floor_div((F.col(column) + before), F.lit(width))
     return (
         df.withColumn("__home", home)
         .withColumn("block", F.explode(F.array_distinct(F.array(home, ahead))))

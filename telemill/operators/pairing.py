@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.functions.integers import floor_div
 from telemill.functions.histograms import hist_percentile_us, latency_stats
 from telemill.operators import ordered
 
@@ -268,7 +269,7 @@ def lock_hot(current: DataFrame, baseline: DataFrame) -> DataFrame:
     j = current.join(b, "addr", "left")
     d = lambda c, p: F.greatest(F.lit(0), F.col(c) - F.coalesce(p, F.lit(0)))
     out = j.select("addr", d("count", "__c").alias("count"), d("lat_sum", "__l").alias("total_wait_ns"))
-    return out.where("count > 0").withColumn("avg_wait_ns", F.floor(F.col("total_wait_ns") / F.col("count")).cast("long"))
+    return out.where("count > 0").withColumn("avg_wait_ns", floor_div("total_wait_ns", F.col("count")))
 
 
 def fold_stacks(samples: DataFrame, comms: DataFrame) -> DataFrame:

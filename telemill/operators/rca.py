@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.functions.integers import floor_div
 from telemill.functions import numerics
 from telemill.operators import ordered
 from telemill.session import cut
@@ -26,7 +27,7 @@ GAMMA, BINS, RESAMPLE, MAX_COLS = 5, 5, 15, 64
 
 
 def _sec(ts: str, bucket_ns: int) -> Column:
-    return F.floor(F.col(ts) / F.lit(bucket_ns)).cast("long")
+    return floor_div(F.col(ts), F.lit(bucket_ns))
 
 
 def _grid(values: DataFrame, secs: DataFrame, case: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.functions.integers import floor_div
 from telemill.functions.scores import sigmoid
 from telemill.operators import detect, ordered
 from telemill.operators.quantile import exact_quantiles
@@ -161,12 +162,12 @@ def cascade_gate(
     A block of ``block`` rows passes when its largest z exceeds the q-quantile
     of the train blocks.
     """
-    b = F.floor(F.col(idx) / F.lit(block)).cast("long").alias("__b")
+    b = floor_div(F.col(idx), F.lit(block)).alias("__b")
     peak = lambda d: d.groupBy(*keys, b).agg(F.max(z).alias("__wm"))
     gate = exact_quantiles(peak(train_z), keys, "__wm", {"gate": q})
     passed = peak(test_z).join(gate, keys).withColumn("__pass", F.col("__wm") > F.col("gate"))
     rate = passed.groupBy(*keys).agg(F.avg(F.col("__pass").cast("double")).alias("pass_rate"), F.max("gate").alias("gate"))
-    j = scores.withColumn("__b", F.floor(F.col(idx) / F.lit(block)).cast("long")).join(passed.select(*keys, "__b", "__pass"), [*keys, "__b"])
+    j = scores.withColumn("__b", floor_div(F.col(idx), F.lit(block))).join(passed.select(*keys, "__b", "__pass"), [*keys, "__b"])
     return j.withColumn(score, F.when(F.col("__pass"), F.col(score)).otherwise(0.0)).drop("__b", "__pass"), rate
 
 

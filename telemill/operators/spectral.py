@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.functions.integers import floor_div
 from telemill.operators.quantile import exact_quantiles, median_and_mad
 from telemill.session import cut
 
@@ -38,7 +39,7 @@ def _with_length(windows: DataFrame, n_fft: int) -> DataFrame:
 
 
 def _chunked(windows: DataFrame, chunk_ns: int) -> DataFrame:
-    return windows.withColumn(CHUNK, F.floor(F.col("w_start") / F.lit(chunk_ns)).cast("long"))
+    return windows.withColumn(CHUNK, floor_div(F.col("w_start"), F.lit(chunk_ns)))
 
 
 def split_spectrum(rows: np.ndarray, n: int, low: int) -> tuple[np.ndarray, np.ndarray]:

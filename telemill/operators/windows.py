@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.functions.integers import floor_div
 from telemill.operators import ordered
 
 
@@ -96,7 +97,7 @@ def decimate(df: DataFrame, n: int, keys: list[str], order: list[str], chunk: Co
 
 def label_incident(df: DataFrame, inject_s: int | Column, ts: str = "ts_ns") -> DataFrame:
     """Baseline before the injection second, incident from it on."""
-    sec = F.floor(F.col(ts) / F.lit(1_000_000_000))
+    sec = floor_div(F.col(ts), F.lit(1_000_000_000))
     return df.withColumn("phase", F.when(sec < inject_s, "baseline").otherwise("incident"))
 
 
@@ -109,7 +110,7 @@ def range_join(
     the usual span length. A bucket that holds very many points is split by
     the adaptive skew join.
     """
-    b = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("long")
+    b = lambda c: floor_div(F.col(c), F.lit(bucket))
     left = spans.withColumn("__b", F.explode(F.sequence(b(start), b(end))))
     right = points.withColumn("__b", b(ts))
     joined = left.join(right, [*on, "__b"])
@@ -133,7 +134,7 @@ def merge_slices(
     key: str = "tid",
 ) -> DataFrame:
     """One record per (tid, interval): summed counters and histograms, newest ts, ORed flags, first identity."""
-    bucket = F.floor(F.col("ts_ns") / F.lit(interval_ns)).cast("long")
+    bucket = floor_div(F.col("ts_ns"), F.lit(interval_ns))
     aggs = [F.max("ts_ns").alias("last_ts")]
     aggs += [F.sum(c).alias(c) for c in sums]
     for h in hists:

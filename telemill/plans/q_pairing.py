@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from telemill.functions.integers import floor_div
 from telemill.functions.histograms import base4_bin, hist_percentile_us, latency_stats, log2_bin
 from telemill.operators import ordered, pairing
 from telemill.plans.registry import DAY, HOUR, cte, points, query, r6, table
@@ -20,7 +21,7 @@ SELECT seq, ts_ns // 1000000 AS ts_ns, user_id AS tid, user_id // 5 AS tgid, use
 def trace(spark, sf):
     u = F.col("user_id")
     return points(spark, sf).select(
-        "seq", F.floor(F.col("ts_ns") / F.lit(1000000)).cast("long").alias("ts_ns"), u.alias("tid"), F.floor(u / 5).cast("long").alias("tgid"),
+        "seq", floor_div(F.col("ts_ns"), F.lit(1000000)).alias("ts_ns"), u.alias("tid"), F.floor(u / 5).cast("long").alias("tgid"),
         (u % 4).alias("cpu"), "k", F.col("metric_id").alias("kind"), "value", ((u * 7 + F.col("k")) % 150).alias("other"),
     )
 
@@ -329,7 +330,7 @@ SELECT entity_id, seq FROM r WHERE kept
     ("points",),
 )
 def p15(spark, sf):
-    p = points(spark, sf).select("entity_id", "seq", F.floor(F.col("ts_ns") / F.lit(21600)).cast("long").alias("ts_ns"))
+    p = points(spark, sf).select("entity_id", "seq", floor_div(F.col("ts_ns"), F.lit(21600)).alias("ts_ns"))
     return pairing.rate_limit(p, ["entity_id"], ["ts_ns", "seq"], 1, ordered.by_time("ts_ns", 5 * DAY // 21600)).select("entity_id", "seq")
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from telemill.functions.integers import floor_div
 from telemill.operators import ordered, quality, windows
 from telemill.plans.registry import DAY, HOUR, cte, micros, points, query, table
 from telemill.schemas import POINT_KEY
@@ -224,7 +225,7 @@ SELECT pid, seq, CAST(sum(CASE WHEN p <> start_time THEN 1 ELSE 0 END) OVER (PAR
 )
 def q10(spark, sf):
     s = points(spark, sf).select(
-        F.col("user_id").alias("pid"), "seq", "ts_ns", F.floor(F.col("ts_ns") / F.lit(7 * DAY)).alias("start_time")
+        F.col("user_id").alias("pid"), "seq", "ts_ns", floor_div(F.col("ts_ns"), F.lit(7 * DAY)).alias("start_time")
     )
     out = quality.run_id_on_reuse(s, ["pid"], ["ts_ns", "seq"], "start_time", ordered.by_time())
     return out.select("pid", "seq", "run")

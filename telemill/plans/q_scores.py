@@ -262,7 +262,7 @@ def e4(spark, sf):
 @query(
     "e5_summary_table",
     f"""
-WITH m AS (SELECT pf.entity_id, {_PRF.format(np='pf.np', nt='pf.nt', x='point').replace('tp', 'pf.tp')}, {_PRF.format(np='sf1.np', nt='sf1.nt', x='seg').replace('tp', 'sf1.tp')} FROM pf JOIN sf1 ON sf1.entity_id = pf.entity_id)
+WITH m AS (SELECT pf.entity_id, {_PRF.format(np='pf.np', nt='pf.nt', x='point').replace('tp', 'pf.tp').replace('round(CASE', '(CASE').replace(', 6) AS', ') AS')}, {_PRF.format(np='sf1.np', nt='sf1.nt', x='seg').replace('tp', 'sf1.tp').replace('round(CASE', '(CASE').replace(', 6) AS', ') AS')} FROM pf JOIN sf1 ON sf1.entity_id = pf.entity_id)
 SELECT entity_id, round(point_f1, 5) AS point_f1, round(seg_f1, 5) AS seg_f1 FROM m UNION ALL SELECT 'mean', round(avg(point_f1), 5), round(avg(seg_f1), 5) FROM m
 """,
     ("pf", "sf1"),

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from telemill.functions.integers import floor_div
 from telemill.operators import ordered
 from telemill.plans.registry import DAY, HOUR, cte, points, query, r6, table, ticks
 from telemill.session import shared_dir
@@ -169,7 +170,7 @@ def s6(spark, sf):
         .otherwise(F.concat(F.lit('{user="'), F.col("user_id").cast("string"), F.lit('", env="dev"}')))
     )
     value = F.when(k % 10 == 7, "zz").otherwise((k / F.lit(4)).cast("string"))
-    stamp = F.when(k % 2 == 0, F.concat(F.lit(" "), F.floor(F.col("ts_ns") / F.lit(10**9)).cast("string"), F.lit(".5"))).otherwise("")
+    stamp = F.when(k % 2 == 0, F.concat(F.lit(" "), floor_div(F.col("ts_ns"), F.lit(10**9)).cast("string"), F.lit(".5"))).otherwise("")
     line = F.when(k % 10 == 8, "# HELP x").otherwise(F.concat("metric_id", labels, F.lit(" "), value, stamp))
     good, bad = src.prom_text_to_points(points(spark, sf).select("seq", line.alias("value")), {"env": "prod"})
     g = good.select("seq", "metric_id", "ts_ns", "value", flat().alias("attrs"), F.lit(None).cast("string").alias("reason"))
@@ -435,7 +436,7 @@ UNION ALL SELECT machine, 'label', t, -1, 1.0 FROM t WHERE t % 2 = 1 AND valid =
 )
 def s14(spark, sf):
     t = ticks(spark, sf).select(
-        F.concat(F.lit("machine-"), F.col("tid").cast("string")).alias("machine"), F.floor(F.col("ts_ns") / F.lit(DAY)).alias("t"),
+        F.concat(F.lit("machine-"), F.col("tid").cast("string")).alias("machine"), floor_div(F.col("ts_ns"), F.lit(DAY)).alias("t"),
         F.concat_ws(",", *[F.col(c).cast("string") for c in ("c0", "c1", "c2")]).alias("line"), "valid",
     )
     train, test = t.where("t % 2 = 0").drop("valid"), t.where("t % 2 = 1").drop("valid")
@@ -475,7 +476,7 @@ WHERE regexp_full_match(session, '[0-9]{{8}}-[0-9]{{6}}_[0-9]+')
     ("points",),
 )
 def s17(spark, sf):
-    stamp = F.date_format(F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long")), "yyyyMMdd-HHmmss")
+    stamp = F.date_format(F.timestamp_micros(floor_div(F.col("ts_ns"), 1000)), "yyyyMMdd-HHmmss")
     tail = F.when(F.col("k") % 5 == 0, "-x").otherwise(F.concat(F.lit("_"), F.col("user_id").cast("string")))
     cat = sessions.session_catalog(points(spark, sf).select(F.concat(stamp, tail).alias("session")))
     return cat.select("session", F.unix_seconds("started").alias("started_s"), "pid")

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.functions.integers import floor_div
 from telemill.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,7 +121,7 @@ def ticks(spark, sf) -> DataFrame:
 
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("tid"),
-        (F.floor(micros("ts") * 1000 / F.lit(DAY)).cast("long") * DAY).alias("ts_ns"),
+        (floor_div(micros("ts") * 1000, F.lit(DAY)) * DAY).alias("ts_ns"),
         F.floor("value").cast("long").alias("inc"),
         F.col("value").alias("v"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),

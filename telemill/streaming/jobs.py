@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from telemill.functions.integers import floor_div
 from telemill.operators import detect, stats as st, windows
 from telemill.operators.episodes import IDLE, advance
 from telemill.session import shared_dir
@@ -24,7 +25,7 @@ from telemill.session import shared_dir
 
 def with_event_time(df: DataFrame, ts: str = "ts_ns") -> DataFrame:
     """Add ``ts`` for watermarks; nanoseconds stay the truth."""
-    return df.withColumn("ts", F.timestamp_micros(F.floor(F.col(ts) / 1000).cast("long")))
+    return df.withColumn("ts", F.timestamp_micros(floor_div(F.col(ts), 1000)))
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", timeout_s: int = 600) -> DataFrame:
