@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []  # intermediate tables not yet deleted
+
+
 def builder(app: str = "telemill") -> SparkSession.Builder:
     """Settings a job wants on any cluster; master, memory and parallelism belong to spark-submit."""
     return (
@@ -30,18 +34,42 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder.
+
+    Executors of a cluster do not see each other's disks, so a missing setting
+    is an error there; only a local master gets a temporary folder.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
-    path = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(path)
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by ``clean`` or when Python ends."""
+    if not _written:
+        atexit.register(lambda: clean(SparkSession.getActiveSession()))
+    path = f"{shared_dir(spark)}/telemill-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean(spark: SparkSession | None) -> None:
+    """Delete all intermediate tables of this session; frames that read them end with it."""
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -49,10 +77,9 @@ def cut(df: DataFrame) -> DataFrame:
     would re-evaluate its source exponentially often; a written table also
     survives the loss of executors.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/telemill-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
