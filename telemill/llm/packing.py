@@ -16,7 +16,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,7 +143,7 @@ def pack(cut_pieces: DataFrame, shards: Column, window: int = WINDOW) -> DataFra
     keyed = cut_pieces.withColumn("__shard", F.pmod(F.xxhash64(*cut_pieces.columns), shards))
     schema = cut_pieces.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint"
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key, p):
         p = p.drop(columns="__shard").sort_values(list(p.columns[:4]), ignore_index=True)
         bins, offsets = best_fit_decreasing(p["length"].to_numpy(), window)
         return p.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)

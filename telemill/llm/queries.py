@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from telemill.llm.common import ORACLES, QUERIES, table
 from telemill.llm.minhash import near_duplicates
+from telemill.llm.ngram_lm import score_documents
 from telemill.llm.packing import pack_documents
 from telemill.session import prepare
 
@@ -33,3 +35,16 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: linking all pairs of whole texts is too slow there. Checked against brute force in tests/llm."""
     return near_duplicates(table(spark, sf, "documents"), size=2, threshold=0.8)
+
+
+def fold(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query("op5_ngram_trie_scores")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: quantised trie probabilities. Base scores and counts are checked against brute force in tests/llm."""
+    docs = table(spark, sf, "documents")
+    scored = score_documents(docs, fold(5) != 1)
+    return scored.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
