@@ -180,7 +180,7 @@ def _leftover(members: DataFrame, classes: DataFrame, threshold: float) -> DataF
         for x in batches:
             for p, q in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
                 sp, sq = (np.frombuffer(b"".join(r["sig"] for r in s), np.uint32).reshape(len(s), -1) for s in (p, q))
-                (ip, np_, lp), (iq, nq, lq) = ((np.array([r[k] for r in s]) for k in ("id", "n", "label")) for s in (p, q))
+                (ip, np_, lp), (iq, nq, lq) = [[np.array([r[k] for r in s]) for k in ("id", "n", "label")] for s in (p, q)]
                 ok = (lp[:, None] != lq) & (np.minimum(np_[:, None], nq) >= threshold * np.maximum(np_[:, None], nq))
                 i, j = np.nonzero(ok)
                 keep = plausible(sp[i], sq[j], threshold)
