@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,25 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
     return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [key, "__salt"], how).drop("__salt")
 
 
+FILTER_BITS = 1 << 23
+
+
+def key_filter(keys: DataFrame, position: str) -> np.ndarray:
+    """A bitmap with the bits of all positions, hashes below ``FILTER_BITS``, set: 1 MB, however many keys there are.
+
+    It only spares work: a key whose bit is 0 is certainly absent.
+    """
+    words = keys.select(F.col(position).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("b"))
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    for w, b in words.collect():  # at most 2^18 rows
+        out[w] = b
+    return out
+
+
+def possible(bitmap: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    return (bitmap[positions >> 5] >> (positions & 31).astype(np.uint32)) & np.uint32(1) == 1
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id of every id that has an edge: columns ``id``, ``component_id``.
 

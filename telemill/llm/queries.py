@@ -10,7 +10,8 @@ from telemill.llm.common import ORACLES, QUERIES, table
 from telemill.llm.minhash import near_duplicates
 from telemill.llm.ngram_lm import score_documents
 from telemill.llm.packing import pack_documents
-from telemill.session import prepare
+from telemill.llm.warc import archive_roundtrip
+from telemill.session import fresh_path, prepare
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -48,3 +49,9 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     scored = score_documents(docs, fold(5) != 1)
     return scored.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op7_warc_boundary_chain")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: DuckDB's digests have no base32. Checked against hashlib in tests/llm."""
+    return archive_roundtrip(table(spark, sf, "pages"), fresh_path(spark))
