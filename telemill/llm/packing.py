@@ -25,16 +25,19 @@ from telemill.llm import text as T
 WINDOW = 2048
 END_ID = 1
 SHARD = 50_000  # pieces per shard, on average
-CACHE = 400_000  # encoded words a worker keeps
+CACHE = 3_000_000  # encoded words a worker keeps, about 100 MB
+CASED = np.random.default_rng(0xCA5E).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 class WordEncoder:
-    """Token ids of a text from the ids of its white-space separated parts.
-
-    The tokenizer drops white space and never joins what it separates, so the
-    ids of a text are those of its parts in order; each distinct part is encoded
-    once. A full stop or comma after a letter is a token of its own. Strings
-    that spell special tokens are ordinary text.
+    """Token ids of whole texts from the ids of their distinct words.
+
+    The tokenizer lower-cases, drops white space and never joins what it
+    separates, so the ids of a text are those of its white-space separated words
+    in order. Words are told apart by a 64-bit hash; each distinct one is encoded
+    once and kept in flat arrays (about 30 bytes a word, at most ``CACHE`` words).
+    A full stop or comma after a letter is a token of its own. Strings that spell
+    special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -42,26 +45,67 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, parts: list[bytes]) -> None:
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)):
-            self.known[part] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            ends = {w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-            stems = {w[:-1] for w in ends}
-            self._encode([w for w in (new - ends) | stems | {b".", b","} if w not in known])
-            for w in ends:
-                known[w] = known[w[:-1]] + known[w[-1:]]
-        return [b"".join([known[w] for w in words]) for words in split]
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size, self.flat = np.zeros(0, T.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _places(self, keys: np.ndarray, word) -> np.ndarray:
+        """Place of each key in the kept arrays; unknown words are encoded first. ``word(i)`` is the text of key i."""
+        if len(self.keys) + len(keys) > CACHE:
+            self.clear()
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        new = np.flatnonzero(~there)
+        if len(new):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([word(i) for i in new], add_special_tokens=False)]
+            size = np.array([len(x) for x in found], np.int64)
+            self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
+            self.size = np.append(self.size, size)
+            self.flat = np.append(self.flat, np.array([i for x in found for i in x], np.uint32))
+            both = np.append(self.keys, keys[new])
+            order = np.argsort(both, kind="stable")  # two sorted runs
+            self.keys, self.at, self.size = both[order], self.at[order], self.size[order]
+            at = np.searchsorted(self.keys, keys)
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the bounds of each row's ids; null is empty."""
+        data, bounds = T.buffers(texts)
+        starts, ends = T.word_spans(data, bounds)
+        to = np.searchsorted(starts, bounds)
+        if not len(starts):
+            return np.zeros(0, np.uint32), to
+        wide = np.concatenate([[0], np.cumsum(data >= 0x80)])
+        plain = wide[ends] == wide[starts]
+        data = data.copy()
+        upper = np.flatnonzero((data >= 0x41) & (data <= 0x5A))
+        upper = upper[plain[np.searchsorted(starts, upper, "right") - 1]]
+        data[upper] += 32  # words beyond ASCII keep their case: composing comes before lower-casing
+        last = data[ends - 1]
+        letter = data[np.maximum(ends - 2, starts)]
+        marked = ((last == ord(".")) | (last == ord(","))) & (ends - starts > 1) & (letter >= 0x61) & (letter <= 0x7A)
+        stop = ends - marked
+        keys, first, word = np.unique(T.hash_spans(data, bounds, starts, stop, CASED), return_index=True, return_inverse=True)
+        place = self._places(keys, lambda i: data[starts[first[i]] : stop[first[i]]].tobytes().decode())[word]
+        size = self.size[place] + marked  # the marks' ids have one token each
+        end = np.cumsum(size)
+        total = int(end[-1])
+        ids = self.flat[np.minimum(np.repeat(self.at[place] - (end - size), size) + np.arange(total), len(self.flat) - 1)]
+        ids[end[marked] - 1] = np.where(last[marked] == ord("."), self.marks["."][0], self.marks[","][0])
+        return ids, np.concatenate([[0], end])[to]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder per worker process, so that tasks share its words."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 class CapacityTree:
@@ -115,18 +159,17 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, window: int, end_id: int) -> DataFrame:
     """One row per piece of each document: ``doc_id, start, length, ids_crc32, doc_tokens``."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        coder = WordEncoder(tokenizer)
         for batch in T.slices(batches, "text"):
             rows: list[tuple] = []
-            for i, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
+            ids, to = encoder(tokenizer).encode(batch.column(1))
+            raw = np.insert(ids, to[1:], end_id).astype("<u4").tobytes()
+            begin = 0
+            for i, n in zip(batch.column(0).to_pylist(), (np.diff(to) + 1).tolist()):
                 for a in range(0, n, window):
-                    piece = ids[4 * a : 4 * (a + window)]
-                    rows.append((i, a, len(piece) // 4, zlib.crc32(piece), n))
+                    length = min(window, n - a)
+                    rows.append((i, a, length, zlib.crc32(raw[4 * (begin + a) : 4 * (begin + a + length)]), n))
+                begin += n
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
