@@ -10,7 +10,7 @@ from telemill.llm.common import ORACLES, QUERIES, table
 from telemill.llm.minhash import near_duplicates
 from telemill.llm.ngram_lm import score_documents
 from telemill.llm.packing import pack_documents
-from telemill.llm import toxicity
+from telemill.llm import itq, toxicity
 from telemill.llm.warc import archive_roundtrip
 from telemill.session import fresh_path, prepare
 
@@ -63,3 +63,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: a fitted model. Held-out accuracy is tested in tests/llm."""
     scored = toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"), fold(4) != 2, fold(4) == 3)
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op9_itq_hamming_near_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: all pairs of whole tables are too many there. Checked against brute force in tests/llm."""
+    return itq.near_duplicates(table(spark, sf, "embeddings"))
