@@ -10,7 +10,7 @@ from telemill.llm.common import ORACLES, QUERIES, table
 from telemill.llm.minhash import near_duplicates
 from telemill.llm.ngram_lm import score_documents
 from telemill.llm.packing import pack_documents
-from telemill.llm import itq, toxicity
+from telemill.llm import decontaminate, itq, toxicity
 from telemill.llm.warc import archive_roundtrip
 from telemill.session import fresh_path, prepare
 
@@ -69,3 +69,23 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: all pairs of whole tables are too many there. Checked against brute force in tests/llm."""
     return itq.near_duplicates(table(spark, sf, "embeddings"))
+
+
+# word shingles of lower-cased (A-Z only) texts; DuckDB's lower() would change more, so letters are mapped
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SHINGLED = """
+SELECT DISTINCT {id}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+       ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+FROM (SELECT {id}, list_filter(regexp_split_to_array(translate(text, {az}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {table} WHERE {id} IS NOT NULL AND text IS NOT NULL)
+"""
+
+
+@query("op10_minhash_containment", f"""
+WITH i AS ({_SHINGLED.format(id='item_id', table='benchmark', az=_AZ)}),
+d AS ({_SHINGLED.format(id='doc_id', table='documents', az=_AZ)}),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared
+FROM i JOIN d USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles
+""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
