@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.llm.common import ORACLES, QUERIES, table
+from telemill.llm.line_dedup import remove_repeats
 from telemill.llm.minhash import near_duplicates
 from telemill.llm.ngram_lm import score_documents
 from telemill.llm.packing import pack_documents
@@ -89,3 +90,9 @@ FROM i JOIN d USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shing
 """)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op1_line_chunk_dedup")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: content-defined boundaries. Checked against a brute-force version in tests/llm."""
+    return remove_repeats(table(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
