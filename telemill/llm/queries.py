@@ -12,11 +12,15 @@ from telemill.llm.minhash import near_duplicates
 from telemill.llm.ngram_lm import score_documents
 from telemill.llm.packing import pack_documents
 from telemill.llm import decontaminate, itq, toxicity
+from telemill.llm.surrogates import pseudonymise
+from telemill.llm.token_counts import section_tokens
 from telemill.llm.warc import archive_roundtrip
 from telemill.session import fresh_path, prepare
 
 __all__ = ["ORACLES", "QUERIES"]
 
+KEY = b"telemill test key"  # production jobs pass their own
+
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
@@ -96,3 +100,15 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: content-defined boundaries. Checked against a brute-force version in tests/llm."""
     return remove_repeats(table(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op4_pii_surrogates")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: keyed surrogates. Detection, formats and distinctness are tested in tests/llm."""
+    return pseudonymise(table(spark, sf, "documents"), KEY).select("doc_id", "text", "n_entities", "kinds")
+
+
+@query("op6_token_attribution")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: DuckDB has no tokenizer. Checked against another library's offsets in tests/llm."""
+    return section_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
