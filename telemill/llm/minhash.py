@@ -5,7 +5,8 @@
 2. Signatures are cut into bands; equal bands put classes into one bucket.
 3. In a bucket every class is compared with the bucket's hub, not with all
    others. A second round compares what the hubs did not connect: members
-   outside a bucket's largest component against all members, in tiles.
+   outside a bucket's largest component against all members of other ones,
+   in tiles where the bucket is large.
 4. A candidate pair is compared on batches of signature positions. With a
    uniform prior and m of n equal positions the similarity is distributed as
    Beta(m + 1, n - m + 1); a pair is dropped once the probability of reaching the
@@ -30,7 +31,7 @@ from telemill.session import cut
 PERMS, BANDS, ROWS = 128, 25, 5  # a pair at 0.8 shares no band with a chance of 5e-5
 BATCH = 16  # signature positions per verification step
 MISS = 1e-6  # chance to drop a true pair in one step
-TILE = 256
+SMALL, TILE = 64, 256  # members of a bucket compared in one row, members of a tile of larger ones
 _MUL = (np.random.default_rng(3).integers(0, 1 << 32, PERMS, dtype=np.uint32) | 1).astype(np.uint32)
 _ADD = np.random.default_rng(4).integers(0, 1 << 32, PERMS, dtype=np.uint32)
 
@@ -164,28 +165,90 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
     return full.mapInArrow(run, "a long, b long")
 
 
-def _leftover(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of a bucket between members outside its largest component and all of other components."""
-    sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("size")).where("labels > 1")
-    live = salted_join(members, mixed.select("bucket", "main", "size"), "bucket", "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TILE)).cast("int"))
-    tile = live.join(classes.select("id", "n", "sig"), "id").groupBy("bucket", "tile", F.expr("label = main").alias("main")).agg(
-        F.collect_list(F.struct("id", "n", "label", "sig")).alias("m"))
-    tile = cut(tile)
-    few, many = tile.where("not main").select("bucket", F.col("tile").alias("t"), F.col("m").alias("p")), tile.select("bucket", F.col("tile").alias("u"), F.col("main").alias("um"), F.col("m").alias("q"))
+def _fields(members: list[dict]):
+    sig = np.frombuffer(b"".join(r["sig"] for r in members), np.uint32).reshape(len(members), -1)
+    return sig, *[np.array([r[k] for r in members]) for k in ("id", "n", "label")]
+
+
+def _first_common_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    same = (a[:, : BANDS * ROWS] == b[:, : BANDS * ROWS]).reshape(len(a), BANDS, ROWS).all(axis=2)
+    return same.argmax(axis=1)
+
+
+def _open(p: list[dict], q: list[dict], threshold: float):
+    """Pairs of members of different components that keep a chance: their places, and what ``_fields`` says."""
+    x, y = _fields(p), _fields(q)
+    ok = (x[3][:, None] != y[3]) & (np.minimum(x[2][:, None], y[2]) >= threshold * np.maximum(x[2][:, None], y[2]))
+    i, j = np.nonzero(ok)
+    keep = plausible(x[0][i], y[0][j], threshold)
+    return i[keep], j[keep], x, y
+
+
+def _leftover_small(live: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Surviving pairs between components in buckets of at most ``SMALL`` members."""
+
+    def run(batches):
+        for batch in batches:
+            for m in batch.column(0).to_pylist():
+                i, j, x, y = _open(m, m, threshold)
+                a, b = x[1][i], y[1][j]
+                yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], ["a", "b"])
+
+    one = live.join(classes.select("id", "n", "sig"), "id").groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "label", "sig")).alias("m"))
+    return one.select("m").mapInArrow(run, "a long, b long").distinct()
+
+
+def _leftover_large(live: DataFrame, classes: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links between components in larger buckets, enough of them to join what belongs together.
+
+    Members are dealt into tiles of bounded size that carry their texts. A task
+    compares two tiles and confirms pairs at once, the likeliest first, until
+    the components of a pair are joined; no list of pairs is made. A pair that
+    meets in several buckets is looked at in the first.
+    """
+    weight = live.join(classes.select("id", "n", "sig"), "id")
+    tiles = weight.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / (TILE * 1000))).alias("tiles"))
+    dealt = salted_join(weight, tiles, "bucket", "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    full = dealt.join(docs.select(F.col("id"), "text").join(live.select("id").distinct(), "id", "left_semi"), "id")
+    tile = cut(full.groupBy("bucket", "band", "tile", F.expr("label = main").alias("main")).agg(F.collect_list(F.struct("id", "n", "label", "sig", "text")).alias("m")))
+    few = tile.where("not main").select("bucket", "band", F.col("tile").alias("t"), F.col("m").alias("p"))
+    many = tile.select("bucket", F.col("tile").alias("u"), F.col("main").alias("um"), F.col("m").alias("q"))
     plan = few.select("bucket", "t").join(many.select("bucket", "u", "um"), "bucket").where("um or t <= u")
-    work = plan.join(few, ["bucket", "t"]).join(many, ["bucket", "u", "um"]).select("p", "q")
+    work = plan.join(few, ["bucket", "t"]).join(many, ["bucket", "u", "um"]).select("band", "p", "q")
+    percent = round(threshold * 100)
 
     def run(batches):
-        for x in batches:
-            for p, q in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
-                sp, sq = (np.frombuffer(b"".join(r["sig"] for r in s), np.uint32).reshape(len(s), -1) for s in (p, q))
-                (ip, np_, lp), (iq, nq, lq) = [[np.array([r[k] for r in s]) for k in ("id", "n", "label")] for s in (p, q)]
-                ok = (lp[:, None] != lq) & (np.minimum(np_[:, None], nq) >= threshold * np.maximum(np_[:, None], nq))
-                i, j = np.nonzero(ok)
-                keep = plausible(sp[i], sq[j], threshold)
-                a, b = ip[i[keep]], iq[j[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for batch in batches:
+            for band, p, q in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                i, j, x, y = _open(p, q, threshold)
+                first = _first_common_band(x[0][i], y[0][j]) == band
+                i, j = i[first], j[first]
+                order = np.argsort(-(x[0][i] == y[0][j]).sum(axis=1), kind="stable") if len(i) else i
+                joined: dict[int, int] = {}
+
+                def root(v: int, joined=joined) -> int:
+                    while v in joined:
+                        v = joined[v]
+                    return v
+
+                sets: dict[int, np.ndarray] = {}
+
+                def own(r: dict, sets=sets) -> np.ndarray:
+                    if r["id"] not in sets:
+                        sets[r["id"]] = _sets(pa.array([r["text"]], pa.string()), size)[0]
+                    return sets[r["id"]]
+
+                out = []
+                for k in order:
+                    r, t = p[i[k]], q[j[k]]
+                    if root(r["label"]) == root(t["label"]):
+                        continue
+                    a, b = own(r), own(t)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        joined[root(r["label"])] = root(t["label"])
+                        out.append(sorted((r["id"], t["id"])))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return work.mapInArrow(run, "a long, b long").distinct()
 
@@ -203,15 +266,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_id = seen.groupBy("id").agg(F.min(F.struct("digest", "n")).alias("x"), F.count(F.lit(1)).alias("rows")).select("id", "x.digest", "x.n", "rows")
     reps = per_id.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = cut(reps.join(seen.select(F.col("id").alias("rep"), "digest", "sig", "bands"), ["rep", "digest"]).select(F.col("rep").alias("id"), "n", "digest", "sig", "bands").dropDuplicates(["id"]))
-    buckets = classes.select("id", F.posexplode("bands").alias("band", "h")).select("id", F.xxhash64("band", "h").alias("bucket"))
+    buckets = classes.select("id", F.posexplode("bands").alias("band", "h")).select("id", "band", F.xxhash64("band", "h").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "hub")
     members = cut(salted_join(buckets, hubs, "bucket", "id"))
     pairs = cut(_survivors(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes, threshold))
     links = cut(_confirmed(pairs, one, "id", "text", size, threshold))
     label = components(links)
-    labelled = members.select("bucket", "id").join(label.select("id", F.col("component_id").alias("label")), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    rest = cut(_leftover(labelled, classes, threshold).join(pairs, ["a", "b"], "left_anti"))
-    more = cut(_confirmed(rest, one, "id", "text", size, threshold))
+    labelled = members.select("bucket", "band", "id").join(label.select("id", F.col("component_id").alias("label")), "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
+    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("size")).where("labels > 1").drop("labels")
+    live = cut(salted_join(labelled, mixed, "bucket", "id"))
+    rest = cut(_leftover_small(live.where(F.col("size") <= SMALL), classes, threshold).join(pairs, ["a", "b"], "left_anti"))
+    more = _confirmed(rest, one, "id", "text", size, threshold)
+    more = cut(more.unionByName(_leftover_large(live.where(F.col("size") > SMALL), classes, one, size, threshold)))
     label = components(links.unionByName(more)) if more.take(1) else label
     of_class = reps.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("c"))
     out = salted_join(per_id, of_class, "digest", "id", how="left")
