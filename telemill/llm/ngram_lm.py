@@ -15,7 +15,7 @@
 
 The end token also stands before the first word. Contexts and words of higher
 orders are hashed to ``BITS`` bits: with t distinct n-grams per shard a lookup
-is wrong with a chance of t / 2^56.
+is wrong with a chance of t / 2^52; t stays below ``SHARD`` on average.
 """
 
 from __future__ import annotations
@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from telemill.llm import elias_fano as ef
 from telemill.llm import text as T
-from telemill.session import cut
+from telemill.session import fresh_path
 
 U = np.uint64
-BITS = (30, 26)  # of a context and of a word
+BITS = (28, 24)  # of a context and of a word
 END = U(0x0E0F_0E0F_0E0F_0E0F)
-BLOCK = 16 << 20  # bytes of text per block
+BLOCK = 32 << 20  # bytes of text per block
+PER_BUCKET = 3  # blocks per bucket of the stored tables
 SHARD = 4_000_000  # tokens per shard
 CLASSES = 44
 _STEPS = np.concatenate([np.arange(129.0), 128 * 2 ** (np.arange(1, 127) / 4)])  # codebook: counts exact to 128, then quarter powers
@@ -49,6 +50,11 @@ def _expand(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], int(np.frombuffer(b[:8], np.int64)[0]), "zstd", asbytes=True), dtype)
 
 
+def _sequence(row: dict) -> np.ndarray:
+    """Vocabulary places of all tokens of a block; stored byte plane by byte plane."""
+    return np.ascontiguousarray(_expand(row["seq"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def quantise(counts: np.ndarray) -> np.ndarray:
     """Nearest code of each count on a log scale; 0 only for 0."""
     big = np.rint(128 + 4 * np.log2(np.maximum(counts, 1) / 128))
@@ -64,13 +70,17 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, training: Column) -> Dat
         number = TaskContext.get().partitionId() << 32
         for batch in T.slices(batches, "text", BLOCK):
             h, to = T.words(batch.column(1))
-            vocabulary, place = np.unique(np.append(h, END), return_inverse=True)
+            vocabulary, place, count = np.unique(np.append(h, END), return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            vocabulary, place = vocabulary[order], rank[place]
             n = np.diff(to)
             tokens = np.insert(place[:-1], to[1:], place[-1]).astype(np.uint32)
             flags = np.array(batch.column(2).to_pylist(), np.uint8)
             ids = batch.column(0).cast(pa.int64())
             known = np.array(ids.is_valid().to_pylist(), np.uint8)
-            row = [number, int((n + 1).sum()), int((n + 1)[flags == 1].sum()), _squeeze(ids.fill_null(0).to_numpy()), _squeeze(known), _squeeze(flags), _squeeze(n + 1), _squeeze(vocabulary), _squeeze(tokens)]
+            row = [number, int((n + 1).sum()), int((n + 1)[flags == 1].sum()), _squeeze(ids.fill_null(0).to_numpy()), _squeeze(known), _squeeze(flags), _squeeze(n + 1), _squeeze(vocabulary), _squeeze(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T))]
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["block", "tokens", "train", "ids", "known", "flags", "lengths", "words", "seq"])
 
@@ -97,11 +107,14 @@ def _grams(words: np.ndarray, seq: np.ndarray, lengths: np.ndarray, order: int):
 
 def _asked(row: dict, order: int, shards: int):
     """Distinct keys of a block with training counts, grouped by shard; and each token's place among them."""
-    seq, lengths = _expand(row["seq"], np.uint32), _expand(row["lengths"], np.int64)
+    seq, lengths = _sequence(row), _expand(row["lengths"], np.int64)
     words = _expand(row["words"], np.uint64)
     key, real = _grams(words, seq, lengths, order)
     if order == 1:
-        keys, place = words, seq
+        rank = np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[rank] = np.arange(len(words))
+        keys, place = words[rank], place[seq]
     else:
         keys, place = np.unique(key[real], return_inverse=True)
     flags = np.repeat(_expand(row["flags"], np.uint8), lengths)[real]
@@ -151,27 +164,37 @@ def _answer_shard(order: int, asked: pa.Table) -> pa.Table:
 
 def _token_counts(row: dict, answers: list[np.ndarray]):
     """Per order: (count of the n-gram, count of its context) at every token."""
-    seq, lengths = _expand(row["seq"], np.uint32), _expand(row["lengths"], np.int64)
+    seq, lengths = _sequence(row), _expand(row["lengths"], np.int64)
     out, lower = [], None
     words = _expand(row["words"], np.uint64)
-    end = int(np.searchsorted(words, END))
+    end = int(np.flatnonzero(words == END)[0])
     pos = np.arange(len(seq)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     for order, by_key in enumerate(answers, 1):
         if order == 1:
-            own = by_key[seq].astype(float)
-            context = None
+            by_word = np.empty(len(words), np.int64)
+            by_word[np.argsort(words)] = by_key
+            own, context = by_word[seq].astype(float), None
         else:
             _, _, _, _, place, real = _asked(row, order, 1)
             own = np.zeros(len(seq))
             own[real] = _STEPS[by_key[place]]
             context = np.roll(lower, 1)
-            context[pos == 0] = answers[0][end] if order == 2 else 0
+            context[pos == 0] = by_word[end] if order == 2 else 0
             context[~real] = 0
         out.append((own, context))
         lower = own
     return seq, lengths, out
 
 
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """Store ``df`` in the shared folder in buckets of ``block`` and read it back."""
+    spark = df.sparkSession
+    path = fresh_path(spark)
+    name = "telemill_" + path.rpartition("-")[2]
+    df.write.bucketBy(buckets, "block").sortBy("block").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -180,7 +203,9 @@ def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: s
     a null id stays null. Without training rows every word is unknown. Other
     columns are not read. The model has log10 probabilities.
     """
-    held = cut(blocks(docs, id_col, text_col, training))
+    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    buckets = min(100_000, text_bytes // (PER_BUCKET * BLOCK) + 1)
+    held = _bucketed(blocks(docs, id_col, text_col, training), buckets)
     size = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
     shards, total = max(1, -(-size[0] // SHARD)), size[1]
 
@@ -201,7 +226,8 @@ def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: s
     def answer(key, asked):
         return _answer_shard(key[0].as_py(), asked)
 
-    def meet(_, own, answers):
+    def counted(own, answers):
+        """A block's row with its text lengths and, per order, the counts at every token."""
         row, got = _row(own), []
         parts = {(g, s): a for g, s, a in zip(*(answers.column(c).to_pylist() for c in ("gram", "shard", "answer")))}
         for k in range(1, order + 1):
@@ -209,7 +235,11 @@ def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: s
             dtype = np.int64 if k == 1 else np.uint8
             flat = [_expand(parts[k, s], dtype) for s in range(shards) if to[s] < to[s + 1]]
             got.append((np.concatenate(flat) if flat else np.zeros(0, dtype))[back])
-        seq, lengths, counts = _token_counts(row, got)
+        _, lengths, counts = _token_counts(row, got)
+        return row, lengths, counts
+
+    def gather(_, own, answers):
+        row, lengths, counts = counted(own, answers)
         learned = np.repeat(_expand(row["flags"], np.uint8), lengths) == 1
         stats = np.zeros((order + 1, CLASSES, 2), np.int64)
         for k in range(2, order + 1):
@@ -218,39 +248,35 @@ def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: s
             c = np.log2(context[use] - 1 + 1e-9).astype(np.int64).clip(0, CLASSES - 1)
             stats[k, :, 0] = np.bincount(c, minlength=CLASSES)
             stats[k, :, 1] = np.bincount(c, weights=n[use] >= 2, minlength=CLASSES)
-        return own.append_column("got", pa.array([[_squeeze(g) for g in got]], pa.list_(pa.binary()))).append_column(
-            "stats", pa.array([stats.ravel().tolist()], pa.list_(pa.int64()))).append_column("distinct", pa.array([sum(answers.column("distinct").to_pylist())], pa.int64()))
+        return pa.table({"i": pa.array(np.arange(stats.size)), "x": pa.array(stats.ravel())})
 
     asked = held.mapInArrow(ask, "block long, gram int, shard long, keys binary, counts binary")
     answers = asked.groupBy("gram", "shard").applyInArrow(answer, "block long, gram int, shard long, answer binary, distinct long")
-    met_schema = held.schema.simpleString()[7:-1] + ",got:array<binary>,stats:array<bigint>,distinct:bigint"
-    met = cut(held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, met_schema))
-    vocabulary = met.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    sums = dict(met.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x")).collect())  # 88 numbers per order
+    answers = _bucketed(answers.repartition(buckets, "block"), buckets)
+    # both tables lie in buckets of the block number, so they meet without another shuffle
+    met = held.groupBy("block").cogroup(answers.groupBy("block"))
+    vocabulary = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    sums = dict(met.applyInArrow(gather, "i long, x long").groupBy("i").agg(F.sum("x")).collect())  # 88 numbers per order
     s = np.array([sums.get(i, 0) for i in range((order + 1) * CLASSES * 2)], float).reshape(order + 1, CLASSES, 2)
     weight = (s[..., 1] + 0.1) / (s[..., 0] + 1)
     below = float(total) + 0.5 * (vocabulary + 1)
 
-    def score(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = _row(batch, i)
-                got = [_expand(g, np.int64 if k == 0 else np.uint8) for k, g in enumerate(row["got"])]
-                _, lengths, counts = _token_counts(row, got)
-                own = counts[0][0]
-                base = (own + 0.5) / below
-                p = base
-                for k in range(2, order + 1):
-                    n, context = counts[k - 1]
-                    c = np.log2(np.maximum(context, 1)).astype(np.int64).clip(0, CLASSES - 1)
-                    a = np.where(context > 0, weight[k, c], 0.0)
-                    p = a * np.minimum(n / np.maximum(context, 1), 1.0) + (1 - a) * p
-                start = np.cumsum(lengths) - lengths
-                add = lambda x: np.add.reduceat(x, start)  # noqa: E731  every text has its end token
-                ids, valid = _expand(row["ids"], np.int64), _expand(row["known"], np.uint8) == 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=~valid), pa.array(lengths), pa.array(add((own > 0).astype(np.int64))), pa.array(np.full(len(ids), total)), pa.array(add(np.log10(base))), pa.array(add(np.log10(p)))],
-                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return met.mapInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def score(_, own, answers):
+        row, lengths, counts = counted(own, answers)
+        known = counts[0][0]
+        base = (known + 0.5) / below
+        p = base
+        for k in range(2, order + 1):
+            n, context = counts[k - 1]
+            c = np.log2(np.maximum(context, 1)).astype(np.int64).clip(0, CLASSES - 1)
+            a = np.where(context > 0, weight[k, c], 0.0)
+            p = a * np.minimum(n / np.maximum(context, 1), 1.0) + (1 - a) * p
+        start = np.cumsum(lengths) - lengths
+        add = lambda x: np.add.reduceat(x, start)  # noqa: E731  every text has its end token
+        ids, valid = _expand(row["ids"], np.int64), _expand(row["known"], np.uint8) == 1
+        return pa.table(
+            [pa.array(ids, mask=~valid), pa.array(lengths), pa.array(add((known > 0).astype(np.int64))), pa.array(np.full(len(ids), total)), pa.array(add(np.log10(base))), pa.array(add(np.log10(p)))],
+            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return met.applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
