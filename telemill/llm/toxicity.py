@@ -28,7 +28,7 @@ from telemill.session import cut
 SAMPLE = 20_000
 TREES, DEPTH = 30, 4
 STARTS = (4, 5, 6)  # bytes of the word beginnings
-LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 10.0  # of the toxic training texts that an entry occurs in
+LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 3, 0.03, 10.0  # of the toxic training texts that an entry occurs in
 NEAR = 5  # words between an entry and a second-person word
 YOU = "you your yours yourself u du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split()
 NAMES = (
@@ -177,6 +177,21 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon([(x.h, log(x.r)) for x in chosen.select("h", ratio.alias("r")).collect()])
 
 
+def sketched(rows: DataFrame) -> DataFrame:
+    """Add ``sketch``, the least hash of the texts' three-word shingles; near copies mostly share it. Wordless texts get their id."""
+
+    def run(batches):
+        for batch in T.slices(batches, "text"):
+            h, to = T.shingles(*T.words(batch.column(batch.schema.get_field_index("text"))), 3)
+            out = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False).astype(np.int64).copy()
+            full = np.flatnonzero(np.diff(to))
+            if len(full):
+                out[full] = np.minimum.reduceat(T.mix(h), to[full]).view(np.int64)
+            yield batch.append_column("sketch", pa.array(out))
+
+    return rows.mapInArrow(run, rows.schema.simpleString()[7:-1] + ",sketch:bigint")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, training: Column, calibration: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, carry: bool = False) -> DataFrame:
     """Per row ``doc_id`` and ``score`` in 0..1, with ``carry`` all input columns and ``score``.
 
@@ -191,7 +206,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, training: Column, calibr
     marked = chosen.select(F.col("id").alias(id_col), "toxic").withColumn("calibrates", calibration)
     marked = cut(marked.select(F.col(id_col).alias("id"), "toxic", "calibrates"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    labelled = cut(own.join(F.broadcast(marked), "id").dropDuplicates(["id"]).select("text", "toxic", "calibrates").coalesce(8))
+    # copies of one text would make all of its words look telling: one text per least shingle is enough
+    sample_rows = sketched(own.join(F.broadcast(marked), "id")).dropDuplicates(["id"]).dropDuplicates(["sketch"])
+    labelled = cut(sample_rows.select("text", "toxic", "calibrates").coalesce(8))
     seen = {r.toxic: r.n for r in labelled.where("not calibrates").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     plain = [F.col(c) for c in docs.columns] if carry else [F.col(id_col).alias("doc_id")]
     if len(seen) < 2:
