@@ -28,7 +28,9 @@ from telemill.session import cut
 SAMPLE = 20_000
 TREES, DEPTH = 30, 4
 STARTS = (4, 5, 6)  # bytes of the word beginnings
-LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 3, 0.03, 10.0  # of the toxic training texts that an entry occurs in
+SKETCHES = 4
+LEAST_SHARE, LEAST_RATIO = 0.01, 10.0  # of the toxic training texts with an entry; of its frequencies in toxic and other texts
+LEAST_G = 26.0  # likelihood-ratio statistic: chance below 1e-6 that an entry of no meaning reaches it
 NEAR = 5  # words between an entry and a second-person word
 YOU = "you your yours yourself u du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split()
 NAMES = (
@@ -171,25 +173,31 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
     bad, rows = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     counts = sample.select("text", "toxic").mapInArrow(run, "h long, bad long, all long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("all").alias("n"))
-    ratio = (F.col("bad") + 0.1) / bad / ((F.col("n") - F.col("bad") + 0.1) / (rows - bad))
+    good = F.col("n") - F.col("bad")
+    ratio = (F.col("bad") + 0.1) / bad / ((good + 0.1) / (rows - bad))
+    part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (F.col("n") * share))).otherwise(0.0)
+    g = 2 * (part(F.col("bad"), bad / rows) + part(good, 1 - bad / rows))
     # at most (words of one text) / LEAST_SHARE entries, whatever the corpus
-    chosen = counts.where((F.col("bad") >= max(LEAST_ROWS, LEAST_SHARE * bad)) & (ratio >= LEAST_RATIO))
+    chosen = counts.where((F.col("bad") >= LEAST_SHARE * bad) & (ratio >= LEAST_RATIO) & (g >= LEAST_G))
     return Lexicon([(x.h, log(x.r)) for x in chosen.select("h", ratio.alias("r")).collect()])
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    """Add ``sketch``, the least hash of the texts' three-word shingles; near copies mostly share it. Wordless texts get their id."""
+    """Add ``s0, s1, ...``: least hashes of the texts' three-word shingles; near copies mostly share them. Wordless texts get their id."""
 
     def run(batches):
         for batch in T.slices(batches, "text"):
             h, to = T.shingles(*T.words(batch.column(batch.schema.get_field_index("text"))), 3)
-            out = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False).astype(np.int64).copy()
+            ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False).astype(np.int64)
             full = np.flatnonzero(np.diff(to))
-            if len(full):
-                out[full] = np.minimum.reduceat(T.mix(h), to[full]).view(np.int64)
-            yield batch.append_column("sketch", pa.array(out))
+            for k in range(SKETCHES):
+                out = ids.copy()
+                if len(full):
+                    out[full] = np.minimum.reduceat(T.mix(h + T.U(k)), to[full]).view(np.int64)
+                batch = batch.append_column(f"s{k}", pa.array(out))
+            yield batch
 
-    return rows.mapInArrow(run, rows.schema.simpleString()[7:-1] + ",sketch:bigint")
+    return rows.mapInArrow(run, rows.schema.simpleString()[7:-1] + "".join(f",s{k}:bigint" for k in range(SKETCHES)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, training: Column, calibration: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, carry: bool = False) -> DataFrame:
@@ -206,9 +214,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, training: Column, calibr
     marked = chosen.select(F.col("id").alias(id_col), "toxic").withColumn("calibrates", calibration)
     marked = cut(marked.select(F.col(id_col).alias("id"), "toxic", "calibrates"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # copies of one text would make all of its words look telling: one text per least shingle is enough
-    sample_rows = sketched(own.join(F.broadcast(marked), "id")).dropDuplicates(["id"]).dropDuplicates(["sketch"])
-    labelled = cut(sample_rows.select("text", "toxic", "calibrates").coalesce(8))
+    # copies of one text would make all of its words look telling: one text of each group of copies is learned from
+    rows = cut(sketched(own.join(F.broadcast(marked), "id")))
+    alone = rows.drop("text").dropDuplicates(["id"])
+    for k in range(SKETCHES):
+        alone = alone.dropDuplicates([f"s{k}"])
+    labelled = cut(rows.join(F.broadcast(alone.select("id")), "id").dropDuplicates(["id"]).select("text", "toxic", "calibrates").coalesce(8))
     seen = {r.toxic: r.n for r in labelled.where("not calibrates").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     plain = [F.col(c) for c in docs.columns] if carry else [F.col(id_col).alias("doc_id")]
     if len(seen) < 2:
