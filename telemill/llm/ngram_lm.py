@@ -35,9 +35,9 @@ from telemill.session import fresh_path
 U = np.uint64
 BITS = (28, 24)  # of a context and of a word
 END = U(0x0E0F_0E0F_0E0F_0E0F)
-BLOCK = 32 << 20  # bytes of text per block
-PER_BUCKET = 3  # blocks per bucket of the stored tables
-SHARD = 4_000_000  # tokens per shard
+BLOCK = 16 << 20  # bytes of text per block
+PER_BUCKET = 4  # blocks per bucket of the stored tables
+SHARD = 1_500_000  # tokens per shard
 CLASSES = 44
 _STEPS = np.concatenate([np.arange(129.0), 128 * 2 ** (np.arange(1, 127) / 4)])  # codebook: counts exact to 128, then quarter powers
 
