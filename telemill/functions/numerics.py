@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb, lgamma
+from math import lgamma
 
 import numpy as np
 
@@ -70,7 +70,7 @@ def _log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarr
     return out
 
 
-def fit_mixture(x: np.ndarray, k: int, max_iter: int = 100, reg: float = 1e-6, tol: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_mixture(x: np.ndarray, k: int, reg: float = 1e-6, tol: float = 1e-3) -> tuple[np.ndarray, float]:
     """(labels, BIC) of a k-component mixture; starts from farthest points, so it is deterministic."""
     n, d = x.shape
     centre = [int(np.argmax(((x - x.mean(axis=0)) ** 2).sum(axis=1)))]
@@ -80,7 +80,7 @@ def fit_mixture(x: np.ndarray, k: int, max_iter: int = 100, reg: float = 1e-6, t
     resp = np.zeros((n, k))
     resp[np.arange(n), np.argmin(((x[:, None, :] - x[centre][None]) ** 2).sum(axis=2), axis=1)] = 1.0
     last = -np.inf
-    for _ in range(max_iter):
+    while True:  # the likelihood only rises, so the steps end
         weight = resp.sum(axis=0) + 10 * np.finfo(float).eps
         means = resp.T @ x / weight[:, None]
         covs = np.stack([(resp[:, j, None] * (x - means[j])).T @ (x - means[j]) / weight[j] + reg * np.eye(d) for j in range(k)])
@@ -95,10 +95,10 @@ def fit_mixture(x: np.ndarray, k: int, max_iter: int = 100, reg: float = 1e-6, t
     return np.argmax(resp, axis=1), float(-2 * norm.sum() + free * np.log(n))
 
 
-def best_mixture(x: np.ndarray, max_components: int | None = None, max_iter: int = 100) -> np.ndarray:
+def best_mixture(x: np.ndarray, max_components: int | None = None) -> np.ndarray:
     """Labels of the mixture with the smallest BIC over 1..N components."""
     top = len(x) if max_components is None else min(len(x), max_components)
-    fits = [fit_mixture(x, k, max_iter) for k in range(1, top + 1)]
+    fits = [fit_mixture(x, k) for k in range(1, top + 1)]
     return min(fits, key=lambda f: f[1])[0]
 
 
@@ -125,24 +125,12 @@ def weighted_ci(cells: np.ndarray, weight: np.ndarray, x: int, y: int, given: tu
 class CauseSearch:
     """Neighbours of one indicator column at growing significance levels.
 
-    Tests are shared between levels: a p-value does not depend on alpha. The
-    number of conditioning sets grows as 2^columns, so wide groups condition
-    on smaller sets: the largest size whose tests stay within ``BUDGET``. Up
-    to ten columns nothing is left out.
+    Tests are shared between levels: a p-value does not depend on alpha. Sets
+    grow until no column has enough neighbours left, whatever the width.
     """
 
-    BUDGET = 4_000
-
-    @classmethod
-    def max_depth(cls, columns: int) -> int:
-        depth = 0
-        while depth < columns - 1 and columns * comb(columns - 1, depth + 1) <= cls.BUDGET:
-            depth += 1
-        return depth
-
     def __init__(self, cells: np.ndarray, weight: np.ndarray, indicator: int):
         self.cells, self.weight, self.f = cells, weight, indicator
-        self.deepest = self.max_depth(cells.shape[1] - 1)
         self._seen: dict[tuple, float] = {}
 
     def p(self, y: int, given: tuple[int, ...]) -> float:
@@ -166,7 +154,7 @@ class CauseSearch:
                         break
                     last[y] = p
             depth += 1
-            if depth > min(len(near) - 1, self.deepest):
+            if depth > len(near) - 1:
                 return {y: last.get(y, 0.0) for y in near}
 
     def ranking(self, start: float, min_nodes: int, step: float = 0.1, limit: float = 1.0) -> list[int]:

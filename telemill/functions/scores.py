@@ -36,10 +36,6 @@ def sigmoid(z, scale: float = 1.0) -> Column:
     return F.when(x >= 0, F.lit(1.0) / (F.lit(1.0) + e)).otherwise(e / (F.lit(1.0) + e))
 
 
-def saturate(v) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(v)))
-
-
 def incident_id(start, end, entity, hint) -> Column:
     """D23"""
     start, end, entity, hint = (_c(x) for x in (start, end, entity, hint))

@@ -351,7 +351,7 @@ def flag_and_segment(
     )
     sev = F.least(F.lit(1.0), F.col("sev"))
     seg = seg.withColumn("severity", sev).withColumn("status", F.when(F.col("severity") >= 0.5, "anomaly").otherwise("uncertain"))
-    seg = seg.withColumn("incident_id", incident_id("start_ts_ns", "end_ts_ns", F.lit("host"), F.lit("fuse"))).drop("sev")
+    seg = seg.withColumn("incident_id", incident_id("start_ts_ns", "end_ts_ns", F.concat_ws("/", *[F.col(g).cast("string") for g in group]) if group else F.lit("host"), F.lit("fuse"))).drop("sev")
     at_peak = matrix.join(seg.select(*group, "run", F.col("peak_ts").alias("ts_ns")), [*group, "ts_ns"]).join(model, [*group, *st.SERIES])
     at_peak = at_peak.withColumn("zc", _channel_z())
     total = at_peak.groupBy(*group, "run").agg(F.sum("zc").alias("zsum"))

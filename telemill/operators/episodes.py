@@ -180,13 +180,14 @@ def table_search(df: DataFrame, text: str = "", sort: str | None = None, descend
     return df
 
 
-def log_search(logs: DataFrame, levels: Sequence[str], text: str = "", limit: int = 20_000) -> DataFrame:
-    """The first ``limit`` log records of the levels that hold the text."""
+def log_search(logs: DataFrame, levels: Sequence[str], text: str = "", limit: int | None = None) -> DataFrame:
+    """Log records of the levels that hold the text, by ``seq``; ``limit`` gives the first ones only."""
     out = logs.where(F.col("level").isin(*levels))
     q = text.strip().lower()
     if q:
         out = out.where(F.contains(F.lower("line"), F.lit(q)))
-    return out.orderBy("seq").limit(limit)
+    out = out.orderBy("seq")
+    return out if limit is None else out.limit(limit)
 
 
 def flame_tree(parsed: DataFrame, tgid: int | None = None, tid: int | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ MODALITIES = ("metric", "log", "trace_lat", "trace_err")
 F_NODE = "F-node"
 # Significance levels of the search and its defaults.
 START_ALPHA, CHUNK_ALPHA, ALPHA_STEP = 0.001, 0.01, 0.1
-GAMMA, BINS, RESAMPLE, MAX_COLS = 5, 5, 15, 64
+GAMMA, BINS = 5, 5
 
 
 def _sec(ts: str, bucket_ns: int) -> Column:
@@ -169,7 +169,7 @@ def symptom_clusters(matrix: DataFrame, case: str = "case", max_components: int
 # ---- discrete columns and conditional independence ----
 
 
-def kbins_edges(sided: DataFrame, case: str = "case", bins: int = BINS, max_iter: int = 100) -> DataFrame:
+def kbins_edges(sided: DataFrame, case: str = "case", bins: int = BINS) -> DataFrame:
     """Inner bin edges (case, col, edges) of one-dimensional k-means from uniform centres.
 
     All columns of all cases take a Lloyd step together; a step only moves
@@ -184,7 +184,7 @@ def kbins_edges(sided: DataFrame, case: str = "case", bins: int = BINS, max_iter
     start = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.col("lo") + width * (i + 0.5))
     centres = cut(stats.where(F.col("n") >= bins).select(*key, start.alias("c"), "var"))
     mids = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: (a + b) / 2)
-    for _ in range(max_iter):
+    while True:  # Lloyd steps only ever lower the squared error, so they come to rest
         bin_ = F.size(F.filter("e", lambda e: F.col("v") >= e))
         sums = (
             vals.join(centres.select(*key, mids(F.col("c")).alias("e")), key).groupBy(*key, bin_.alias("b"))
@@ -365,7 +365,7 @@ def multi_phase(rows: DataFrame, columns: DataFrame, gamma: int = GAMMA, seed: i
     return psi_pc(rows, final, START_ALPHA, min_nodes, case).drop("grp")
 
 
-def top_variance(sided: DataFrame, n: int = MAX_COLS, by: list[str] | None = None, case: str = "case") -> DataFrame:
+def top_variance(sided: DataFrame, n: int = 64, by: list[str] | None = None, case: str = "case") -> DataFrame:
     """The ``n`` columns of a case (or cluster) with the highest variance over both sides; ties by name."""
     by = by or [case]
     v = sided.groupBy(*by, "col").agg(F.coalesce(F.var_samp("v"), F.lit(0.0)).alias("variance"))
@@ -482,10 +482,15 @@ def baseline_median_iqr(sided: DataFrame, case: str = "case") -> DataFrame:
 
 def analyze(
     points: DataFrame, logs: DataFrame, spans: DataFrame, inject: DataFrame, case: str = "case", bucket_ns: int = SECOND,
-    resample: int = RESAMPLE, gamma: int = GAMMA, bins: int = BINS, top_k: int | None = None, max_components: int | None = None,
+    resample: int = 1, gamma: int = GAMMA, bins: int = BINS, top_k: int | None = None, max_components: int | None = None,
+    max_cols: int | None = None,
 ) -> DataFrame:
-    """The whole pipeline for many cases: tables, severities, clusters, causal refinement, report. ``inject``: (case, inject_s)."""
-    metric = decimate_rows(cut(metric_table(points, case, bucket_ns)), resample, case)
+    """The whole pipeline for many cases: tables, severities, clusters, causal refinement, report. ``inject``: (case, inject_s).
+
+    Every second of every column is used unless ``resample`` or ``max_cols`` (columns of largest variance per cluster) ask for less.
+    """
+    metric = cut(metric_table(points, case, bucket_ns))
+    metric = decimate_rows(metric, resample, case) if resample > 1 else metric
     m = cut(drop_constant(with_side(metric, inject, case), case))
     lg = cut(drop_constant(with_side(log_table(logs, case, bucket_ns), inject, case), case, per_side=False, mem_to_mb=False))
     err, lat = trace_tables(spans, case, bucket_ns)
@@ -494,12 +499,12 @@ def analyze(
     ranks = [cut(severity(m, case)), cut(severity(lg, case)), cut(severity(tl, case)), cut(severity(drop_last_normal_rows(te, 2, case), case))]
     matrix = cut(modality_matrix(rollup_sum(ranks[0], case), rollup_max(ranks[1], case), rollup_sum(ranks[2], case), rollup_sum(ranks[3], case), case))
     clusters = cut(symptom_clusters(matrix, case, max_components))
-    ordering = cut(cluster_ordering(m, lg, clusters, gamma, bins, case))
+    ordering = cut(cluster_ordering(m, lg, clusters, gamma, bins, case, max_cols))
     ranked = refine_clusters(clusters, matrix, ordering, case)
     return report(ranked, matrix, indicator_ranks(*ranks, case=case), logs, spans, case, top_k)
 
 
-def cluster_ordering(metric: DataFrame, logs: DataFrame, clusters: DataFrame, gamma: int = GAMMA, bins: int = BINS, case: str = "case") -> DataFrame:
+def cluster_ordering(metric: DataFrame, logs: DataFrame, clusters: DataFrame, gamma: int = GAMMA, bins: int = BINS, case: str = "case", max_cols: int | None = None) -> DataFrame:
     """Causal order (case, cluster_id, col, pos) inside every cluster of two or more services, all clusters at once."""
     sizes = clusters.groupBy(case, "cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = clusters.join(sizes.select(case, "cluster_id"), [case, "cluster_id"])
@@ -507,8 +512,8 @@ def cluster_ordering(metric: DataFrame, logs: DataFrame, clusters: DataFrame, ga
     both = metric.select(case, "side", "sec", "col", "v").unionByName(logs.select(case, "side", "sec", "col", "v"))
     own = both.withColumn("service", service_of(F.col("col"))).join(members.select(case, "cluster_id", "service"), [case, "service"])
     own = cut(drop_constant(own.withColumn("unit", key).drop("service"), "unit", mem_to_mb=False))
-    kept = top_variance(own, MAX_COLS, ["unit"])
-    own = cut(own.join(kept.select("unit", "col"), ["unit", "col"], "left_semi"))
+    if max_cols is not None:
+        own = cut(own.join(top_variance(own, max_cols, ["unit"]).select("unit", "col"), ["unit", "col"], "left_semi"))
     # metrics and logs have their own seconds; a value missing at one of them is 0
     secs = own.select("unit", "sec", "side").distinct()
     filled = _grid(own.select("unit", "sec", "col", "v"), secs.select("unit", "sec"), "unit").join(secs, ["unit", "sec"])

@@ -209,7 +209,13 @@ STAGES: dict[str, Callable] = {
 
 
 def combo(df: DataFrame, stages: Sequence[str], keys: list[str], order: list[str], score: str, chunk: Column) -> DataFrame:
-    """Stages applied in the given order."""
+    """Stages applied in the given order.
+
+    A temperature stage rescales the logit of the outside model, so it can only come first.
+    """
+    late = [s for s in stages[1:] if s.startswith("temp-")]
+    if late:
+        raise ValueError(f"{late[0]} would discard the stages before it; temperature stages come first")
     for i, name in enumerate(stages):
         if name not in STAGES:
             raise ValueError(f"unknown stage {name!r}; available: {sorted(STAGES)}")

@@ -42,11 +42,6 @@ def _chunked(windows: DataFrame, chunk_ns: int) -> DataFrame:
     return windows.withColumn(CHUNK, floor_div(F.col("w_start"), F.lit(chunk_ns)))
 
 
-def split_spectrum(rows: np.ndarray, n: int, low: int) -> tuple[np.ndarray, np.ndarray]:
-    spec = np.fft.rfft(rows, n=n, axis=1)
-    return spec[:, :low], spec[:, low:]
-
-
 def design(lo: np.ndarray) -> np.ndarray:
     return np.column_stack([lo.real, lo.imag, np.ones(len(lo))])
 

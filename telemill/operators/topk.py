@@ -23,7 +23,6 @@ COUNTERS = ("on_cpu_ns", "sw_vol", "sw_invol", "io_ops", "io_bytes", "pf_minor",
 # Default weights and reference rates of the activity score, and the selection settings.
 WEIGHTS = {"cpu": 0.35, "switch": 0.15, "io": 0.20, "fault": 0.15, "lock": 0.15}
 REFERENCE = {"switch": 1e4, "io": 1e4, "io_bw": 1073741824.0, "fault": 1e4, "lock": 1e3}
-SELECTION = {"enter_rank": 12, "leave_rank": 20, "hold_periods": 3, "min_residency_s": 10, "per_proc_threads": 4, "thread_budget": 64}
 
 
 def base_snapshots(ticks: DataFrame, host: list[str], window_ns: int, chunk: Column) -> DataFrame:

@@ -34,15 +34,16 @@ def align_grid(
     windowed: DataFrame,
     interval_ns: int,
     keys: Sequence[str] = ("entity_id", "metric_id"),
-    order: Sequence[str] = ("ts_ns", "seq"),
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Long grid (w_start, w_end, keys, cell_ts, value, observed).
 
-    The last non-null value of a cell wins. A metric present in a window gets
+    The last non-null value of a cell wins, by time, then ``seq`` where there is one, then value. A metric present in a window gets
     every cell of it; cells without a point have a null value. The cells of
     one window are bounded by window/interval, so they travel as one map.
     """
     group = ["w_start", "w_end", *keys]
+    order = order or [c for c in ("ts_ns", "seq", "value") if c in windowed.columns]
     cell = F.col("ts_ns") - F.pmod(F.col("ts_ns"), F.lit(interval_ns))
     payload = F.struct(F.col("value").cast("double").alias("v"), (F.col("quality") == "observed").alias("o"))
     won = (

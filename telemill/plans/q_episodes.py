@@ -32,12 +32,12 @@ def _unpivot(src, keep, cols, agg=None):
 _K1 = _unpivot("deep WHERE tgid <> 0", "ordinal, ts_ns, 'proc' || tgid AS entity", ep.PROCESS_METRICS, "sum")
 _TOP8 = "SELECT ordinal, tid FROM (SELECT ordinal, tid, row_number() OVER (PARTITION BY ordinal ORDER BY sum(" + " + ".join(ep.CONTENTION) + ") DESC, tid) AS r FROM deep GROUP BY ordinal, tid) WHERE r <= 8"
 _K2 = _unpivot(f"deep SEMI JOIN ({_TOP8}) b ON b.ordinal = deep.ordinal AND b.tid = deep.tid", "deep.ordinal, ts_ns, 't' || deep.tid AS entity", ep.THREAD_METRICS)
-cte("mem", "SELECT host AS ordinal, ts_ns, valid AS kswapd_active, c0 AS direct_reclaim, c1 AS nr_reclaimed FROM ticks WHERE tid % 50 = 1", ("ticks",))
+cte("mem", "SELECT host AS ordinal, ts_ns, valid AS kswapd_active, c0 AS direct_reclaim, c1 AS nr_reclaimed FROM ticks", ("ticks",))
 _K3 = _unpivot("mem", "ordinal, ts_ns, 'host' AS entity", ep.MEMORY_METRICS)
 
 
 def mem(spark, sf):
-    return ticks(spark, sf).where("tid % 50 = 1").select(F.col("host").alias("ordinal"), "ts_ns", F.col("valid").alias("kswapd_active"), F.col("c0").alias("direct_reclaim"), F.col("c1").alias("nr_reclaimed"))
+    return ticks(spark, sf).select(F.col("host").alias("ordinal"), "ts_ns", F.col("valid").alias("kswapd_active"), F.col("c0").alias("direct_reclaim"), F.col("c1").alias("nr_reclaimed"))
 
 
 _COLS = ("ordinal", "ts_ns", "entity", "metric", "value")
@@ -168,7 +168,7 @@ def k9(spark, sf):
 
 @query(
     "k10_log_search",
-    "SELECT seq, level FROM (SELECT conv_id * 1000 + turn AS seq, CASE role WHEN 'user' THEN 'INFO' ELSE 'WARN' END AS level, text FROM conversations) WHERE level = 'WARN' AND contains(lower(text), 'an') ORDER BY seq LIMIT 20000",
+    "SELECT seq, level FROM (SELECT conv_id * 1000 + turn AS seq, CASE role WHEN 'user' THEN 'INFO' ELSE 'WARN' END AS level, text FROM conversations) WHERE level = 'WARN' AND contains(lower(text), 'an')",
 )
 def k10(spark, sf):
     c = table(spark, sf, "conversations")

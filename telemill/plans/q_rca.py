@@ -237,14 +237,14 @@ def _search_input(spark, sf, n):
 @query("a11_local_skeleton")
 def a11(spark, sf):
     rows, cols = _search_input(spark, sf, 8)
-    kept, removed = rca.local_skeleton(rows, cols, 0.05, max_depth=2)
+    kept, removed = rca.local_skeleton(rows, cols, 0.05)
     return kept.select("case", "y", F.lit("kept").alias("state")).unionByName(removed.select("case", "y", F.lit("removed").alias("state")))
 
 
 @query("a12_full_skeleton")
 def a12(spark, sf):
     rows, cols = _search_input(spark, sf, 5)
-    kept, removed = rca.full_skeleton(rows, cols, 0.05, max_depth=1)
+    kept, removed = rca.full_skeleton(rows, cols, 0.05)
     return kept.select("case", "x", "y", F.lit("kept").alias("state")).unionByName(removed.select("case", "x", "y", F.lit("removed").alias("state")))
 
 
@@ -322,7 +322,7 @@ def a18(spark, sf):
 @query("a18_analyze")
 def a18b(spark, sf):
     """The whole pipeline end to end."""
-    rep = rca.analyze(rca_points(spark, sf), rca_logs(spark, sf), rca_spans(spark, sf), inject(spark, sf), bucket_ns=HOUR, resample=3, max_components=4)
+    rep = rca.analyze(rca_points(spark, sf), rca_logs(spark, sf), rca_spans(spark, sf), inject(spark, sf), bucket_ns=HOUR)
     return rep.select("case", F.inline("candidates")).select("case", "entity_id", "rank", "cluster_id")
 
 

@@ -59,7 +59,7 @@ def r3(spark, sf):
     s = event_stream(spark, sf)
     scorer = jobs.WarmupScorer(spark, 15 * DAY, DAY, 12 * HOUR, HOUR)
     q = s.writeStream.foreachBatch(scorer).option("checkpointLocation", f"{scorer.root}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination(600)
+    q.awaitTermination()
     return scorer.scores(spark).select("w_start", "entity_id", "metric_id", r6("score").alias("score"), "direction")
 
 

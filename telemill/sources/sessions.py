@@ -8,116 +8,18 @@ from pyspark.sql import functions as F
 from telemill.operators import ordered
 
 SCHEMA_VERSION = "2"
-_LONG, _REAL, _TEXT = "bigint", "double", "string"
-
-
-def _ddl(**groups: str) -> str:
-    return ", ".join(f"{c} {kind}" for kind, cols in groups.items() for c in cols.split())
-
-
-_PSI = " ".join(f"psi_{g}_{s}{w}" for g in ("cpu", "io", "mem") for s in "sf" for w in (10, 60, 300))
-_PSI_OK = " ".join(f"psi_{g}_{s}_valid" for g in ("cpu", "io", "mem") for s in "sf")
-_SNAP = "on_cpu_ns nr_sw_vol nr_sw_invol io_ops io_bytes pf_minor pf_major lock_waits lock_lat_ns"
-_CPU = "usr nice sys idle iowait irq softirq steal guest guest_nice"
-
-# The session tables by column type; every table also has the partition column ``session``.
+# The two tables that every session has; other tables are given as DDL.
 TABLES: dict[str, str] = {
-    "meta": _ddl(string="key value"),
-    "host": _ddl(
-        bigint="ts_ns cu_user cu_nice cu_sys cu_idle cu_iowait cu_irq cu_softirq cu_steal cu_guest cu_guest_nice nr_running nr_threads "
-        "mem_total_kb mem_avail_kb mem_free_kb buffers_kb cached_kb swap_total_kb swap_free_kb anon_pages_kb sreclaimable_kb shmem_kb "
-        "dirty_kb writeback_kb commit_limit_kb committed_as_kb mem_valid_mask vm_pgfault vm_pgmajfault vm_pswpin vm_pswpout "
-        "vm_pgscan_kswapd vm_pgscan_direct vm_pgsteal_kswapd vm_pgsteal_direct vm_workingset_refault vm_nr_dirty vm_nr_writeback "
-        f"vm_valid_mask {_PSI_OK} ctxt processes procs_running procs_blocked",
-        double=f"load1 load5 load15 {_PSI}",
-    ),
-    "host_cpu": _ddl(bigint=f"ts_ns cpu_idx {_CPU}"),
-    "host_disk": _ddl(
-        bigint="ts_ns major minor reads_completed writes_completed sectors_read sectors_written io_ticks_ms read_ticks_ms write_ticks_ms "
-        "reads_merged writes_merged in_flight weighted_ticks_ms valid_mask",
-        string="name",
-    ),
-    "host_proc": _ddl(bigint="ts_ns pid tgid state start_time utime stime nvcsw nivcsw minflt majflt total_vm rss_kb", string="comm"),
-    "net_stack": _ddl(
-        bigint="ts_ns netns_ino valid active_opens passive_opens attempt_fails estab_resets curr_estab in_segs out_segs retrans_segs in_errs "
-        "out_rsts listen_overflows listen_drops backlog_drop rcv_q_drop syn_retrans timeouts memory_pressures udp_in_datagrams udp_no_ports "
-        "udp_in_errors udp_out_datagrams udp_rcvbuf_errors udp_sndbuf_errors tcp_sock_mem udp_sock_mem frag_sock_mem "
-        "tcp_state_established tcp_state_syn_sent tcp_state_syn_recv tcp_state_fin_wait1 tcp_state_fin_wait2 tcp_state_time_wait "
-        "tcp_state_close tcp_state_close_wait tcp_state_last_ack tcp_state_listen tcp_state_closing rqueue_bytes wqueue_bytes tcp_states_valid",
-        string="source error",
-    ),
-    "net_iface": _ddl(
-        bigint="ts_ns ifindex operstate mtu valid rx_bytes rx_packets rx_errors rx_dropped tx_bytes tx_packets tx_errors tx_dropped "
-        "collisions carrier_changes rx_nohandler",
-        string="name source error",
-    ),
-    "net_softnet": _ddl(
-        bigint="ts_ns cpu_idx processed dropped time_squeeze received_rps flow_limit_count backlog_len net_rx_softirq net_tx_softirq valid",
-        string="error",
-    ),
-    "gpu_device": _ddl(
-        bigint="ts_ns available is_mig mem_used_bytes mem_total_bytes energy_mj sm_clock_mhz mem_clock_mhz pcie_rx_kbps pcie_tx_kbps "
-        "throttle_reasons ecc_sbe_total ecc_dbe_total retired_pages valid_mask error_code",
-        double="util_pct mem_util_pct temperature_c power_w power_limit_w encoder_util_pct decoder_util_pct",
-        string="uuid pci_bdf vendor model source error_text",
-    ),
-    "cgroup": _ddl(
-        bigint="ts_ns available cpu_usage_usec user_usec system_usec nr_periods nr_throttled throttled_usec cpu_valid memory_current_bytes "
-        "memory_max_bytes memory_max_unlimited memory_events_low memory_events_high memory_events_max memory_events_oom "
-        "memory_events_oom_kill memory_valid cpu_psi_s_valid cpu_psi_f_valid memory_psi_s_valid memory_psi_f_valid",
-        double=" ".join(f"{g}_psi_{s}{w}" for g in ("cpu", "memory") for s in "sf" for w in (10, 60, 300)),
-        string="cgroup_path error",
-    ),
-    "cgroup_io": _ddl(bigint="ts_ns major minor rbytes wbytes rios wios dbytes dios"),
-    "anomaly": _ddl(
-        bigint="ts_ns seq on_cpu_ns_total switch_total io_ops_total io_bytes_total minor_faults_total major_faults_total lock_waits_total"
-    ),
-    "anomaly_tid": _ddl(bigint=f"ts_ns tid {_SNAP}", string="comm"),
-    "proc_overhead": _ddl(bigint="ts_ns utime_ns stime_ns nvcsw nivcsw minflt majflt rss_kb vmhwm_kb"),
-    "bpf_stats": _ddl(bigint="ts_ns prog_id run_cnt run_time_ns interval_ns", double="avg_ns", string="prog_name"),
-    "memory_events": _ddl(bigint="ts_ns kswapd_active direct_reclaim nr_reclaimed"),
-    "oom_events": _ddl(bigint="ts_ns pid", string="comm"),
-    "targets_log": _ddl(bigint="seq ts_ns tgid tid rank", double="score", string="action comm"),
-    "logs": _ddl(bigint="seq", string="line"),
-    "deep_episodes": _ddl(bigint="ordinal", string="meta_json summary_text"),
-    "deep_series": _ddl(
-        bigint=f"ordinal phase ts_ns tid tgid flags {_SNAP} syscall_count syscall_lat_ns futex_waits futex_lat_ns runq_wait_count runq_wait_ns",
-        string="comm io_hist lock_hist syscall_hist futex_hist runq_hist",
-    ),
-    "deep_gap": _ddl(bigint="ordinal ts_ns from_head to_head"),
-    "deep_folded": _ddl(bigint="ordinal value", string="kind frames"),
-    "deep_syscall": _ddl(bigint="ordinal tid syscall count error_count", double="avg_us p50_us p99_us", string="name"),
-    "deep_lock": _ddl(bigint="ordinal count total_wait_ns avg_wait_ns", string="addr sym"),
-    "deep_runq": _ddl(bigint="ordinal tid count", double="avg_us p50_us p99_us"),
-    "deep_iofile": _ddl(bigint="ordinal dev ino bytes ops errors lat_sum", double="p50_us p99_us", string="path hist"),
-    "deep_proc": _ddl(
-        bigint="ordinal ts_ns tid tgid vm_rss_kb rss_anon_kb rss_file_kb rss_shmem_kb vm_swap_kb status_valid rchar wchar read_bytes "
-        "write_bytes syscr syscw io_valid sched_exec_runtime_ns sched_run_delay_ns sched_switch_count sched_valid available",
-        string="comm error",
-    ),
-    "deep_io_device": _ddl(bigint="ordinal dev ops bytes lat_sum", double="p50_us p99_us", string="hist"),
-    "deep_net_flow": _ddl(
-        bigint="ordinal cookie tgid tid netns_ino family local_addr local_port remote_addr remote_port final_state start_ts_ns "
-        "established_ts_ns end_ts_ns duration_us connect_latency_us tx_bytes rx_bytes retransmits rst_reason rtt_count rtt_avg_us rtt_p50_us "
-        "rtt_p99_us closed owner_available",
-        string="error",
-    ),
-    "deep_net_drop": _ddl(bigint="ordinal netns_ino ifindex reason_id count", string="reason"),
-    "deep_net_softirq": _ddl(bigint="ordinal cpu_idx vector count time_ns", string="vector_name hist"),
-    "deep_gpu_process": _ddl(
-        bigint="ordinal ts_ns pid tgid fb_used_bytes source_ts_us valid_mask",
-        double="sm_util_pct mem_util_pct enc_util_pct dec_util_pct",
-        string="gpu_uuid comm source error",
-    ),
-    "deep_offcpu": _ddl(bigint="ordinal tid tgid dwell_ns count stack_available", string="comm"),
+    "meta": "key string, value string",
+    "host_cpu": "ts_ns bigint, cpu_idx bigint, usr bigint, nice bigint, sys bigint, idle bigint, iowait bigint, irq bigint, softirq bigint, steal bigint, guest bigint, guest_nice bigint",
 }
 
 
-def write_session_table(df: DataFrame, root: str, name: str) -> None:
-    """Append rows (with their ``session``) to a session table; columns it lacks stay null."""
+def write_session_table(df: DataFrame, root: str, name: str, ddl: str | None = None) -> None:
+    """Append rows (with their ``session``) to a session table; columns that ``df`` lacks stay null."""
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL(TABLES[name])
+    schema = StructType.fromDDL(ddl or TABLES[name])
     have = set(df.columns)
     cols = [
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
@@ -125,10 +27,10 @@ def write_session_table(df: DataFrame, root: str, name: str) -> None:
     df.select("session", *cols).write.mode("append").partitionBy("session").parquet(f"{root}/{name}")
 
 
-def read_session_table(spark: SparkSession, root: str, name: str, sessions: list[str] | None = None) -> DataFrame:
+def read_session_table(spark: SparkSession, root: str, name: str, sessions: list[str] | None = None, ddl: str | None = None) -> DataFrame:
     """Rows of the sessions with the supported schema version; ``sessions`` prunes partitions."""
     meta = spark.read.schema(f"{TABLES['meta']}, session string").parquet(f"{root}/meta")
-    df = spark.read.schema(f"{TABLES[name]}, session string").parquet(f"{root}/{name}")
+    df = spark.read.schema(f"{ddl or TABLES[name]}, session string").parquet(f"{root}/{name}")
     if sessions is not None:
         df, meta = df.where(F.col("session").isin(sessions)), meta.where(F.col("session").isin(sessions))
     good = meta.where((F.col("key") == "schema_version") & (F.col("value") == SCHEMA_VERSION)).select("session").distinct()
