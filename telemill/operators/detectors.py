@@ -1,11 +1,18 @@
-"""Detectors as fit/score pairs over DataFrames."""
+"""Detectors as fit/score pairs over DataFrames.
+
+Every pair has the same form: ``fit(train, val, params) -> model`` and
+``score(model, points, params, adjustments, suppressed, raw) -> incidents``.
+``adjustments`` changes thresholds, ``suppressed`` holds rejected incident ids and
+``raw`` the scores of an outside model; a detector ignores what it has no use for.
+Fitting and scoring run jobs, because thresholds are needed as tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.operators import detect, ordered, spectral, stats as st, windows
@@ -33,6 +40,9 @@ class Params:
     threshold: float = 0.5
     zn_threshold: float = 0.95
     median_k: int = 5
+    min_rows: int = 16  # ticks that the fused detector needs to fit and to score a group
+    group: tuple[str, ...] = ()  # columns that name a group of the fused detector; none is one group for all
+    state_metrics: tuple[str, ...] = ()  # metrics whose value names a state; so does ``attrs['role'] = 'state'``
 
 
 Model = dict[str, DataFrame | int | None]
@@ -63,10 +73,23 @@ def _adjusted(thr: DataFrame, adjustments: DataFrame | None) -> DataFrame:
     return thr if adjustments is None else st.apply_adjustments(thr, adjustments)
 
 
-def score_streaming(model: Model, points: DataFrame, p: Params, adjustments: DataFrame | None = None) -> DataFrame:
+def _kept(incidents: DataFrame, suppressed: DataFrame | None) -> DataFrame:
+    return incidents if suppressed is None else detect.suppress(incidents, suppressed)
+
+
+def _is_state(points: DataFrame, p: Params) -> Column:
+    named = F.col("metric_id").isin(*p.state_metrics) if p.state_metrics else F.lit(False)
+    if "attrs" in points.columns:
+        named = named | F.coalesce(F.try_element_at("attrs", F.lit("role")) == "state", F.lit(False))
+    return named
+
+
+def score_streaming(
+    model: Model, points: DataFrame, p: Params, adjustments: DataFrame | None = None, suppressed: DataFrame | None = None, raw: DataFrame | None = None
+) -> DataFrame:
     cells = cut(_cells(points, p, model["interval"]))
     rows = detect.score_windows_streaming(cells, model["stats"], _adjusted(model["thresholds"], adjustments), p.alpha, p.min_observed_frac)
-    return detect.merge_incidents(rows, "streaming")
+    return _kept(detect.merge_incidents(rows, "streaming"), suppressed)
 
 
 def _fit_trend(train: DataFrame, val: DataFrame | None, p: Params, interval: int) -> Model:
@@ -84,7 +107,9 @@ def fit_fits(train: DataFrame, val: DataFrame | None, p: Params) -> Model:
     return {"interval": interval, **_fit_trend(train, val, p, interval)}
 
 
-def score_fits(model: Model, points: DataFrame, p: Params, adjustments: DataFrame | None = None) -> DataFrame:
+def score_fits(
+    model: Model, points: DataFrame, p: Params, adjustments: DataFrame | None = None, suppressed: DataFrame | None = None, raw: DataFrame | None = None
+) -> DataFrame:
     cells = cut(_cells(points, p, model["interval"]))
     win = spectral.collect_windows(cells, p.low_freq + 4)
     scores = spectral.score(win, model["trend"], p.low_freq, p.n_fft, 1024 * p.stride_ns)
@@ -92,17 +117,28 @@ def score_fits(model: Model, points: DataFrame, p: Params, adjustments: DataFram
     seen = cells.join(model["trend"].select(*st.SERIES), list(st.SERIES), "left_semi")
     empty = seen.groupBy(*detect.WIN, "metric_id").agg(F.max("observed").alias("o")).where("NOT o").select(*detect.WIN).distinct()
     holes = empty.select(*detect.WIN, F.lit("_quality").alias("metric_id"), F.lit(1.0).alias("score"), F.lit("missing").alias("direction"))
-    return detect.merge_incidents(hits.unionByName(holes), "first")
+    return _kept(detect.merge_incidents(hits.unionByName(holes), "first"), suppressed)
 
 
 def fit_cascade(train: DataFrame, val: DataFrame | None, p: Params) -> Model:
-    base = _base(train, val, p, 1.5)
-    return {**base, **_fit_trend(train, val, p, base["interval"])}
+    """Numeric series get thresholds and a trend, state series a memory of their states."""
+    marked = train.withColumn("is_state", _is_state(train, p))
+    states = cut(marked.where("is_state").select(*st.SERIES).distinct())
+    numeric = lambda df: df.join(states, list(st.SERIES), "left_anti")
+    known = None if val is None else numeric(val)
+    base = _base(numeric(train), known, p, 1.5)
+    memory = cut(detect.fit_state_memory(marked))
+    return {**base, **_fit_trend(numeric(train), known, p, base["interval"]), "memory": memory, "states": states}
 
 
 def cascade_rows(model: Model, points: DataFrame, p: Params, adjustments: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reported metric rows with status, gate) of the cascade before merging."""
-    cells = cut(_cells(points, p, model["interval"]))
+    """(reported metric rows with status, gate) of the cascade before merging.
+
+    State series are no part of the numeric rings; where one names a known
+    state, scores that fit it are halved.
+    """
+    every = cut(_cells(points, p, model["interval"]))
+    cells = every.join(model["states"], list(st.SERIES), "left_anti")
     events = cut(detect.event_scores(cells, model["stats"], _adjusted(model["thresholds"], adjustments)))
     ring = detect.event_ring(cells, model["stats"])
     gate = cut(detect.trend_gate(ring, events, cells, p.min_observed_frac, p.confidence, p.drift_z))
@@ -110,26 +146,35 @@ def cascade_rows(model: Model, points: DataFrame, p: Params, adjustments: DataFr
     win = spectral.collect_windows(cells.join(gate.where("need_trend").select(*detect.WIN), detect.WIN, "left_semi"), p.low_freq + 4)
     scores = spectral.score(win, model["trend"], p.low_freq, p.n_fft, 1024 * p.stride_ns)
     trends = spectral.flagged(scores, _adjusted(model["trend_thresholds"], adjustments))
-    return detect.consistency_gate(events, trends, gate), gate
+    rows = detect.consistency_gate(events, trends, gate)
+    return detect.state_branch(rows, every, model["memory"], model["states"]).select(*rows.columns), gate
 
 
-def score_cascade(model: Model, points: DataFrame, p: Params, adjustments: DataFrame | None = None) -> DataFrame:
-    return detect.merge_incidents(cascade_rows(model, points, p, adjustments)[0], "cascade")
+def score_cascade(
+    model: Model, points: DataFrame, p: Params, adjustments: DataFrame | None = None, suppressed: DataFrame | None = None, raw: DataFrame | None = None
+) -> DataFrame:
+    return _kept(detect.merge_incidents(cascade_rows(model, points, p, adjustments)[0], "cascade"), suppressed)
 
 
-def fit_fuse(train: DataFrame, val: DataFrame | None, p: Params, group: list[str] | None = None) -> Model:
-    group = group or []
-    m = cut(detect.channel_matrix(train, group, ordered.by_time()))
+def _enough(matrix: DataFrame, group: list[str], p: Params) -> DataFrame:
+    """Rows of the groups that have at least ``min_rows`` ticks."""
+    ticks = matrix.select(*group, "ts_ns").distinct()
+    if group:
+        return matrix.join(ticks.groupBy(*group).agg(F.count(F.lit(1)).alias("t")).where(F.col("t") >= p.min_rows).select(*group), group, "left_semi")
+    return matrix.where(ticks.agg(F.count(F.lit(1)).alias("t")).scalar() >= p.min_rows)
+
+
+def fit_fuse(train: DataFrame, val: DataFrame | None, p: Params) -> Model:
+    group = list(p.group)
+    m = _enough(cut(detect.channel_matrix(train, group, ordered.by_time())), group, p)
     channels, q99 = detect.fit_channels(m, group)
     return {"channels": cut(channels), "q99": cut(q99)}
 
 
-def score_fuse(
-    model: Model, points: DataFrame, p: Params, raw: DataFrame | None = None, group: list[str] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(segments, channel shares). ``raw`` (group, ts_ns, raw) is the score of an outside model; 0 where there is none."""
-    group = group or []
-    m = cut(detect.channel_matrix(points, group, ordered.by_time(), model["channels"].select(*group, *st.SERIES)))
+def fuse_segments(model: Model, points: DataFrame, p: Params, raw: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments, channel shares) of the fused score. ``raw`` holds (group, ts_ns, raw); ticks without one count as 0."""
+    group = list(p.group)
+    m = cut(_enough(cut(detect.channel_matrix(points, group, ordered.by_time(), model["channels"].select(*group, *st.SERIES))), group, p))
     z = detect.max_channel_z(m, model["channels"], group)
     z = z.join(model["q99"], group) if group else z.withColumn("q99", model["q99"].scalar())
     if raw is None:
@@ -141,6 +186,20 @@ def score_fuse(
     return detect.flag_and_segment(cut(smooth), m, model["channels"], group, ordered.by_time(), p.threshold, p.zn_threshold)
 
 
+def score_fuse(
+    model: Model, points: DataFrame, p: Params, adjustments: DataFrame | None = None, suppressed: DataFrame | None = None, raw: DataFrame | None = None
+) -> DataFrame:
+    """Segments as incidents; metrics are named ``entity/metric`` and scored by their share at the peak."""
+    group = list(p.group)
+    segments, shares = (cut(x) for x in fuse_segments(model, points, p, raw))
+    name = F.concat_ws("/", *st.SERIES)
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("k"), F.col(c).alias("v")))))
+    per = shares.groupBy(*group, "run").agg(entries("share").alias("metric_scores"), entries("direction").alias("directions"))
+    out = segments.join(per, [*group, "run"], "left")
+    entity = F.concat_ws("/", *[F.col(g).cast("string") for g in group]) if group else F.lit("host")
+    return _kept(out.select(entity.alias("entity_id"), "incident_id", "start_ts_ns", "end_ts_ns", "status", "severity", "metric_scores", "directions"), suppressed)
+
+
 REGISTRY: dict[str, tuple[Callable, Callable]] = {
     "streaming": (fit_streaming, score_streaming),
     "shesd": (fit_streaming, score_streaming),

@@ -344,11 +344,18 @@ def d25(spark, sf):
     return detect.suppress(inc, rej)
 
 
-@query("d26_detector_registry")
-def d26(spark, sf):
-    """The cascade detector by name, end to end."""
-    p = detectors.Params(window_ns=DAY, stride_ns=12 * HOUR, interval_ns=HOUR, low_freq=2, min_observed_frac=0.8)
-    return incident_rows(detectors.detect_points(points(spark, sf), "edge_cascade", p))
+def _by_name(name):
+    """A detector by its registered name, end to end."""
+
+    def run(spark, sf):
+        p = detectors.Params(window_ns=DAY, stride_ns=12 * HOUR, interval_ns=HOUR, low_freq=2, min_observed_frac=0.8, state_metrics=("signup",) if name == "edge_cascade" else ())
+        return incident_rows(detectors.detect_points(points(spark, sf), name, p))
+
+    return run
+
+
+for _name in detectors.REGISTRY:
+    query("d26_detector_registry" if _name == "edge_cascade" else f"d26_{_name}")(_by_name(_name))
 
 
 @query(

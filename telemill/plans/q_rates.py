@@ -247,7 +247,7 @@ def _group_sql(where, mode):
         f"m AS (SELECT * FROM ticks WHERE {where}), g AS (SELECT tgid, ts_ns, {_SUMJ} FROM m GROUP BY ALL), "
         f"gp AS (SELECT *, {_PREV}, lag(ts_ns) OVER w AS pt, (ts_ns - lag(ts_ns) OVER w) / 1e9 AS s FROM g WINDOW w AS (PARTITION BY tgid ORDER BY ts_ns))"
     )
-    return f"{per} SELECT '{mode}' AS mode, * FROM ({_long(_DEEP_SQL[:3], 'gp', 'tgid')})"
+    return f"{per} SELECT '{mode}' AS mode, * FROM ({_long(_DEEP_SQL, 'gp', 'tgid')})"
 
 
 @query(
@@ -255,12 +255,12 @@ def _group_sql(where, mode):
     f"""
 SELECT * FROM (WITH {_group_sql('tgid IN (1, 3, 4)', 'pid')})
 UNION ALL SELECT * FROM (WITH {_group_sql(f'tgid IN (SELECT tgid FROM ticks WHERE tid IN (SELECT tid FROM ({_TOT} LIMIT 5)))', 'top')})
-UNION ALL SELECT 'tid' AS mode, * FROM ({_long(_DEEP_SQL[:3])}) WHERE key IN (3, 8, 50)
+UNION ALL SELECT 'tid' AS mode, * FROM ({_long(_DEEP_SQL)}) WHERE key IN (3, 8, 50)
 """,
     ("tp",),
 )
 def c17(spark, sf):
-    s, m = deep_series(spark, sf), rates.deep_metrics()[:3]
+    s, m = deep_series(spark, sf), rates.deep_metrics()
     one = lambda mode, key, **kw: _out(rates.group_aggregate(s, mode, m, rates.DEEP_COLS, CH(), **kw), key).withColumn("mode", F.lit(mode))
     return one("pid", "tgid", sel=[1, 3, 4]).unionByName(one("top", "tgid", n=5)).unionByName(one("tid", "tid", sel=[3, 8, 50]))
 

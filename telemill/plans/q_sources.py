@@ -427,7 +427,7 @@ def s13(spark, sf):
     "s14_read_machine_matrix",
     f"""
 WITH t AS (SELECT 'machine-' || tid AS machine, ts_ns, ts_ns // {DAY} AS t, c0, c1, c2, valid FROM ticks),
-names AS (SELECT machine FROM t GROUP BY 1 HAVING count(*) FILTER (t % 2 = 0) > 0 AND count(*) FILTER (t % 2 = 1) > 0 AND count(*) FILTER (t % 2 = 1 AND valid = 1) > 0 ORDER BY 1 LIMIT 40)
+names AS (SELECT machine FROM t GROUP BY 1 HAVING count(*) FILTER (t % 2 = 0) > 0 AND count(*) FILTER (t % 2 = 1) > 0 AND count(*) FILTER (t % 2 = 1 AND valid = 1) > 0)
 SELECT machine, CASE WHEN t % 2 = 0 THEN 'train' ELSE 'test' END AS part, t, ch AS channel, CAST([c0, c1, c2][ch + 1] AS DOUBLE) AS value
 FROM t, (VALUES (0), (1), (2)) v(ch) WHERE machine IN (SELECT machine FROM names)
 UNION ALL SELECT machine, 'label', t, -1, 1.0 FROM t WHERE t % 2 = 1 AND valid = 1 AND machine IN (SELECT machine FROM names)
@@ -441,7 +441,7 @@ def s14(spark, sf):
     )
     train, test = t.where("t % 2 = 0").drop("valid"), t.where("t % 2 = 1").drop("valid")
     labels = t.where("t % 2 = 1 AND valid = 1").select("machine", "t", F.lit("1").alias("line"))
-    wide, lab = sessions.machine_matrix(train, test, labels, 40)
+    wide, lab = sessions.machine_matrix(train, test, labels)
     lab = lab.select("machine", F.lit("label").alias("part"), "t", F.lit(-1).alias("channel"), F.col("label").alias("value"))
     return wide.select("machine", "part", "t", "channel", "value").unionByName(lab)
 
