@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
     return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [key, "__salt"], how).drop("__salt")
 
 
+def fanned_join(left: DataFrame, right: DataFrame, key: str, spread: str, per: int = 256) -> DataFrame:
+    """Inner join with the unique keys of a heavy ``right``: a row of it is repeated once per ``per`` partners.
+
+    ``left`` is read twice and should be a stored table; ``spread`` tells its rows apart.
+    """
+    fan = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("__fan"))
+    dealt = salted_join(left, fan, key, spread).withColumn("__slot", F.pmod(F.xxhash64(spread, F.lit(7)), F.col("__fan")).cast("int")).drop("__fan")
+    many = right.join(fan, key).withColumn("__slot", F.explode(F.sequence(F.lit(0), F.col("__fan") - 1))).drop("__fan")
+    return dealt.join(many, [key, "__slot"]).drop("__slot")
+
+
 FILTER_BITS = 1 << 23
 
 
@@ -47,6 +59,29 @@ def possible(bitmap: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return (bitmap[positions >> 5] >> (positions & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
+def places(col: str):
+    """Filter position of a long column."""
+    return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(FILTER_BITS))
+
+
+def marked(df: DataFrame, bitmap: np.ndarray, col: str) -> DataFrame:
+    """Add ``__maybe``: whether the key in ``col`` may be in the bitmap; false for null.
+
+    Joins that concern few rows of a wide table then shuffle those rows only.
+    """
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("__place")
+            maybe = possible(bitmap, batch.column(at).fill_null(0).to_numpy()) & np.asarray(batch.column(at).is_valid())
+            keep = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(maybe)], [*[batch.schema.names[i] for i in keep], "__maybe"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    place = F.when(F.col(col).isNotNull(), places(col))
+    return df.withColumn("__place", place).mapInArrow(run, f"{kinds}, __maybe boolean")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id of every id that has an edge: columns ``id``, ``component_id``.
 
