@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm import text as T
-from telemill.llm.common import FILTER_BITS, key_filter, possible, salted_join
+from telemill.llm.common import fanned_join, key_filter, marked, places, salted_join
 from telemill.session import cut
 
 SPAN = 3
@@ -113,23 +113,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = cut(src.mapInArrow(find, "id long, a long, n long, h long"))
     twice = found.groupBy("h").agg(F.min(F.struct("id", "a")).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("s.id").alias("sid"), F.col("s.a").alias("sa"))
     matches = cut(salted_join(found, twice, "h", "id").where("id != sid or a != sa").select("id", "a", "n", "sid", "sa"))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    from_, into = (key_filter(matches.select(place(c).alias("p")), "p") for c in ("sid", "id"))
-
-    def passing(bitmap: np.ndarray, df: DataFrame) -> DataFrame:
-        """Rows whose id may be in the bitmap; spares shuffling the others."""
-
-        def run(batches):
-            for batch in batches:
-                at = batch.schema.get_field_index("__place")
-                yield batch.append_column("__maybe", pa.array(possible(bitmap, batch.column(at).fill_null(0).to_numpy())))
-
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.withColumn("__place", place(F.col(id_col if id_col in df.columns else "id").cast("long"))).mapInArrow(run, f"{kinds}, __place long, __maybe boolean").drop("__place")
+    from_, into = (key_filter(matches.select(places(c).alias("p")), "p") for c in ("sid", "id"))
 
     def excerpts(batches):
         for whole in batches:
-            for batch in T.slices([whole], "text"):
+            for batch in T.slices([whole], "text", 1 << 20):
                 out: list[tuple] = []
                 for i, t, wanted in zip(*(batch.column(k).to_pylist() for k in range(3))):
                     own = [x.rstrip(b" \t\n\r\x0b\x0c").decode() for x in _split(t.encode())]
@@ -139,15 +127,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], ["sid", "sa", "core", "lines"])
 
     sources = matches.select("sid", "sa", "n").distinct().groupBy("sid").agg(F.collect_list(F.struct("sa", "n")).alias("wanted"))
-    one = passing(from_, src).where("__maybe").drop("__maybe").join(sources, F.col("id") == F.col("sid")).select("id", "text", "wanted")
+    one = marked(src, from_, "id").where("__maybe").drop("__maybe").join(sources, F.col("id") == F.col("sid")).select("id", "text", "wanted")
     texts = one.mapInArrow(excerpts, "sid long, sa long, core long, lines array<string>").dropDuplicates(["sid", "sa"]).withColumn("at", F.struct("sid", "sa")).drop("sid", "sa")
-    told = salted_join(matches.withColumn("at", F.struct("sid", "sa")), texts, "at", "id", salts=8)
+    told = fanned_join(matches.withColumn("at", F.struct("sid", "sa")), texts, "at", "id")
     told = told.groupBy("id").agg(F.collect_list(F.struct("a", "n", "core", "lines")).alias("__matches"))
 
     names = base.columns
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in T.slices(batches, text_col, 1 << 20):
             at = batch.schema.get_field_index(text_col)
             new: list[str | None] = []
             count, gone = [], []
@@ -166,9 +154,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])
 
     kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in base.schema)
-    marked = passing(into, base)
+    told_of = marked(base, into, id_col)
     repeated = src.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("id").alias("__rid"))
-    changed = marked.where(F.coalesce("__maybe", F.lit(False))).drop("__maybe").join(told.withColumnRenamed("id", "__mid"), F.col(id_col) == F.col("__mid"), "left").drop("__mid")
+    changed = told_of.where(F.col("__maybe")).drop("__maybe").join(told.withColumnRenamed("id", "__mid"), F.col(id_col) == F.col("__mid"), "left").drop("__mid")
     changed = changed.join(repeated, F.col(id_col) == F.col("__rid"), "left").withColumn("__matches", F.when(F.col("__rid").isNull(), F.col("__matches"))).drop("__rid")
-    same = marked.where(~F.coalesce("__maybe", F.lit(False))).drop("__maybe").withColumn("__matches", F.lit(None).cast(changed.schema["__matches"].dataType))
+    same = told_of.where(~F.col("__maybe")).drop("__maybe").withColumn("__matches", F.lit(None).cast(changed.schema["__matches"].dataType))
     return same.unionByName(changed).mapInArrow(rewrite, f"{kinds}, n_lines long, n_removed long")
