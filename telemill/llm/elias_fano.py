@@ -39,7 +39,7 @@ class Sequence:
     def __init__(self, data):
         data = np.frombuffer(data, np.uint8) if not isinstance(data, np.ndarray) else data
         self.n, self.low_bits = (int(x) for x in data[:16].view("<i8"))
-        self.starts = np.zeros(2, np.int64)
+        self.starts, self.high, self.words = np.zeros(2, np.int64), np.zeros(0, np.int64), np.zeros(2, U)
         if self.n:
             size = 8 * (self.n * self.low_bits // 64 + 2)
             self.words = data[16 : 16 + size].view("<u8")

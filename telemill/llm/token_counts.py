@@ -77,11 +77,11 @@ def token_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndar
     """Character start and end of every token of the whole text."""
     encoding, lengths = _encoding(path, pattern)
     raw = text.encode()
-    # one encoding call handles about a megabyte well; longer texts are cut where a word follows a line end, a place no token crosses
+    # one encoding call handles about a megabyte well; longer texts are cut where a word follows a single line end, a place no token crosses
     parts, begin = [], 0
     while len(text) - begin > 1_000_000:
         at = begin + 1_000_000
-        while at < len(text) and not (text[at - 1] == "\n" and text[at].isalpha()):
+        while at < len(text) and not (text[at - 1] == "\n" and text[at].isalpha() and not text[at - 2].isspace()):
             at += 1
         parts.append(text[begin:at])
         begin = at
