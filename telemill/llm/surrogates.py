@@ -43,7 +43,7 @@ _PLAIN = {c: s for s in _SETS for c in s}
 _NAME = r"[^\W\d_a-z](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 _PATTERNS = (  # kind, a string or pattern without which the search is spared, pattern; group 1, if any, is the entity
     ("email", "@", re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")),
-    ("secret", re.compile("[=:]"), re.compile(r"(?i:(?<!\w)(?:password|passwd|pwd|token|api[_-]?key|secret)\s{0,4}[=:]\s{0,4}[\"']?)([^\s\"']{6,200})")),
+    ("secret", re.compile("[=:]"), re.compile(r"(?i:(?<!\w)(?:password|passwd|pwd|token|api[_-]?key|secret)\s{0,4}[=:]\s{0,4}[\"']?)([^\s\"']{5,199}[^\s\"'.,;:!?)\]}])")),
     ("key", "AKIA", re.compile(r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)")),
     ("iban", re.compile(r"[A-Z]{2}\d\d"), re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ip", re.compile(r"\d\.\d"), re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)")),
