@@ -172,7 +172,7 @@ def test_pipeline_stages(spark, tmp_path):
     clean = [(i, "\n".join(text(50 * i + k, 12).capitalize() + "." for k in range(6))) for i in range(40)]
     item = text(4242, 40)
     passage = "\n".join(text(7000 + k, 11).capitalize() + "." for k in range(8))
-    docs = [*clean, (100, clean[3][1]), (101, edited(clean[4][1].replace("\n", " "), 1, 0.01)), (102, text(900, 80) + " " + item), (103, clean[0][1] + "\n" + passage), (104, clean[1][1] + "\n" + passage), (110, None), (111, "")]
+    docs = [*clean, (100, clean[3][1]), (101, edited(clean[4][1].replace("\n", " "), 1, 0.01)), (102, text(900, 80) + " " + item), (105, text(800, 300)), (106, edited(text(800, 300), 1, 0.01)), (103, clean[0][1] + "\n" + passage), (104, clean[1][1] + "\n" + passage), (110, None), (111, "")]
     bad = [(200 + i, text(300 + i, 30) + " you dolt knave " + text(400 + i, 10)) for i in range(60)]
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in docs + bad]
     sf = str(tmp_path)
@@ -193,7 +193,8 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids[0]) == everything  # all toxic texts go, no clean one
     assert set(ids[1]) == everything - {100}
     assert passage.split("\n")[4] in ids[1][103].text and passage.split("\n")[4] not in ids[1][104].text
-    assert set(ids[2]) <= set(ids[1]) and {i for i, _ in clean} <= set(ids[2]) and 101 not in ids[2]
+    assert set(ids[2]) <= set(ids[1]) and {i for i, _ in clean} <= set(ids[2]) and set(ids[1]) - set(ids[2]) == {106}
+    assert len(ids[1][101].text) < len(ids[0][101].text)  # a near copy loses the lines that it shares
     assert set(ids[2]) - set(ids[3]) == {102}
     assert set(ids[4]) == set(ids[3])
 
