@@ -88,7 +88,7 @@ def joint_analysis(points: DataFrame, logs: DataFrame, spans: DataFrame, message
         cut(inject), case, **params,
     )
     skew = home.groupBy(case).agg(F.max(F.abs("clock_offset_ns")).alias("skew"))
-    note = F.when(F.col("skew") > max_skew_ns, F.concat(F.lit("cross-host clock skew "), F.col("skew").cast("string"), F.lit(f" ns exceeds threshold {max_skew_ns} ns; cross-host timestamps suspect")))
+    note = F.when(F.col("skew") > max_skew_ns, F.concat(F.lit("host clocks differ by "), F.col("skew").cast("string"), F.lit(f" ns, more than the {max_skew_ns} ns allowed; the order across hosts is doubtful")))
     j = rep.join(skew, case)
     return j.withColumn("limitations", F.array_compact(F.array_append("limitations", note))).drop("skew")
 

@@ -42,26 +42,41 @@ def _chunked(windows: DataFrame, chunk_ns: int) -> DataFrame:
     return windows.withColumn(CHUNK, floor_div(F.col("w_start"), F.lit(chunk_ns)))
 
 
-def design(lo: np.ndarray) -> np.ndarray:
-    return np.column_stack([lo.real, lo.imag, np.ones(len(lo))])
+def _bands(windows, n: int, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cosine and sine coefficients of windows padded to ``n``: of the low bins, then of the high ones."""
+    spectrum = np.array([np.fft.rfft(np.asarray(x), n=n) for x in windows])
+    c, s = spectrum.real, spectrum.imag
+    return c[:, :low], s[:, :low], c[:, low:], s[:, low:]
 
 
-def solve(gram: np.ndarray, cross: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
-    """Complex weights (H, L) and bias (H) from the normal equations (least norm where rank is short).
+def _moments(windows, n: int, low: int) -> np.ndarray:
+    """Sums of products of [low cosines, low sines, 1] with themselves and with the high bins."""
+    c, s, hc, hs = _bands(windows, n, low)
+    inputs = np.hstack([c, s, np.ones((len(c), 1))])
+    return np.hstack([inputs.T @ inputs, inputs.T @ hc, inputs.T @ hs])
 
-    The weights take both their parts from the real outputs; only the bias
-    uses the imaginary ones. That is the model's definition.
+
+def _coefficients(moments: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maps (high x low) of the low cosines and sines, and the high bins' constant parts.
+
+    Least squares of least norm. The model has one complex map, so both of its
+    real maps come from the fit of the high cosines; of the fit of the high
+    sines only the constant is used.
     """
-    coef = np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ cross
-    high = cross.shape[1] // 2
-    w = coef[:low, :high].T + 1j * coef[low : 2 * low, :high].T
-    return w, coef[2 * low, :high] + 1j * coef[2 * low, high:]
+    size = 2 * low + 1
+    high = (moments.shape[1] - size) // 2
+    fitted = np.linalg.pinv(moments[:, :size], rcond=1e-12, hermitian=True) @ moments[:, size:]
+    return fitted[:low, :high].T, fitted[low : 2 * low, :high].T, fitted[-1, :high], fitted[-1, high:]
 
 
-def residual(x: np.ndarray, n: int, low: int, w: np.ndarray, b: np.ndarray) -> float:
-    lo = np.fft.rfft(x, n=n)[:low]
-    rebuilt = np.fft.irfft(np.concatenate([lo, w @ lo + b]), n=n)[: x.size]
-    return float(np.std(x - rebuilt))
+def _unexplained(windows: list[np.ndarray], n: int, low: int, model: tuple[np.ndarray, ...]) -> list[float]:
+    """Deviation of each window's part that the model does not predict; the low bins are given, so only high ones err."""
+    by_cos, by_sin, const_c, const_s = model
+    c, s, hc, hs = _bands(windows, n, low)
+    miss_c = hc - (c @ by_cos.T - s @ by_sin.T + const_c)
+    miss_s = hs - (s @ by_cos.T + c @ by_sin.T + const_s)
+    wave = np.fft.irfft(np.hstack([np.zeros((len(c), low)), miss_c + 1j * miss_s]), n=n, axis=1)
+    return [float(np.std(w[: len(x)])) for w, x in zip(wave, windows)]
 
 
 _MODEL = T.StructType(
@@ -74,10 +89,7 @@ def _fit_weights(windows: DataFrame, low: int, chunk_ns: int) -> DataFrame:
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
-        spec = np.vstack([np.fft.rfft(np.asarray(x), n=n) for x in pdf["x"]])
-        lo, hi = spec[:, :low], spec[:, low:]
-        d, y = design(lo), np.column_stack([hi.real, hi.imag])
-        g = np.concatenate([(d.T @ d).ravel(), (d.T @ y).ravel()])
+        g = _moments(pdf["x"], n, low).ravel()
         return pd.DataFrame([[*pdf.loc[pdf.index[0], list(SERIES)], len(pdf), n, g]], columns=[f.name for f in gram_schema])
 
     grams = windows.groupBy(*SERIES, CHUNK).applyInPandas(partial, gram_schema)
@@ -89,14 +101,11 @@ def _fit_weights(windows: DataFrame, low: int, chunk_ns: int) -> DataFrame:
     ).where("rows >= 2")
 
     def finish(batches):
-        size = 2 * low + 1
         for pdf in batches:
             out = []
             for _, r in pdf.iterrows():
-                g = np.asarray(r["g"])
-                gram, cross = g[: size * size].reshape(size, size), g[size * size :].reshape(size, -1)
-                w, b = solve(gram, cross, low)
-                out.append([*r[list(SERIES)], w.real.ravel(), w.imag.ravel(), b.real, b.imag])
+                by_cos, by_sin, const_c, const_s = _coefficients(np.asarray(r["g"]).reshape(2 * low + 1, -1), low)
+                out.append([*r[list(SERIES)], by_cos.ravel(), by_sin.ravel(), const_c, const_s])
             yield pd.DataFrame(out, columns=[f.name for f in _MODEL])
 
     return packed.select(*SERIES, "g").mapInPandas(finish, _MODEL)
@@ -113,9 +122,11 @@ def residuals(windows: DataFrame, weights: DataFrame, low: int, n_fft: int, chun
         if model.empty or win.empty:
             return pd.DataFrame(columns=names)
         m = model.iloc[0]
-        b = np.asarray(m["b_re"]) + 1j * np.asarray(m["b_im"])
-        wt = (np.asarray(m["w_re"]) + 1j * np.asarray(m["w_im"])).reshape(len(b), low)
-        r = [residual(np.asarray(x), int(n), low, wt, b) for x, n in zip(win["x"], win["n"])]
+        const_c, const_s = np.asarray(m["b_re"]), np.asarray(m["b_im"])
+        maps = (*(np.asarray(m[c]).reshape(len(const_c), low) for c in ("w_re", "w_im")), const_c, const_s)
+        r = pd.Series(0.0, win.index)
+        for n, part in win.groupby("n"):
+            r[part.index] = _unexplained(list(part["x"]), int(n), low, maps)
         return win[[*SERIES, "w_start", "w_end"]].assign(r=r)[names]
 
     by = [*SERIES, CHUNK]
