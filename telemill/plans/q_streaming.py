@@ -1,14 +1,32 @@
-"""Registered streaming queries: the events table as a file stream, run to its end."""
+"""Registered streaming queries: the events table arrives in parts, and the query restarts from its checkpoint for each."""
 
 from pyspark.sql import functions as F
 
 from telemill.plans.registry import DAY, HOUR, micros, query, r6
+from telemill.session import fresh_path
 from telemill.streaming import jobs
 
 
-def event_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+PARTS = 3
+
+
+def event_stream(spark, sf, by="ts"):
+    """(stream of points, feed): the feed adds the events part by part, in the order of ``ts`` or of ``event_id``."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    at = micros("ts") if by == "ts" else F.floor(F.col("event_id") / 20)
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    cuts = [low + (high + 1 - low) * i // PARTS for i in range(PARTS + 1)]
+    root = fresh_path(spark)
+    events.limit(0).write.parquet(root)
+
+    def part(i):
+        return lambda: events.where((at >= cuts[i]) & (at < cuts[i + 1])).write.mode("append").parquet(root)
+
+    e = spark.readStream.schema(events.schema).parquet(root)
+    return _points(e), [part(i) for i in range(PARTS)]
+
+
+def _points(e):
     k = F.get_json_object("props", "$.k").cast("long")
     m = k % 20
     return e.select(
@@ -29,14 +47,16 @@ SELECT entity_id, arrival, CASE WHEN newest IS NOT NULL AND ts_ns < newest - {HO
 )
 def r1(spark, sf):
     base = F.col("seq") - F.col("seq") % 20
-    s = event_stream(spark, sf).select("entity_id", (base + (F.col("seq") * 7919) % 20).alias("arrival"), "ts_ns")
-    return jobs.drain(jobs.label_late(s, "entity_id", "arrival", HOUR // 4), "late").select("entity_id", "arrival", "status")
+    s, feed = event_stream(spark, sf, "event_id")
+    s = s.select("entity_id", (base + (F.col("seq") * 7919) % 20).alias("arrival"), "ts_ns")
+    return jobs.drain(jobs.label_late(s, "entity_id", "arrival", HOUR // 4), "late", feed=feed).select("entity_id", "arrival", "status")
 
 
 @query("r1_dedupe_in_watermark", "SELECT DISTINCT entity_id, metric_id, ts_ns, quality FROM points", ("points",))
 def r1b(spark, sf):
-    s = event_stream(spark, sf).select("entity_id", "metric_id", "ts_ns", "quality")
-    return jobs.drain(jobs.dedupe_in_watermark(s), "dedupe").select("entity_id", "metric_id", "ts_ns", "quality")
+    s, feed = event_stream(spark, sf)
+    s = s.select("entity_id", "metric_id", "ts_ns", "quality")
+    return jobs.drain(jobs.dedupe_in_watermark(s), "dedupe", feed=feed).select("entity_id", "metric_id", "ts_ns", "quality")
 
 
 @query(
@@ -49,17 +69,20 @@ SELECT seq, round(CASE WHEN d IS NOT NULL THEN greatest(0, d) END, 6) AS step, r
     ("points",),
 )
 def r2(spark, sf):
-    s = event_stream(spark, sf).select("entity_id", "metric_id", "ts_ns", "seq", F.coalesce("value", F.lit(0.0)).alias("x"))
-    out = jobs.drain(jobs.last_value_and_ewma(s, ["entity_id", "metric_id"], ["ts_ns", "seq"], "x"), "ewma")
+    s, feed = event_stream(spark, sf)
+    s = s.select("entity_id", "metric_id", "ts_ns", "seq", F.coalesce("value", F.lit(0.0)).alias("x"))
+    out = jobs.drain(jobs.last_value_and_ewma(s, ["entity_id", "metric_id"], ["ts_ns", "seq"], "x"), "ewma", feed=feed)
     return out.select("seq", r6("step").alias("step"), r6("ewma").alias("ewma"))
 
 
 @query("r3_warmup_scorer")
 def r3(spark, sf):
-    s = event_stream(spark, sf)
-    scorer = jobs.WarmupScorer(spark, 15 * DAY, DAY, 12 * HOUR, HOUR)
-    q = s.writeStream.foreachBatch(scorer).option("checkpointLocation", f"{scorer.root}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    s, feed = event_stream(spark, sf)
+    root = fresh_path(spark)
+    for put in feed:
+        put()
+        scorer = jobs.WarmupScorer(spark, 15 * DAY, DAY, 12 * HOUR, HOUR, root)
+        s.writeStream.foreachBatch(scorer).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return scorer.scores(spark).select("w_start", "entity_id", "metric_id", r6("score").alias("score"), "direction")
 
 
@@ -76,7 +99,8 @@ WHERE w_start + {2 * _H6} <= (SELECT max(ts_ns) FROM points) - {HOUR} GROUP BY A
     ("points",),
 )
 def r4(spark, sf):
-    out = jobs.drain(jobs.sliding_stats(event_stream(spark, sf), "12 hours", "6 hours", "1 hour"), "sliding")
+    s, feed = event_stream(spark, sf)
+    out = jobs.drain(jobs.sliding_stats(s, "12 hours", "6 hours", "1 hour"), "sliding", feed=feed)
     return out.select("w_start", "entity_id", "metric_id", "n", F.round("total", 4).alias("total"), r6("top").alias("top"))
 
 
@@ -86,8 +110,9 @@ def r4(spark, sf):
     ("eps",),
 )
 def r5(spark, sf):
-    s = event_stream(spark, sf).select((F.col("user_id") % 3).alias("host"), "ts_ns", (F.coalesce("value", F.lit(0.0)) > 100).alias("is_anomaly"))
-    return jobs.drain(jobs.live_episodes(s, "host", 6 * HOUR), "episodes")
+    s, feed = event_stream(spark, sf)
+    s = s.select((F.col("user_id") % 3).alias("host"), "ts_ns", (F.coalesce("value", F.lit(0.0)) > 100).alias("is_anomaly"))
+    return jobs.drain(jobs.live_episodes(s, "host", 6 * HOUR), "episodes", feed=feed)
 
 
 @query(
@@ -99,5 +124,6 @@ SELECT entity_id, ts_ns, p AS from_head, head AS to_head FROM l WHERE head - p >
     ("points",),
 )
 def r6_gaps(spark, sf):
-    s = event_stream(spark, sf).select("entity_id", "ts_ns", (F.col("seq") * 10 + F.col("k")).alias("head"))
-    return jobs.drain(jobs.ring_gaps(s, "entity_id", 256), "gaps")
+    s, feed = event_stream(spark, sf)
+    s = s.select("entity_id", "ts_ns", (F.col("seq") * 10 + F.col("k")).alias("head"))
+    return jobs.drain(jobs.ring_gaps(s, "entity_id", 256), "gaps", feed=feed)

@@ -7,8 +7,7 @@ one, so a key's rows of one batch are sorted in the task that owns its state.
 from __future__ import annotations
 
 import json
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from telemill.functions.integers import floor_div
 from telemill.operators import detect, stats as st, windows
 from telemill.operators.episodes import IDLE, advance
-from telemill.session import shared_dir
+from telemill.session import fresh_path
 
 
 def with_event_time(df: DataFrame, ts: str = "ts_ns") -> DataFrame:
@@ -28,17 +27,18 @@ def with_event_time(df: DataFrame, ts: str = "ts_ns") -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros(floor_div(F.col(ts), 1000)))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", timeout_s: int = 600) -> DataFrame:
-    """Run a stream over all available input into a table in the shared folder and read it."""
+def drain(stream: DataFrame, name: str, mode: str = "append", feed: Iterable[Callable[[], None]] = (lambda: None,)) -> DataFrame:
+    """Run a stream over all available input into a table in the shared folder and read it.
+
+    Each step of ``feed`` adds input; the query is then started anew from its
+    checkpoint and takes what is new, so state passes from batch to batch.
+    """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
-    q = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/data").option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    if not q.awaitTermination(timeout_s):
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s} s")
+    root = f"{fresh_path(spark)}/{name}"
+    for put in feed:
+        put()
+        out = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/data").option("checkpointLocation", f"{root}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
 
@@ -132,36 +132,44 @@ class WarmupScorer:
 
     Event time decides everything. Points are appended to a table; when their
     span reaches ``warmup_ns`` the statistics and thresholds of the warm-up
-    are written once; windows after it are scored and appended. Replayed
-    batches write to their own folder again, so results stay exactly once.
+    are written once, with its end; windows after it are scored and appended.
+    A restart finds the fit in its table. Replayed batches write to their own
+    folder again, so results stay exactly once.
     """
 
     def __init__(self, spark: SparkSession, warmup_ns: int, window_ns: int, stride_ns: int, interval_ns: int, root: str | None = None):
-        self.root = root or f"{shared_dir(spark)}/scorer-{uuid.uuid4().hex}"
+        self.root = root or fresh_path(spark)
         self.warmup_ns, self.window_ns, self.stride_ns, self.interval_ns = warmup_ns, window_ns, stride_ns, interval_ns
-        self.fitted = False
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{self.root}/points/batch={batch_id}")
         points = spark.read.schema(batch.schema).option("basePath", f"{self.root}/points").parquet(f"{self.root}/points/batch=*")
-        span = points.agg(F.min("ts_ns").alias("a"), F.max("ts_ns").alias("b")).first()  # one row
-        if span["a"] is None or span["b"] - span["a"] < self.warmup_ns:
-            return
-        cut_ns = span["a"] + self.warmup_ns
-        if not self.fitted:
+        cut_ns = self._fitted_until(spark)
+        if cut_ns is None:
+            span = points.agg(F.min("ts_ns").alias("a"), F.max("ts_ns").alias("b")).first()  # one row
+            if span["a"] is None or span["b"] - span["a"] < self.warmup_ns:
+                return
+            cut_ns = span["a"] + self.warmup_ns
             warm = points.where(F.col("ts_ns") <= cut_ns)
             stats = st.fit_stats(warm)
             stats.write.mode("overwrite").parquet(f"{self.root}/stats")
             stats = spark.read.parquet(f"{self.root}/stats")
             st.pot_thresholds(stats, warm).write.mode("overwrite").parquet(f"{self.root}/thresholds")
-            self.fitted = True
+            spark.createDataFrame([(cut_ns,)], "cut_ns long").write.mode("overwrite").parquet(f"{self.root}/fit")  # last, so that it marks a complete fit
         stats, thr = spark.read.parquet(f"{self.root}/stats"), spark.read.parquet(f"{self.root}/thresholds")
         low = batch.agg(F.min("ts_ns")).scalar()
         recent = points.where((F.col("ts_ns") > cut_ns) & (F.col("ts_ns") >= low - 2 * self.window_ns))
         cells = windows.align_grid(windows.sliding_windows(recent, self.window_ns, self.stride_ns), self.interval_ns)
         detect.event_scores(cells, stats, thr).write.mode("overwrite").parquet(f"{self.root}/scores/batch={batch_id}")
 
+    def _fitted_until(self, spark: SparkSession) -> int | None:
+        """End of the warm-up if the fit is complete."""
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/fit/_SUCCESS")
+        if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+            return None
+        return spark.read.parquet(f"{self.root}/fit").first()["cut_ns"]
+
     def scores(self, spark: SparkSession) -> DataFrame:
         """All window scores; a window scored in several batches keeps its newest score."""
         s = spark.read.parquet(f"{self.root}/scores")
