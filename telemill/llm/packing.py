@@ -60,7 +60,9 @@ class WordEncoder:
         there[there] = self.keys[at[there]] == keys[there]
         new = np.flatnonzero(~there)
         if len(new):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([word(i) for i in new], add_special_tokens=False)]
+            found: list[list[int]] = []
+            for k in range(0, len(new), 4096):  # the tokenizer's own result objects are large
+                found += [e.ids for e in self.tokenizer.encode_batch_fast([word(i) for i in new[k : k + 4096]], add_special_tokens=False)]
             size = np.array([len(x) for x in found], np.int64)
             self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
             self.size = np.append(self.size, size)

@@ -129,7 +129,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     return h, to
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of at most about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         _, bounds = buffers(batch.column(batch.schema.get_field_index(text)))
