@@ -257,8 +257,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
 
     Null and wordless texts have no shingles and are linked with nothing. Rows
-    that repeat an id count once, by the id's smallest text; a row without id
-    is left out. Other columns are not read.
+    that repeat an id count once: size and candidates are those of the text whose
+    set has the smallest digest, and a link is confirmed if any of the id's texts
+    reaches the threshold. A row without id is left out. Other columns are not read.
     """
     one = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = cut(profile(one, "id", "text", size))
