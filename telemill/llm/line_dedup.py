@@ -1,17 +1,17 @@
 """Removal of globally repeated multi-line chunks (operator 1).
 
-A text is a sequence of lines; a line also ends after a sentence, so that the
-same passage is recognised however it is wrapped. A rolling hash over the hashes
-of two neighbouring lines is computed at every gap, and a gap is a chunk
-boundary where it is the least of some ``SPAN`` neighbouring gaps: boundaries depend on
-the lines around them only, so an insertion shifts none further away, and no
-chunk is longer than ``SPAN`` lines.
-
-Chunks of two or more lines and ``LEAST_WORDS`` words that occur again, in any
-text, are candidates. The first occurrence, by id and position, stays. Another
-one is removed if its lines equal those of the first byte for byte; the match
-then grows line by line on both sides as far as the lines stay equal. Whatever is
-removed stands at an earlier place, so nothing is lost from the corpus.
+A text is a sequence of lines; a line also ends after a sentence. At every line
+starts a chunk: the fewest lines, two at least, that have ``LEAST_WORDS`` words. A
+line of ``LONE_WORDS`` words is a chunk of its own, too. A chunk depends on its own
+lines only, so every passage that holds one is found, whatever stands around it.
+
+Of chunks that occur again, in any text, the first occurrence, by id and
+position, stays. Chunks that overlap and point to the same earlier passage are
+joined, and cut again after every ``PIECE`` lines of that passage. A piece is removed
+if its lines equal those of the earlier text byte for byte; it then grows line by
+line as far as the lines stay equal, at most over the lines (under ``LEAST_WORDS``
+words) that no chunk covers at the end of a passage. Whatever is removed stands at
+an earlier place, so nothing is lost from the corpus. Parts of a line are never removed.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from telemill.llm import text as T
 from telemill.llm.common import fanned_join, key_filter, marked, places, salted_join
 from telemill.session import cut
 
-SPAN = 3
+SPAN = 3  # lines that a match may grow on either side; more if they have under LEAST_WORDS words
 LEAST_WORDS = 12
+LONE_WORDS = 50
+PIECE = 16
 CASED = np.random.default_rng(0x11E5).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -46,8 +48,8 @@ def _range_hash(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(b > a, T.mix((run[b] - run[a]) * T._power(T.UNBASE, len(h) + 1)[a] + (b - a).astype(T.U)), T.U(0))
 
 
-def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Row, first line, number of lines, number of words and hash of every chunk."""
+def chunks(texts: pa.Array, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
+    """Row, first line, number of lines, number of words and hash of every chunk; those at the end of a row may be too short."""
     data, bounds = T.buffers(texts)
     cuts, to = lines(data, bounds)
     count = len(cuts) - 1
@@ -57,14 +59,10 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     w = np.searchsorted(starts, cuts)
     h = _range_hash(T.hash_spans(data, bounds, starts, ends, CASED), w[:-1], w[1:])
     row = np.repeat(np.arange(len(to) - 1), np.diff(to))
-    close = np.zeros(count, bool)
-    close[to[1:][np.diff(to) > 0] - 1] = True
-    roll = T.mix(h[:-1] * T.BASE + h[1:])
-    k = np.flatnonzero(row[: count - SPAN] == row[SPAN:]) if count > SPAN else np.zeros(0, np.int64)
-    if len(k):
-        close[k + np.argmin(np.stack([roll[k + i] for i in range(SPAN)]), axis=0)] = True
-    last = np.flatnonzero(close) + 1
-    first = np.concatenate([[0], last[:-1]])
+    first = np.flatnonzero(np.diff(w))
+    last = np.minimum(np.maximum(np.searchsorted(w, w[first] + least_words), first + 2), to[row[first] + 1])
+    lone = np.flatnonzero(np.diff(w) >= LONE_WORDS)
+    first, last = np.concatenate([first, lone]), np.concatenate([last, lone + 1])
     return row[first], first - to[row[first]], last - first, w[last] - w[first], _range_hash(h, first, last)
 
 
@@ -74,13 +72,28 @@ def _split(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _pieces(found: list[dict], shift: int) -> list[tuple[int, int]]:
+    """Joined bounds of overlapping or touching chunks, cut where the earlier text's line number is a multiple of ``PIECE``."""
+    out: list[tuple[int, int]] = []
+    begin = end = None
+    for a, b in [*sorted((x["a"], x["a"] + x["n"]) for x in found), (None, None)]:
+        if a is not None and end is not None and a <= end:
+            end = max(end, b)
+            continue
+        while begin is not None and begin < end:
+            out.append((begin, stop := min(end, begin + PIECE - (begin - shift) % PIECE)))
+            begin = stop
+        begin, end = a, b
+    return out
+
+
 def _remove(text: bytes, matches: list[dict]) -> tuple[bytes, int, int]:
     """Text without its confirmed matches, lines before and lines removed."""
     own = _split(text)
     bare = [x.rstrip(b" \t\n\r\x0b\x0c") for x in own]
     gone = [False] * len(own)
     for m in matches:
-        a, n, core, other = m["a"], m["n"], m["core"], [x.encode() for x in m["lines"]]
+        a, n, core, other = m["a"], m["n"], m["core"], m["lines"].encode().split(b"\n")
         if bare[a : a + n] != other[core : core + n]:
             continue
         for i in range(a, a + n):
@@ -92,7 +105,7 @@ def _remove(text: bytes, matches: list[dict]) -> tuple[bytes, int, int]:
     return b"".join(x for x, g in zip(own, gone) if not g), len(own), sum(gone)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, copy_col: str | None = None) -> DataFrame:
     """All input rows and columns with repeated chunks removed from the text, and ``n_lines``, ``n_removed``.
 
     A null text stays null, with no lines. Rows that repeat an id are not told
@@ -100,58 +113,87 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id; they still count as occurrences, and a chunk whose first occurrence is in
     such a row stays everywhere in such rows only. A text all of whose lines are
     removed becomes empty. Input columns named ``n_lines`` or ``n_removed`` are replaced.
+    A further column ``copy_col``, if wanted, tells whether all lines were removed
+    and were found in one earlier text.
     """
-    base = docs.drop("n_lines", "n_removed")
+    extra = [copy_col] if copy_col else []
+    base = docs.drop("n_lines", "n_removed", *extra)
     src = base.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
 
     def find(batches):
-        for batch in T.slices(batches, "text"):
-            row, first, n, words, h = chunks(batch.column(1))
-            use = (n >= 2) & (words >= least_words)
+        for batch in T.slices(batches, "text", 1 << 19):
+            row, first, n, words, h = chunks(batch.column(1), least_words)
+            use = ((n >= 2) & (words >= least_words)) | ((n == 1) & (words >= LONE_WORDS))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[use])), pa.array(first[use]), pa.array(n[use]), pa.array(h[use].view(np.int64))], ["id", "a", "n", "h"])
 
     found = cut(src.mapInArrow(find, "id long, a long, n long, h long"))
-    twice = found.groupBy("h").agg(F.min(F.struct("id", "a")).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("s.id").alias("sid"), F.col("s.a").alias("sa"))
-    matches = cut(salted_join(found, twice, "h", "id").where("id != sid or a != sa").select("id", "a", "n", "sid", "sa"))
+    twice = cut(found.groupBy("h").agg(F.min(F.struct("id", "a")).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("s.id").alias("sid"), F.col("s.a").alias("sa")))
+    again = marked(found, key_filter(twice.select(places("h").alias("p")), "p"), "h").where("__maybe").drop("__maybe")
+    hits = salted_join(again, twice, "h", "id").where("id != sid or a != sa")
+
+    def join(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for i, j, shift, found_at in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                out += [(i, a, b - a, j, a - shift) for a, b in _pieces(found_at, shift)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5)], ["id", "a", "n", "sid", "sa"])
+
+    along = hits.groupBy("id", "sid", (F.col("a") - F.col("sa")).alias("shift")).agg(F.collect_list(F.struct("a", "n")).alias("found"))
+    matches = cut(along.mapInArrow(join, "id long, a long, n long, sid long, sa long"))
     from_, into = (key_filter(matches.select(places(c).alias("p")), "p") for c in ("sid", "id"))
 
     def excerpts(batches):
         for whole in batches:
-            for batch in T.slices([whole], "text", 1 << 20):
+            for batch in T.slices([whole], "text", 1 << 19):
                 out: list[tuple] = []
+                held = 0
                 for i, t, wanted in zip(*(batch.column(k).to_pylist() for k in range(3))):
                     own = [x.rstrip(b" \t\n\r\x0b\x0c").decode() for x in _split(t.encode())]
                     for x in wanted:
-                        begin = max(0, x["sa"] - SPAN)
-                        out.append((i, x["sa"], x["sa"] - begin, own[begin : x["sa"] + x["n"] + SPAN]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], ["sid", "sa", "core", "lines"])
+                        begin, end = max(0, x["sa"] - SPAN), x["sa"] + x["n"]
+                        words, over = 0, end
+                        while over < len(own) and (over < end + SPAN or words < least_words):
+                            words += len(own[over].encode().split())
+                            over += 1
+                        out.append((i, x["sa"], x["n"], x["sa"] - begin, "\n".join(own[begin:over])))
+                        held += len(out[-1][-1])
+                        if held > 1 << 20:
+                            yield told_rows(out)
+                            out, held = [], 0
+                yield told_rows(out)
+
+    def told_rows(out):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], ["sid", "sa", "n", "core", "lines"])
 
     sources = matches.select("sid", "sa", "n").distinct().groupBy("sid").agg(F.collect_list(F.struct("sa", "n")).alias("wanted"))
     one = marked(src, from_, "id").where("__maybe").drop("__maybe").join(sources, F.col("id") == F.col("sid")).select("id", "text", "wanted")
-    texts = one.mapInArrow(excerpts, "sid long, sa long, core long, lines array<string>").dropDuplicates(["sid", "sa"]).withColumn("at", F.struct("sid", "sa")).drop("sid", "sa")
-    told = fanned_join(matches.withColumn("at", F.struct("sid", "sa")), texts, "at", "id")
-    told = told.groupBy("id").agg(F.collect_list(F.struct("a", "n", "core", "lines")).alias("__matches"))
+    texts = one.mapInArrow(excerpts, "sid long, sa long, n long, core long, lines string").dropDuplicates(["sid", "sa", "n"]).withColumn("at", F.struct("sid", "sa", "n")).drop("sid", "sa", "n")
+    told = fanned_join(matches.withColumn("at", F.struct("sid", "sa", "n")), texts, "at", "id")
+    told = told.groupBy("id").agg(F.collect_list(F.struct("a", "n", "core", F.col("at.sid").alias("sid"), "lines")).alias("__matches"))
 
     names = base.columns
 
     def rewrite(batches):
-        for batch in T.slices(batches, text_col, 1 << 20):
+        for batch in T.slices(batches, text_col, 1 << 18):
             at = batch.schema.get_field_index(text_col)
             new: list[str | None] = []
-            count, gone = [], []
+            count, gone, copy = [], [], []
             for t, m in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("__matches")).to_pylist()):
                 if t is None:
                     new.append(None)
                     count.append(0)
                     gone.append(0)
+                    copy.append(False)
                     continue
                 raw = t.encode()
                 text, n, g = _remove(raw, m) if m else (raw, None, 0)
                 new.append(text.decode())
                 count.append(len(_split(raw)) if n is None else n)
                 gone.append(g)
+                copy.append(n is not None and g == n and len({x["sid"] for x in m}) == 1)
             cols = [pa.array(new, pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(gone, pa.int64()), *[pa.array(copy, pa.bool_()) for _ in extra]], [*names, "n_lines", "n_removed", *extra])
 
     kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in base.schema)
     told_of = marked(base, into, id_col)
@@ -159,4 +201,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     changed = told_of.where(F.col("__maybe")).drop("__maybe").join(told.withColumnRenamed("id", "__mid"), F.col(id_col) == F.col("__mid"), "left").drop("__mid")
     changed = changed.join(repeated, F.col(id_col) == F.col("__rid"), "left").withColumn("__matches", F.when(F.col("__rid").isNull(), F.col("__matches"))).drop("__rid")
     same = told_of.where(~F.col("__maybe")).drop("__maybe").withColumn("__matches", F.lit(None).cast(changed.schema["__matches"].dataType))
-    return same.unionByName(changed).mapInArrow(rewrite, f"{kinds}, n_lines long, n_removed long")
+    return same.unionByName(changed).mapInArrow(rewrite, ", ".join([kinds, "n_lines long", "n_removed long", *[f"`{c}` boolean" for c in extra]]))

@@ -119,6 +119,33 @@ def test_line_dedup_of_nothing_and_repeated_ids(spark):
     assert [x.text for x in out] == [t, t]
 
 
+def test_line_dedup_finds_every_short_passage(spark):
+    # passages of 51 words in 1 to 5 lines and of 12 to 20 words in 2, each in two texts only, between other lines
+    r = random.Random(8)
+    rows, planted = [], []
+    line = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n)) + "."
+    for k in range(120):
+        n = k % 6
+        sizes = [r.randrange(6, 11), r.randrange(6, 11)] if n == 0 else [51 // n + (i < 51 % n) for i in range(n)]
+        planted.append([line(m) for m in sizes])
+        for i in (2 * k, 2 * k + 1):
+            before, after = [line(r.randrange(3, 18)) for _ in range(r.randrange(4))], [line(r.randrange(3, 18)) for _ in range(1 + r.randrange(4))]
+            rows.append((i, "\n".join([*before, *planted[-1], *after]), len(before) + len(after)))
+    got = {x.doc_id: x for x in line_dedup.remove_repeats(awkward(spark, [x[:2] for x in rows])).collect()}
+    for k, lines in enumerate(planted):
+        first, second = got[2 * k], got[2 * k + 1]
+        assert first.text == rows[2 * k][1] and first.n_removed == 0
+        assert not any(x in second.text for x in lines), f"{len(lines)} lines"
+        assert second.n_removed == len(lines) and second.text.count(".") == rows[2 * k + 1][2]
+
+
+def test_joined_chunks_cover_what_their_parts_cover():
+    found = [{"a": a, "n": n} for a, n in [(40, 2), (5, 3), (6, 4), (41, 30), (90, 2)]]
+    got = line_dedup._pieces(found, 5)
+    assert [i for a, b in got for i in range(a, b)] == [*range(5, 10), *range(40, 71), *range(90, 92)]
+    assert all((a - 5) // line_dedup.PIECE == (b - 1 - 5) // line_dedup.PIECE for a, b in got)
+
+
 def test_chunk_boundaries_resist_shifts():
     import pyarrow as pa
 
