@@ -2,7 +2,7 @@
 
 1. Texts become blocks of word numbers (a few MB each), stored once.
 2. Each block sends its distinct n-grams of every order, with their counts in
-   training texts, to shards chosen by a hash of the whole n-gram. However
+   training texts, to shards chosen by a hash of these bits. However
    frequent a word is, it reaches a shard once per block, so no shard is hot.
 3. A shard sums the counts, builds its trie (contexts, pointers, children, and an
    8-bit code of the n-gram's probability), maps it from a file and answers the
@@ -13,9 +13,11 @@
 5. A last pass scores: p(w | u v) = a * c(u v w)/c(u v) + (1 - a) * p(w | v), ending
    in the additively smoothed unigram; a depends on the class of c(u v).
 
-The end token also stands before the first word. Contexts and words of higher
-orders are hashed to ``BITS`` bits: with t distinct n-grams per shard a lookup
-is wrong with a chance of t / 2^52; t stays below ``SHARD`` on average.
+The end token also stands before the first word. An n-gram of a higher order is
+found under ``BITS`` bits: some of its context's hash and, below them, more of a hash
+of the whole n-gram. An unseen n-gram is taken for a seen one with a chance of
+k / 2^60 by k seen n-grams of other contexts, however many of them end in its word,
+and of k / 2^40 by k seen ones of its own context. The shard follows from the same bits.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from telemill.llm import text as T
 from telemill.session import fresh_path
 
 U = np.uint64
-BITS = (28, 24)  # of a context and of a word
+BITS = (20, 40)  # of a context and of the whole n-gram below it
 END = U(0x0E0F_0E0F_0E0F_0E0F)
 BLOCK = 16 << 20  # bytes of text per block
 PER_BUCKET = 4  # blocks per bucket of the stored tables
@@ -102,7 +104,8 @@ def _grams(words: np.ndarray, seq: np.ndarray, lengths: np.ndarray, order: int):
         older[pos == k - 1] = END
         context = T.mix(older * T.BASE + context)
     c, b = BITS
-    return (T.mix(context) >> U(64 - c) << U(b)) | (w >> U(64 - b)), pos >= order - 2
+    whole = T.mix(T.mix(context) * T.BASE + w)
+    return (T.mix(context) >> U(64 - c) << U(b)) | (whole >> U(64 - b)), pos >= order - 2
 
 
 def _asked(row: dict, order: int, shards: int):

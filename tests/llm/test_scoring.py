@@ -236,3 +236,24 @@ def test_features_by_hand():
 
 def test_edited_helper_is_stable():
     assert edited("a b c", 1, 0.0) == "a b c"
+
+
+def test_many_contexts_of_one_word_hide_no_unseen_ngram():
+    # the second word of every two-word text is the same one; half of the first words were seen before it
+    g = np.random.default_rng(4)
+    n = 4_000_000
+    words = np.append(g.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1), np.uint64(12345))
+    keys = []
+    for at in range(0, n, n // 4):
+        seq = np.full(n // 2, n, np.int64)
+        seq[::2] = np.arange(at, at + n // 4)
+        key, _ = ngram_lm._grams(words, seq, np.full(n // 4, 2), 2)
+        keys.append(key[1::2])
+    seen = np.unique(np.concatenate(keys[:2]))
+    assert len(seen) == n // 2 and not np.isin(np.concatenate(keys[2:]), seen).any()
+    b = ngram_lm.BITS[1]
+    few, asked = seen[::20], np.concatenate([seen[::20], keys[3]])
+    split, mask = np.uint64(b), np.uint64((1 << b) - 1)
+    trie = ef.Trie(np.frombuffer(ef.build_trie(few >> split, few & mask, np.full(len(few), 7), *ngram_lm.BITS), np.uint8))
+    code = trie.lookup(asked >> split, asked & mask)
+    assert (code[: len(few)] == 7).all() and not code[len(few) :].any()
