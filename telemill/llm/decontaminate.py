@@ -1,19 +1,23 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (operator 10).
 
 A short item inside a long text has a tiny Jaccard similarity with the whole
-text, so domains of like size are compared: items fall into size classes (up to
-16, 32, 64, ... shingles), and for every class the text is seen as overlapping
-windows of two blocks of that size. Block minima of the smallest class are
-computed once; a larger block is the minimum of two smaller ones, a window the
-minimum of two neighbouring blocks.
+text, so domains of like size are compared: items of more than ``BLOCK`` shingles
+fall into size classes (up to 32, 64, ... shingles), and for every class the text
+is seen as overlapping windows of two blocks of that size. Block minima of the
+smallest size are computed once; a larger block is the minimum of two smaller
+ones, a window the minimum of two neighbouring blocks.
 
 A text that contains the share t of an item's shingles has windows whose Jaccard
 similarities with the item sum to at least t / 3, so with bands of one row each
 all of its ``PERMS`` minima miss with a chance below (1 - t/3)^PERMS, wherever
-the shingles stand (5e-9 for t = 0.8). Window minima are first held against a
-bitmap of fixed size with all item minima; what passes meets the items in a
-join. Each candidate is verified by counting the item's shingles in the whole
-text.
+the shingles stand (5e-9 for t = 0.8; 2e-6 where they all stand in the first block,
+which one window only holds). Windows are too long for items of up to ``BLOCK``
+shingles: of these, one shingle more than a text may lack is looked up among all
+shingles of the text, so none is missed.
+
+Keys of a text are first held against a bitmap of fixed size with all item keys;
+what passes meets the items in a join. Each candidate is verified by counting the
+item's shingles in the whole text.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from telemill.llm.common import FILTER_BITS, key_filter, marked, places, possibl
 from telemill.session import cut
 
 PERMS = 64
-BLOCK = 16  # shingles in a block of the smallest class
+BLOCK = 16  # shingles in the smallest block, and of an item that is looked up by shingles
 _MUL = np.random.default_rng(10).integers(0, 1 << 63, PERMS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -48,26 +52,34 @@ def _keys(minima: np.ndarray, size_class) -> np.ndarray:
     return T.mix(tag ^ minima.astype(T.U))
 
 
+def _short(shingles: np.ndarray) -> np.ndarray:
+    """Key of a single shingle."""
+    return T.mix(shingles ^ T.U(0x5105_7A11))
+
+
 def _place(keys: np.ndarray) -> np.ndarray:
     return (keys % T.U(FILTER_BITS)).astype(np.int64)
 
 
-def item_keys(items: DataFrame, size: int) -> DataFrame:
-    """Rows ``item, key, place``: the minima of every item; ``items`` has ``item, text``."""
+def item_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows ``item, key, place`` of every item; ``sets`` has ``item, set`` (its distinct shingles)."""
 
     def run(batches):
-        for batch in T.slices(batches, "text", 1 << 20):
-            h, to = T.shingles(*T.words(batch.column(1)), size)
-            for item, a, b in zip(batch.column(0).to_pylist(), to[:-1], to[1:]):
-                if b > a:
-                    keys = np.unique(_keys(_minima(h[a:b, None]), _class(np.array([b - a]))))
-                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(_place(keys))], ["item", "key", "place"])
+        for batch in batches:
+            for item, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = shingles.values.to_numpy().view(T.U)
+                n = len(h)
+                if n <= BLOCK:
+                    keys = _short(np.sort(h)[: max(1, n + 1 + -percent * n // 100)])
+                else:
+                    keys = np.unique(_keys(_minima(h[:, None]), _class(np.array([n]))))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(_place(keys))], ["item", "key", "place"])
 
-    return items.select("item", "text").mapInArrow(run, "item long, key long, place long")
+    return sets.select("item", "set").mapInArrow(run, "item long, key long, place long")
 
 
 def window_keys(docs: DataFrame, size: int, classes: list[int], bitmap: np.ndarray) -> DataFrame:
-    """Distinct rows ``id, key`` of window minima that an item may share; ``docs`` has ``id, text``."""
+    """Distinct rows ``id, key`` of shingles and window minima that an item may share; ``docs`` has ``id, text``."""
 
     def run(batches):
         for batch in T.slices(batches, "text", 4 << 20):
@@ -81,8 +93,10 @@ def window_keys(docs: DataFrame, size: int, classes: list[int], bitmap: np.ndarr
             at = np.arange(first[-1] * BLOCK).reshape(-1, BLOCK)
             at = np.minimum(at - np.repeat(first[:-1] * BLOCK - to[full], blocks)[:, None], np.repeat(to[full + 1] - 1, blocks)[:, None])
             low, row = _minima(h[at.T]), np.repeat(full, blocks)
-            rows, keys = [], []
-            for c in range(max(classes) + 1):
+            single = _short(h)
+            at = np.flatnonzero(possible(bitmap, _place(single)))
+            rows, keys = [np.searchsorted(to, at, "right") - 1], [single[at]]
+            for c in range(max(classes, default=-1) + 1):
                 if c:  # merge neighbouring blocks of a text; an odd last block stays
                     n = np.bincount(row, minlength=len(n))
                     order = np.arange(len(row)) - np.repeat((np.cumsum(n) - n)[n > 0], n[n > 0])
@@ -126,10 +140,11 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
 
     shingled = i.mapInArrow(sets, "item long, shingle long").distinct()
     sizes = cut(shingled.groupBy("item").agg(F.count(F.lit(1)).alias("n_shingles"), F.collect_list("shingle").alias("set")))
-    keys = cut(item_keys(i, size))
+    percent = round(threshold * 100)
+    keys = cut(item_keys(sizes, percent))
     # classes are few: one per doubling of the longest item
-    longest = i.mapInArrow(sets, "item long, shingle long").groupBy("item").count().agg(F.max("count")).first()[0]
-    classes = list(range(int(_class(np.array([longest or 1]))[0]) + 1))
+    longest = sizes.agg(F.max("n_shingles")).first()[0]
+    classes = list(range(1, int(_class(np.array([longest or 1]))[0]) + 1))
     hits = window_keys(d, size, classes, key_filter(keys, "place"))
     few = keys.groupBy("key").agg(F.collect_set("item").alias("items"))
     pairs = salted_join(hits, few, "key", "id").select("id", F.explode("items").alias("item")).distinct()
@@ -153,6 +168,5 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
     few = marked(d, bitmap, "id").where("__maybe").drop("__maybe")
     checked = few.join(wanted, "id").select("id", "text", "w").mapInArrow(verify, "doc_id long, item_id long, shared array<long>")
     shared = checked.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).cast("long").alias("n_shared"))
-    percent = round(threshold * 100)
     full = shared.join(sizes.select(F.col("item").alias("item_id"), "n_shingles"), "item_id")
     return full.where(100 * F.col("n_shared") >= percent * F.col("n_shingles")).select("doc_id", "item_id", "n_shingles", "n_shared")

@@ -158,6 +158,13 @@ def test_contained_items_equal_brute_force(spark):
     assert got == sorted(want) and len(want) > 10
 
 
+def test_short_items_are_never_missed(spark):
+    items = [(k, text(5000 + k, 5 + k % 4)) for k in range(400)]
+    docs = [(k, f"{text(9000 + k, 300)} {items[k][1]} {text(19000 + k, 300)}") for k in range(400)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contained_items(awkward(spark, docs), awkward(spark, items, "item_id")).collect()}
+    assert got >= {(k, k) for k in range(400)}
+
+
 def test_contained_items_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained_items(empty(spark), none).count() == 0
