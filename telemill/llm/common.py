@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telemill.session import cut
@@ -40,6 +40,15 @@ def fanned_join(left: DataFrame, right: DataFrame, key: str, spread: str, per: i
     return dealt.join(many, [key, "__slot"]).drop("__slot")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """0-based position of each row along ``order``, which should tell rows apart: ranges are ordered in their own tasks."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    starts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
+    inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return cut(ranged.withColumn("__inner", inner).join(starts, "__range").withColumn(name, (F.col("__start") + F.col("__inner") - 1).cast("long")).drop("__range", "__inner", "__start"))
+
+
 FILTER_BITS = 1 << 23
 
 

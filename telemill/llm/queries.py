@@ -11,7 +11,7 @@ from telemill.llm.line_dedup import remove_repeats
 from telemill.llm.minhash import near_duplicates
 from telemill.llm.ngram_lm import score_documents
 from telemill.llm.packing import pack_documents
-from telemill.llm import decontaminate, itq, toxicity
+from telemill.llm import decontaminate, itq, mixing, toxicity
 from telemill.llm.surrogates import pseudonymise
 from telemill.llm.token_counts import section_tokens
 from telemill.llm.warc import archive_roundtrip
@@ -112,3 +112,30 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: DuckDB has no tokenizer. Checked against another library's offsets in tests/llm."""
     return section_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+_COUNTED = r"[^\x20\x09-\x0D]+"
+
+
+@query("op11_water_filling_mix", f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_COUNTED}')), 0)::BIGINT AS size,
+         left(md5(concat_ws(':', '0', coalesce(doc_id::VARCHAR, '-'), coalesce(md5(text), '-'))), 15) AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+-- sources that reach their cap come first in the order of cap over weight
+o AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+             coalesce(sum(3 * source_size) OVER p, 0) AS caps_before, coalesce(sum(weight) OVER p, 0) AS weights_before
+      FROM s WINDOW p AS (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, 3 * source_size * (weights - weights_before) < weight * (total - caps_before) AS capped FROM o),
+t AS (SELECT source, source_size, CASE WHEN capped THEN 3.0 * source_size ELSE
+             (total - coalesce(sum(3 * source_size) FILTER (WHERE capped) OVER (), 0))::DOUBLE * weight / (sum(weight) FILTER (WHERE NOT capped) OVER ()) END::DOUBLE AS target FROM c),
+w AS (SELECT *, round(target)::BIGINT AS words, CASE WHEN source_size = 0 THEN 0 ELSE round(target)::BIGINT // source_size END AS whole FROM t),
+r AS (SELECT d.doc_id, d.size, w.source_size, w.target, w.whole, w.words - w.whole * w.source_size AS rest,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    planned = mixing.plan_mix(docs, mixing.cyclic_weights(docs, [1, 2, 3]), max_epochs=3, carry=("doc_id",))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
