@@ -11,7 +11,7 @@ from telemill.llm.line_dedup import remove_repeats
 from telemill.llm.minhash import near_duplicates
 from telemill.llm.ngram_lm import score_documents
 from telemill.llm.packing import pack_documents
-from telemill.llm import decontaminate, itq, mixing, toxicity
+from telemill.llm import decontaminate, itq, merkle, mixing, toxicity
 from telemill.llm.surrogates import pseudonymise
 from telemill.llm.token_counts import section_tokens
 from telemill.llm.warc import archive_roundtrip
@@ -139,3 +139,51 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     planned = mixing.plan_mix(docs, mixing.cyclic_weights(docs, [1, 2, 3]), max_epochs=3, carry=("doc_id",))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+
+
+def _h(text: str) -> str:
+    return f"concat({', '.join(f"""coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')""" for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _tree(name: str, base: str) -> str:
+    """Levels of 3-ary trees over ``g, pos, n, d``."""
+    return f"""{name} AS (SELECT g, 0 AS lvl, pos, n, d FROM {base} UNION ALL
+  SELECT g, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, lvl, n, pos // 3)"""
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE crc AS (  -- of the decimal id, bit by bit
+  SELECT doc_id, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))) AS c FROM documents WHERE doc_id IS NOT NULL),
+leaf AS (SELECT d.doc_id, d.source AS g, sha256({_h('text')}) AS d,
+    CASE WHEN xor(c.c, 4294967295) % 2 = 0 THEN sha256({_h("replace(text, chr(10), '')")}) ELSE sha256({_h('text')}) END AS other
+  FROM documents d LEFT JOIN crc c USING (doc_id)),
+base AS (SELECT coalesce('=' || g, '') AS g, (row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1) AS pos, count(*) OVER (PARTITION BY g) AS n, d, doc_id, other FROM leaf),
+{_tree('low', 'base')},
+subs AS (SELECT g AS of, (row_number() OVER (ORDER BY g) - 1) AS pos, count(*) OVER () AS n, d, '' AS g FROM low WHERE n = 1),
+{_tree('high', 'subs')},
+sib AS (
+  SELECT b.doc_id, b.d AS leaf, b.g, b.pos AS i, t.lvl, t.pos - (b.pos // (3 ** t.lvl)::BIGINT) AS side, t.d
+    FROM base b JOIN low t ON t.g = b.g AND t.n > 1 AND t.pos // 3 = b.pos // (3 ** (t.lvl + 1))::BIGINT AND t.pos <> b.pos // (3 ** t.lvl)::BIGINT
+  UNION ALL
+  SELECT b.doc_id, b.d, b.g, b.pos, 100 + t.lvl, t.pos - (s.pos // (3 ** t.lvl)::BIGINT), t.d
+    FROM base b JOIN subs s ON s.of = b.g JOIN high t ON t.n > 1 AND t.pos // 3 = s.pos // (3 ** (t.lvl + 1))::BIGINT AND t.pos <> s.pos // (3 ** t.lvl)::BIGINT),
+-- one step per level: also those of a run with one node
+steps AS (
+  SELECT b.g, b.pos AS i, row_number() OVER (PARTITION BY b.g, b.pos ORDER BY l.lvl) AS k, l.lvl
+  FROM base b JOIN (SELECT DISTINCT g, lvl FROM low WHERE n > 1 UNION ALL SELECT DISTINCT s.of, 100 + h.lvl FROM subs s, (SELECT DISTINCT lvl FROM high WHERE n > 1) h) l ON l.g = b.g),
+sides AS (SELECT s.g, s.i, s.k, coalesce(string_agg(x.d, '' ORDER BY x.side) FILTER (WHERE x.side < 0), '') AS l, coalesce(string_agg(x.d, '' ORDER BY x.side) FILTER (WHERE x.side > 0), '') AS r
+  FROM steps s LEFT JOIN sib x ON x.g = s.g AND x.i = s.i AND x.lvl = s.lvl GROUP BY s.g, s.i, s.k),
+fold AS (SELECT g, pos AS i, 0::BIGINT AS k, other AS x FROM base UNION ALL
+  SELECT f.g, f.i, s.k, sha256(s.l || f.x || s.r) FROM fold f JOIN sides s ON s.g = f.g AND s.i = f.i AND s.k = f.k + 1),
+folded AS (SELECT g, i, max_by(x, k) AS folded_root FROM fold GROUP BY g, i),
+proof AS (SELECT g, i, sha256(string_agg(l || r, '' ORDER BY k)) AS proof_sha256 FROM sides GROUP BY g, i),
+root AS (SELECT d AS root FROM high WHERE n = 1)
+SELECT b.doc_id, b.d AS leaf, s.d AS subroot, root.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = root.root AS verified
+FROM base b JOIN subs s ON s.of = b.g JOIN folded f ON f.g = b.g AND f.i = b.pos LEFT JOIN proof p ON p.g = b.g AND p.i = b.pos CROSS JOIN root
+""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    tampered = F.when(fold(2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.leaves(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", {"text": tampered})
+    return merkle.proofs(rows).withColumnRenamed("id", "doc_id")
