@@ -15,6 +15,7 @@ from telemill.llm import decontaminate, itq, merkle, mixing, toxicity
 from telemill.llm.surrogates import pseudonymise
 from telemill.llm.token_counts import section_tokens
 from telemill.llm.warc import archive_roundtrip
+from telemill.llm.whitening import whiten
 from telemill.session import fresh_path, prepare
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -187,3 +188,9 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     tampered = F.when(fold(2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     rows = merkle.leaves(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", {"text": tampered})
     return merkle.proofs(rows).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: an eigenproblem. Checked against a dense eigendecomposition in tests/llm."""
+    return whiten(table(spark, sf, "embeddings"), components=8)
