@@ -215,12 +215,20 @@ def deep_metrics(cols: Sequence[str] = DEEP_COLS) -> list[Metric]:
 
 
 def process_cpu_rss(df: DataFrame, chunk: Column, unit_ns: float = 1.0) -> DataFrame:
-    """Per process and tick, CPU % summed over its threads and RSS in MB. ``unit_ns``: nanoseconds per utime unit."""
-    keys = ["tgid", "pid"]
-    use = Metric("cpu", lambda d, c, s, ns: 100.0 * unit_ns * (d("utime") + d("stime")) / ns, ("utime", "stime"))
+    """Per process and tick, CPU % summed over its threads and RSS in MB. ``unit_ns``: nanoseconds per utime unit.
+
+    Integer steps are summed per length of the time step before any division,
+    and the few lengths of a tick are added in order, so the answer does not
+    depend on the order of the threads.
+    """
     tgid = F.coalesce(F.nullif(F.col("tgid"), F.lit(0)), F.col("pid"))
     base = df.withColumn("tgid", tgid)
-    cpu = derive(base, keys, [use], ("utime", "stime"), chunk).groupBy("tgid", "ts_ns").agg(F.sum("y").alias("y"))
+    prev = ordered.previous(base, ["tgid", "pid"], ["ts_ns"], {"p_utime": "utime", "p_stime": "stime", "p_ts_ns": "ts_ns"}, chunk)
+    dt = F.col("ts_ns") - F.col("p_ts_ns")
+    steps = prev.where((_d("utime") >= 0) & (_d("stime") >= 0) & (dt != 0))
+    steps = steps.groupBy("tgid", "ts_ns", dt.alias("dt")).agg(F.sum(_d("utime") + _d("stime")).alias("n"))
+    terms = F.array_sort(F.collect_list(F.struct("dt", (100.0 * unit_ns * F.col("n") / F.col("dt")).alias("y"))))
+    cpu = steps.groupBy("tgid", "ts_ns").agg(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t["y"]).alias("y"))
     rss = base.groupBy("tgid", "ts_ns").agg((F.max("rss_kb") / 1024).alias("y"))
     return cpu.select("tgid", "ts_ns", F.lit("cpu_pct").alias("mid"), "y").unionByName(rss.select("tgid", "ts_ns", F.lit("rss_mb").alias("mid"), "y"))
 

@@ -121,7 +121,8 @@ def c6(spark, sf):
 @query(
     "c7_process_cpu_rss",
     f"""
-SELECT key, ts_ns, 'cpu_pct' AS mid, round(sum(y), 6) AS y FROM (SELECT CASE WHEN tgid = 0 THEN tid ELSE tgid END AS key, ts_ns, 100.0 * 1e6 * ({D(0)} + {D(1)}) / s / 1e9 AS y FROM tp WHERE {_mono(0, 1)}) GROUP BY ALL
+SELECT key, ts_ns, 'cpu_pct' AS mid, round(sum(1e8 * n / dt ORDER BY dt), 6) AS y FROM (
+  SELECT CASE WHEN tgid = 0 THEN tid ELSE tgid END AS key, ts_ns, ts_ns - pt AS dt, sum({D(0)} + {D(1)})::DOUBLE AS n FROM tp WHERE {_mono(0, 1)} AND ts_ns <> pt GROUP BY ALL) GROUP BY ALL
 UNION ALL SELECT CASE WHEN tgid = 0 THEN tid ELSE tgid END, ts_ns, 'rss_mb', round(max(c2) / 1024, 6) FROM tp GROUP BY ALL
 """,
     ("tp",),
