@@ -9,67 +9,76 @@ from telemill.session import cut
 
 PER_OCTAVE = 128  # first digit: bins per doubling of the value
 BINS = 4096  # further digits: equal bins of what is left
+SORTED = 1024  # a bin of so many rows at most is sorted as one array
 
 
 def _first_digit(v: Column) -> Column:
-    """A number that never decreases with ``v``: at most 5 * 10^5 of them, about 0.5 % of the value wide."""
+    """A number that never decreases with ``v``: at most 10^6 of them, about 0.5 % of the value wide."""
     a = F.abs(v)
     octave = F.when((a == 0) | F.isnan(v), 0).when(a == float("inf"), 400_000).otherwise(F.floor(F.log2(a) * PER_OCTAVE) + 200_000)
     return F.when(F.isnan(v), 500_000).otherwise(F.signum(v) * octave).cast("int")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles of ``value`` per key group, one output column per entry of ``qs``.
-
-    Nulls do not count; NaN is largest. Groups are keyed as in a join: a null
-    key has no row. Rows are counted by (key, digit of the value) in map tasks;
-    the bin of a wanted rank is counted again by its next digit, all quantiles
-    and keys in one pass, until it holds one value only. The first digit is
-    logarithmic, further ones cut the values of their bin (least and greatest
-    seen) into ``BINS`` equal parts, so a pass leaves a 4096th of the range and
-    two or three passes do for most data. Only bins are ordered, never rows.
-    """
-    by = keys or ["__all"]
-    src = df if keys else df.withColumn("__all", F.lit(0))
-    src = src.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+def _select(src: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
+    """Quantiles of ``__v`` per group of the stored table ``src`` of (``by``, ``__v``), null values apart."""
     seen = [F.count(F.lit(1)).alias("c"), F.min("__v").alias("nlo"), F.max("__v").alias("nhi")]
+    before = lambda of: F.coalesce(F.sum("c").over(Window.partitionBy(*of).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = lambda r: (r >= F.col("b")) & (r < F.col("b") + F.col("c"))
+
+    def rows_of(bins: DataFrame) -> DataFrame:
+        near = src.join(bins.select(*by, "lo", "hi").distinct(), by)
+        return near.where((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
 
-    def descend(state: DataFrame, hist: DataFrame, of: list[str]) -> DataFrame:
-        """The wanted ranks inside the bins (``__d`` of ``of``) that hold them."""
-        ahead = F.sum("c").over(Window.partitionBy(*of).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1))
-        met = state.join(hist.withColumn("b", F.coalesce(ahead, F.lit(0))), of).where((F.col("r") >= F.col("b")) & (F.col("r") < F.col("b") + F.col("c")))
-        return met.select(*by, "__n", "j", (F.col("r") - F.col("b")).alias("r"), F.col("nlo").alias("lo"), F.col("nhi").alias("hi"))
+    def into(met: DataFrame) -> DataFrame:
+        return met.select(*by, "__n", "j", (F.col("r") - F.col("b")).alias("r"), "c", F.col("nlo").alias("lo"), F.col("nhi").alias("hi"))
 
     first = cut(src.groupBy(*by, _first_digit(F.col("__v")).alias("__d")).agg(*seen))
-    total = first.groupBy(*by).agg(F.sum("c").alias("__n"))
-    # two wanted ranks per quantile, below and above
-    ranks = [f(F.lit(q) * (F.col("__n") - 1)).cast("long") for q in qs.values() for f in (F.floor, F.ceil)]
-    state = cut(descend(total.select(*by, "__n", F.posexplode(F.array(*ranks)).alias("j", "r")), first, by))
-    inside, stored = src, False
-    while state.where("lo < hi").limit(1).count():
-        open_, of = state.where("lo < hi"), [*by, "lo", "hi"]
-        near = inside.select(*by, "__v").join(open_.select(*of).distinct(), by).where((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-        if not stored:  # later passes read these rows only
-            near = inside = cut(near)
-            stored = True
+    placed = first.withColumns({"b": before(by), "__n": F.sum("c").over(Window.partitionBy(*by))})
+    # two wanted ranks per quantile, below and above, each in the bin that holds it
+    ranks = [F.struct(F.lit(k).alias("j"), f(F.lit(q) * (F.col("__n") - 1)).cast("long").alias("r")) for k, (q, f) in enumerate((q, f) for q in qs.values() for f in (F.floor, F.ceil))]
+    state = cut(into(placed.select(*placed.columns, F.inline(F.filter(F.array(*ranks), lambda x: inside(x["r"]))))))
+    of = [*by, "lo", "hi"]
+    large = (F.col("lo") < F.col("hi")) & (F.col("c") > SORTED)
+    while state.where(large).limit(1).count():
+        wide = state.where(large)
         digit = F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).cast("int")
-        fine = near.groupBy(*of, digit.alias("__d")).agg(*seen)
-        state = cut(state.where("lo = hi").unionByName(descend(open_, fine, of)))
-    at = lambda j: F.max(F.when(F.col("j") == j, F.col("lo")))
+        fine = rows_of(wide).groupBy(*of, digit.alias("__d")).agg(*seen)
+        state = cut(state.where(~large).unionByName(into(wide.drop("c").join(fine.withColumn("b", before(of)), of).where(inside(F.col("r"))))))
+    ordered = rows_of(state.where("lo < hi")).groupBy(*of).agg(F.sort_array(F.collect_list("__v")).alias("vs"))
+    got = state.join(ordered, of, "left").withColumn("v", F.when(F.col("vs").isNull(), F.col("lo")).otherwise(F.get("vs", F.col("r").cast("int"))))
+    at = lambda j: F.max(F.when(F.col("j") == j, F.col("v")))
     out = []
     for i, (name, q) in enumerate(qs.items()):
         rank = F.lit(q) * (F.max("__n") - 1)
         out.append((at(2 * i) + (at(2 * i + 1) - at(2 * i)) * (rank - F.floor(rank))).alias(name))
-    return state.groupBy(*by).agg(*out).select(*keys, *qs)
+    return got.groupBy(*by).agg(*out)
+
+
+def _slim(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, list[str]]:
+    src = df if keys else df.withColumn("__all", F.lit(0))
+    by = keys or ["__all"]
+    return cut(src.dropna(subset=[*by, value]).select(*by, F.col(value).cast("double").alias("__v"))), by
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles of ``value`` per key group, one output column per entry of ``qs``.
+
+    Nulls do not count; NaN is largest. Groups are keyed as in a join: a null
+    key has no row. Keys and values are stored once; then rows are counted by
+    (key, digit of the value) in map tasks, and the bin of a wanted rank again
+    by its next digit, all quantiles and keys in one pass, until it holds one
+    value or at most ``SORTED`` rows. The first digit is logarithmic, further
+    ones cut the values of their bin (least and greatest seen) into ``BINS``
+    equal parts, so a pass leaves a 4096th of the range. Only bins are ordered
+    by a window, never rows.
+    """
+    src, by = _slim(df, keys, value)
+    return _select(src, by, qs).select(*keys, *qs)
 
 
 def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median and median absolute deviation per key group."""
-    med = exact_quantiles(df, keys, value, {"median": 0.5})
-    if keys:
-        dev = df.where(F.col(value).isNotNull()).join(med, keys)
-    else:
-        dev = df.where(F.col(value).isNotNull()).withColumn("median", med.scalar())
-    dev = dev.select(*keys, F.abs(F.col(value) - F.col("median")).alias("__dev"))
-    mad = exact_quantiles(dev, keys, "__dev", {"mad": 0.5})
-    return med.join(mad, keys) if keys else mad.withColumn("median", med.scalar())
+    src, by = _slim(df, keys, value)
+    med = cut(_select(src, by, {"median": 0.5}))
+    mad = _select(src.join(med, by).select(*by, F.abs(F.col("__v") - F.col("median")).alias("__v")), by, {"mad": 0.5})
+    return med.join(mad, by).select(*keys, "median", "mad")
