@@ -31,9 +31,9 @@ from telemill.session import cut
 
 END = "\r\n\r\n"
 SPLIT = 4 << 20  # bytes of a file searched by one task
-HEAD = 64 << 10  # longest record head
-OVER = 1 << 20  # bytes read beyond the end of a split
-PER_FILE = 4000  # records per file
+OVER = 1 << 20  # bytes read beyond the end of a split; 16 times as many where a record head goes on
+# records per file by their payload's size, so that a file holds about 256 MB at most
+PER_FILE = ((64 << 10, 4000), (1 << 20, 256), (16 << 20, 16), (None, 1))
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -60,16 +60,20 @@ def _digests(rows: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
     return rows.mapInArrow(run, rows.schema.simpleString()[7:-1] + ",size:bigint,digest:string,place:bigint,maybe:boolean")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0, per_file: int = PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0, per_file=PER_FILE) -> None:
     """Write one record per row under ``path``; a null payload is empty, a null uri is left out.
 
+    ``per_file`` pairs the payload size (exclusive, None for none) with the
+    records that a file of such payloads may hold; each class goes to files of
+    its own, and only classes that occur are written.
+
     Payloads of at least ``least`` bytes are stored once: rows with the largest
     id of their payload are responses (several if that id repeats, null ids
     count as smallest), the others revisits without body.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    marks = _digests(rows).where(F.col("size") >= least)
-    best = cut(marks.groupBy("digest", "place").agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "best", "place"))
+    marks = _digests(rows)
+    best = cut(marks.where(F.col("size") >= least).groupBy("digest", "place").agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "best", "place"))
     # only payloads that may be repeated are shuffled; the others are written where they are read
     told = _digests(rows, key_filter(best, "place")).withColumn("__row", F.xxhash64("id", "uri"))
     alone = told.where(~F.col("maybe")).withColumn("best", F.lit(None).cast("long"))
@@ -86,12 +90,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
         line("WARC-Target-URI", uri), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("best"), F.lit(">")))),
         line("X-Payload-Bytes", F.col("size")), line("Content-Length", F.octet_length(body)), F.lit("\r\n"),
     )
-    full.select(F.concat(head, body).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    sized = full.select(F.concat(head, body).alias("value"), F.octet_length(body).alias("bytes"))
+    longest = rows.agg(F.max(F.octet_length("payload"))).first()[0] or 0
+    low = 0
+    for high, most in per_file:
+        if low and longest < low:
+            break
+        inside = (F.col("bytes") >= low) & ((F.col("bytes") < high) if high and longest >= high else F.lit(True))
+        sized.where(inside).select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+        low = high
 
 
 def _parse(data: bytes, at: int) -> tuple[int, int, dict] | None:
-    """Head end, record end and header of a candidate, relative to ``data``; None without a length."""
-    stop = data.find(b"\r\n\r\n", at, at + HEAD)
+    """Head end, record end and header of a candidate, relative to ``data``; None without a length or an end of the head."""
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         return None
     head = {}
@@ -108,34 +120,61 @@ def _number(text: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def candidates(files: DataFrame, split: int = SPLIT) -> DataFrame:
+_FOUND = ["file", "at", "body", "to", "leaves", "file_bytes", "mark", "id", "kind", "digest", "refers", "uri", "again"]
+_FOUND_KINDS = [pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+
+def candidates(files: DataFrame, split: int = SPLIT, over: int = OVER) -> DataFrame:
     """Every place that looks like a record: ``file, at, to`` (its end) and ``leaves``, where its chain leaves the split.
 
-    ``mark`` is the digest of the payload bytes, null where they reach beyond what the task has read.
+    ``mark`` is the digest of the payload bytes, null where they reach beyond
+    what the task has read. A split with a head that does not end there is
+    searched again with more bytes, until its heads end or the file does.
     """
+    base = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("base")
+    part = lambda: F.substring("content", (F.col("base") + 1).cast("int"), F.lit(split + over)).alias("data")
+    parts = files.select("path", "length", "content", base).select("path", "base", "length", part())
+    found = None
+    while True:
+        now = cut(_searched(parts, split))
+        done = now.where("again is null")
+        found = done if found is None else found.unionByName(done)
+        if not now.where("again is not null").take(1):
+            return found.drop("again")
+        starts = cut(now.where("again is not null").select(F.col("file").alias("path"), F.col("again").alias("base")))
+        over *= 16
+        parts = files.join(starts, "path").select("path", "base", "length", part())
+
+
+def _searched(parts: DataFrame, split: int) -> DataFrame:
+    """The candidates of splits (path, base, length, data); one row with ``again`` for a split that must be read further."""
 
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
             for file, base, size, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                found = []
+                found, whole = [], base + len(data) >= size
+                short = False
                 for m in _MAGIC.finditer(data):
-                    if m.start() < split and (got := _parse(data, m.start())):
-                        found.append((m.start(), got))
+                    if m.start() < split:
+                        got = _parse(data, m.start())
+                        short |= got is None and not whole and data.find(b"\r\n\r\n", m.start()) < 0
+                        if got:
+                            found.append((m.start(), got))
+                if short:
+                    rows.append((file, None, None, None, None, size, None, None, None, None, None, None, base))
+                    continue
                 leaves: dict[int, int] = {}
                 for at, (_, to, head) in reversed(found):
                     leaves[at] = leaves.get(to, base + to)
                 rows += [
-                    (file, base + at, base + body, base + to, leaves[at], size, digest(data[body : to - 4]) if to <= len(data) else None, _number(head.get("warc-record-id")), head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:"), _number(head.get("warc-refers-to")), head.get("warc-target-uri"))
+                    (file, base + at, base + body, base + to, leaves[at], size, digest(data[body : to - 4]) if to <= len(data) else None, _number(head.get("warc-record-id")), head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:"), _number(head.get("warc-refers-to")), head.get("warc-target-uri"), None)
                     for at, (body, to, head) in found
                 ]
-            kinds = [pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            cols = list(zip(*rows)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file", "at", "body", "to", "leaves", "file_bytes", "mark", "id", "kind", "digest", "refers", "uri"])
+            cols = list(zip(*rows)) or [[]] * len(_FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _FOUND_KINDS)], _FOUND)
 
-    starts = files.select("path", "length", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("base"))
-    parts = starts.select("path", "base", "length", F.substring("content", (F.col("base") + 1).cast("int"), F.lit(split + OVER)).alias("data"))
-    return parts.mapInArrow(run, "file string, at long, body long, to long, leaves long, file_bytes long, mark string, id long, kind string, digest string, refers long, uri string")
+    return parts.mapInArrow(run, "file string, at long, body long, to long, leaves long, file_bytes long, mark string, id long, kind string, digest string, refers long, uri string, again long")
 
 
 def reachable(found: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -169,10 +208,18 @@ def reachable(found: DataFrame, split: int = SPLIT) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
-    """Verified records: ``file, at, body, to, mark, id, kind, digest, refers, uri``; ``mark`` is computed from the bytes read."""
+    """Verified records: ``file, at, body, to, mark, id, kind, digest, refers, uri``; ``mark`` is computed from the bytes read.
+
+    A file whose chain does not end with the file is an error: a record of it is
+    damaged, and those behind it cannot be told from payload.
+    """
     files = spark.read.format("binaryFile").load(path)
     found = cut(candidates(files, split))
     records = cut(found.join(reachable(found, split), ["file", "at"]))
+    ends = files.select(F.col("path").alias("file"), "length").join(records.groupBy("file").agg(F.max("to").alias("end")), "file", "left")
+    short = ends.where(F.coalesce("end", F.lit(0)) != F.col("length")).take(1)
+    if short:
+        raise ValueError(f"the chain of records in {short[0]['file']} ends at {short[0]['end'] or 0} of {short[0]['length']} bytes")
     long = records.where("mark is null").select("file", "at", "body", "to")
 
     def run(batches):
@@ -197,8 +244,9 @@ def archive_roundtrip(pages: DataFrame, path: str, id_col: str = "page_id", uri_
     """
     write_archives(pages, path, id_col, uri_col, payload_col, least)
     records = read_archives(pages.sparkSession, path).withColumn("size", F.col("to") - F.col("body") - 4)
-    target = records.where("kind = 'response'").groupBy("id").agg(F.first("size").alias("full"), F.first("mark").alias("full_mark"))
-    out = salted_join(records, target.withColumnRenamed("id", "refers"), "refers", "id", "left")
+    records = records.withColumn("key", F.concat_ws(":", "refers", "digest"))  # an id may repeat with another payload
+    target = records.where("kind = 'response'").groupBy(F.concat_ws(":", "id", "mark").alias("key")).agg(F.first("size").alias("full"), F.first("mark").alias("full_mark"))
+    out = salted_join(records, target, "key", "id", "left")
     revisit = F.col("kind") == "revisit"
     return out.select(
         F.col("id").alias("page_id"), F.when(revisit, F.col("full")).otherwise(F.col("size")).alias("payload_bytes"), F.when(revisit, F.col("full_mark")).otherwise(F.col("mark")).alias("payload_digest"),
