@@ -42,8 +42,8 @@ _PLAIN = {c: s for s in _SETS for c in s}
 
 _NAME = r"[^\W\d_a-z](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 _PATTERNS = (  # kind, a string or pattern without which the search is spared, pattern; group 1, if any, is the entity
-    ("email", "@", re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")),
-    ("secret", re.compile("[=:]"), re.compile(r"(?i:(?<!\w)(?:password|passwd|pwd|token|api[_-]?key|secret)\s{0,4}[=:]\s{0,4}[\"']?)([^\s\"']{5,199}[^\s\"'.,;:!?)\]}])")),
+    ("email", "@", re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[\w-]{1,63}\.)+[^\W\d_]{2,24}(?![\w-])")),
+    ("secret", re.compile("[=:]"), re.compile(r"(?i:(?<!\w)(?:password|passwd|pwd|token|api[_-]?key|secret)[\"']?\s{0,4}[=:]\s{0,4}[\"']?)([^\s\"']{5,}[^\s\"'.,;:!?)\]}])")),
     ("key", "AKIA", re.compile(r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)")),
     ("iban", re.compile(r"[A-Z]{2}\d\d"), re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ip", re.compile(r"\d\.\d"), re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)")),
@@ -101,6 +101,15 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if not any(a < spans[-1][1] and spans[0][0] < b for a, b in taken):
                 taken.append((spans[0][0], spans[-1][1]))
                 found += spans
+    names: dict[str, tuple[str, str]] = {}
+    for a, b, kind, form in sorted(found):
+        if kind.startswith(("given", "family")) and b - a >= 3:
+            names.setdefault(text[a:b], (kind, form))
+            names.setdefault(text[a:b].upper(), (kind, form))
+    if names:  # further mentions of a part of a name, without title
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)", text):
+            if not any(a < m.end() and m.start() < b for a, b in taken):
+                found.append((m.start(), m.end(), *names[m[0]]))
     return sorted(found)
 
 
