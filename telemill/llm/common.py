@@ -40,6 +40,11 @@ def fanned_join(left: DataFrame, right: DataFrame, key: str, spread: str, per: i
     return dealt.join(many, [key, "__slot"]).drop("__slot")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python in batches bounded by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """0-based position of each row along ``order``, which should tell rows apart: ranges are ordered in their own tasks."""
     ranged = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))

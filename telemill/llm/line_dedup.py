@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm import text as T
-from telemill.llm.common import fanned_join, key_filter, marked, places, salted_join
+from telemill.llm.common import fanned_join, key_filter, marked, places, salted_join, small_batches
 from telemill.session import cut
 
 SPAN = 3  # lines that a match may grow on either side; more if they have under LEAST_WORDS words
@@ -116,6 +116,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A further column ``copy_col``, if wanted, tells whether all lines were removed
     and were found in one earlier text.
     """
+    small_batches(docs.sparkSession)
     extra = [copy_col] if copy_col else []
     base = docs.drop("n_lines", "n_removed", *extra)
     src = base.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")

@@ -8,6 +8,7 @@ words collide with a chance near 2^-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 TABLE[ord("A") : ord("Z") + 1] = TABLE[ord("a") : ord("z") + 1]
 BASE = U(0x9E3779B97F4A7C15)
 UNBASE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SEGMENT = 1 << 21  # bytes hashed at a time; bounds the working arrays
+SEGMENT = 1 << 19  # bytes hashed at a time; bounds the working arrays
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -129,8 +130,16 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     return h, to
 
 
+def release() -> None:
+    """Give freed memory back, so that a worker that is used again starts small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most about ``limit`` bytes of text, one row at least."""
+    """Record batches of at most about ``limit`` bytes of text, one row at least; freed memory goes back at the end."""
     for batch in batches:
         _, bounds = buffers(batch.column(batch.schema.get_field_index(text)))
         start = 0
@@ -138,3 +147,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -
             end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + limit, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    release()
