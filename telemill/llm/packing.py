@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm import text as T
+from telemill.llm.common import small_batches
 
 WINDOW = 2048
 END_ID = 1
 SHARD = 50_000  # pieces per shard, on average
-CACHE = 3_000_000  # encoded words a worker keeps, about 100 MB
+CACHE = 1_000_000  # encoded words a worker keeps, about 30 MB
+SLICE = 1 << 19  # bytes of text encoded at a time
 CASED = np.random.default_rng(0xCA5E).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -162,7 +164,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, window: int, end_id: int) -> DataFrame:
     """One row per piece of each document: ``doc_id, start, length, ids_crc32, doc_tokens``."""
     def run(batches):
-        for batch in T.slices(batches, "text"):
+        for batch in T.slices(batches, "text", SLICE):
             rows: list[tuple] = []
             ids, to = encoder(tokenizer).encode(batch.column(1))
             raw = np.insert(ids, to[1:], end_id).astype("<u4").tobytes()
@@ -202,6 +204,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     A null or empty text is the end id alone. Rows that repeat an id are packed
     each; a null id stays null. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     cut_pieces = pieces(docs, tokenizer, id_col, text_col, window, end_id)
     chars = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows"))
     # one piece per document and full window, a token has two bytes at least on average

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm import text as T
+from telemill.llm.common import small_batches
 from telemill.session import cut
 
 SAMPLE = 20_000
@@ -201,7 +202,7 @@ def sketched(rows: DataFrame) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, training: Column, calibration: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, carry: bool = False) -> DataFrame:
-    """Per row ``doc_id`` and ``score`` in 0..1, with ``carry`` all input columns and ``score``.
+    """Per row ``doc_id`` and ``score`` in 0..1, with ``carry`` all input columns and ``score``, which replaces one of that name.
 
     ``training`` and ``calibration`` are conditions on the id; rows of the second
     are used for isotonic regression only. Labels may repeat (the largest counts)
@@ -209,6 +210,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, training: Column, calibr
     like any other. Rows that repeat an id are scored each. Without labels of
     both classes every score is the share of toxic labels, or 0.
     """
+    small_batches(docs.sparkSession)
+    docs = docs.drop("score") if carry else docs
     chosen = labels.where(training & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic")).where("toxic is not null")
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     marked = chosen.select(F.col("id").alias(id_col), "toxic").withColumn("calibrates", calibration)
