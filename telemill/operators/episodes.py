@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from telemill.operators import ordered, windows
+from telemill.session import cut
 
 SECOND = 1_000_000_000
 # Counters of the process series, the thread series and the contention that ranks threads.
@@ -115,19 +113,21 @@ def episodes(ticks: DataFrame, host: str, chunk: Column, post_ns: int = 180 * SE
 
     The first anomaly opens an episode that lasts to its deadline and is not
     re-entered. It ends at the first of ``debounce`` normal ticks in a row,
-    else when it closes; the last tick closes an open one.
+    else when it closes, at the first tick from the deadline on; the last tick
+    closes an open one. Starts are a greedy choice; ends follow from counts of
+    the runs of normal ticks inside an episode.
     """
-    last = ticks.groupBy(host).agg(F.max("ts_ns").alias("__last"))
-    rows = ticks.join(last, host).select(host, "ts_ns", "is_anomaly", (F.col("ts_ns") == F.col("__last")).alias("final"))
-    rows = rows.groupBy(host, "ts_ns").agg(F.max("is_anomaly").alias("is_anomaly"), F.max("final").alias("final"))
-    schema = T.StructType([ticks.schema[host], *[T.StructField(c, T.LongType()) for c in ("start_ns", "end_ns", "deadline_ns", "closed_ns")]])
-
-    def step(pdf: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
-        closed, after = advance(json.loads(state), zip(pdf["ts_ns"], pdf["is_anomaly"], pdf["final"]), post_ns, debounce)
-        key = pdf[host].iloc[0]
-        return pd.DataFrame([(key, *c) for c in closed], columns=schema.names), json.dumps(after)
-
-    return ordered.fold(rows, [host], ["ts_ns"], chunk, step, "[null, null, null, 0]", schema)
+    rows = cut(ticks.groupBy(host, "ts_ns").agg(F.coalesce(F.max("is_anomaly"), F.lit(False)).alias("is_anomaly")))
+    starts = ordered.greedy(rows, [host], ["ts_ns"], "ts_ns", "is_anomaly", post_ns, chunk, skip=1).select(host, "ts_ns", F.lit(True).alias("opens"))
+    at = {"start_ns": ("last", F.when(F.col("opens"), F.col("ts_ns"))), "run": ("sum", F.col("is_anomaly").cast("long"))}
+    inside = cut(ordered.running(rows.join(starts, [host, "ts_ns"], "left"), [host], ["ts_ns"], at, chunk).where("start_ns is not null"))
+    late = F.when(F.col("ts_ns") >= F.col("start_ns") + post_ns, F.col("ts_ns"))
+    closed = inside.groupBy(host, "start_ns").agg(F.coalesce(F.min(late), F.max("ts_ns")).alias("closed_ns"))
+    quiet = inside.where(~F.col("is_anomaly")).join(closed, [host, "start_ns"]).where("ts_ns <= closed_ns")
+    runs = quiet.groupBy(host, "start_ns", "run").agg(F.min("ts_ns").alias("ts_ns"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= debounce)
+    ends = runs.groupBy(host, "start_ns").agg(F.min("ts_ns").alias("end_ns"))
+    out = closed.join(ends, [host, "start_ns"], "left")
+    return out.select(host, "start_ns", F.coalesce("end_ns", "closed_ns").alias("end_ns"), (F.col("start_ns") + post_ns).alias("deadline_ns"), "closed_ns")
 
 
 def episode_series(eps: DataFrame, series: DataFrame, pre_ns: int, bucket: int, on: Sequence[str] = ()) -> DataFrame:

@@ -12,8 +12,11 @@ has chunks. Only the summaries, one row per chunk, are ordered per key.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -251,6 +254,180 @@ def fold(
     return src.join(states.select(*by, "__start"), by).groupBy(*by).applyInPandas(run_rows, schema)
 
 
+def scan(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    chunk: Column,
+    summarise: Callable[[pd.DataFrame], Any],
+    through: Callable[[Any, Any], Any],
+    replay: Callable[[pd.DataFrame, Any], pd.DataFrame],
+    initial: Any,
+    schema: T.StructType,
+) -> DataFrame:
+    """Order-dependent fold in two passes, for states whose steps compose.
+
+    ``summarise(rows)`` is what the sorted rows of one chunk do to any start
+    state, small and JSON-like; ``through(state, summary)`` applies it, chunk by
+    chunk along the key, one row each; ``replay(rows, state)`` makes the output
+    of a chunk from its true start state.
+    """
+    by = [*keys, CHUNK]
+    src = cut(_fresh(df, chunk))
+    key_fields = [src.schema[k] for k in by]
+    said = T.StructType([*key_fields, T.StructField("__s", T.StringType())])
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), json.dumps(summarise(rows))]], columns=[*by, "__s"])
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(CHUNK, kind="mergesort")
+        state, starts = initial, []
+        for s in pdf["__s"]:
+            starts.append(json.dumps(state))
+            state = through(state, json.loads(s))
+        return pdf.assign(__s=starts)[said.names]
+
+    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
+        return replay(rows, json.loads(pdf["__s"].iloc[0]))[[f.name for f in schema.fields]]
+
+    summaries = src.groupBy(*by).applyInPandas(sums, said)
+    along = [F.col(k) for k in keys] or [F.lit(0)]
+    starts = cut(summaries.groupBy(*along).applyInPandas(carry, said))
+    return src.join(starts, by).groupBy(*by).applyInPandas(rows_of, schema)
+
+
+class _Jumps:
+    """Greedy choice along sorted times: after a chosen row the next eligible one behind the time that it blocks."""
+
+    def __init__(self, ts: np.ndarray, eligible: np.ndarray, gap: int, skip: int):
+        n = self.n = len(ts)
+        self.ts, self.gap, self.skip = ts, gap, skip
+        at = np.where(eligible, np.arange(n), n)
+        self.ahead = np.append(np.minimum.accumulate(at[::-1])[::-1], [n] * (skip + 1))  # next eligible row from here
+        self.free = np.searchsorted(ts, ts + gap, side="left")  # first row that is not blocked
+        self.next = np.append(self.ahead[self.free + np.where(self.free < n, skip, 0)], n)
+
+    def end(self, i: int, ends: np.ndarray) -> int | None:
+        """State after the chunk if row ``i`` is chosen: the time until which its last chosen row blocks, None if free."""
+        last = int(ends[i])
+        return int(self.ts[last]) + self.gap if self.free[last] == self.n else None
+
+    def lasts(self) -> np.ndarray:
+        """Last chosen row of the chain from every row, by doubling."""
+        last = np.where(self.next < self.n, self.next, np.arange(self.n + 1))
+        while True:
+            further = last[last]
+            if (further == last).all():
+                return last
+            last = further
+
+    def chain(self, first: int) -> np.ndarray:
+        """Which rows are chosen from ``first`` on."""
+        mask, jump = np.zeros(self.n + 1, bool), self.next.copy()
+        mask[first] = True
+        while (jump < self.n).any():
+            mask[jump[np.flatnonzero(mask)]] = True
+            jump = jump[jump]
+        return mask[: self.n]
+
+
+def greedy(df: DataFrame, keys: list[str], order: list[str], ts: str, eligible: str | None, gap: int | None, chunk: Column, skip: int = 0) -> DataFrame:
+    """The rows chosen greedily along the key: the first eligible one, then the next one at least ``gap`` later.
+
+    ``skip`` rows that are not blocked any more are passed over first. With
+    ``gap`` null only the first is chosen. The choices made in a chunk depend on
+    the past through one time, until which the last chosen row blocks; a chunk
+    is summarised by the time that it hands on for each row that may end the
+    blocking, where consecutive rows that hand on the same are one entry.
+    """
+    wide = 1 << 62 if gap is None else gap
+
+    def jumps(rows: pd.DataFrame) -> _Jumps:
+        t = rows[ts].to_numpy(dtype=np.int64)
+        ok = np.ones(len(t), bool) if eligible is None else rows[eligible].fillna(False).to_numpy(dtype=bool)
+        return _Jumps(t, ok, min(wide, (1 << 62) - 1 - int(np.abs(t).max())), skip)
+
+    def summarise(rows: pd.DataFrame):
+        j = jumps(rows)
+        lasts = j.lasts()
+        result = lambda i: j.end(i, lasts) if i < j.n else None
+        runs: list[list] = []
+        for c in range(int(np.searchsorted(j.ts, j.ts[0] + j.gap, side="left")) + 1):
+            if c == j.n:
+                break
+            r = result(int(j.ahead[c + skip]))
+            if runs and runs[-1][1] == r:
+                runs[-1][0] = int(j.ts[c])
+            else:
+                runs.append([int(j.ts[c]), r])
+        return {"idle": result(int(j.ahead[0])), "runs": runs, "last": int(j.ts[-1])}
+
+    def through(state, s):
+        if state is None:
+            return s["idle"]
+        if state > s["last"]:
+            return state
+        return next((r for t, r in s["runs"] if t >= state), None)
+
+    def replay(rows: pd.DataFrame, state):
+        j = jumps(rows)
+        if state is None:
+            first = int(j.ahead[0])
+        else:
+            c = int(np.searchsorted(j.ts, state, side="left"))
+            first = int(j.ahead[c + skip]) if c < j.n else j.n
+        return rows[j.chain(first)]
+
+    return scan(df, keys, order, chunk, summarise, through, replay, None, df.schema)
+
+
+def clamped_walk(df: DataFrame, keys: list[str], order: Sequence, start: Column, shift: Column, low: Column, high: Column, chunk: Column, name: str, block: int = 512) -> DataFrame:
+    """Running value x = min(high, max(low, x + shift)) along the key, from ``start``; null bounds do not bind.
+
+    Clamped shifts compose to clamped shifts, so a block of ``block`` rows is one
+    (shift, low, high); blocks of blocks are composed level by level, the states
+    before them handed down again, and only the last level walks through rows.
+    """
+    inf = float("inf")
+    step = F.struct(shift.cast("double").alias("a"), F.coalesce(low.cast("double"), F.lit(-inf)).alias("lo"), F.coalesce(high.cast("double"), F.lit(inf)).alias("hi"))
+    clamp = lambda x, s: F.least(s["hi"], F.greatest(s["lo"], x + s["a"]))
+
+    def after(p, s):  # p, then s; as p's bounds are the least and greatest values, s is applied to them
+        return F.struct((p["a"] + s["a"]).alias("a"), clamp(p["lo"], s).alias("lo"), clamp(p["hi"], s).alias("hi"))
+
+    none = F.struct(F.lit(0.0).alias("a"), F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"))
+    src = with_index(df.withColumn("__step", step), keys, order, chunk, "__i")
+    kept = cut(src.withColumn("__b0", floor_div(F.col("__i"), F.lit(block))))
+    at = lambda level: [*keys, f"__b{level}"]
+    lists = [cut(kept.groupBy(*at(0)).agg(F.array_sort(F.collect_list(F.struct("__i", "__step"))).alias("__steps")))]
+    while lists[-1].select(F.max(f"__b{len(lists) - 1}")).first()[0]:  # blocks of blocks, until each key has one
+        k = len(lists)
+        whole = lists[-1].select(*at(k - 1), F.aggregate("__steps", none, lambda p, x: after(p, x["__step"])).alias("__step"))
+        whole = whole.withColumns({"__i": F.col(f"__b{k - 1}"), f"__b{k}": floor_div(F.col(f"__b{k - 1}"), F.lit(block))})
+        lists.append(cut(whole.groupBy(*at(k)).agg(F.array_sort(F.collect_list(F.struct("__i", "__step"))).alias("__steps"))))
+
+    def walked(level: int, begin: Column) -> Column:
+        """(position, value before, value after) of each step of a list."""
+        first = F.struct(begin.alias("x"), F.array().cast("array<struct<i:bigint,before:double,after:double>>").alias("out"))
+
+        def go(acc, s):
+            x = clamp(acc["x"], s["__step"])
+            return F.struct(x.alias("x"), F.array_append(acc["out"], F.struct(s["__i"].alias("i"), acc["x"].alias("before"), x.alias("after"))).alias("out"))
+
+        return F.aggregate("__steps", first, go)["out"]
+
+    top = len(lists) - 1
+    now = lists[top].withColumn("__x", start.cast("double"))
+    for k in range(top, 0, -1):
+        told = now.select(*keys, F.inline(walked(k, F.col("__x")))).select(*keys, F.col("i").alias(f"__b{k - 1}"), F.col("before").alias("__x"))
+        now = lists[k - 1].join(told, at(k - 1)) if keys else lists[k - 1].join(told, [f"__b{k - 1}"])
+    values = now.select(*keys, F.inline(walked(0, F.col("__x")))).select(*keys, F.col("i").alias("__i"), F.col("after").alias(name))
+    return kept.join(values, [*keys, "__i"]).drop("__i", "__b0", "__step")
+
+
 def with_time_halo(df: DataFrame, column: str, before: int, width: int) -> DataFrame:
     """Copy each row into its own time block and into the block that still looks ``before`` back at it.
 

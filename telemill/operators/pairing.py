@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from telemill.functions.integers import floor_div
 from telemill.functions.histograms import hist_percentile_us, latency_stats
@@ -133,21 +130,7 @@ def syscall_tables(calls: DataFrame) -> dict[str, DataFrame]:
 
 def rate_limit(df: DataFrame, keys: list[str], order: list[str], rate: int, chunk: Column, ts: str = "ts_ns") -> DataFrame:
     """Keep a row if it is the first of its key or (now - last kept) * rate >= 1e9."""
-
-    def step(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
-        last = int(state) if state else None
-        stamps = rows[ts].to_numpy()
-        keep = np.zeros(len(stamps), dtype=bool)
-        i = 0
-        while i < len(stamps):
-            if last is None or (int(stamps[i]) - last) * rate >= 1_000_000_000:
-                keep[i], last = True, int(stamps[i])
-            # everything nearer than the spacing is skipped at once
-            need = last + -(-1_000_000_000 // rate)
-            i = max(i + 1, int(np.searchsorted(stamps, need, side="left")))
-        return rows[keep], "" if last is None else str(last)
-
-    return ordered.fold(df, keys, order, chunk, step, "", df.schema)
+    return ordered.greedy(df, keys, order, ts, None, -(-1_000_000_000 // rate) if rate > 0 else None, chunk)
 
 
 def sample(df: DataFrame, n: int, by: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,24 +21,73 @@ from telemill.operators.quantile import exact_quantiles
 from telemill.session import cut
 
 
+BLOCK = 512  # rows of a sum at a time, which keeps its rounding small
+
+
+def _cusum_path(d: np.ndarray, h: float, s: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Statistic and alarm per row of the drifts ``d`` from state ``s``, and the end state; a NaN restarts at 0."""
+    n = len(d)
+    stat, alarm = np.zeros(n), np.zeros(n, np.int32)
+    gaps = np.append(np.flatnonzero(np.isnan(d)), n)
+    i = g = 0
+    while i < n:
+        if i == gaps[g]:
+            s, i, g = 0.0, i + 1, g + 1
+            continue
+        a = np.cumsum(d[i : min(i + BLOCK, gaps[g])])
+        x = np.maximum(s + a, a - np.minimum(np.minimum.accumulate(a), 0.0))
+        hits = np.flatnonzero(x > h)
+        end = i + (int(hits[0]) + 1 if len(hits) else len(a))
+        stat[i:end] = x[: end - i]
+        if len(hits):
+            alarm[end - 1], s = 1, 0.0
+        else:
+            s = float(x[-1])
+        i = end
+    return stat, alarm, s
+
+
 def cusum(df: DataFrame, keys: list[str], order: list[str], score: str, chunk: Column) -> DataFrame:
-    """s = max(0, s + x - k); alarm and restart at 0 when s > h. Rows carry their series' ``k`` and ``h``."""
+    """s = max(0, s + x - k); alarm and restart at 0 when s > h. Rows carry their series' ``k`` and ``h``.
+
+    From a start state s the rows of a chunk give max(s + a, b) with the sums a
+    and the statistic b from 0, until the first alarm: the first row where b > h
+    or a > h - s. So a chunk is the rows at which a reaches a new height, each
+    with the end state after a restart there, and the last a and b.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("stat", T.DoubleType()), T.StructField("alarm", T.IntegerType())])
 
-    def step(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
-        s = float.fromhex(state)
-        k, h = float(rows["k"].iloc[0]), float(rows["h"].iloc[0])
-        stat, alarm = [], []
-        for x in rows[score].to_numpy():
-            s = max(0.0, s + x - k)
-            stat.append(s)
-            hit = s > h
-            alarm.append(int(hit))
-            if hit:
-                s = 0.0
-        return rows.assign(stat=stat, alarm=alarm), float(s).hex()
-
-    return ordered.fold(df, keys, order, chunk, step, (0.0).hex(), schema)
+    def parts(rows: pd.DataFrame) -> tuple[np.ndarray, float]:
+        return rows[score].to_numpy(dtype=float) - float(rows["k"].iloc[0]), float(rows["h"].iloc[0])
+
+    def summarise(rows: pd.DataFrame):
+        d, h = parts(rows)
+        stat, alarm, end = _cusum_path(d, h, 0.0)
+        rest = alarm.astype(bool) | np.isnan(d)
+        stop = int(np.argmax(rest)) if rest.any() else len(d)  # here every start meets the path from 0
+        a = np.cumsum(d[:stop])
+        top = np.maximum.accumulate(np.append(0.0, a))
+        heights = []
+        for i in np.flatnonzero(a > top[:-1]).tolist():
+            again = _cusum_path(d[i + 1 :], h, 0.0)[2]
+            if heights and heights[-1][1] == again:
+                heights[-1][0] = float(a[i])
+            else:
+                heights.append([float(a[i]), again])
+        return {"h": h, "heights": heights, "sum": float(a[-1]) if stop == len(d) else None, "end": end}
+
+    def through(s: float, x) -> float:
+        for height, end in x["heights"]:
+            if height > x["h"] - s:
+                return end
+        return x["end"] if x["sum"] is None else max(s + x["sum"], x["end"])
+
+    def replay(rows: pd.DataFrame, s: float) -> pd.DataFrame:
+        d, h = parts(rows)
+        stat, alarm, _ = _cusum_path(d, h, s)
+        return rows.assign(stat=stat, alarm=alarm)
+
+    return ordered.scan(df, keys, order, chunk, summarise, through, replay, 0.0, schema)
 
 
 def cusum_limits(train: DataFrame, keys: list[str], score: str) -> DataFrame:
