@@ -78,36 +78,6 @@ def evidence_series(deep: DataFrame, memory: DataFrame, by: Sequence[str] = ("or
     return process_series(deep, by).unionByName(thread_series(deep, by, n)).unionByName(memory_series(memory, by))
 
 
-IDLE = [None, None, None, 0]
-
-
-def advance(state: list, ticks, post_ns: int, debounce: int) -> tuple[list[tuple], list]:
-    """Run ticks (ts, anomalous, final) through one host's episode state.
-
-    The state is start, end, first normal tick and normal ticks in a row; the
-    start is null outside an episode. Returns the closed episodes and the new
-    state.
-    """
-    start, end, first, normal = state
-    closed = []
-    for ts, bad, final in ticks:
-        ts = int(ts)
-        if start is None:
-            if bad:
-                start, end, first, normal = ts, None, None, 0
-        elif bad:
-            first, normal = None, 0
-        else:
-            first = ts if normal == 0 else first
-            normal += 1
-            if normal >= debounce and end is None:
-                end = first
-        if start is not None and (ts >= start + post_ns or final):
-            closed.append((start, ts if end is None else end, start + post_ns, ts))
-            start, end, first, normal = IDLE
-    return closed, [start, end, first, normal]
-
-
 def episodes(ticks: DataFrame, host: str, chunk: Column, post_ns: int = 180 * SECOND, debounce: int = 3) -> DataFrame:
     """K5: (host, start_ns, end_ns, deadline_ns, closed_ns).
 

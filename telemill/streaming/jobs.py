@@ -1,7 +1,10 @@
 """Structured Streaming forms of the per-key operators (R family).
 
-State is per key and small; a micro-batch holds what arrived since the last
-one, so a key's rows of one batch are sorted in the task that owns its state.
+Rows wait in their key's state until the watermark has passed them and are then
+applied in event-time order, so results do not depend on how rows fell into
+batches; rows behind the watermark are dropped by the engine. A timer in event
+time wakes a key for waiting rows and for what is due without any row. State
+that is due for nothing is removed.
 """
 
 from __future__ import annotations
@@ -11,14 +14,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from telemill.functions.integers import floor_div
 from telemill.operators import detect, stats as st, windows
-from telemill.operators.episodes import IDLE, advance
 from telemill.session import fresh_path
 
 
@@ -42,8 +44,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append", feed: Iterable[Cal
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
 
-def _stateful(stream: DataFrame, keys: list[str], order: list[str], out: T.StructType, initial, step: Callable) -> DataFrame:
-    """Per key: ``step(rows, state) -> (output rows, state)`` with a JSON state."""
+def _by_arrival(stream: DataFrame, keys: list[str], order: list[str], out: T.StructType, initial, step: Callable) -> DataFrame:
+    """Per key, in the order of arrival: ``step(rows, state) -> (output rows, state)`` with a JSON state."""
     names = [f.name for f in out.fields]
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,40 +58,151 @@ def _stateful(stream: DataFrame, keys: list[str], order: list[str], out: T.Struc
     return stream.groupBy(*keys).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+MS = 1_000_000
+
+
+def event_time_fold(
+    stream: DataFrame, keys: list[str], order: list[str], rows: list[str], out: T.StructType, initial, step: Callable, due: Callable, lateness: str, ts: str = "ts_ns"
+) -> DataFrame:
+    """Fold each key's rows in event-time order, exactly once, with event-time timers.
+
+    ``step(row, state)`` takes one row as a dict and returns (output rows,
+    state); ``due(state)`` is the time in ns at which ``step(None, state)`` has
+    to run, or None. All rows with a
+    time (in ms) before the watermark have been applied when a batch ends, and
+    whatever is due before it has been run, in order of time. A state equal to
+    ``initial`` with nothing waiting is removed.
+    """
+    columns = list(dict.fromkeys([*rows, *order, ts]))
+    kinds = {"long": "Int64", "integer": "Int32", "double": "float64"}
+
+    def advance(state, until: int | None, made: list):
+        """Run what is due before ``until`` (inclusive)."""
+        while (at := due(state)) is not None and until is not None and at <= until:
+            found, state = step(None, state)
+            made += found
+        return state
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"waiting": [], "fold": initial}
+        waiting, fold = held["waiting"], held["fold"]
+        for batch in batches:
+            waiting += [[x.item() if hasattr(x, "item") else x for x in r] for r in batch[columns].itertuples(index=False, name=None)]
+        now = state.getCurrentWatermarkMs()
+        at, by = columns.index(ts), [columns.index(o) for o in order]
+        waiting.sort(key=lambda r: [r[i] for i in by])
+        ready = [r for r in waiting if r[at] // MS < now]
+        waiting = [r for r in waiting if r[at] // MS >= now]
+        made: list = []
+        for r in ready:
+            fold = advance(fold, r[at], made)
+            found, fold = step(dict(zip(columns, r, strict=True)), fold)
+            made += found
+        fold = advance(fold, now * MS - 1, made)
+        if waiting or fold != initial:
+            state.update((json.dumps({"waiting": waiting, "fold": fold}),))
+            times = [min(r[at] for r in waiting)] if waiting else []
+            times += [t for t in [due(fold)] if t is not None]
+            if times:
+                state.setTimeoutTimestamp(max(now, min(times) // MS, 1))
+        elif state.exists:
+            state.remove()
+        if made:
+            yield pd.DataFrame([[*key, *m] for m in made], columns=out.names).astype({f.name: kinds[f.dataType.typeName()] for f in out.fields if f.dataType.typeName() in kinds})
+
+    timed = with_event_time(stream, ts).withWatermark("ts", lateness)
+    return timed.groupBy(*keys).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _key_and(stream: DataFrame, keys: list[str], fields: list[T.StructField]) -> T.StructType:
+    return T.StructType([*[stream.schema[k] for k in keys], *fields])
+
+
 def dedupe_in_watermark(points: DataFrame, tolerance: str = "5 seconds") -> DataFrame:
     """Native form; late rows are dropped by later stateful steps, repeats within the tolerance here."""
     return with_event_time(points).withWatermark("ts", tolerance).dropDuplicatesWithinWatermark(["entity_id", "metric_id", "ts_ns", "quality"])
 
 
-def label_late(points: DataFrame, source: str, arrival: str, tolerance_ns: int = 5_000_000_000) -> DataFrame:
-    """R1 with rejects: every row labelled accepted or late, against the newest time its source has shown."""
-    out = T.StructType([points.schema[source], points.schema[arrival], T.StructField("ts_ns", T.LongType()), T.StructField("status", T.StringType())])
+def accept_or_reject(points: DataFrame, source: str, arrival: str, identity: list[str], tolerance_ns: int = 5_000_000_000) -> DataFrame:
+    """Every row with its ``status``: accepted, late or duplicate.
+
+    Rows count in the order of arrival. A row is late if it is more than the
+    tolerance behind the newest time that its source has shown before; else it
+    is a duplicate if one with the same ``identity`` and time came before. What a
+    source must remember is its newest time and the rows within the tolerance
+    of it: older ones would be late. Accepted and rejected rows together are the input.
+    """
+    kept = list(dict.fromkeys([source, arrival, *identity, "ts_ns"]))
+    out = T.StructType([*[points.schema[c] for c in kept], T.StructField("status", T.StringType())])
 
-    def step(rows, newest):
+    def step(rows, state):
+        newest, seen = state
         ts = rows["ts_ns"].to_numpy()
         top = np.maximum.accumulate(ts) if newest is None else np.maximum(np.maximum.accumulate(ts), newest)
         before = np.concatenate([[ts[0] if newest is None else newest], top[:-1]])
-        return rows.assign(status=np.where(ts < before - tolerance_ns, "late", "accepted")), int(top[-1])
+        late = ts < before - tolerance_ns
+        ids = rows[[*identity, "ts_ns"]].astype(object).where(rows[[*identity, "ts_ns"]].notna(), None)
+        marks = pd.Series([json.dumps(list(r), default=str) for r in ids.itertuples(index=False, name=None)])
+        fresh = marks.where(~late)
+        again = ~late & (fresh.isin(set(seen)) | fresh.duplicated()).to_numpy()
+        newest = int(top[-1])
+        near = (ts >= newest - tolerance_ns) & ~late & ~again
+        seen = [m for m in seen if json.loads(m)[-1] >= newest - tolerance_ns] + marks[near].tolist()
+        return rows.assign(status=np.where(late, "late", np.where(again, "duplicate", "accepted"))), [newest, seen]
 
-    return _stateful(points, [source], [arrival], out, None, step)
+    return _by_arrival(points.select(*kept), [source], [arrival], out, [None, []], step)
 
 
-def last_value_and_ewma(points: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.2) -> DataFrame:
-    """R2: step to the reading before (at least 0, silent on the first) and running EWMA per key."""
-    kept = [*keys, *order]
-    out = T.StructType([*[points.schema[c] for c in kept], T.StructField("step", T.DoubleType()), T.StructField("ewma", T.DoubleType())])
+def last_value_and_ewma(points: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.2, lateness: str = "5 seconds", expire_ns: int | None = None) -> DataFrame:
+    """R2: step to the reading before (at least 0, silent on the first) and running EWMA per key.
 
-    def step(rows, state):
-        last, y = state
-        steps, ys = [], []
-        for x in rows[value].tolist():
-            steps.append(None if last is None else max(0.0, x - last))
-            y = x if y is None else alpha * x + (1 - alpha) * y
-            last = x
-            ys.append(y)
-        return rows.assign(step=pd.Series(steps, dtype="float64"), ewma=ys), [last, y]
+    A key that is silent for ``expire_ns`` is forgotten and starts anew.
+    """
+    out = _key_and(points, keys, [*[points.schema[c] for c in order], T.StructField("step", T.DoubleType()), T.StructField("ewma", T.DoubleType())])
+
+    def step(row, state):
+        if row is None:
+            return [], None
+        x = row[value]
+        last, y, _ = state or (None, None, None)
+        y = x if y is None else alpha * x + (1 - alpha) * y
+        return [[*[row[c] for c in order], None if last is None else max(0.0, x - last), y]], [x, y, row["ts_ns"]]
+
+    due = lambda state: state[2] + expire_ns if state and expire_ns is not None else None
+    return event_time_fold(points, keys, order, [value], out, None, step, due, lateness)
 
-    return _stateful(points, keys, order, out, [None, None], step)
+
+def live_pairs(events: DataFrame, keys: list[str], order: list[str], begin: Column, end: Column, carry: list[str], earliest: bool = False, lateness: str = "5 seconds", expire_ns: int | None = None) -> DataFrame:
+    """R2: spans that end (P3, P4, P7, P8), with ``begin_ts``, the columns ``carry`` of their begin and ``lat_ns``.
+
+    The newest begin counts, or with ``earliest`` the first since the last end;
+    an end consumes it. A begin that is open for ``expire_ns`` is forgotten.
+    """
+    fields = [*[events.schema[c] for c in order], T.StructField("begin_ts", T.LongType()), *[events.schema[c] for c in carry], T.StructField("lat_ns", T.LongType())]
+    marked = events.withColumns({"__b": F.coalesce(begin, F.lit(False)), "__e": F.coalesce(end, F.lit(False))}).where("__b OR __e")
+
+    def step(row, state):
+        if row is None:
+            return [], None
+        if row["__b"]:
+            return [], state if earliest and state else [row["ts_ns"], *[row[c] for c in carry]]
+        found = [[*[row[c] for c in order], *state, max(0, row["ts_ns"] - state[0])]] if state else []
+        return found, None
+
+    due = lambda state: state[0] + expire_ns if state and expire_ns is not None else None
+    return event_time_fold(marked, keys, order, ["__b", "__e", *carry], _key_and(events, keys, fields), None, step, due, lateness)
+
+
+def live_points(channels: DataFrame, source: list[str], lateness: str = "5 seconds", expire_ns: int | None = None) -> DataFrame:
+    """R2: S9 in the stream: gauges pass, cumulative channels become max(0, step), silent on their first reading.
+
+    ``channels`` are the rows of ``messages.raw_channels``; columns as there, with ``value``.
+    """
+    keys = [*source, "entity_id", "metric_id"]
+    shown = [*keys, "ts_ns", "value"]
+    gauges = channels.where("kind = 'g'").withColumn("value", F.col("raw").cast("double")).select(*shown)
+    steps = last_value_and_ewma(channels.where("kind = 'c'").withColumn("x", F.col("raw").cast("double")), keys, ["ts_ns"], "x", lateness=lateness, expire_ns=expire_ns)
+    return gauges.unionByName(steps.where("step is not null").withColumn("value", F.col("step")).select(*shown))
 
 
 def sliding_stats(points: DataFrame, window: str = "60 seconds", stride: str = "30 seconds", lateness: str = "5 seconds") -> DataFrame:
@@ -102,29 +215,46 @@ def sliding_stats(points: DataFrame, window: str = "60 seconds", stride: str = "
     return agg.select(start.alias("w_start"), "entity_id", "metric_id", "n", "total", "top")
 
 
-def live_episodes(ticks: DataFrame, host: str, post_ns: int, debounce: int = 3) -> DataFrame:
-    """Episodes as they close; an open one waits in the state."""
-    out = T.StructType([ticks.schema[host], *[T.StructField(c, T.LongType()) for c in ("start_ns", "end_ns", "deadline_ns", "closed_ns")]])
-
-    def step(rows, state):
-        closed, after = advance(state, ((t, a, False) for t, a in zip(rows["ts_ns"], rows["is_anomaly"])), post_ns, debounce)
-        key = rows[host].iloc[0]
-        return pd.DataFrame([(key, *c) for c in closed], columns=out.names), after
-
-    return _stateful(ticks, [host], ["ts_ns"], out, IDLE, step)
-
-
-def ring_gaps(drains: DataFrame, key: str, capacity: int) -> DataFrame:
-    """Gap rows of an incremental drain; the newest head per ring is the state."""
-    out = T.StructType([drains.schema[key], *[T.StructField(c, T.LongType()) for c in ("ts_ns", "from_head", "to_head")]])
+def live_episodes(ticks: DataFrame, host: str, post_ns: int, debounce: int = 3, lateness: str = "5 seconds") -> DataFrame:
+    """Episodes as they close, at their deadline, whether or not the host still ticks.
 
-    def step(rows, last):
-        heads = rows["head"].to_numpy()
-        before = np.concatenate([[heads[0] if last is None else last], heads[:-1]])
-        gaps = rows.assign(from_head=before, to_head=heads)[heads - before >= capacity - 64]
-        return gaps, int(heads[-1])
-
-    return _stateful(drains, [key], ["ts_ns"], out, None, step)
+    The first anomaly opens an episode; it ends at the first of ``debounce``
+    normal ticks in a row, else at its deadline. The first tick at or after the
+    deadline finds the host outside an episode and may open the next one.
+    """
+    out = _key_and(ticks, [host], [T.StructField(c, T.LongType()) for c in ("start_ns", "end_ns", "deadline_ns", "closed_ns")])
+
+    def step(row, state):
+        if row is None:  # the deadline
+            start, end, _, _ = state
+            deadline = start + post_ns
+            return [[start, deadline if end is None else end, deadline, deadline]], None
+        bad, ts = row["is_anomaly"], row["ts_ns"]
+        if state is None:
+            return [], [ts, None, None, 0] if bad else None
+        start, end, first, normal = state
+        if bad:
+            return [], [start, end, None, 0]
+        first, normal = (ts if normal == 0 else first), normal + 1
+        return [], [start, first if end is None and normal >= debounce else end, first, normal]
+
+    due = lambda state: state[0] + post_ns if state else None
+    return event_time_fold(ticks, [host], ["ts_ns"], ["is_anomaly"], out, None, step, due, lateness)
+
+
+def ring_gaps(drains: DataFrame, key: str, capacity: int, lateness: str = "5 seconds", expire_ns: int | None = None) -> DataFrame:
+    """Gap rows of an incremental drain; the newest head per ring is the state, for ``expire_ns`` at most."""
+    out = _key_and(drains, [key], [T.StructField(c, T.LongType()) for c in ("ts_ns", "from_head", "to_head")])
+
+    def step(row, state):
+        if row is None:
+            return [], None
+        head = row["head"]
+        gap = state is not None and head - state[0] >= capacity - 64
+        return [[row["ts_ns"], state[0], head]] if gap else [], [head, row["ts_ns"]]
+
+    due = lambda state: state[1] + expire_ns if state and expire_ns is not None else None
+    return event_time_fold(drains, [key], ["ts_ns"], ["head"], out, None, step, due, lateness)
 
 
 class WarmupScorer:

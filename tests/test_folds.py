@@ -10,6 +10,30 @@ from telemill.operators import episodes, feedback, ordered, pairing, score_ops
 from telemill.operators.quantile import exact_quantiles, median_and_mad
 
 
+IDLE = [None, None, None, 0]
+
+
+def advance(state, ticks, post_ns, debounce):
+    start, end, first, normal = state
+    closed = []
+    for ts, bad, final in ticks:
+        ts = int(ts)
+        if start is None:
+            if bad:
+                start, end, first, normal = ts, None, None, 0
+        elif bad:
+            first, normal = None, 0
+        else:
+            first = ts if normal == 0 else first
+            normal += 1
+            if normal >= debounce and end is None:
+                end = first
+        if start is not None and (ts >= start + post_ns or final):
+            closed.append((start, ts if end is None else end, start + post_ns, ts))
+            start, end, first, normal = IDLE
+    return closed, [start, end, first, normal]
+
+
 def cusum_loop(xs, k, h):
     s, out = 0.0, []
     for x in xs:
@@ -74,7 +98,7 @@ def test_episodes(spark, chunk, post, debounce):
         stamps = sorted(r.sample(range(300), 120))
         ticks = [(t, r.random() < (0.05, 0.2, 0.6, 0.0)[host]) for t in stamps]
         rows += [(host, t, a) for t, a in ticks]
-        closed, _ = episodes.advance(episodes.IDLE, ((t, a, t == stamps[-1]) for t, a in ticks), post, debounce)
+        closed, _ = advance(IDLE, ((t, a, t == stamps[-1]) for t, a in ticks), post, debounce)
         want += [(host, *c) for c in closed]
     df = spark.createDataFrame(rows + [(0, rows[0][1], None)], "host int, ts_ns long, is_anomaly boolean")
     got = episodes.episodes(df, "host", ordered.by_time("ts_ns", chunk), post, debounce).collect()
