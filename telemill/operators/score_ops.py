@@ -106,37 +106,63 @@ def quantile_threshold(train: DataFrame, keys: list[str], score: str, q: float)
     return exact_quantiles(train, keys, score, {"threshold": q})
 
 
-def fit_gpd(excess: DataFrame, keys: list[str], value: str = "x", rounds: int = 7, grid: int = 48) -> DataFrame:
-    """Maximum likelihood of the generalised Pareto distribution with location 0: (keys, shape, theta, mean).
-
-    With theta = shape / scale the likelihood has one free parameter, so each
-    round sums log(1 + theta x) for a grid of thetas per series and zooms in
-    on the best one. Only sums move, never a series.
+def fit_gpd(excess: DataFrame, keys: list[str], value: str = "x", grid: int = 32, tolerance: float = 1e-12) -> DataFrame:
+    """Maximum likelihood of the generalised Pareto distribution with location 0: (keys, n, mean, top, shape, theta).
+
+    With theta = shape / scale the likelihood has one free parameter and its
+    derivative needs two sums, of log(1 + theta x) and of x / (1 + theta x). A
+    grid over exp(u) = 1 + theta max(x) brackets the highest maximum; the grid
+    moves on while that lies at its edge. Newton steps on the derivative, halving
+    where a step leaves the bracket, then go on until they are below the
+    tolerance. Every round is one aggregate over the excesses; only sums move.
     """
-    x = F.col(value)
-    base = cut(excess.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.max(x).alias("top")))
-    # u parametrises theta * max(x) in (-1, inf): theta * max = exp(u) - 1
-    spans = base.select(*keys, "n", "mean", "top", F.lit(-7.0).alias("lo"), F.lit(7.0).alias("hi"))
-    best = None
-    for _ in range(rounds):
-        points = spans.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(grid))))
-        u = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("__g") / grid
-        points = points.withColumn("u", u).withColumn("theta", (F.exp("u") - 1) / F.col("top"))
-        packed = points.groupBy(*keys).agg(F.collect_list(F.struct("__g", "theta")).alias("__gs"))
-        terms = excess.select(*keys, x.alias("__x")).join(packed, keys).select(*keys, "__x", F.inline("__gs"))
-        sums = terms.groupBy(*keys, "__g").agg(F.avg(F.log1p(F.col("theta") * F.col("__x"))).alias("shape"))
-        j = points.join(sums, [*keys, "__g"])
-        flat = F.abs("theta") * F.col("top") < 1e-9
-        scale = F.when(flat, F.col("mean")).otherwise(F.col("shape") / F.when(flat, F.lit(1.0)).otherwise(F.col("theta")))
-        # shapes at or below -1 have no maximum
-        like = F.when(F.col("shape") > -1, -(F.ln(scale) + F.col("shape") + 1))
-        pick = j.withColumn("like", like).groupBy(*keys).agg(
-            F.max_by(F.struct("u", "theta", "shape", "lo", "hi"), "like").alias("b"), F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("top").alias("top")
-        )
-        best = cut(pick)
-        step = (F.col("b.hi") - F.col("b.lo")) / grid
-        spans = best.select(*keys, "n", "mean", "top", (F.col("b.u") - step).alias("lo"), (F.col("b.u") + step).alias("hi"))
-    return best.select(*keys, "n", "mean", "top", F.col("b.shape").alias("shape"), F.col("b.theta").alias("theta"))
+    rows = excess.select(*keys, F.col(value).cast("double").alias("__x"))
+    x = F.col("__x")
+    base = cut(rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.max(x).alias("top"), F.avg(x * x).alias("second")))
+    known = ["n", "mean", "top", "second"]
+    open_ = base.select(*keys, *known, F.lit(-7.0).alias("a"), F.lit(7.0).alias("b"))
+    found = None
+    while True:
+        us = F.transform(F.sequence(F.lit(0), F.lit(grid)), lambda g: F.struct(g.alias("g"), (F.col("a") + (F.col("b") - F.col("a")) * g / grid).alias("u")))
+        terms = rows.join(open_.select(*keys, "top", us.alias("__us")), keys).select(*keys, "top", "__x", F.inline("__us"))
+        theta = F.expm1("u") / F.col("top")
+        shapes = terms.groupBy(*keys, "g", "u").agg(F.avg(F.log1p(theta * x)).alias("shape"), F.first("top").alias("top"))
+        # shapes at or below -1 have no maximum; at theta = 0 the scale is the mean
+        scale = F.when(F.abs("u") < 1e-12, F.lit(None)).otherwise(F.col("shape") / theta)
+        like = shapes.join(base.select(*keys, "mean"), keys).withColumn("like", F.when(F.col("shape") > -1, -(F.ln(F.coalesce(scale, F.col("mean"))) + F.col("shape") + 1)))
+        best = like.groupBy(*keys).agg(F.max_by(F.struct("g", "u"), "like").alias("m"))
+        step = (F.col("b") - F.col("a")) / grid
+        now = cut(open_.join(best, keys).withColumn("step", step))
+        edge = F.col("m.g").isin(0, grid) & (F.abs("m.u") < 500)
+        inside = now.where(~edge).select(*keys, *known, *[(F.expm1(u) / F.col("top")).alias(n) for n, u in (("lo", F.col("m.u") - F.col("step")), ("theta", F.col("m.u")), ("hi", F.col("m.u") + F.col("step")))])
+        found = inside if found is None else found.unionByName(inside)
+        if not now.where(edge).limit(1).count():
+            break
+        width = F.col("b") - F.col("a")
+        left = F.col("m.g") == 0
+        open_ = now.where(edge).select(*keys, *known, F.when(left, F.col("a") - 2 * width).otherwise(F.col("b") - F.col("step")).alias("a"), F.when(left, F.col("a") + F.col("step")).otherwise(F.col("b") + 2 * width).alias("b"))
+    state = cut(found.withColumn("done", F.lit(False)))
+    ratio = x / (1 + F.col("theta") * x)
+    while state.where("NOT done").limit(1).count():
+        at = rows.join(state.where("NOT done").select(*keys, "theta"), keys)
+        sums = at.groupBy(*keys).agg(F.avg(F.log1p(F.col("theta") * x)).alias("__k"), F.avg(ratio).alias("__d1"), F.avg(ratio * ratio).alias("__d2"))
+        j = state.where("NOT done").join(sums, keys)
+        t, k, d1, d2 = (F.col(c) for c in ("theta", "__k", "__d1", "__d2"))
+        near = F.abs(t * F.col("top")) < 1e-6  # the derivative's value at 0
+        slope = F.when(near, F.col("second") / (2 * F.col("mean")) - F.col("mean")).otherwise(1 / t - d1 * (1 + 1 / k))
+        bend = F.when(~near, -1 / (t * t) + d2 * (1 + 1 / k) + d1 * d1 / (k * k))
+        j = j.withColumns({"__s": slope, "__c": bend})
+        rising = (k <= -1) | (F.col("__s") > 0)
+        j = j.withColumns({"lo": F.when(rising, t).otherwise(F.col("lo")), "hi": F.when(rising, F.col("hi")).otherwise(t)})
+        newton = t - F.col("__s") / F.col("__c")
+        use = (F.col("__c") < 0) & (newton > F.col("lo")) & (newton < F.col("hi"))
+        j = j.withColumn("next", F.when(F.coalesce(use, F.lit(False)), newton).otherwise((F.col("lo") + F.col("hi")) / 2))
+        small = F.lit(tolerance) * (F.abs(t) + 1 / F.col("top"))
+        done = (F.abs(F.col("next") - t) <= small) | (F.col("hi") - F.col("lo") <= small)
+        moved = j.select(*keys, *known, "lo", F.col("next").alias("theta"), "hi", done.alias("done"))
+        state = cut(state.where("done").unionByName(moved))
+    shape = rows.join(state.select(*keys, "theta"), keys).groupBy(*keys).agg(F.avg(F.log1p(F.col("theta") * x)).alias("shape"))
+    return state.join(shape, keys).select(*keys, "n", "mean", "top", "shape", "theta")
 
 
 def pot_gpd(train: DataFrame, keys: list[str], order: list[str], score: str, chunk: Column, alpha: float = 0.2, level: float = 0.999) -> DataFrame:

@@ -1,9 +1,9 @@
 """Low-pass spectral reconstruction model.
 
 A window is rebuilt from its low frequencies: the high ones are predicted by a
-linear map fitted per series. The fit only needs sums of products, so the
-windows of a series are reduced chunk by chunk to one Gram matrix each and the
-matrices are summed; no series is ever gathered in one task.
+linear map fitted per series. The windows of a series are reduced chunk by chunk
+to one triangular factor each, and factors are merged in a tree; no series is
+ever gathered in one task, and the data's condition is never squared.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,14 +49,25 @@ def _bands(windows, n: int, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return c[:, :low], s[:, :low], c[:, low:], s[:, low:]
 
 
-def _moments(windows, n: int, low: int) -> np.ndarray:
-    """Sums of products of [low cosines, low sines, 1] with themselves and with the high bins."""
+def _factor(inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """[R, Q'targets] of the QR decomposition of ``inputs``, padded to square: what least squares needs of any rows."""
+    q, r = np.linalg.qr(inputs)
+    out = np.hstack([r, q.T @ targets])
+    return np.vstack([out, np.zeros((inputs.shape[1] - len(out), out.shape[1]))])
+
+
+def _chunk_factor(windows, n: int, low: int) -> np.ndarray:
+    """Factor of [low cosines, low sines, 1] against the high bins."""
     c, s, hc, hs = _bands(windows, n, low)
-    inputs = np.hstack([c, s, np.ones((len(c), 1))])
-    return np.hstack([inputs.T @ inputs, inputs.T @ hc, inputs.T @ hs])
+    return _factor(np.hstack([c, s, np.ones((len(c), 1))]), np.hstack([hc, hs]))
+
 
+def _merged(factors: list[np.ndarray], size: int) -> np.ndarray:
+    both = np.vstack(factors)
+    return _factor(both[:, :size], both[:, size:])
 
-def _coefficients(moments: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def _coefficients(factor: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maps (high x low) of the low cosines and sines, and the high bins' constant parts.
 
     Least squares of least norm. The model has one complex map, so both of its
@@ -64,8 +75,8 @@ def _coefficients(moments: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray
     sines only the constant is used.
     """
     size = 2 * low + 1
-    high = (moments.shape[1] - size) // 2
-    fitted = np.linalg.pinv(moments[:, :size], rcond=1e-12, hermitian=True) @ moments[:, size:]
+    high = (factor.shape[1] - size) // 2
+    fitted = np.linalg.lstsq(factor[:, :size], factor[:, size:], rcond=size * np.finfo(float).eps)[0]
     return fitted[:low, :high].T, fitted[low : 2 * low, :high].T, fitted[-1, :high], fitted[-1, high:]
 
 
@@ -84,31 +95,37 @@ _MODEL = T.StructType(
 )
 
 
+FAN = 16  # factors merged at a time
+
+
 def _fit_weights(windows: DataFrame, low: int, chunk_ns: int) -> DataFrame:
-    gram_schema = T.StructType([*_KEYS.fields, T.StructField("rows", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
+    size = 2 * low + 1
+    schema = T.StructType([*_KEYS.fields, T.StructField("part", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("f", T.ArrayType(T.DoubleType()))])
+    names = [f.name for f in schema]
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        g = _moments(pdf["x"], n, low).ravel()
-        return pd.DataFrame([[*pdf.loc[pdf.index[0], list(SERIES)], len(pdf), n, g]], columns=[f.name for f in gram_schema])
+    def chunk_factor(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = _chunk_factor(pdf["x"], int(pdf["n"].iloc[0]), low).ravel()
+        return pd.DataFrame([[*pdf.loc[pdf.index[0], list(SERIES)], 0, len(pdf), f]], columns=names)
 
-    grams = windows.groupBy(*SERIES, CHUNK).applyInPandas(partial, gram_schema)
-    sums = grams.select(*SERIES, "rows", "n", F.posexplode("g").alias("i", "v")).groupBy(*SERIES, "i").agg(
-        F.sum("v").alias("v"), F.sum("rows").alias("rows"), F.max("n").alias("n")
-    )
-    packed = sums.groupBy(*SERIES).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("g"), F.max("rows").alias("rows"), F.max("n").alias("n")
-    ).where("rows >= 2")
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = _merged([np.asarray(x).reshape(size, -1) for x in pdf.sort_values("part")["f"]], size).ravel()
+        return pd.DataFrame([[*pdf.loc[pdf.index[0], list(SERIES)], int(pdf["up"].iloc[0]), int(pdf["rows"].sum()), f]], columns=names)
+
+    by_chunk = windows.groupBy(*SERIES, CHUNK).applyInPandas(chunk_factor, schema)
+    numbered = F.row_number().over(Window.partitionBy(*SERIES).orderBy("rows", F.hash("f"))) - 1  # one row per chunk
+    level = cut(by_chunk.withColumn("part", numbered.cast("long")))
+    while level.where("part > 0").limit(1).count():
+        level = cut(level.withColumn("up", floor_div(F.col("part"), F.lit(FAN))).groupBy(*SERIES, "up").applyInPandas(merge, schema))
 
     def finish(batches):
         for pdf in batches:
             out = []
-            for _, r in pdf.iterrows():
-                by_cos, by_sin, const_c, const_s = _coefficients(np.asarray(r["g"]).reshape(2 * low + 1, -1), low)
-                out.append([*r[list(SERIES)], by_cos.ravel(), by_sin.ravel(), const_c, const_s])
+            for *series, f in pdf.itertuples(index=False):
+                by_cos, by_sin, const_c, const_s = _coefficients(np.asarray(f).reshape(size, -1), low)
+                out.append([*series, by_cos.ravel(), by_sin.ravel(), const_c, const_s])
             yield pd.DataFrame(out, columns=[f.name for f in _MODEL])
 
-    return packed.select(*SERIES, "g").mapInPandas(finish, _MODEL)
+    return level.where("rows >= 2").select(*SERIES, "f").mapInPandas(finish, _MODEL)
 
 
 def residuals(windows: DataFrame, weights: DataFrame, low: int, n_fft: int, chunk_ns: int) -> DataFrame:
