@@ -401,8 +401,12 @@ def indicator_ranks(*ranks: DataFrame, case: str = "case", top: int = 5) -> Data
     return every.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top)
 
 
-def report(ranked: DataFrame, matrix: DataFrame, indicators: DataFrame, has_logs: DataFrame, has_traces: DataFrame, case: str = "case", top_k: int | None = None) -> DataFrame:
-    """One row per case: candidates, clusters and limitations. ``has_*``: cases with that modality."""
+def report(ranked: DataFrame, matrix: DataFrame, indicators: DataFrame, has_logs: DataFrame, has_traces: DataFrame, case: str = "case", top_k: int | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """One row per case: candidates, clusters and limitations. ``has_*``: cases with that modality.
+
+    ``cases`` are all that want a report; one without a ranked service gets
+    empty lists and says so. Without it only cases with a ranked service have one.
+    """
     ind = indicators.groupBy(case, "service").agg(F.array_sort(F.collect_list(F.struct("pos", "col", "score"))).alias("i"))
     sev = F.struct(*MODALITIES)
     c = ranked.join(matrix, [case, "service"]).join(ind, [case, "service"], "left")
@@ -416,12 +420,15 @@ def report(ranked: DataFrame, matrix: DataFrame, indicators: DataFrame, has_logs
     members = ranked.groupBy(case, "cluster_id").agg(F.array_sort(F.collect_list("service")).alias("members"), F.max("cluster_score").alias("cluster_score"))
     clusters = members.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "members", "cluster_score"))).alias("clusters"), F.sum(F.size("members")).alias("n"))
     flag = lambda df, name: df.select(case).distinct().withColumn(name, F.lit(True))
-    j = per.join(clusters, case).join(flag(has_logs, "l"), case, "left").join(flag(has_traces, "t"), case, "left")
+    wanted = per.select(case) if cases is None else cases.select(case).distinct()
+    j = wanted.join(per.join(clusters, case), case, "left").join(flag(has_logs, "l"), case, "left").join(flag(has_traces, "t"), case, "left")
     limits = F.array_compact(F.array(
         F.when(F.col("t").isNull(), F.lit("traces absent (blind spot)")), F.when(F.col("l").isNull(), F.lit("logs absent (blind spot)")),
+        F.when(F.col("n").isNull(), F.lit("no service to rank: every metric is constant")),
         F.when(F.col("n") == 1, F.lit("single-service fallback: refinement skipped")),
     ))
-    return j.select(case, "candidates", "clusters", limits.alias("limitations"))
+    none = lambda c: F.coalesce(c, F.array().cast(j.schema[c].dataType)).alias(c)
+    return j.select(case, none("candidates"), none("clusters"), limits.alias("limitations"))
 
 
 def pick_incident(incidents: DataFrame, case: str = "case") -> DataFrame:
@@ -501,7 +508,7 @@ def analyze(
     clusters = cut(symptom_clusters(matrix, case, max_components))
     ordering = cut(cluster_ordering(m, lg, clusters, gamma, bins, case, max_cols))
     ranked = refine_clusters(clusters, matrix, ordering, case)
-    return report(ranked, matrix, indicator_ranks(*ranks, case=case), logs, spans, case, top_k)
+    return report(ranked, matrix, indicator_ranks(*ranks, case=case), logs, spans, case, top_k, inject)
 
 
 def cluster_ordering(metric: DataFrame, logs: DataFrame, clusters: DataFrame, gamma: int = GAMMA, bins: int = BINS, case: str = "case", max_cols: int | None = None) -> DataFrame:

@@ -166,9 +166,9 @@ def f7(spark, sf):
     return fb.next_question(fb.latest_report(reports(spark, sf)), f).select("incident_id", "kind", "target_id")
 
 
-_LINE = lambda n, s: f"{n} || '. e' || (k % 7 + {n}) || ' (severity ' || printf('%.3f', {s}) || ') — evidence: e' || (k % 7 + {n}) || '_cpu, x_mem'"
-_NARR = f"""'Incident ' || incident_id || ' root-cause ranking: ' || CASE nc WHEN 0 THEN '' WHEN 1 THEN {_LINE(1, 's1')} ELSE {_LINE(1, 's1')} || '; ' || {_LINE(2, 's2')} END
- || CASE WHEN k % 3 <> 0 THEN ' symptom clusters: 2; top cluster: ' || CASE WHEN k >= 50 THEN 'a, b' ELSE 'c' END ELSE '' END"""
+_LINE = lambda n, s: f"{n} || ') e' || (k % 7 + {n}) || ', score ' || printf('%.3f', {s}) || ', seen in e' || (k % 7 + {n}) || '_cpu, x_mem'"
+_NARR = f"""'Likely causes of ' || incident_id || ', most likely first: ' || CASE nc WHEN 0 THEN '' WHEN 1 THEN {_LINE(1, 's1')} ELSE {_LINE(1, 's1')} || '; ' || {_LINE(2, 's2')} END || '.'
+ || CASE WHEN k % 3 <> 0 THEN ' Of 2 group(s) of services with like symptoms, this one stands out: ' || CASE WHEN k >= 50 THEN 'a, b' ELSE 'c' END || '.' ELSE '' END"""
 
 
 @query("f8_narrative", f"SELECT incident_id, {_NARR} AS narrative FROM lrep", ("lrep",))
@@ -179,17 +179,17 @@ def f8(spark, sf):
 @query(
     "f9_check_sentences",
     f"""
-SELECT incident_id, CASE WHEN nc > 0 THEN CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END ELSE 0 END + CASE WHEN k % 3 <> 0 AND k % 4 = 0 THEN 1 WHEN nc > 0 AND k % 4 = 1 THEN 1 ELSE 0 END AS n_valid FROM lrep WHERE k % 3 = 0
+SELECT incident_id, CASE WHEN k % 3 = 0 THEN (nc > 0 AND k % 2 = 0)::INT + (nc > 0 AND k % 4 = 1)::INT
+  ELSE (nc = 0 OR k % 2 = 0)::INT + 1 END AS n_valid FROM lrep  -- the clusters' members a, b and c are in every sentence
 """,
     ("lrep",),
 )
 def f9(spark, sf):
     k = F.col("k")
     top = F.concat(F.lit("e"), (k % 7 + 1).cast("string"))
-    # no clusters here, so the cited ids are the candidates and their evidence
     first = F.concat(top, F.when(k % 2 == 0, " increased sharply.").otherwise(" decreased sharply."))
     second = F.when(k % 4 == 1, F.concat(F.lit("See "), top, F.lit("_cpu."))).otherwise("Nothing more to say.")
-    r = fb.narrative(fb.latest_report(reports(spark, sf)).where("k % 3 = 0")).withColumn("text", F.concat_ws(" ", first, second))
+    r = fb.narrative(fb.latest_report(reports(spark, sf))).withColumn("text", F.concat_ws(" ", first, second))
     return fb.check_sentences(r).select("incident_id", "n_valid")
 
 

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from telemill.operators import ordered, rca
+from telemill.operators import diagnosis, ordered, rca
 from telemill.plans.q_quality import W0
+from telemill.plans.q_sources import evidence_bundles
 from telemill.plans.registry import DAY, HOUR, cte, points, query, r6
 from telemill.session import cut
 
@@ -304,16 +305,18 @@ def a17(spark, sf):
     "a18_report",
     f"""
 WITH rk AS ({_RK}), ind AS (SELECT cs, service, string_agg(col, ',' ORDER BY pos) AS evidence FROM ({_IND}) WHERE pos <= 5 GROUP BY ALL)
-SELECT rk.cs AS "case", rk.service AS entity_id, rank, round(1.0 / rank, 6) AS score, 'up' AS direction, coalesce(evidence, '') AS evidence, 'traces absent (blind spot)' AS limitations
+SELECT rk.cs AS "case", rk.service AS entity_id, rank, round(1.0 / rank, 6) AS score, 'up' AS direction, coalesce(evidence, '') AS evidence,
+  concat_ws(';', CASE WHEN rk.cs NOT IN (SELECT cs FROM rp WHERE metric_id IN ('click', 'error')) THEN 'traces absent (blind spot)' END,
+            CASE WHEN rk.cs NOT IN (SELECT cs FROM rp WHERE metric_id = 'error') THEN 'logs absent (blind spot)' END) AS limitations
 FROM rk LEFT JOIN ind ON ind.cs = rk.cs AND ind.service = rk.service WHERE rank <= 3
 """,
-    ("mx", *[f"sv_{n}" for n in _NAMES]),
+    ("mx", "rp", *[f"sv_{n}" for n in _NAMES]),
 )
 def a18(spark, sf):
     sev = [s.withColumn("score", F.round("score", 12)) for s in severities(spark, sf)]
     m = cut(rca.modality_matrix(rca.rollup_sum(sev[0]), rca.rollup_max(sev[1]), rca.rollup_sum(sev[2]), rca.rollup_sum(sev[3])))
     ranked = rca.refine_clusters(_hash_clusters(m), m, _ordering(m))
-    rep = rca.report(ranked, m, rca.indicator_ranks(*sev), rca_logs(spark, sf), rca_spans(spark, sf).limit(0), top_k=3)
+    rep = rca.report(ranked, m, rca.indicator_ranks(*sev), rca_logs(spark, sf), rca_spans(spark, sf), top_k=3, cases=inject(spark, sf))
     return rep.select("case", F.inline("candidates"), F.array_join("limitations", ";").alias("limitations")).select(
         "case", "entity_id", "rank", r6("score").alias("score"), "direction", F.array_join("evidence", ",").alias("evidence"), "limitations"
     )
@@ -326,6 +329,19 @@ def a18b(spark, sf):
     return rep.select("case", F.inline("candidates")).select("case", "entity_id", "rank", "cluster_id")
 
 
+@query(
+    "a18_diagnose",
+    """SELECT k % 6 AS "case", bool_or(k % 6 <> 0 AND k >= 3) AS ok, CASE WHEN NOT bool_or(k % 6 <> 0 AND k >= 3) THEN 'no valid anomaly window in evidence' END AS abstained_reason,
+ bool_or(k % 6 <> 0 AND k >= 3) AS has_report FROM points GROUP BY 1""",
+    ("points",),
+)
+def a18c(spark, sf):
+    """Evidence bundles, several a case, to reports in one call."""
+    bundles = evidence_bundles(spark, sf).select((F.col("k") % 6).alias("case"), "value")
+    out = diagnosis.diagnose(bundles, bucket_ns=HOUR, chunk=ordered.by_time("start_ts_ns"))
+    return out.select("case", "ok", "abstained_reason", F.col("candidates").isNotNull().alias("has_report"))
+
+
 # incidents of the entities, one per large error; maps of one or two metrics
 cte(
     "inc",

@@ -302,7 +302,7 @@ def evidence_bundles(spark, sf):
                          F.col("metric_id").alias("metric"), F.col("value").alias("value"))).alias("series"),
         F.struct(some("oom", 5), some("syscall", 3), some("lock", 2), some("runq", 7), some("iofile", 4)).alias("events"),
     )
-    return points(spark, sf).select("seq", F.to_json(body).alias("value"))
+    return points(spark, sf).select("seq", "k", F.to_json(body).alias("value"))
 
 
 _WAIT = "CASE WHEN k % 3 <> 1 THEN k * 10 ELSE k * 3 END"
