@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from telemill.functions.integers import floor_div
 from telemill.functions.scores import MAD_SCALE, array_median, finite, incident_id, robust_z
 from telemill.operators import ordered, stats as st, windows
 from telemill.operators.quality import real_mid_stream_gap
@@ -290,19 +296,104 @@ def _channel_z(median="median", mad="mad") -> Column:
     return F.abs(F.col("value") - F.col(median)) / (F.lit(MAD_SCALE) * F.greatest(F.col(mad), F.lit(1e-8)))
 
 
-def fit_channels(matrix: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(median and MAD per channel, q99 of the per-tick maximum z per group)."""
+BLOCK = 4096  # ticks swept in one task
+
+
+@dataclass(frozen=True)
+class ChannelRuns:
+    """The channel matrix as runs: a channel keeps its value from one observation to the next.
+
+    ``ticks`` is (group, ts_ns, idx), ``runs`` (group, channel, start, until, value)
+    over positions of ticks. There are as many runs as observations, and one
+    more per channel that is not observed at the first tick, with value 0.
+    """
+
+    group: list[str]
+    ticks: DataFrame
+    runs: DataFrame
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.group, *st.SERIES]
+
+    def of(self, groups: DataFrame) -> ChannelRuns:
+        """Those of ``groups`` only."""
+        return ChannelRuns(self.group, self.ticks.join(groups, self.group, "left_semi"), self.runs.join(groups, self.group, "left_semi"))
+
+    def sizes(self) -> DataFrame:
+        return self.ticks.groupBy(*self.group).agg(F.count(F.lit(1)).alias("t"))
+
+    def at(self, wanted: DataFrame) -> DataFrame:
+        """Channel values (group, ``wanted``'s columns, channel, value) at the ticks of ``wanted``."""
+        block = floor_div(F.col("idx"), F.lit(BLOCK)).alias("__block")
+        here = wanted.join(self.ticks, [*self.group, "ts_ns"]).select("*", block)
+        met = here.join(_in_blocks(self.runs), [*self.group, "__block"])
+        return met.where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("until"))).drop("__block", "idx", "start", "until")
+
+
+def channel_runs(points: DataFrame, group: list[str], chunk: Column, channels: DataFrame | None = None) -> ChannelRuns:
+    """D17 without the matrix. ``channels`` are those of the fit; by default the observed channels here."""
     keys = [*group, *st.SERIES]
-    model = median_and_mad(matrix, keys, "value")
-    z = max_channel_z(matrix, model, group)
-    q = exact_quantiles(z, group, "z", {"q99": 0.99})
+    observed = F.col("quality") == "observed"
+    ticks = cut(ordered.with_index(points.select(*group, "ts_ns").distinct(), group, ["ts_ns"], chunk, "idx"))
+    if channels is None:
+        channels = points.where(observed).select(*keys).distinct()
+    order = [c for c in ("seq",) if c in points.columns] or ["value"]
+    vals = points.where(observed & F.col("value").isNotNull()).groupBy(*group, "ts_ns", *st.SERIES).agg(F.max_by("value", F.struct(*order)).alias("value"))
+    vals = vals.join(channels.select(*keys), keys, "left_semi").join(ticks, [*group, "ts_ns"]).withColumn("__back", -F.col("idx"))
+    size = ticks.groupBy(*group).agg(F.count(F.lit(1)).alias("t"))
+    with_size = lambda df: df.join(size, group) if group else df.withColumn("t", size.scalar())
+    # the next observation is the one before in reverse order
+    seen = with_size(cut(ordered.previous(vals, keys, ["__back"], {"__next": "idx"}, -chunk)))
+    runs = seen.select(*keys, F.col("idx").alias("start"), F.coalesce("__next", "t").alias("until"), F.col("value").cast("double").alias("value"))
+    first = seen.groupBy(*keys).agg(F.min("idx").alias("__first"))
+    heads = with_size(channels.select(*keys).distinct().join(first, keys, "left")).withColumn("until", F.coalesce("__first", "t")).where("until > 0")
+    return ChannelRuns(group, ticks, cut(runs.unionByName(heads.select(*keys, F.lit(0).cast("long").alias("start"), "until", F.lit(0.0).alias("value")))))
+
+
+def _in_blocks(runs: DataFrame) -> DataFrame:
+    """Runs cut at block bounds, with ``__block``."""
+    first, last = (floor_div(c, F.lit(BLOCK)) for c in (F.col("start"), F.col("until") - 1))
+    cut_up = runs.withColumn("__block", F.explode(F.sequence(first, last)))
+    return cut_up.withColumns({"start": F.greatest("start", F.col("__block") * BLOCK), "until": F.least("until", (F.col("__block") + 1) * BLOCK)})
+
+
+def fit_channels(train: ChannelRuns) -> tuple[DataFrame, DataFrame]:
+    """(median and MAD per channel, q99 of the per-tick maximum z per group); a run counts once per tick."""
+    model = cut(median_and_mad(train.runs, train.keys, "value", F.col("until") - F.col("start")))
+    q = exact_quantiles(max_channel_z(train, model), train.group, "z", {"q99": 0.99})
     return model, q.withColumn("q99", F.greatest(F.col("q99"), F.lit(1e-8)))
 
 
-def max_channel_z(matrix: DataFrame, model: DataFrame, group: list[str]) -> DataFrame:
-    """D18"""
-    j = matrix.join(model, [*group, *st.SERIES])
-    return j.groupBy(*group, "ts_ns").agg(F.max(_channel_z()).alias("z"))
+def max_channel_z(channels: ChannelRuns, model: DataFrame) -> DataFrame:
+    """(group, ts_ns, z), the largest z of all channels at each tick.
+
+    A run of z values inside a block is covered by two ranges whose length is a
+    power of two. Their maxima per (length, place) are made in map tasks, at most
+    12 per tick of the block however many channels there are, and halved down
+    to single ticks in the block's task.
+    """
+    group = channels.group
+    z = _in_blocks(channels.runs.join(model, channels.keys).select(*group, "start", "until", _channel_z().alias("z")))
+    level = F.floor(F.log2(F.col("until") - F.col("start") + 0.5)).cast("int")
+    place = F.explode(F.array_distinct(F.array(F.col("start"), F.col("until") - F.expr("shiftleft(1L, __level)"))))
+    ranges = z.withColumn("__level", level).withColumn("__at", place)
+    tops = ranges.groupBy(*group, "__block", "__level", (F.col("__at") - F.col("__block") * BLOCK).alias("__at")).agg(F.max("z").alias("z"))
+    fields = [tops.schema[g] for g in group]
+    schema = T.StructType([*fields, T.StructField("idx", T.LongType()), T.StructField("z", T.DoubleType())])
+
+    def swept(pdf: pd.DataFrame) -> pd.DataFrame:
+        most = np.full((int(pdf["__level"].max()) + 1, BLOCK), -np.inf)
+        most[pdf["__level"].to_numpy(), pdf["__at"].to_numpy()] = pdf["z"].to_numpy()
+        for k in range(len(most) - 1, 0, -1):
+            half = 1 << (k - 1)
+            np.fmax(most[k - 1], most[k], out=most[k - 1])
+            np.fmax(most[k - 1][half:], most[k][:-half], out=most[k - 1][half:])
+        live = np.flatnonzero(most[0] > -np.inf)
+        out = pd.DataFrame({"idx": live + int(pdf["__block"].iloc[0]) * BLOCK, "z": most[0][live]})
+        return out.assign(**{g: pdf[g].iloc[0] for g in group})[schema.names]
+
+    return tops.groupBy(*group, "__block").applyInPandas(swept, schema).join(channels.ticks, [*group, "idx"]).select(*group, "ts_ns", "z")
 
 
 def fuse(scored: DataFrame, w: float = 0.3, raw: str = "raw", z: str = "z", q99: str = "q99") -> DataFrame:
@@ -318,29 +409,31 @@ def median_filter(df: DataFrame, group: list[str], order: list[str], cols: dict[
     n = idx.groupBy(*group).agg((F.max("__idx") + 1).alias("__n"))
     idx = idx.join(n, group) if group else idx.withColumn("__n", n.scalar())
     blocks = ordered.with_halo(idx, group, "__idx", half, half)
-    w = Window.partitionBy(*group, "block").orderBy("__idx").rowsBetween(-half, half)
-    near = F.collect_list(F.struct(F.col("__idx").alias("i"), *[F.col(c).alias(c) for c in set(cols.values())])).over(w)
-    blocks = blocks.withColumn("__near", near).where("NOT is_halo")
+    w = Window.partitionBy(*group, "block").orderBy("__idx")
+    beside = lambda c, o: F.lag(c, -o).over(w) if o < 0 else F.lead(c, o).over(w) if o else F.col(c)
+    offsets = range(-half, half + 1)
+    near = {f"__near_{c}": F.array(*[beside(c, o) for o in offsets]) for c in set(cols.values())}
+    blocks = blocks.withColumns(near).where("NOT is_halo")
 
     def reflected(offset: int) -> Column:
+        """Place among the neighbours of what stands for the row at ``offset``; never further away than ``half``."""
         m = F.pmod(F.col("__idx") + offset, 2 * F.col("__n"))
-        return F.when(m < F.col("__n"), m).otherwise(2 * F.col("__n") - 1 - m)
-
-    def med(c: str) -> Column:
-        at = lambda i: F.get(F.filter("__near", lambda e: e["i"] == i), F.lit(0))[c]
-        picks = [at(reflected(o)) for o in range(-half, half + 1)]
-        return F.get(F.array_sort(F.array(*picks)), F.lit(half))
+        return (F.when(m < F.col("__n"), m).otherwise(2 * F.col("__n") - 1 - m) - F.col("__idx") + half).cast("int")
 
-    return blocks.withColumns({new: med(c) for new, c in cols.items()}).drop("__idx", "__n", "__near", "block", "is_halo")
+    places = F.array(*[reflected(o) for o in offsets])
+    med = lambda c: F.get(F.array_sort(F.transform("__places", lambda p: F.get(f"__near_{c}", p))), F.lit(half))
+    out = blocks.withColumn("__places", places).withColumns({new: med(c) for new, c in cols.items()})
+    return out.drop("__idx", "__n", "__places", *near, "block", "is_halo")
 
 
 def flag_and_segment(
-    smooth: DataFrame, matrix: DataFrame, model: DataFrame, group: list[str], chunk: Column, threshold: float = 0.5, zn_threshold: float = 0.95
+    smooth: DataFrame, channels: ChannelRuns, model: DataFrame, chunk: Column, threshold: float = 0.5, zn_threshold: float = 0.95
 ) -> tuple[DataFrame, DataFrame]:
     """(segments, per-channel share and direction at each segment's peak).
 
     ``smooth`` holds (group, ts_ns, smooth, zn_smooth).
     """
+    group = channels.group
     flag = (F.col("smooth") > threshold) | (F.col("zn_smooth") > zn_threshold)
     f = smooth.withColumn("flag", flag).withColumn("severity", F.greatest("smooth", "zn_smooth"))
     f = ordered.previous(f, group, ["ts_ns"], {"was": "flag"}, chunk)
@@ -352,7 +445,7 @@ def flag_and_segment(
     sev = F.least(F.lit(1.0), F.col("sev"))
     seg = seg.withColumn("severity", sev).withColumn("status", F.when(F.col("severity") >= 0.5, "anomaly").otherwise("uncertain"))
     seg = seg.withColumn("incident_id", incident_id("start_ts_ns", "end_ts_ns", F.concat_ws("/", *[F.col(g).cast("string") for g in group]) if group else F.lit("host"), F.lit("fuse"))).drop("sev")
-    at_peak = matrix.join(seg.select(*group, "run", F.col("peak_ts").alias("ts_ns")), [*group, "ts_ns"]).join(model, [*group, *st.SERIES])
+    at_peak = channels.at(seg.select(*group, "run", F.col("peak_ts").alias("ts_ns"))).join(model, [*group, *st.SERIES])
     at_peak = at_peak.withColumn("zc", _channel_z())
     total = at_peak.groupBy(*group, "run").agg(F.sum("zc").alias("zsum"))
     share = F.col("zc") / F.when(F.col("zsum") == 0, F.lit(1.0)).otherwise(F.col("zsum"))

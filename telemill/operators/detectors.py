@@ -156,26 +156,25 @@ def score_cascade(
     return _kept(detect.merge_incidents(cascade_rows(model, points, p, adjustments)[0], "cascade"), suppressed)
 
 
-def _enough(matrix: DataFrame, group: list[str], p: Params) -> DataFrame:
-    """Rows of the groups that have at least ``min_rows`` ticks."""
-    ticks = matrix.select(*group, "ts_ns").distinct()
-    if group:
-        return matrix.join(ticks.groupBy(*group).agg(F.count(F.lit(1)).alias("t")).where(F.col("t") >= p.min_rows).select(*group), group, "left_semi")
-    return matrix.where(ticks.agg(F.count(F.lit(1)).alias("t")).scalar() >= p.min_rows)
+def _enough(channels: detect.ChannelRuns, p: Params) -> detect.ChannelRuns:
+    """Those of the groups that have at least ``min_rows`` ticks."""
+    large = cut(channels.sizes().where(F.col("t") >= p.min_rows))
+    if channels.group:
+        return channels.of(large.select(*channels.group))
+    some = large.agg(F.count(F.lit(1)) > 0).scalar()
+    return detect.ChannelRuns([], channels.ticks.where(some), channels.runs.where(some))
 
 
 def fit_fuse(train: DataFrame, val: DataFrame | None, p: Params) -> Model:
-    group = list(p.group)
-    m = _enough(cut(detect.channel_matrix(train, group, ordered.by_time())), group, p)
-    channels, q99 = detect.fit_channels(m, group)
+    channels, q99 = detect.fit_channels(_enough(detect.channel_runs(train, list(p.group), ordered.by_time()), p))
     return {"channels": cut(channels), "q99": cut(q99)}
 
 
 def fuse_segments(model: Model, points: DataFrame, p: Params, raw: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, channel shares) of the fused score. ``raw`` holds (group, ts_ns, raw); ticks without one count as 0."""
     group = list(p.group)
-    m = cut(_enough(cut(detect.channel_matrix(points, group, ordered.by_time(), model["channels"].select(*group, *st.SERIES))), group, p))
-    z = detect.max_channel_z(m, model["channels"], group)
+    m = _enough(detect.channel_runs(points, group, ordered.by_time(), model["channels"].select(*group, *st.SERIES)), p)
+    z = detect.max_channel_z(m, model["channels"])
     z = z.join(model["q99"], group) if group else z.withColumn("q99", model["q99"].scalar())
     if raw is None:
         z = z.withColumn("raw", F.lit(0.0))
@@ -183,7 +182,7 @@ def fuse_segments(model: Model, points: DataFrame, p: Params, raw: DataFrame | N
         z = z.join(raw, [*group, "ts_ns"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
     fused = cut(detect.fuse(z, p.fuse_w))
     smooth = detect.median_filter(fused, group, ["ts_ns"], {"smooth": "fused", "zn_smooth": "zn"}, p.median_k, ordered.by_time())
-    return detect.flag_and_segment(cut(smooth), m, model["channels"], group, ordered.by_time(), p.threshold, p.zn_threshold)
+    return detect.flag_and_segment(cut(smooth), m, model["channels"], ordered.by_time(), p.threshold, p.zn_threshold)
 
 
 def score_fuse(

@@ -20,8 +20,8 @@ def _first_digit(v: Column) -> Column:
 
 
 def _select(src: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
-    """Quantiles of ``__v`` per group of the stored table ``src`` of (``by``, ``__v``), null values apart."""
-    seen = [F.count(F.lit(1)).alias("c"), F.min("__v").alias("nlo"), F.max("__v").alias("nhi")]
+    """Quantiles of ``__v`` per group of the stored table ``src`` of (``by``, ``__v``, ``__w``); a row counts ``__w`` times."""
+    seen = [F.sum("__w").alias("c"), F.count(F.lit(1)).alias("m"), F.min("__v").alias("nlo"), F.max("__v").alias("nhi")]
     before = lambda of: F.coalesce(F.sum("c").over(Window.partitionBy(*of).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = lambda r: (r >= F.col("b")) & (r < F.col("b") + F.col("c"))
 
@@ -30,7 +30,7 @@ def _select(src: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
         return near.where((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
 
     def into(met: DataFrame) -> DataFrame:
-        return met.select(*by, "__n", "j", (F.col("r") - F.col("b")).alias("r"), "c", F.col("nlo").alias("lo"), F.col("nhi").alias("hi"))
+        return met.select(*by, "__n", "j", (F.col("r") - F.col("b")).alias("r"), "m", F.col("nlo").alias("lo"), F.col("nhi").alias("hi"))
 
     first = cut(src.groupBy(*by, _first_digit(F.col("__v")).alias("__d")).agg(*seen))
     placed = first.withColumns({"b": before(by), "__n": F.sum("c").over(Window.partitionBy(*by))})
@@ -38,14 +38,17 @@ def _select(src: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
     ranks = [F.struct(F.lit(k).alias("j"), f(F.lit(q) * (F.col("__n") - 1)).cast("long").alias("r")) for k, (q, f) in enumerate((q, f) for q in qs.values() for f in (F.floor, F.ceil))]
     state = cut(into(placed.select(*placed.columns, F.inline(F.filter(F.array(*ranks), lambda x: inside(x["r"]))))))
     of = [*by, "lo", "hi"]
-    large = (F.col("lo") < F.col("hi")) & (F.col("c") > SORTED)
+    large = (F.col("lo") < F.col("hi")) & (F.col("m") > SORTED)
     while state.where(large).limit(1).count():
         wide = state.where(large)
         digit = F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).cast("int")
         fine = rows_of(wide).groupBy(*of, digit.alias("__d")).agg(*seen)
-        state = cut(state.where(~large).unionByName(into(wide.drop("c").join(fine.withColumn("b", before(of)), of).where(inside(F.col("r"))))))
-    ordered = rows_of(state.where("lo < hi")).groupBy(*of).agg(F.sort_array(F.collect_list("__v")).alias("vs"))
-    got = state.join(ordered, of, "left").withColumn("v", F.when(F.col("vs").isNull(), F.col("lo")).otherwise(F.get("vs", F.col("r").cast("int"))))
+        state = cut(state.where(~large).unionByName(into(wide.drop("m").join(fine.withColumn("b", before(of)), of).where(inside(F.col("r"))))))
+    ordered = rows_of(state.where("lo < hi")).groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("__v", "__w"))).alias("vs"))
+    none = F.lit(None).cast("double")
+    step = lambda a, e: F.when(a["x"].isNull() & (a["r"] < e["__w"]), F.struct(a["r"].alias("r"), e["__v"].alias("x"))).otherwise(F.struct((a["r"] - e["__w"]).alias("r"), a["x"].alias("x")))
+    picked = F.aggregate("vs", F.struct(F.col("r").alias("r"), none.alias("x")), step)["x"]
+    got = state.join(ordered, of, "left").withColumn("v", F.when(F.col("vs").isNull(), F.col("lo")).otherwise(picked))
     at = lambda j: F.max(F.when(F.col("j") == j, F.col("v")))
     out = []
     for i, (name, q) in enumerate(qs.items()):
@@ -54,15 +57,17 @@ def _select(src: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
     return got.groupBy(*by).agg(*out)
 
 
-def _slim(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, list[str]]:
+def _slim(df: DataFrame, keys: list[str], value: str, weight: Column | None) -> tuple[DataFrame, list[str]]:
     src = df if keys else df.withColumn("__all", F.lit(0))
     by = keys or ["__all"]
-    return cut(src.dropna(subset=[*by, value]).select(*by, F.col(value).cast("double").alias("__v"))), by
+    w = F.lit(1) if weight is None else weight
+    return cut(src.dropna(subset=[*by, value]).select(*by, F.col(value).cast("double").alias("__v"), w.cast("long").alias("__w"))), by
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], weight: Column | None = None) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per key group, one output column per entry of ``qs``.
 
+    A row counts ``weight`` times, a whole number above 0, once by default.
     Nulls do not count; NaN is largest. Groups are keyed as in a join: a null
     key has no row. Keys and values are stored once; then rows are counted by
     (key, digit of the value) in map tasks, and the bin of a wanted rank again
@@ -72,13 +77,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     equal parts, so a pass leaves a 4096th of the range. Only bins are ordered
     by a window, never rows.
     """
-    src, by = _slim(df, keys, value)
+    src, by = _slim(df, keys, value, weight)
     return _select(src, by, qs).select(*keys, *qs)
 
 
-def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def median_and_mad(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
     """Median and median absolute deviation per key group."""
-    src, by = _slim(df, keys, value)
+    src, by = _slim(df, keys, value, weight)
     med = cut(_select(src, by, {"median": 0.5}))
-    mad = _select(src.join(med, by).select(*by, F.abs(F.col("__v") - F.col("median")).alias("__v")), by, {"mad": 0.5})
+    mad = _select(src.join(med, by).select(*by, F.abs(F.col("__v") - F.col("median")).alias("__v"), "__w"), by, {"mad": 0.5})
     return med.join(mad, by).select(*keys, "median", "mad")

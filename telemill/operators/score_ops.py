@@ -222,10 +222,11 @@ def overlap_average(first: DataFrame, shifted: DataFrame, keys: list[str], offse
     return j.withColumn(score, F.when(F.col("__b").isNotNull(), 0.5 * (F.col(score) + F.col("__b"))).otherwise(F.col(score))).drop("__b")
 
 
-def robust_fusion(train_matrix: DataFrame, matrix: DataFrame, scores: DataFrame, group: list[str], w: float = 0.3) -> DataFrame:
+def robust_fusion(train: detect.ChannelRuns, test: detect.ChannelRuns, scores: DataFrame, w: float = 0.3) -> DataFrame:
     """Scores (group, ts_ns, raw) fused with the robust channel deviation."""
-    model, q = detect.fit_channels(train_matrix, group)
-    z = detect.max_channel_z(matrix, cut(model), group)
+    group = test.group
+    model, q = detect.fit_channels(train)
+    z = detect.max_channel_z(test, model)
     z = z.join(cut(q), group) if group else z.withColumn("q99", q.scalar())
     return detect.fuse(z.join(scores, [*group, "ts_ns"]), w)
 

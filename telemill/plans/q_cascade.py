@@ -211,25 +211,32 @@ def d17(spark, sf):
     return _matrix(spark, sf).select("src", "ts_ns", "metric_id", r6("value").alias("value"))
 
 
+def train_and_all(pts, chunk):
+    """Channel runs of the train period, with the channels of the whole, and of everything."""
+    last = pts.where("split = 'train'").groupBy("src").agg(F.max("ts_ns").alias("c"))
+    channels = cut(pts.where("quality = 'observed'").select(*G, "entity_id", "metric_id").distinct())
+    early = pts.join(last, "src").where("ts_ns <= c").drop("c")
+    return detect.channel_runs(early, G, chunk, channels), detect.channel_runs(pts, G, chunk, channels)
+
+
 def _fuse_parts(spark, sf):
     pts = channel_points(spark, sf)
-    m = cut(detect.channel_matrix(pts, G, ordered.by_time()))
-    last = pts.where("split = 'train'").groupBy("src").agg(F.max("ts_ns").alias("c"))
-    model, q = detect.fit_channels(m.join(last, "src").where("ts_ns <= c").drop("c"), G)
-    return pts, m, cut(model), cut(q)
+    train, m = train_and_all(pts, ordered.by_time())
+    model, q = detect.fit_channels(train)
+    return pts, m, model, cut(q)
 
 
 def _fused(spark, sf):
     pts, m, model, q = _fuse_parts(spark, sf)
     raw = pts.groupBy("src", "ts_ns").agg((F.max(F.col("k") % 101) / F.lit(100.0)).alias("raw"))
-    z = detect.max_channel_z(m, model, G).join(q, "src").join(raw, ["src", "ts_ns"])
+    z = detect.max_channel_z(m, model).join(q, "src").join(raw, ["src", "ts_ns"])
     return m, model, detect.fuse(z)
 
 
 @query("d18_max_channel_z", "SELECT cz.src, ts_ns, round(z, 5) AS z, round(q99, 6) AS q99 FROM cz JOIN cq ON cq.src = cz.src", ("cz", "cq"))
 def d18(spark, sf):
     _, m, model, q = _fuse_parts(spark, sf)
-    return detect.max_channel_z(m, model, G).join(q, "src").select("src", "ts_ns", F.round("z", 5).alias("z"), r6("q99").alias("q99"))
+    return detect.max_channel_z(m, model).join(q, "src").select("src", "ts_ns", F.round("z", 5).alias("z"), r6("q99").alias("q99"))
 
 
 @query("d19_fuse", "SELECT src, ts_ns, round(zn, 6) AS zn, round(fused, 6) AS fused FROM fz", ("fz",))
@@ -268,7 +275,7 @@ ON c.src = seg.src AND c.ts_ns = seg.peak
 
 def _segments(spark, sf):
     m, model, fused = _fused(spark, sf)
-    return detect.flag_and_segment(cut(_smooth(fused)), m, model, G, ordered.by_time(), 0.6, 0.9)
+    return detect.flag_and_segment(cut(_smooth(fused)), m, model, ordered.by_time(), 0.6, 0.9)
 
 
 @query(

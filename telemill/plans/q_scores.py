@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from telemill.operators import detect, evaluate, ordered, score_ops
-from telemill.plans.q_cascade import G, channel_points
+from telemill.plans.q_cascade import G, channel_points, train_and_all
 from telemill.plans.q_detect import labelled
 from telemill.plans.registry import DAY, cte, query, r6
 from telemill.session import cut
@@ -126,10 +126,8 @@ def x9(spark, sf):
 @query("x10_robust_fusion", "SELECT src, ts_ns, round(fused, 6) AS fused FROM fz", ("fz",))
 def x10(spark, sf):
     pts = channel_points(spark, sf)
-    m = cut(detect.channel_matrix(pts, G, CH()))
-    last = pts.where("split = 'train'").groupBy("src").agg(F.max("ts_ns").alias("c"))
     raw = pts.groupBy("src", "ts_ns").agg((F.max(F.col("k") % 101) / F.lit(100.0)).alias("raw"))
-    out = score_ops.robust_fusion(m.join(last, "src").where("ts_ns <= c").drop("c"), m, raw, G, 0.3)
+    out = score_ops.robust_fusion(*train_and_all(pts, CH()), raw, 0.3)
     return out.select("src", "ts_ns", r6("fused").alias("fused"))
 
 
