@@ -4,41 +4,82 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemill.operators import ordered
 
 SCHEMA_VERSION = "2"
-# The two tables that every session has; other tables are given as DDL.
+# The two tables that every session has. All others are declared in the store itself.
 TABLES: dict[str, str] = {
     "meta": "key string, value string",
     "host_cpu": "ts_ns bigint, cpu_idx bigint, usr bigint, nice bigint, sys bigint, idle bigint, iowait bigint, irq bigint, softirq bigint, steal bigint, guest bigint, guest_nice bigint",
 }
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def declared_tables(spark: SparkSession, root: str) -> dict[str, T.StructType]:
+    """The typed tables of a store: those of every session and those declared in its catalog."""
+    own = spark.read.schema("name string, ddl string").parquet(f"{root}/catalog").collect() if _exists(spark, f"{root}/catalog") else []  # a row per table
+    return {n: T.StructType.fromDDL(d) for n, d in [*TABLES.items(), *((r["name"], r["ddl"]) for r in own)]}
+
+
+def declare_tables(spark: SparkSession, root: str, tables: dict[str, str]) -> None:
+    """Add typed tables (name to DDL) to a store's catalog; a table keeps the type it has."""
+    known = declared_tables(spark, root)
+    new = {}
+    for name, ddl in tables.items():
+        if name not in known:
+            new[name] = ddl
+        elif known[name] != T.StructType.fromDDL(ddl):
+            raise ValueError(f"table {name} is declared as {known[name].simpleString()}")
+    if new:
+        spark.createDataFrame(list(new.items()), "name string, ddl string").coalesce(1).write.mode("append").parquet(f"{root}/catalog")
+
+
+def _type_of(spark: SparkSession, root: str, name: str, ddl: str | None) -> T.StructType:
+    if ddl is not None:
+        return T.StructType.fromDDL(ddl)
+    known = declared_tables(spark, root)
+    if name not in known:
+        raise ValueError(f"no table {name!r} is declared in {root}; there are {', '.join(sorted(known))}")
+    return known[name]
+
+
 def write_session_table(df: DataFrame, root: str, name: str, ddl: str | None = None) -> None:
     """Append rows (with their ``session``) to a session table; columns that ``df`` lacks stay null."""
-    from pyspark.sql.types import StructType
-
-    schema = StructType.fromDDL(ddl or TABLES[name])
     have = set(df.columns)
-    cols = [
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
-    ]
+    cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in _type_of(df.sparkSession, root, name, ddl).fields]
     df.select("session", *cols).write.mode("append").partitionBy("session").parquet(f"{root}/{name}")
 
 
-def read_session_table(spark: SparkSession, root: str, name: str, sessions: list[str] | None = None, ddl: str | None = None) -> DataFrame:
-    """Rows of the sessions with the supported schema version; ``sessions`` prunes partitions."""
-    meta = spark.read.schema(f"{TABLES['meta']}, session string").parquet(f"{root}/meta")
-    df = spark.read.schema(f"{ddl or TABLES[name]}, session string").parquet(f"{root}/{name}")
+def _typed(reader, kind: T.StructType, path: str) -> DataFrame:
+    return reader.schema(T.StructType([*kind.fields, T.StructField("session", T.StringType())])).parquet(path)
+
+
+def _supported(spark: SparkSession, root: str, df: DataFrame, sessions: list[str] | None) -> DataFrame:
+    meta = _typed(spark.read, T.StructType.fromDDL(TABLES["meta"]), f"{root}/meta")
     if sessions is not None:
         df, meta = df.where(F.col("session").isin(sessions)), meta.where(F.col("session").isin(sessions))
     good = meta.where((F.col("key") == "schema_version") & (F.col("value") == SCHEMA_VERSION)).select("session").distinct()
     return df.join(good, "session", "left_semi")
 
 
+def read_session_table(spark: SparkSession, root: str, name: str, sessions: list[str] | None = None, ddl: str | None = None) -> DataFrame:
+    """Rows of the sessions with the supported schema version; ``sessions`` prunes partitions."""
+    return _supported(spark, root, _typed(spark.read, _type_of(spark, root, name, ddl), f"{root}/{name}"), sessions)
+
+
+def stream_session_table(spark: SparkSession, root: str, name: str, sessions: list[str] | None = None, ddl: str | None = None) -> DataFrame:
+    """New rows of a session table as they are written; a session counts once its ``meta`` has the supported version."""
+    return _supported(spark, root, _typed(spark.readStream, _type_of(spark, root, name, ddl), f"{root}/{name}"), sessions)
+
+
 def unsupported_sessions(spark: SparkSession, root: str) -> DataFrame:
-    meta = spark.read.schema(f"{TABLES['meta']}, session string").parquet(f"{root}/meta")
+    meta = _typed(spark.read, T.StructType.fromDDL(TABLES["meta"]), f"{root}/meta")
     version = meta.groupBy("session").agg(F.max(F.when(F.col("key") == "schema_version", F.col("value"))).alias("version"))
     return version.where(F.col("version").isNull() | (F.col("version") != SCHEMA_VERSION))
 
