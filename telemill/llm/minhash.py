@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.llm import text as T
-from telemill.llm.common import components, salted_join
+from telemill.llm.common import components, key_filter, marked, places, salted_join, small_batches
 from telemill.session import cut
 
 PERMS, BANDS, ROWS = 128, 25, 5  # a pair at 0.8 shares no band with a chance of 5e-5
@@ -138,6 +138,11 @@ def _survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _of(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that may have one of ``ids`` (column ``id``): the texts of all others are not shuffled."""
+    return marked(docs, key_filter(ids.select(places("id").alias("p")), "p"), id_col).where("__maybe").drop("__maybe")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold; ``pairs`` is a stored table.
 
@@ -157,10 +162,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
                     keep.append(100 * both >= percent * (len(p) + len(q) - both))
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("b"), F.col(text_col).alias("tb"))
+    src = docs.select(F.col(id_col).cast("long").alias("b"), F.col(text_col).alias("tb"))
+    texts, heads = (_of(src, pairs.select(F.col(c).alias("id")), "b") for c in ("b", "a"))
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("fan"))
     dealt = salted_join(pairs, fan, "a", "b").select("a", "b", F.pmod(F.xxhash64("b", F.lit(7)), F.col("fan")).cast("int").alias("s"))
-    hubs = dealt.select("a", "s").distinct().join(texts.select(F.col("b").alias("a"), F.col("tb").alias("ta")), "a")
+    hubs = dealt.select("a", "s").distinct().join(heads.select(F.col("b").alias("a"), F.col("tb").alias("ta")), "a")
     full = dealt.join(texts, "b").join(hubs, ["a", "s"]).select("a", "b", "ta", "tb")
     return full.mapInArrow(run, "a long, b long")
 
@@ -209,7 +215,7 @@ def _leftover_large(live: DataFrame, classes: DataFrame, docs: DataFrame, size:
     weight = live.join(classes.select("id", "n", "sig"), "id")
     tiles = weight.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / (TILE * 1000))).alias("tiles"))
     dealt = salted_join(weight, tiles, "bucket", "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    full = dealt.join(docs.select(F.col("id"), "text").join(live.select("id").distinct(), "id", "left_semi"), "id")
+    full = dealt.join(_of(docs.select("id", "text"), live.select("id"), "id"), "id")
     tile = cut(full.groupBy("bucket", "band", "tile", F.expr("label = main").alias("main")).agg(F.collect_list(F.struct("id", "n", "label", "sig", "text")).alias("m")))
     few = tile.where("not main").select("bucket", "band", F.col("tile").alias("t"), F.col("m").alias("p"))
     many = tile.select("bucket", F.col("tile").alias("u"), F.col("main").alias("um"), F.col("m").alias("q"))
@@ -261,6 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set has the smallest digest, and a link is confirmed if any of the id's texts
     reaches the threshold. A row without id is left out. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     one = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = cut(profile(one, "id", "text", size))
     # a repeated id keeps one set; the texts are told apart by digest
