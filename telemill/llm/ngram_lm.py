@@ -165,28 +165,31 @@ def _answer_shard(order: int, asked: pa.Table) -> pa.Table:
     return pa.table({"block": asked.column("block"), "gram": asked.column("gram"), "shard": asked.column("shard"), "answer": pa.array(answers, pa.binary()), "distinct": pa.array(distinct, pa.int64())})
 
 
-def _token_counts(row: dict, answers: list[np.ndarray]):
-    """Per order: (count of the n-gram, count of its context) at every token."""
+def _token_counts(row: dict, parts: dict, order: int, shards: int):
+    """Order by order, (count of the n-gram, count of its context) at every token; ``parts`` are the answers by (order, shard).
+
+    One order's arrays are made when it is asked for, so only two orders are held.
+    """
     seq, lengths = _sequence(row), _expand(row["lengths"], np.int64)
-    out, lower = [], None
     words = _expand(row["words"], np.uint64)
-    end = int(np.flatnonzero(words == END)[0])
     pos = np.arange(len(seq)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    for order, by_key in enumerate(answers, 1):
-        if order == 1:
-            by_word = np.empty(len(words), np.int64)
-            by_word[np.argsort(words)] = by_key
-            own, context = by_word[seq].astype(float), None
+    lower, ends = None, 0
+    for k in range(1, order + 1):
+        _, _, to, back, place, real = _asked(row, k, shards)
+        dtype = np.int64 if k == 1 else np.uint8
+        flat = [_expand(parts[k, s], dtype) for s in range(shards) if to[s] < to[s + 1]]
+        by_key = (np.concatenate(flat) if flat else np.zeros(0, dtype))[back]
+        if k == 1:
+            own, context = by_key[place].astype(float), None
+            ends = by_key[np.searchsorted(np.sort(words), END)]
         else:
-            _, _, _, _, place, real = _asked(row, order, 1)
             own = np.zeros(len(seq))
             own[real] = _STEPS[by_key[place]]
             context = np.roll(lower, 1)
-            context[pos == 0] = by_word[end] if order == 2 else 0
+            context[pos == 0] = ends if k == 2 else 0
             context[~real] = 0
-        out.append((own, context))
+        yield own, context
         lower = own
-    return seq, lengths, out
 
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
@@ -230,23 +233,19 @@ def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: s
         return _answer_shard(key[0].as_py(), asked)
 
     def counted(own, answers):
-        """A block's row with its text lengths and, per order, the counts at every token."""
-        row, got = _row(own), []
+        """A block's row with its text lengths, and the counts at every token, order by order."""
+        T.release()
+        row = _row(own)
         parts = {(g, s): a for g, s, a in zip(*(answers.column(c).to_pylist() for c in ("gram", "shard", "answer")))}
-        for k in range(1, order + 1):
-            keys, _, to, back, _, _ = _asked(row, k, shards)
-            dtype = np.int64 if k == 1 else np.uint8
-            flat = [_expand(parts[k, s], dtype) for s in range(shards) if to[s] < to[s + 1]]
-            got.append((np.concatenate(flat) if flat else np.zeros(0, dtype))[back])
-        _, lengths, counts = _token_counts(row, got)
-        return row, lengths, counts
+        return row, _expand(row["lengths"], np.int64), _token_counts(row, parts, order, shards)
 
     def gather(_, own, answers):
         row, lengths, counts = counted(own, answers)
         learned = np.repeat(_expand(row["flags"], np.uint8), lengths) == 1
         stats = np.zeros((order + 1, CLASSES, 2), np.int64)
-        for k in range(2, order + 1):
-            n, context = counts[k - 1]
+        for k, (n, context) in enumerate(counts, 1):
+            if k == 1:
+                continue
             use = learned & (context >= 1.5)  # leave one out: the token's own occurrence does not count
             c = np.log2(context[use] - 1 + 1e-9).astype(np.int64).clip(0, CLASSES - 1)
             stats[k, :, 0] = np.bincount(c, minlength=CLASSES)
@@ -266,19 +265,20 @@ def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: s
 
     def score(_, own, answers):
         row, lengths, counts = counted(own, answers)
-        known = counts[0][0]
-        base = (known + 0.5) / below
-        p = base
-        for k in range(2, order + 1):
-            n, context = counts[k - 1]
+        start = np.cumsum(lengths) - lengths
+        add = lambda x: np.add.reduceat(x, start)  # noqa: E731  every text has its end token
+        p, seen, plain = None, None, None
+        for k, (n, context) in enumerate(counts, 1):
+            if k == 1:
+                p = (n + 0.5) / below
+                seen, plain = add((n > 0).astype(np.int64)), add(np.log10(p))
+                continue
             c = np.log2(np.maximum(context, 1)).astype(np.int64).clip(0, CLASSES - 1)
             a = np.where(context > 0, weight[k, c], 0.0)
             p = a * np.minimum(n / np.maximum(context, 1), 1.0) + (1 - a) * p
-        start = np.cumsum(lengths) - lengths
-        add = lambda x: np.add.reduceat(x, start)  # noqa: E731  every text has its end token
         ids, valid = _expand(row["ids"], np.int64), _expand(row["known"], np.uint8) == 1
         return pa.table(
-            [pa.array(ids, mask=~valid), pa.array(lengths), pa.array(add((known > 0).astype(np.int64))), pa.array(np.full(len(ids), total)), pa.array(add(np.log10(base))), pa.array(add(np.log10(p)))],
+            [pa.array(ids, mask=~valid), pa.array(lengths), pa.array(seen), pa.array(np.full(len(ids), total)), pa.array(plain), pa.array(add(np.log10(p)))],
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
