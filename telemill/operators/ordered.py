@@ -13,6 +13,7 @@ has chunks. Only the summaries, one row per chunk, are ordered per key.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -160,42 +161,31 @@ def with_halo(df: DataFrame, keys: list[str], idx: str, before: int, after: int,
 
 
 def ewma(df: DataFrame, keys: list[str], order: Sequence, value: str, alpha: float, chunk: Column, name: str = "ewma") -> DataFrame:
-    """y0 = x0, y = alpha*x + (1-alpha)*y along the key.
+    """y0 = x0, y = alpha*x + (1-alpha)*y along the key; a null adds nothing.
 
-    The recurrence is affine, so a chunk is summarised by its length and its
-    end value from zero. Inside a chunk the sum over earlier rows is cut at the
-    row count after which the weight drops below 1e-18, which double
-    arithmetic cannot see.
+    The recurrence is affine, so it is composed in two levels of weighted sums.
+    Positions of a key are cut into blocks over which the weight falls by 1e-100:
+    inside a block y is a running sum of weighted values times the weight of its
+    place, and a block hands on its end. Ends of as many blocks as double
+    arithmetic can tell from 0 make up what stands before a block: nothing is cut.
     """
-    import math
-
-    keep = max(2, math.ceil(math.log(1e-18) / math.log(1.0 - alpha))) if alpha < 1.0 else 2
-    beta = 1.0 - alpha
-    df = _fresh(df, chunk)
-    local, across = _windows(keys, order)
-    heads = df.groupBy(*keys).agg(F.min(F.struct(*_order(order))).alias("__first")) if keys else None
-    if heads is None:
-        first = df.agg(F.min(F.struct(*_order(order))).alias("__first")).scalar()
-        marked = df.withColumn("__first", first)
-    else:
-        marked = df.join(heads, keys, "left")
-    gain = F.when(F.struct(*_order(order)) == F.col("__first"), F.lit(1.0)).otherwise(F.lit(alpha))
-    marked = marked.withColumn("__x", gain * F.col(value).cast("double")).drop("__first")
-    recent = F.collect_list("__x").over(local.rowsBetween(-keep, 0))
-    folded = F.aggregate(recent, F.lit(0.0), lambda acc, x: acc * F.lit(beta) + x)
-    marked = marked.withColumns({"__y": folded, "__i": F.row_number().over(local)})
-    ends = (
-        marked.groupBy(*keys, CHUNK)
-        .agg(F.max("__i").alias("__n"), F.max_by("__y", "__i").alias("__end"))
-    )
-    carry_list = F.collect_list(F.struct("__n", "__end")).over(across.rowsBetween(-keep, -1))
-    carried = F.aggregate(
-        carry_list, F.lit(0.0), lambda acc, s: acc * F.pow(F.lit(beta), s["__n"]) + s["__end"]
-    )
-    ends = ends.withColumn("__carry", carried).select(*keys, CHUNK, "__carry")
-    out = marked.join(ends, [*keys, CHUNK], "left")
-    out = out.withColumn(name, F.col("__y") + F.pow(F.lit(beta), F.col("__i")) * F.coalesce("__carry", F.lit(0.0)))
-    return out.drop("__x", "__y", "__i", "__carry", CHUNK)
+    rows = with_index(df, keys, order, chunk, "__i")
+    x, beta = F.col(value).cast("double"), 1.0 - alpha
+    if beta <= 0.0:
+        return rows.withColumn(name, x).drop("__i")
+    fall = -math.log10(beta)  # digits lost per row
+    block = max(1, min(10_000_000, int(100 / fall)))
+    kept = max(1, math.ceil(324 / (fall * block)))
+    place = F.col("__i") % block
+    gain = F.when(F.col("__i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    within = Window.partitionBy(*keys, "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    summed = F.coalesce(F.sum(gain * x * F.pow(F.lit(beta), -place)).over(within), F.lit(0.0))
+    local = rows.withColumn("__b", floor_div(F.col("__i"), F.lit(block))).withColumn("__y", F.pow(F.lit(beta), place) * summed)
+    across = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy("__b")
+    ends = local.groupBy(*keys, "__b").agg(F.max_by("__y", "__i").alias("__end"))
+    carry = sum((F.lit(beta ** (block * i)) * F.coalesce(F.lag("__end", i + 1).over(across), F.lit(0.0)) for i in range(kept)), F.lit(0.0))
+    out = local.join(ends.select(*keys, "__b", carry.alias("__carry")), [*keys, "__b"])
+    return out.withColumn(name, F.col("__y") + F.pow(F.lit(beta), place + 1) * F.col("__carry")).drop("__i", "__b", "__y", "__carry")
 
 
 def fold(

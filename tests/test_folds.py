@@ -162,3 +162,18 @@ def test_quantiles(spark, monkeypatch, small):
     assert both["m"] == mad["median"] == linear(data["n"], 0.5)
     assert mad["mad"] == linear([abs(v - mad["median"]) for v in data["n"]], 0.5)
     assert exact_quantiles(df.limit(0), ["k"], "v", qs).count() == 0
+
+
+@pytest.mark.parametrize("alpha", [0.2, 0.5, 0.97, 1.0, 0.01])
+def test_ewma_equals_the_recurrence(spark, alpha):
+    r = random.Random(9)
+    xs = {"a": [r.gauss(0, 1) for _ in range(6000)], "b": [1e12] + [1e-9] * 3000, "c": [7.0]}
+    df = spark.createDataFrame([(k, i, x) for k, v in xs.items() for i, x in enumerate(v)], "k string, t long, x double")
+    got = {(g["k"], g["t"]): g["ewma"] for g in ordered.ewma(df, ["k"], ["t"], "x", alpha, ordered.by_time("t", 700)).collect()}
+    for k, v in xs.items():
+        y = None
+        for i, x in enumerate(v):
+            y = x if y is None else alpha * x + (1 - alpha) * y
+            assert math.isclose(got[k, i], y, rel_tol=1e-10, abs_tol=1e-12), (k, i)
+    whole = ordered.ewma(df.where("k = 'a'").drop("k"), [], ["t"], "x", alpha, ordered.by_time("t", 700)).collect()
+    assert all(math.isclose(g["ewma"], got["a", g["t"]], rel_tol=1e-12, abs_tol=1e-14) for g in whole)
