@@ -222,10 +222,13 @@ _FK = "CASE k % 12 WHEN 0 THEN 'connect' WHEN 1 THEN 'accept' WHEN 2 THEN 'estab
 @query(
     "p9_tcp_flows",
     f"""
-WITH e AS (SELECT *, tid AS cookie, {_FK} AS fk, k * 16 AS srtt, k * 100 AS bytes FROM trace),
+WITH RECURSIVE e AS (SELECT *, tid AS cookie, {_FK} AS fk, k * 16 AS srtt, k * 100 AS bytes FROM trace),
 f AS (SELECT cookie, arg_max(other, ts_ns) FILTER (fk IN ('connect', 'accept')) AS tid, min(ts_ns) FILTER (fk IN ('connect', 'accept')) AS st, min(ts_ns) FILTER (fk = 'established') AS est, max(ts_ns) FILTER (fk = 'close') AS en,
   count(*) FILTER (fk = 'retransmit') AS retransmits, arg_max(k, ts_ns) FILTER (fk = 'reset') AS rst_reason, CAST(coalesce(sum(bytes) FILTER (fk = 'tx'), 0) AS BIGINT) AS tx_bytes FROM e GROUP BY 1),
-r AS (SELECT e.cookie, count(*) AS rtt_count, sum(srtt >> 3) AS s FROM e JOIN f ON f.cookie = e.cookie AND e.ts_ns >= f.st WHERE fk = 'rtt' GROUP BY 1)
+b AS (SELECT e.cookie, srtt, e.ts_ns AS t, row_number() OVER (PARTITION BY e.cookie ORDER BY e.ts_ns, seq) AS i FROM e JOIN f ON f.cookie = e.cookie AND e.ts_ns >= f.st WHERE fk = 'rtt'),
+l AS (SELECT cookie, srtt, i, t AS last, true AS kept FROM b WHERE i = 1  -- at most ten a second
+ UNION ALL SELECT b.cookie, b.srtt, b.i, CASE WHEN (b.t - l.last) * 10 >= 1000000000 THEN b.t ELSE l.last END, (b.t - l.last) * 10 >= 1000000000 FROM l JOIN b ON b.cookie = l.cookie AND b.i = l.i + 1),
+r AS (SELECT cookie, count(*) AS rtt_count, sum(srtt >> 3) AS s FROM l WHERE kept GROUP BY 1)
 SELECT f.cookie, f.tid, retransmits, rst_reason, tx_bytes, CASE WHEN est > st THEN (est - st) // 1000 ELSE 0 END AS connect_latency_us, coalesce(rtt_count, 0) AS rtt_count, coalesce(CAST(s // rtt_count AS BIGINT), 0) AS rtt_avg_us,
  (en IS NOT NULL)::INT AS closed, coalesce(f.tid <> 0, false)::INT AS owner_available FROM f LEFT JOIN r ON r.cookie = f.cookie
 """,
@@ -240,7 +243,7 @@ def p9(spark, sf):
     ev = trace(spark, sf).select(
         F.col("tid").alias("cookie"), "ts_ns", "seq", kind.alias("kind"), F.col("other").alias("tid"), F.col("tgid"), (k * 16).alias("srtt_us8"), (k * 100).alias("bytes"), k.alias("reason")
     )
-    f = pairing.tcp_flows(ev, CHT(), 1_000_000_000, ORD)
+    f = pairing.tcp_flows(ev, CHT(), order=ORD)
     return f.select("cookie", "tid", "retransmits", "rst_reason", "tx_bytes", "connect_latency_us", "rtt_count", "rtt_avg_us",
                     F.col("closed").cast("int").alias("closed"), F.col("owner_available").cast("int").alias("owner_available"))
 
@@ -334,7 +337,7 @@ def p15(spark, sf):
     return pairing.rate_limit(p, ["entity_id"], ["ts_ns", "seq"], 1, ordered.by_time("ts_ns", 5 * DAY // 21600)).select("entity_id", "seq")
 
 
-@query("p16_sample")
+@query("p16_sample", "SELECT seq, ts_ns, entity_id FROM points WHERE ('0x' || left(md5(seq::VARCHAR), 8))::BIGINT % 10 = 0", ("points",))
 def p16(spark, sf):
     return pairing.sample(points(spark, sf), 10, ["seq"]).select("seq", "ts_ns", "entity_id")
 
