@@ -19,7 +19,7 @@ def _first_digit(v: Column) -> Column:
     return F.when(F.isnan(v), 500_000).otherwise(F.signum(v) * octave).cast("int")
 
 
-def _select(src: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
+def _select(src: DataFrame, by: list[str], qs: dict[str, float], bins: int = BINS) -> DataFrame:
     """Quantiles of ``__v`` per group of the stored table ``src`` of (``by``, ``__v``, ``__w``); a row counts ``__w`` times."""
     seen = [F.sum("__w").alias("c"), F.count(F.lit(1)).alias("m"), F.min("__v").alias("nlo"), F.max("__v").alias("nhi")]
     before = lambda of: F.coalesce(F.sum("c").over(Window.partitionBy(*of).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -41,7 +41,7 @@ def _select(src: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
     large = (F.col("lo") < F.col("hi")) & (F.col("m") > SORTED)
     while state.where(large).limit(1).count():
         wide = state.where(large)
-        digit = F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).cast("int")
+        digit = F.least(F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
         fine = rows_of(wide).groupBy(*of, digit.alias("__d")).agg(*seen)
         state = cut(state.where(~large).unionByName(into(wide.drop("m").join(fine.withColumn("b", before(of)), of).where(inside(F.col("r"))))))
     ordered = rows_of(state.where("lo < hi")).groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("__v", "__w"))).alias("vs"))
@@ -64,7 +64,7 @@ def _slim(df: DataFrame, keys: list[str], value: str, weight: Column | None) ->
     return cut(src.dropna(subset=[*by, value]).select(*by, F.col(value).cast("double").alias("__v"), w.cast("long").alias("__w"))), by
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], weight: Column | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], weight: Column | None = None, accuracy: int = BINS) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per key group, one output column per entry of ``qs``.
 
     A row counts ``weight`` times, a whole number above 0, once by default.
@@ -73,12 +73,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     (key, digit of the value) in map tasks, and the bin of a wanted rank again
     by its next digit, all quantiles and keys in one pass, until it holds one
     value or at most ``SORTED`` rows. The first digit is logarithmic, further
-    ones cut the values of their bin (least and greatest seen) into ``BINS``
-    equal parts, so a pass leaves a 4096th of the range. Only bins are ordered
+    ones cut the values of their bin (least and greatest seen) into ``accuracy``
+    equal parts, so a pass leaves as small a part of the range; the answer is exact whatever it is. Only bins are ordered
     by a window, never rows.
     """
     src, by = _slim(df, keys, value, weight)
-    return _select(src, by, qs).select(*keys, *qs)
+    return _select(src, by, qs, accuracy).select(*keys, *qs)
 
 
 def median_and_mad(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:

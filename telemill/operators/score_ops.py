@@ -118,49 +118,49 @@ def fit_gpd(excess: DataFrame, keys: list[str], value: str = "x", grid: int = 32
     """
     rows = excess.select(*keys, F.col(value).cast("double").alias("__x"))
     x = F.col("__x")
-    base = cut(rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.max(x).alias("top"), F.avg(x * x).alias("second")))
-    known = ["n", "mean", "top", "second"]
-    open_ = base.select(*keys, *known, F.lit(-7.0).alias("a"), F.lit(7.0).alias("b"))
+    base = cut(rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.max(x).alias("top"), F.avg(x * x).alias("__second")))
+    known = ["n", "mean", "top", "__second"]
+    open_ = base.select(*keys, *known, F.lit(-7.0).alias("__a"), F.lit(7.0).alias("__b"))
     found = None
     while True:
-        us = F.transform(F.sequence(F.lit(0), F.lit(grid)), lambda g: F.struct(g.alias("g"), (F.col("a") + (F.col("b") - F.col("a")) * g / grid).alias("u")))
+        us = F.transform(F.sequence(F.lit(0), F.lit(grid)), lambda g: F.struct(g.alias("__g"), (F.col("__a") + (F.col("__b") - F.col("__a")) * g / grid).alias("__u")))
         terms = rows.join(open_.select(*keys, "top", us.alias("__us")), keys).select(*keys, "top", "__x", F.inline("__us"))
-        theta = F.expm1("u") / F.col("top")
-        shapes = terms.groupBy(*keys, "g", "u").agg(F.avg(F.log1p(theta * x)).alias("shape"), F.first("top").alias("top"))
+        theta = F.expm1("__u") / F.col("top")
+        shapes = terms.groupBy(*keys, "__g", "__u").agg(F.avg(F.log1p(theta * x)).alias("shape"), F.first("top").alias("top"))
         # shapes at or below -1 have no maximum; at theta = 0 the scale is the mean
-        scale = F.when(F.abs("u") < 1e-12, F.lit(None)).otherwise(F.col("shape") / theta)
-        like = shapes.join(base.select(*keys, "mean"), keys).withColumn("like", F.when(F.col("shape") > -1, -(F.ln(F.coalesce(scale, F.col("mean"))) + F.col("shape") + 1)))
-        best = like.groupBy(*keys).agg(F.max_by(F.struct("g", "u"), "like").alias("m"))
-        step = (F.col("b") - F.col("a")) / grid
-        now = cut(open_.join(best, keys).withColumn("step", step))
-        edge = F.col("m.g").isin(0, grid) & (F.abs("m.u") < 500)
-        inside = now.where(~edge).select(*keys, *known, *[(F.expm1(u) / F.col("top")).alias(n) for n, u in (("lo", F.col("m.u") - F.col("step")), ("theta", F.col("m.u")), ("hi", F.col("m.u") + F.col("step")))])
+        scale = F.when(F.abs("__u") < 1e-12, F.lit(None)).otherwise(F.col("shape") / theta)
+        like = shapes.join(base.select(*keys, "mean"), keys).withColumn("__like", F.when(F.col("shape") > -1, -(F.ln(F.coalesce(scale, F.col("mean"))) + F.col("shape") + 1)))
+        best = like.groupBy(*keys).agg(F.max_by(F.struct("__g", "__u"), "__like").alias("__m"))
+        step = (F.col("__b") - F.col("__a")) / grid
+        now = cut(open_.join(best, keys).withColumn("__step", step))
+        edge = F.col("__m.__g").isin(0, grid) & (F.abs("__m.__u") < 500)
+        inside = now.where(~edge).select(*keys, *known, *[(F.expm1(u) / F.col("top")).alias(n) for n, u in (("__lo", F.col("__m.__u") - F.col("__step")), ("theta", F.col("__m.__u")), ("__hi", F.col("__m.__u") + F.col("__step")))])
         found = inside if found is None else found.unionByName(inside)
         if not now.where(edge).limit(1).count():
             break
-        width = F.col("b") - F.col("a")
-        left = F.col("m.g") == 0
-        open_ = now.where(edge).select(*keys, *known, F.when(left, F.col("a") - 2 * width).otherwise(F.col("b") - F.col("step")).alias("a"), F.when(left, F.col("a") + F.col("step")).otherwise(F.col("b") + 2 * width).alias("b"))
-    state = cut(found.withColumn("done", F.lit(False)))
+        width = F.col("__b") - F.col("__a")
+        left = F.col("__m.__g") == 0
+        open_ = now.where(edge).select(*keys, *known, F.when(left, F.col("__a") - 2 * width).otherwise(F.col("__b") - F.col("__step")).alias("__a"), F.when(left, F.col("__a") + F.col("__step")).otherwise(F.col("__b") + 2 * width).alias("__b"))
+    state = cut(found.withColumn("__done", F.lit(False)))
     ratio = x / (1 + F.col("theta") * x)
-    while state.where("NOT done").limit(1).count():
-        at = rows.join(state.where("NOT done").select(*keys, "theta"), keys)
+    while state.where("NOT __done").limit(1).count():
+        at = rows.join(state.where("NOT __done").select(*keys, "theta"), keys)
         sums = at.groupBy(*keys).agg(F.avg(F.log1p(F.col("theta") * x)).alias("__k"), F.avg(ratio).alias("__d1"), F.avg(ratio * ratio).alias("__d2"))
-        j = state.where("NOT done").join(sums, keys)
+        j = state.where("NOT __done").join(sums, keys)
         t, k, d1, d2 = (F.col(c) for c in ("theta", "__k", "__d1", "__d2"))
         near = F.abs(t * F.col("top")) < 1e-6  # the derivative's value at 0
-        slope = F.when(near, F.col("second") / (2 * F.col("mean")) - F.col("mean")).otherwise(1 / t - d1 * (1 + 1 / k))
+        slope = F.when(near, F.col("__second") / (2 * F.col("mean")) - F.col("mean")).otherwise(1 / t - d1 * (1 + 1 / k))
         bend = F.when(~near, -1 / (t * t) + d2 * (1 + 1 / k) + d1 * d1 / (k * k))
         j = j.withColumns({"__s": slope, "__c": bend})
         rising = (k <= -1) | (F.col("__s") > 0)
-        j = j.withColumns({"lo": F.when(rising, t).otherwise(F.col("lo")), "hi": F.when(rising, F.col("hi")).otherwise(t)})
+        j = j.withColumns({"__lo": F.when(rising, t).otherwise(F.col("__lo")), "__hi": F.when(rising, F.col("__hi")).otherwise(t)})
         newton = t - F.col("__s") / F.col("__c")
-        use = (F.col("__c") < 0) & (newton > F.col("lo")) & (newton < F.col("hi"))
-        j = j.withColumn("next", F.when(F.coalesce(use, F.lit(False)), newton).otherwise((F.col("lo") + F.col("hi")) / 2))
+        use = (F.col("__c") < 0) & (newton > F.col("__lo")) & (newton < F.col("__hi"))
+        j = j.withColumn("__next", F.when(F.coalesce(use, F.lit(False)), newton).otherwise((F.col("__lo") + F.col("__hi")) / 2))
         small = F.lit(tolerance) * (F.abs(t) + 1 / F.col("top"))
-        done = (F.abs(F.col("next") - t) <= small) | (F.col("hi") - F.col("lo") <= small)
-        moved = j.select(*keys, *known, "lo", F.col("next").alias("theta"), "hi", done.alias("done"))
-        state = cut(state.where("done").unionByName(moved))
+        done = (F.abs(F.col("__next") - t) <= small) | (F.col("__hi") - F.col("__lo") <= small)
+        moved = j.select(*keys, *known, "__lo", F.col("__next").alias("theta"), "__hi", done.alias("__done"))
+        state = cut(state.where("__done").unionByName(moved))
     shape = rows.join(state.select(*keys, "theta"), keys).groupBy(*keys).agg(F.avg(F.log1p(F.col("theta") * x)).alias("shape"))
     return state.join(shape, keys).select(*keys, "n", "mean", "top", "shape", "theta")
 
