@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 
 _written: list[str] = []  # intermediate tables not yet deleted
+_named: list[str] = []  # their names in the catalog, where they have one
 
 
 def builder(app: str = "telemill") -> SparkSession.Builder:
@@ -60,10 +61,19 @@ def fresh_path(spark: SparkSession) -> str:
     return path
 
 
+def fresh_table(spark: SparkSession) -> tuple[str, str]:
+    """A new path like that of ``fresh_path`` and a table name for it, which ``clean`` drops too."""
+    path = fresh_path(spark)
+    _named.append("telemill_" + path.rpartition("-")[2])
+    return _named[-1], path
+
+
 def clean(spark: SparkSession | None) -> None:
     """Delete all intermediate tables of this session; frames that read them end with it."""
     if spark is None or spark.sparkContext._jsc is None:
         return
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")  # the files go below
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
