@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from telemill.llm import elias_fano as ef
 from telemill.llm import text as T
-from telemill.session import fresh_path
+from telemill.session import fresh_table
 
 U = np.uint64
 BITS = (20, 40)  # of a context and of the whole n-gram below it
@@ -195,8 +195,7 @@ def _token_counts(row: dict, parts: dict, order: int, shards: int):
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     """Store ``df`` in the shared folder in buckets of ``block`` and read it back."""
     spark = df.sparkSession
-    path = fresh_path(spark)
-    name = "telemill_" + path.rpartition("-")[2]
+    name, path = fresh_table(spark)
     df.write.bucketBy(buckets, "block").sortBy("block").option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 
