@@ -37,7 +37,9 @@ _STOP[[ord(c) for c in ".!?"]] = True
 def lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte bounds of all lines (with the white space that ends them) and the bounds of each row's lines."""
     ends = data == 0x0A
-    ends[1:] |= (data[1:] == 0x20) & _STOP[data[:-1]]
+    sentence = (data[1:] == 0x20) & _STOP[data[:-1]]
+    sentence[bounds[(bounds > 0) & (bounds < len(data))] - 1] = False  # a row's first byte follows nothing
+    ends[1:] |= sentence
     cuts = np.unique(np.concatenate([np.flatnonzero(ends) + 1, bounds]))
     return cuts, np.searchsorted(cuts, bounds)
 
@@ -119,7 +121,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     extra = [copy_col] if copy_col else []
     base = docs.drop("n_lines", "n_removed", *extra)
-    src = base.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    base = base.withColumn(text_col, F.col(text_col).cast("string"))
+    src = base.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     def find(batches):
         for batch in T.slices(batches, "text", 1 << 19):
@@ -177,23 +180,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def rewrite(batches):
         for batch in T.slices(batches, text_col, 1 << 18):
-            at = batch.schema.get_field_index(text_col)
-            new: list[str | None] = []
-            count, gone, copy = [], [], []
-            for t, m in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("__matches")).to_pylist()):
-                if t is None:
-                    new.append(None)
-                    count.append(0)
-                    gone.append(0)
-                    copy.append(False)
-                    continue
-                raw = t.encode()
-                text, n, g = _remove(raw, m) if m else (raw, None, 0)
-                new.append(text.decode())
-                count.append(len(_split(raw)) if n is None else n)
-                gone.append(g)
-                copy.append(n is not None and g == n and len({x["sid"] for x in m}) == 1)
-            cols = [pa.array(new, pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            count = np.diff(lines(*T.buffers(texts))[1])
+            matches = batch.column(batch.schema.get_field_index("__matches")).to_pylist()
+            gone, copy = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            new = texts
+            if any(matches):
+                new = texts.to_pylist()
+                for i, (t, m) in enumerate(zip(new, matches)):
+                    if t is not None and m:
+                        text, n, gone[i] = _remove(t.encode(), m)
+                        new[i] = text.decode()
+                        copy[i] = gone[i] == n and len({x["sid"] for x in m}) == 1
+            cols = [(new if new is texts else pa.array(new, pa.string())) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(gone, pa.int64()), *[pa.array(copy, pa.bool_()) for _ in extra]], [*names, "n_lines", "n_removed", *extra])
 
     kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in base.schema)
