@@ -108,8 +108,8 @@ def _grams(words: np.ndarray, seq: np.ndarray, lengths: np.ndarray, order: int):
     return (T.mix(context) >> U(64 - c) << U(b)) | (whole >> U(64 - b)), pos >= order - 2
 
 
-def _asked(row: dict, order: int, shards: int):
-    """Distinct keys of a block with training counts, grouped by shard; and each token's place among them."""
+def _asked(row: dict, order: int, shards: int, counted: bool = True):
+    """Distinct keys of a block with training counts (if ``counted``), grouped by shard; and each token's place among them."""
     seq, lengths = _sequence(row), _expand(row["lengths"], np.int64)
     words = _expand(row["words"], np.uint64)
     key, real = _grams(words, seq, lengths, order)
@@ -120,11 +120,13 @@ def _asked(row: dict, order: int, shards: int):
         keys, place = words[rank], place[seq]
     else:
         keys, place = np.unique(key[real], return_inverse=True)
-    flags = np.repeat(_expand(row["flags"], np.uint8), lengths)[real]
-    counts = np.bincount(place, weights=flags, minlength=len(keys)).astype(np.int64)
     shard = (T.mix(keys) % U(shards)).astype(np.int64)
     deal = np.argsort(shard, kind="stable")
-    return keys[deal], counts[deal], np.searchsorted(shard[deal], np.arange(shards + 1)), np.argsort(deal), place, real
+    counts = None
+    if counted:
+        flags = np.repeat(_expand(row["flags"], np.uint8), lengths)[real]
+        counts = np.bincount(place, weights=flags, minlength=len(keys)).astype(np.int64)[deal]
+    return keys[deal], counts, np.searchsorted(shard[deal], np.arange(shards + 1)), np.argsort(deal), place, real
 
 
 def _row(table, i: int = 0) -> dict:
@@ -175,7 +177,7 @@ def _token_counts(row: dict, parts: dict, order: int, shards: int):
     pos = np.arange(len(seq)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     lower, ends = None, 0
     for k in range(1, order + 1):
-        _, _, to, back, place, real = _asked(row, k, shards)
+        _, _, to, back, place, real = _asked(row, k, shards, counted=False)
         dtype = np.int64 if k == 1 else np.uint8
         flat = [_expand(parts[k, s], dtype) for s in range(shards) if to[s] < to[s + 1]]
         by_key = (np.concatenate(flat) if flat else np.zeros(0, dtype))[back]
