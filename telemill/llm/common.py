@@ -42,7 +42,7 @@ def fanned_join(left: DataFrame, right: DataFrame, key: str, spread: str, per: i
 
 def small_batches(spark: SparkSession) -> None:
     """Rows with whole texts go to Python in batches bounded by bytes, not only by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = base.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     def find(batches):
-        for batch in T.slices(batches, "text", 1 << 19):
+        for batch in T.slices(batches, "text", 1 << 18):
             row, first, n, words, h = chunks(batch.column(1), least_words)
             use = ((n >= 2) & (words >= least_words)) | ((n == 1) & (words >= LONE_WORDS))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[use])), pa.array(first[use]), pa.array(n[use]), pa.array(h[use].view(np.int64))], ["id", "a", "n", "h"])
@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def excerpts(batches):
         for whole in batches:
-            for batch in T.slices([whole], "text", 1 << 19):
+            for batch in T.slices([whole], "text", 1 << 18):
                 out: list[tuple] = []
                 held = 0
                 for i, t, wanted in zip(*(batch.column(k).to_pylist() for k in range(3))):

@@ -22,7 +22,7 @@ TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 TABLE[ord("A") : ord("Z") + 1] = TABLE[ord("a") : ord("z") + 1]
 BASE = U(0x9E3779B97F4A7C15)
 UNBASE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SEGMENT = 1 << 19  # bytes hashed at a time; bounds the working arrays
+SEGMENT = 1 << 18  # bytes hashed at a time; bounds the working arrays
 _powers: dict[int, np.ndarray] = {}
 
 
