@@ -60,6 +60,24 @@ def activity_score(weights: dict[str, float] | None = None, cpu_unit_ns: float =
     )
 
 
+def exact_score() -> Column:
+    """T2 with the fixed weights as a whole number: the score times 20 * 2^30 * the window in ns.
+
+    Ranks inside one window (a host's tick has one) then depend neither on the
+    order of a sum of doubles nor on where their rounding falls.
+    """
+    whole = lambda c: c.cast("decimal(20,0)")
+    unit = F.lit(2**30).cast("decimal(10,0)")
+    w = F.round(F.col("window_s") * SECOND).cast("long")
+    sat = lambda v: F.greatest(F.lit(0).cast("long"), F.least(w, v))
+    parts = (
+        7 * sat(F.col("on_cpu_ns")) + 3 * sat((F.col("sw_vol") + F.col("sw_invol")) * 100_000) + 2 * sat(F.col("io_ops") * 100_000)
+        + 3 * sat((F.col("pf_minor") + F.col("pf_major")) * 100_000) + 3 * sat(F.col("lock_waits") * 1_000_000)
+    )
+    bytes_ = F.greatest(F.lit(0).cast("decimal(30,0)"), F.least(whole(w) * unit, whole(F.col("io_bytes")) * F.lit(SECOND).cast("decimal(10,0)")))
+    return whole(parts) * unit + F.lit(2).cast("decimal(1,0)") * bytes_
+
+
 def process_rollup(delta: DataFrame, host: list[str], cols: Sequence[str] = COUNTERS, **score) -> DataFrame:
     """Thread deltas summed per process, scored on the sums."""
     p = delta.groupBy(*host, "ts_ns", "tgid").agg(*[F.sum(c).alias(c) for c in cols], F.max("window_s").alias("window_s"))

@@ -32,7 +32,19 @@ SCORE = (
     f" + 0.15 * {_sat('(pf_minor + pf_major) / window_s / 1e4')} + 0.15 * {_sat('lock_waits / window_s / 1e3')}"
 )
 cte("proc", "SELECT host, ts_ns, tgid, max(window_s) AS window_s, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in C) + " FROM delta GROUP BY ALL", ("delta",))
-cte("ranked", f"SELECT *, row_number() OVER (PARTITION BY host, ts_ns ORDER BY round({SCORE}, 9) DESC, tgid) AS rank, {SCORE} AS score FROM proc", ("proc",))
+# ranks compare the score times 20 * 2^30 * the window in ns, a whole number: sums of doubles would leave ties to rounding
+
+
+def _exact(q=""):
+    w = f"CAST(round({q}window_s * 1e9) AS HUGEINT)"
+    sat = lambda x, top=w: f"greatest(0::HUGEINT, least({top}, CAST({x} AS HUGEINT)))"
+    return (
+        f"(7 * {sat(q + 'on_cpu_ns')} + 3 * {sat(f'({q}sw_vol + {q}sw_invol) * 100000')} + 2 * {sat(q + 'io_ops * 100000')} + 3 * {sat(f'({q}pf_minor + {q}pf_major) * 100000')}"
+        f" + 3 * {sat(q + 'lock_waits * 1000000')}) * 1073741824 + 2 * {sat(f'{q}io_bytes::HUGEINT * 1000000000', f'{w} * 1073741824')}"
+    )
+
+
+cte("ranked", f"SELECT *, row_number() OVER (PARTITION BY host, ts_ns ORDER BY {_exact()} DESC, tgid) AS rank, {SCORE} AS score FROM proc", ("proc",))
 
 
 def snapshots(spark, sf):
@@ -45,7 +57,7 @@ def deltas(spark, sf):
 
 
 def ranks(spark, sf):
-    return topk.rank(topk.process_rollup(deltas(spark, sf), H).withColumn("score", F.round("score", 9)), H)
+    return topk.rank(topk.process_rollup(deltas(spark, sf), H).withColumn("score", topk.exact_score()), H)
 
 
 @query("t1_window_delta", "SELECT host, ts_ns, tid, round(window_s, 3) AS window_s, on_cpu_ns, io_bytes, lock_waits FROM delta", ("delta",))
@@ -81,7 +93,7 @@ def t5(spark, sf):
 @query(
     "t6_top_threads",
     f"""
-WITH b AS (SELECT d.host, d.ts_ns, d.tid, d.tgid, r.rank, row_number() OVER (PARTITION BY d.host, d.ts_ns, d.tgid ORDER BY round({SCORE.replace('on_cpu_ns', 'd.on_cpu_ns').replace('window_s', 'd.window_s').replace('sw_vol', 'd.sw_vol').replace('sw_invol', 'd.sw_invol').replace('io_ops', 'd.io_ops').replace('io_bytes', 'd.io_bytes').replace('pf_minor', 'd.pf_minor').replace('pf_major', 'd.pf_major').replace('lock_waits', 'd.lock_waits')}, 9) DESC, d.tid) AS r2
+WITH b AS (SELECT d.host, d.ts_ns, d.tid, d.tgid, r.rank, row_number() OVER (PARTITION BY d.host, d.ts_ns, d.tgid ORDER BY {_exact('d.')} DESC, d.tid) AS r2
   FROM delta d JOIN ranked r ON r.host = d.host AND r.ts_ns = d.ts_ns AND r.tgid = d.tgid WHERE r.rank <= 8)
 SELECT host, ts_ns, tid, tgid FROM (SELECT *, row_number() OVER (PARTITION BY host, ts_ns ORDER BY rank, tgid, r2) AS n FROM b WHERE r2 <= 2) WHERE n <= 10
 """,
@@ -89,7 +101,7 @@ SELECT host, ts_ns, tid, tgid FROM (SELECT *, row_number() OVER (PARTITION BY ho
 )
 def t6(spark, sf):
     d = deltas(spark, sf)
-    threads = d.withColumn("score", F.round(topk.activity_score(), 9)).select("host", "ts_ns", "tid", "tgid", "score")
+    threads = d.withColumn("score", topk.exact_score()).select("host", "ts_ns", "tid", "tgid", "score")
     members = ranks(spark, sf).where("rank <= 8").select("host", "ts_ns", "tgid", "rank")
     return topk.top_threads(threads, members, H, 2, 10).select("host", "ts_ns", "tid", "tgid")
 
