@@ -19,6 +19,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -292,12 +294,12 @@ def scan(
 class _Jumps:
     """Greedy choice along sorted times: after a chosen row the next eligible one behind the time that it blocks."""
 
-    def __init__(self, ts: np.ndarray, eligible: np.ndarray, gap: int, skip: int):
+    def __init__(self, ts: np.ndarray, eligible: np.ndarray, gap: int, skip: int, free: np.ndarray | None = None):
         n = self.n = len(ts)
         self.ts, self.gap, self.skip = ts, gap, skip
         at = np.where(eligible, np.arange(n), n)
         self.ahead = np.append(np.minimum.accumulate(at[::-1])[::-1], [n] * (skip + 1))  # next eligible row from here
-        self.free = np.searchsorted(ts, ts + gap, side="left")  # first row that is not blocked
+        self.free = np.searchsorted(ts, ts + gap, side="left") if free is None else free  # first row that is not blocked
         self.next = np.append(self.ahead[self.free + np.where(self.free < n, skip, 0)], n)
 
     def end(self, i: int, ends: np.ndarray) -> int | None:
@@ -324,6 +326,62 @@ class _Jumps:
         return mask[: self.n]
 
 
+WHOLE = 100_000  # keys of at most so many rows are not cut into chunks
+
+
+def _narrow(gap: int, ts: np.ndarray) -> int:
+    """The gap, no wider than times can be added to."""
+    return min(gap, (1 << 62) - 1 - int(np.abs(ts).max()))
+
+
+def _free_within(key: np.ndarray, ts: np.ndarray, gap: int) -> np.ndarray:
+    """First row at least ``gap`` after each row, or the first one of the next key; rows are sorted by (key, ts)."""
+    n = len(ts)
+    order = np.lexsort((np.repeat([1, 0], n), np.concatenate([ts, ts + gap]), np.concatenate([key, key])))
+    seen = np.cumsum(order < n)
+    free = np.empty(n, np.int64)
+    asked = order >= n
+    free[order[asked] - n] = seen[asked]
+    return free
+
+
+def _greedy_whole(df: DataFrame, keys: list[str], order: list[str], ts: str, eligible: str | None, gap: int) -> DataFrame:
+    """``greedy`` without ``skip``, key after key: a task walks through its keys' sorted rows batch by batch."""
+
+    def choose(batches):
+        before, until = None, None  # key of the row before, and the time until which its last chosen row blocks
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            t = b.column(ts).to_numpy(zero_copy_only=False).astype(np.int64)
+            ok = np.ones(n, bool) if eligible is None else pc.fill_null(b.column(eligible), False).to_numpy(zero_copy_only=False).copy()
+            new = np.zeros(n, bool)
+            for c in (b.column(k) for k in keys):
+                a, z = c.slice(1), c.slice(0, n - 1)
+                same = pc.or_(pc.fill_null(pc.equal(a, z), False), pc.and_(pc.is_null(a), pc.is_null(z)))
+                new[1:] |= ~same.to_numpy(zero_copy_only=False)
+            at = lambda i: [b.column(k)[i].as_py() for k in keys]
+            new[0] = at(0) != before
+            key = np.cumsum(new)
+            step = _narrow(gap, t)
+            if new[0]:
+                until = None
+            elif until is not None:
+                ok &= (key > 0) | (t >= until)
+            j = _Jumps(t, ok, step, 0, _free_within(key, t, step))
+            mask = j.chain(int(j.ahead[0]))
+            last = np.flatnonzero(mask & (key == key[-1]))
+            if len(last):
+                until = int(t[last[-1]]) + step
+            elif key[-1] > key[0]:
+                until = None
+            before = at(n - 1)
+            yield b.filter(pa.array(mask))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(choose, df.schema)
+
+
 def greedy(df: DataFrame, keys: list[str], order: list[str], ts: str, eligible: str | None, gap: int | None, chunk: Column, skip: int = 0) -> DataFrame:
     """The rows chosen greedily along the key: the first eligible one, then the next one at least ``gap`` later.
 
@@ -332,13 +390,27 @@ def greedy(df: DataFrame, keys: list[str], order: list[str], ts: str, eligible:
     the past through one time, until which the last chosen row blocks; a chunk
     is summarised by the time that it hands on for each row that may end the
     blocking, where consecutive rows that hand on the same are one entry.
+
+    Only keys of more than ``WHOLE`` rows are cut into chunks. All others stay
+    whole, many to a task: a group for each would cost more than its rows.
     """
     wide = 1 << 62 if gap is None else gap
+    if keys and skip == 0:
+        df = cut(df)
+        large = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > WHOLE).select(*keys))
+        whole = _greedy_whole(df.join(large, keys, "left_anti").select(*df.columns), keys, order, ts, eligible, wide)
+        if large.limit(1).count() == 0:
+            return whole
+        return whole.unionByName(_greedy_chunks(df.join(large, keys, "left_semi").select(*df.columns), keys, order, ts, eligible, wide, chunk, 0))
+    return _greedy_chunks(df, keys, order, ts, eligible, wide, chunk, skip)
+
+
+def _greedy_chunks(df: DataFrame, keys: list[str], order: list[str], ts: str, eligible: str | None, wide: int, chunk: Column, skip: int) -> DataFrame:
 
     def jumps(rows: pd.DataFrame) -> _Jumps:
         t = rows[ts].to_numpy(dtype=np.int64)
         ok = np.ones(len(t), bool) if eligible is None else rows[eligible].fillna(False).to_numpy(dtype=bool)
-        return _Jumps(t, ok, min(wide, (1 << 62) - 1 - int(np.abs(t).max())), skip)
+        return _Jumps(t, ok, _narrow(wide, t), skip)
 
     def summarise(rows: pd.DataFrame):
         j = jumps(rows)
