@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,7 @@ def _by_arrival(stream: DataFrame, keys: list[str], order: list[str], out: T.Str
 
 
 MS = 1_000_000
+BUCKETS = 4096  # groups that share the keys of a fold; part of its checkpoint
 
 
 def event_time_fold(
@@ -71,47 +73,58 @@ def event_time_fold(
     to run, or None. All rows with a
     time (in ms) before the watermark have been applied when a batch ends, and
     whatever is due before it has been run, in order of time. A state equal to
-    ``initial`` with nothing waiting is removed.
+    ``initial`` with nothing waiting is removed. Keys are strings, whole numbers
+    or booleans; they share ``BUCKETS`` groups, as a group costs far more than
+    the few rows that most keys have in a batch.
     """
     columns = list(dict.fromkeys([*rows, *order, ts]))
     kinds = {"long": "Int64", "integer": "Int32", "double": "float64"}
+    at, by = columns.index(ts), itemgetter(*(columns.index(o) for o in order))
 
     def advance(state, until: int | None, made: list):
         """Run what is due before ``until`` (inclusive)."""
-        while (at := due(state)) is not None and until is not None and at <= until:
+        while (when := due(state)) is not None and until is not None and when <= until:
             found, state = step(None, state)
             made += found
         return state
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"waiting": [], "fold": initial}
-        waiting, fold = held["waiting"], held["fold"]
+    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: [waiting, fold] for k, waiting, fold in json.loads(state.get[0])} if state.exists else {}
         for batch in batches:
-            waiting += [[x.item() if hasattr(x, "item") else x for x in r] for r in batch[columns].itertuples(index=False, name=None)]
+            for k, *r in zip(batch["__key"].tolist(), *(batch[c].tolist() for c in columns), strict=True):
+                held.setdefault(k, [[], initial])[0].append(r)
         now = state.getCurrentWatermarkMs()
-        at, by = columns.index(ts), [columns.index(o) for o in order]
-        waiting.sort(key=lambda r: [r[i] for i in by])
-        ready = [r for r in waiting if r[at] // MS < now]
-        waiting = [r for r in waiting if r[at] // MS >= now]
-        made: list = []
-        for r in ready:
-            fold = advance(fold, r[at], made)
-            found, fold = step(dict(zip(columns, r, strict=True)), fold)
-            made += found
-        fold = advance(fold, now * MS - 1, made)
-        if waiting or fold != initial:
-            state.update((json.dumps({"waiting": waiting, "fold": fold}),))
-            times = [min(r[at] for r in waiting)] if waiting else []
-            times += [t for t in [due(fold)] if t is not None]
+        made, kept, times = [], [], []
+        for k, (waiting, fold) in held.items():
+            waiting.sort(key=by)
+            found: list = []
+            for r in waiting:
+                if r[at] // MS < now:
+                    fold = advance(fold, r[at], found)
+                    rows_out, fold = step(dict(zip(columns, r, strict=True)), fold)
+                    found += rows_out
+            waiting = [r for r in waiting if r[at] // MS >= now]
+            fold = advance(fold, now * MS - 1, found)
+            if found:
+                told = json.loads(k)
+                made += [[*(told.get(c) for c in keys), *m] for m in found]
+            if waiting or fold != initial:
+                kept.append([k, waiting, fold])
+                times += [min(r[at] for r in waiting)] if waiting else []
+                times += [t for t in [due(fold)] if t is not None]
+        if kept:
+            state.update((json.dumps(kept),))
             if times:
                 state.setTimeoutTimestamp(max(now, min(times) // MS, 1))
         elif state.exists:
             state.remove()
         if made:
-            yield pd.DataFrame([[*key, *m] for m in made], columns=out.names).astype({f.name: kinds[f.dataType.typeName()] for f in out.fields if f.dataType.typeName() in kinds})
+            typed = zip(out.fields, zip(*made), strict=True)
+            yield pd.DataFrame({f.name: pd.Series(list(v), dtype=kinds.get(f.dataType.typeName(), "object")) for f, v in typed})
 
-    timed = with_event_time(stream, ts).withWatermark("ts", lateness)
-    return timed.groupBy(*keys).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    named = stream.withColumn("__key", F.to_json(F.struct(*keys))).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(BUCKETS)))
+    timed = with_event_time(named.select("__key", "__bucket", *columns), ts).withWatermark("ts", lateness)
+    return timed.groupBy("__bucket").applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _key_and(stream: DataFrame, keys: list[str], fields: list[T.StructField]) -> T.StructType:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from telemill.functions.integers import floor_div
 from telemill.operators import ordered
+from telemill.streaming import jobs
+from tests.test_streams import EVENTS, S, feed, run
 
 
 def test_greedy_keeps_small_keys_whole(spark, monkeypatch):
@@ -30,3 +32,13 @@ def test_greedy_keeps_small_keys_whole(spark, monkeypatch):
         assert first.count() == first.select("k").distinct().count() == 62
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_keys_share_the_groups_of_a_fold(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 2)
+    big = 2**60
+    ids = [None, *range(big, big + 9)]
+    batches = [[(i, (n + 1) * S, "b") for n, i in enumerate(ids)], [(i, (n + 20) * S, "e") for n, i in enumerate(ids)], [(7, 1000 * S, "b")]]
+    stream, steps = feed(spark, EVENTS, batches)
+    got = run(spark, jobs.live_pairs(stream, ["tid"], ["ts_ns"], F.col("kind") == "b", F.col("kind") == "e", [], lateness="1 second", expire_ns=500 * S), steps)
+    assert got == sorted([(i, (n + 20) * S, (n + 1) * S, 19 * S) for n, i in enumerate(ids)], key=str)
