@@ -352,12 +352,12 @@ def s11(spark, sf):
     root = _fresh(spark, "sessions")
     t = ticks(spark, sf).withColumn("session", _session(F.col("tgid")))
     rows = t.select("session", "ts_ns", F.col("tid").alias("cpu_idx"), F.col("c0").alias("usr"), F.col("c1").alias("nice"))
-    sessions.write_session_table(rows.repartition("session"), root, "host_cpu")
+    sessions.write_session_table(rows, root, "host_cpu")
     users = table(spark, sf, "events").select(F.floor(F.col("user_id") / 5).cast("long").alias("tgid")).distinct()
     meta = users.select(
         _session(F.col("tgid")).alias("session"), F.lit("schema_version").alias("key"), F.when(F.col("tgid") % 4 == 0, "1").otherwise("2").alias("value")
     )
-    sessions.write_session_table(meta.repartition("session"), root, "meta")
+    sessions.write_session_table(meta, root, "meta")
     return sessions.read_session_table(spark, root, "host_cpu").select("session", "ts_ns", "cpu_idx", "usr", "nice")
 
 

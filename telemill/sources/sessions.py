@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 from telemill.operators import ordered
 
 SCHEMA_VERSION = "2"
+FOLDERS = 64  # folders of a table; a session has one of them, many sessions share it
+FOLDER = "session_folder"
 # The two tables that every session has. All others are declared in the store itself.
 TABLES: dict[str, str] = {
     "meta": "key string, value string",
@@ -50,32 +54,38 @@ def _type_of(spark: SparkSession, root: str, name: str, ddl: str | None) -> T.St
 
 
 def write_session_table(df: DataFrame, root: str, name: str, ddl: str | None = None) -> None:
-    """Append rows (with their ``session``) to a session table; columns that ``df`` lacks stay null."""
+    """Append rows (with their ``session``) to a session table; columns that ``df`` lacks stay null.
+
+    A folder per session would cost more than its rows where sessions are many.
+    """
     have = set(df.columns)
     cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in _type_of(df.sparkSession, root, name, ddl).fields]
-    df.select("session", *cols).write.mode("append").partitionBy("session").parquet(f"{root}/{name}")
+    rows = df.select("session", *cols).withColumn(FOLDER, (F.crc32("session") % FOLDERS).cast("int"))
+    rows.hint("rebalance", FOLDER).sortWithinPartitions(FOLDER, "session").write.mode("append").partitionBy(FOLDER).parquet(f"{root}/{name}")
 
 
-def _typed(reader, kind: T.StructType, path: str) -> DataFrame:
-    return reader.schema(T.StructType([*kind.fields, T.StructField("session", T.StringType())])).parquet(path)
+def _typed(reader, kind: T.StructType, path: str, sessions: list[str] | None = None) -> DataFrame:
+    """Rows of a table; its sessions are sorted inside the files of a folder, so ``sessions`` prunes folders and parts of files."""
+    df = reader.schema(T.StructType([*kind.fields, T.StructField("session", T.StringType()), T.StructField(FOLDER, T.IntegerType())])).parquet(path)
+    if sessions is not None:
+        df = df.where(F.col(FOLDER).isin(sorted({zlib.crc32(s.encode()) % FOLDERS for s in sessions})) & F.col("session").isin(sessions))
+    return df.drop(FOLDER)
 
 
 def _supported(spark: SparkSession, root: str, df: DataFrame, sessions: list[str] | None) -> DataFrame:
-    meta = _typed(spark.read, T.StructType.fromDDL(TABLES["meta"]), f"{root}/meta")
-    if sessions is not None:
-        df, meta = df.where(F.col("session").isin(sessions)), meta.where(F.col("session").isin(sessions))
+    meta = _typed(spark.read, T.StructType.fromDDL(TABLES["meta"]), f"{root}/meta", sessions)
     good = meta.where((F.col("key") == "schema_version") & (F.col("value") == SCHEMA_VERSION)).select("session").distinct()
     return df.join(good, "session", "left_semi")
 
 
 def read_session_table(spark: SparkSession, root: str, name: str, sessions: list[str] | None = None, ddl: str | None = None) -> DataFrame:
     """Rows of the sessions with the supported schema version; ``sessions`` prunes partitions."""
-    return _supported(spark, root, _typed(spark.read, _type_of(spark, root, name, ddl), f"{root}/{name}"), sessions)
+    return _supported(spark, root, _typed(spark.read, _type_of(spark, root, name, ddl), f"{root}/{name}", sessions), sessions)
 
 
 def stream_session_table(spark: SparkSession, root: str, name: str, sessions: list[str] | None = None, ddl: str | None = None) -> DataFrame:
     """New rows of a session table as they are written; a session counts once its ``meta`` has the supported version."""
-    return _supported(spark, root, _typed(spark.readStream, _type_of(spark, root, name, ddl), f"{root}/{name}"), sessions)
+    return _supported(spark, root, _typed(spark.readStream, _type_of(spark, root, name, ddl), f"{root}/{name}", sessions), sessions)
 
 
 def unsupported_sessions(spark: SparkSession, root: str) -> DataFrame:
