@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill.operators import ordered
-from telemill.session import pin
+from telemill.session import cut, pin
 
 # Channel path in the message, metric, group, kind (c = cumulative, g = gauge).
 HOST_CHANNELS = [
@@ -116,19 +116,35 @@ def raw_channels(parsed: DataFrame, keep: list[str]) -> DataFrame:
     return host.unionByName(procs).where(F.col("raw").isNotNull())
 
 
+def _steps(wide: DataFrame, keys: list[str], order: list[str], chunk: Column, channels: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Long rows (metric_id, value, grp) of a table with one column per channel: gauges as they are, cumulative ones as steps."""
+    before = {f"__before_{n}": ("last", F.col(n)) for _, n, _, k in channels if k == "c"}
+    seen = ordered.running(wide, keys, order, before, chunk, include_current=False)
+    step = lambda n: F.when(F.col(n).isNotNull() & F.col(f"__before_{n}").isNotNull(), F.greatest(F.lit(0.0), F.col(n) - F.col(f"__before_{n}")))
+    row = lambda n, g, k: F.struct(F.lit(n).alias("metric_id"), (F.col(n) if k == "g" else step(n)).alias("value"), F.lit(g).alias("grp"))
+    kept = [c for c in wide.columns if c not in {n for _, n, _, _ in channels}]
+    return seen.select(*kept, F.inline(F.array(*[row(n, g, k) for _, n, g, k in channels]))).where("value IS NOT NULL")
+
+
 def features_to_points(parsed: DataFrame, source: list[str], order: list[str], chunk: Column | None = None) -> DataFrame:
     """S9 in batch: gauges pass, cumulative channels become max(0, step) and are silent on their first reading.
 
-    Wide and long differ by a constant factor, so the shuffle of the ordered
-    step carries only the cumulative channels.
+    Messages are read once, into a table with one column per channel; the
+    readings before are found there, one row per message and entity.
     """
     keep = list(dict.fromkeys([*source, *[o for o in order if o != "ts_ns"]]))
-    long = raw_channels(parsed, keep)
-    keys = [*source, "entity_id", "metric_id"]
-    cum = ordered.previous(long.where("kind = 'c'"), keys, order, {"before": "raw"}, chunk if chunk is not None else ordered.by_time())
-    steps = cum.where(F.col("before").isNotNull()).withColumn("value", F.greatest(F.lit(0.0), F.col("raw") - F.col("before")))
-    gauges = long.where("kind = 'g'").withColumn("value", F.col("raw"))
-    both = steps.drop("before").unionByName(gauges)
+    chunk = chunk if chunk is not None else ordered.by_time()
+    named = lambda channels, raw: F.struct(*[raw(c[0]).cast("double").alias(c[1]) for c in channels])
+    pid = lambda t: F.coalesce(F.nullif(t["pid"], F.lit(0)), t["tgid"])
+    entity = lambda t: F.concat(F.lit("proc"), pid(t).cast("string"))
+    task = lambda t: F.struct(entity(t).alias("entity_id"), F.coalesce(t["comm"], F.lit("")).alias("comm"), named(PROC_CHANNELS, lambda f: t[f]).alias("r"))
+    tasks = F.transform(F.filter("m.top_tasks", lambda t: pid(t).isNotNull()), task)
+    read = cut(parsed.select(*keep, F.coalesce("m.ts_ns", F.lit(0)).alias("ts_ns"), named(HOST_CHANNELS, _raw).alias("r"), tasks.alias("tasks")))
+    host = read.select(*keep, "ts_ns", F.lit("host").alias("entity_id"), F.lit("host").alias("entity_type"), F.lit(None).cast("string").alias("comm"), "r.*")
+    procs = read.select(*keep, "ts_ns", F.explode("tasks").alias("t")).select(
+        *keep, "ts_ns", "t.entity_id", F.lit("process").alias("entity_type"), "t.comm", "t.r.*"
+    )
+    both = _steps(host, [*source, "entity_id"], order, chunk, HOST_CHANNELS).unionByName(_steps(procs, [*source, "entity_id"], order, chunk, PROC_CHANNELS))
     attrs = F.map_filter(F.create_map(F.lit("group"), "grp", F.lit("comm"), "comm"), lambda k, v: v.isNotNull())
     return both.select(
         *keep, "ts_ns", "entity_id", "entity_type", "metric_id", "value", F.lit(None).cast("string").alias("unit"), F.lit("ebpf").alias("source"),
