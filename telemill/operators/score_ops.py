@@ -205,9 +205,10 @@ def minmax01(df: DataFrame, keys: list[str], cols: Sequence[str]) -> DataFrame:
     return j.withColumns(scaled).drop(*[f"__{n}_{c}" for c in cols for n in ("lo", "hi")])
 
 
-def fuse_channels(df: DataFrame, keys: list[str], score: str, mode: str = "max") -> DataFrame:
-    """Channel scores of one time fused by ``max`` or ``mean``."""
-    return df.groupBy(*keys).agg((F.max if mode == "max" else F.avg)(score).alias(score))
+def fuse_channels(df: DataFrame, keys: list[str], score: str, mode: str | dict[str, str] = "max") -> DataFrame:
+    """Channel scores of one time fused by ``max`` or ``mean``; several modes, by output column, in one pass."""
+    modes = {score: mode} if isinstance(mode, str) else mode
+    return df.groupBy(*keys).agg(*[(F.max if m == "max" else F.avg)(score).alias(name) for name, m in modes.items()])
 
 
 def multiscale(df: DataFrame, keys: list[str], a: str, b: str, out: str = "score") -> DataFrame:

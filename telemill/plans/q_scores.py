@@ -96,10 +96,9 @@ def x6(spark, sf):
     ("cm",),
 )
 def x7(spark, sf):
-    m = cut(detect.channel_matrix(channel_points(spark, sf), G, CH())).withColumn("score", F.col("value") / 500)
-    a = score_ops.fuse_channels(m, ["src", "ts_ns"], "score", "max").select("src", "ts_ns", r6("score").alias("mx"))
-    b = score_ops.fuse_channels(m, ["src", "ts_ns"], "score", "mean").select("src", "ts_ns", r6("score").alias("mean"))
-    return a.join(b, ["src", "ts_ns"])
+    m = detect.channel_matrix(channel_points(spark, sf), G, CH()).withColumn("score", F.col("value") / 500)
+    out = score_ops.fuse_channels(m, ["src", "ts_ns"], "score", {"mx": "max", "mean": "mean"})
+    return out.select("src", "ts_ns", r6("mx").alias("mx"), r6("mean").alias("mean"))
 
 
 @query(
