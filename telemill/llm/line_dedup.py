@@ -174,31 +174,52 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = marked(src, from_, "id").where("__maybe").drop("__maybe").join(sources, F.col("id") == F.col("sid")).select("id", "text", "wanted")
     texts = one.mapInArrow(excerpts, "sid long, sa long, n long, core long, lines string").dropDuplicates(["sid", "sa", "n"]).withColumn("at", F.struct("sid", "sa", "n")).drop("sid", "sa", "n")
     told = fanned_join(matches.withColumn("at", F.struct("sid", "sa", "n")), texts, "at", "id")
-    told = told.groupBy("id").agg(F.collect_list(F.struct("a", "n", "core", F.col("at.sid").alias("sid"), "lines")).alias("__matches"))
-
     names = base.columns
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in base.schema)
+    kinds = ", ".join([kinds, "n_lines long", "n_removed long", *[f"`{c}` boolean" for c in extra]])
+
+    def rewritten(batch, matches):
+        """The batch's rows, each without the chunks that its matches confirm."""
+        texts = batch.column(batch.schema.get_field_index(text_col))
+        count = np.diff(lines(*T.buffers(texts))[1])
+        gone, copy = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+        new = texts
+        if any(matches):
+            new = texts.to_pylist()
+            for i, (t, m) in enumerate(zip(new, matches)):
+                if t is not None and m:
+                    text, n, gone[i] = _remove(t.encode(), m)
+                    new[i] = text.decode()
+                    copy[i] = gone[i] == n and len({x["sid"] for x in m}) == 1
+        cols = [(new if new is texts else pa.array(new, pa.string())) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(gone, pa.int64()), *[pa.array(copy, pa.bool_()) for _ in extra]], [*names, "n_lines", "n_removed", *extra])
+
+    def untouched(batches):
+        for batch in T.slices(batches, text_col, 1 << 18):
+            yield rewritten(batch, [])
 
     def rewrite(batches):
+        key, rows, found = None, 0, []  # of one id: its rows are counted first, then come its matches, then the rows
         for batch in T.slices(batches, text_col, 1 << 18):
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            count = np.diff(lines(*T.buffers(texts))[1])
-            matches = batch.column(batch.schema.get_field_index("__matches")).to_pylist()
-            gone, copy = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
-            new = texts
-            if any(matches):
-                new = texts.to_pylist()
-                for i, (t, m) in enumerate(zip(new, matches)):
-                    if t is not None and m:
-                        text, n, gone[i] = _remove(t.encode(), m)
-                        new[i] = text.decode()
-                        copy[i] = gone[i] == n and len({x["sid"] for x in m}) == 1
-            cols = [(new if new is texts else pa.array(new, pa.string())) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(gone, pa.int64()), *[pa.array(copy, pa.bool_()) for _ in extra]], [*names, "n_lines", "n_removed", *extra])
+            col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            part = col("__part").to_numpy()
+            matched, told_at = iter(col("__match").filter(pa.array(part == 1)).to_pylist()), []
+            for k, what in zip(col("__key").to_pylist(), part.tolist()):
+                if k != key:
+                    key, rows, found = k, 0, []
+                if what == 0:
+                    rows += 1
+                elif what == 1:
+                    found.append(next(matched))
+                else:
+                    told_at.append(found if rows == 1 else None)
+            if told_at:
+                yield rewritten(batch.filter(pa.array(part == 2)), told_at)
 
-    kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in base.schema)
     told_of = marked(base, into, id_col)
-    repeated = src.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("id").alias("__rid"))
-    changed = told_of.where(F.col("__maybe")).drop("__maybe").join(told.withColumnRenamed("id", "__mid"), F.col(id_col) == F.col("__mid"), "left").drop("__mid")
-    changed = changed.join(repeated, F.col(id_col) == F.col("__rid"), "left").withColumn("__matches", F.when(F.col("__rid").isNull(), F.col("__matches"))).drop("__rid")
-    same = told_of.where(~F.col("__maybe")).drop("__maybe").withColumn("__matches", F.lit(None).cast(changed.schema["__matches"].dataType))
-    return same.unionByName(changed).mapInArrow(rewrite, ", ".join([kinds, "n_lines long", "n_removed long", *[f"`{c}` boolean" for c in extra]]))
+    # told rows meet their text by order, so that no join or list holds texts in memory
+    both = told_of.where(F.col("__maybe")).withColumns({"__key": F.col(id_col).cast("long"), "__part": F.explode(F.array(F.lit(0), F.lit(2)))})
+    both = both.select("__key", "__part", *[F.when(F.col("__part") == 2, F.col(f"`{c}`")).alias(c) for c in names])
+    met = told.select(F.col("id").alias("__key"), F.lit(1).alias("__part"), F.struct("a", "n", "core", F.col("at.sid").alias("sid"), "lines").alias("__match"))
+    changed = both.unionByName(met, allowMissingColumns=True).repartition("__key").sortWithinPartitions("__key", "__part").mapInArrow(rewrite, kinds)
+    return told_of.where(~F.col("__maybe")).drop("__maybe").mapInArrow(untouched, kinds).unionByName(changed)

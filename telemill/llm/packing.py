@@ -102,11 +102,11 @@ class WordEncoder:
         return ids, np.concatenate([[0], end])[to]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = T.kept.setdefault("packing", {})
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process, so that tasks share its words."""
+    """One encoder per worker process, so that tasks share its words until another operator runs there."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -164,7 +164,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, window: int, end_id: int) -> DataFrame:
     """One row per piece of each document: ``doc_id, start, length, ids_crc32, doc_tokens``."""
     def run(batches):
-        for batch in T.slices(batches, "text", SLICE):
+        for batch in T.slices(batches, "text", SLICE, "packing"):
             rows: list[tuple] = []
             ids, to = encoder(tokenizer).encode(batch.column(1))
             raw = np.insert(ids, to[1:], end_id).astype("<u4").tobytes()

@@ -24,6 +24,7 @@ BASE = U(0x9E3779B97F4A7C15)
 UNBASE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SEGMENT = 1 << 18  # bytes hashed at a time; bounds the working arrays
 _powers: dict[int, np.ndarray] = {}
+kept: dict[str, dict] = {}  # by operator: what a worker keeps from task to task
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
@@ -138,8 +139,14 @@ def release() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most about ``limit`` bytes of text, one row at least; freed memory goes back at the end."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20, operator: str = "") -> Iterator[pa.RecordBatch]:
+    """Record batches of at most about ``limit`` bytes of text, one row at least; freed memory goes back at the end.
+
+    What the worker has kept for operators other than ``operator`` is dropped.
+    """
+    for name, held in kept.items():
+        if name != operator:
+            held.clear()
     for batch in batches:
         _, bounds = buffers(batch.column(batch.schema.get_field_index(text)))
         start = 0
