@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -267,6 +268,21 @@ def gate_statistics(gate: DataFrame, state_windows: DataFrame | None = None) ->
 # ---- fused detector on a channel matrix ----
 
 
+def channel_values(points: DataFrame, group: list[str], keep: Sequence[str] = (), **more: Column) -> DataFrame:
+    """Points reduced to one stored row per (group, tick, channel), with all that the channels' ticks, list and values need.
+
+    ``keep`` names columns that depend on the others, ``more`` further aggregates.
+    The points are read once; parts are combined in map tasks by hash.
+    """
+    observed = F.col("quality") == "observed"
+    order = F.when(observed & F.col("value").isNotNull(), F.col("seq" if "seq" in points.columns else "value"))
+    last = {"value": F.max_by("value", order)} | ({"seq": F.max(order)} if "seq" in points.columns else {})
+    rows = points.groupBy(*group, "ts_ns", *st.SERIES, *keep).agg(
+        *[c.alias(name) for name, c in last.items()], F.max(F.coalesce(observed, F.lit(False))).alias("__seen"), *[c.alias(name) for name, c in more.items()]
+    )
+    return cut(rows.withColumn("quality", F.when(F.col("__seen"), "observed").otherwise("missing")).drop("__seen"))
+
+
 def channel_matrix(points: DataFrame, group: list[str], chunk: Column, channels: DataFrame | None = None) -> DataFrame:
     """Long matrix (group, ts_ns, entity_id, metric_id, value): every timestamp times every channel,
     forward filled, 0 before the first value.
@@ -285,8 +301,7 @@ def channel_matrix(points: DataFrame, group: list[str], chunk: Column, channels:
         ticks = ticks.withColumn("__ch", packed.scalar())
     frame = ticks.select(*group, "ts_ns", F.inline("__ch"))
     vals = points.where(observed & F.col("value").isNotNull())
-    order = [c for c in ("seq",) if c in points.columns] or ["value"]
-    vals = vals.groupBy(*group, "ts_ns", *st.SERIES).agg(F.max_by("value", F.struct(*order)).alias("value"))
+    vals = vals.groupBy(*group, "ts_ns", *st.SERIES).agg(F.max_by("value", "seq" if "seq" in points.columns else "value").alias("value"))
     keys = [*group, *st.SERIES]
     filled = ordered.fill_forward(frame.join(vals, [*keys, "ts_ns"], "left"), keys, ["ts_ns"], ["value"], chunk)
     return filled.withColumn("value", F.coalesce("value", F.lit(0.0)))
@@ -320,6 +335,13 @@ class ChannelRuns:
         """Those of ``groups`` only."""
         return ChannelRuns(self.group, self.ticks.join(groups, self.group, "left_semi"), self.runs.join(groups, self.group, "left_semi"))
 
+    def first(self, last: DataFrame) -> ChannelRuns:
+        """What would be known at tick time ``c`` of each group in ``last`` (group, c); all channels stay."""
+        ends = cut(self.ticks.join(last, self.group).where("ts_ns <= c").groupBy(*self.group).agg(F.count(F.lit(1)).alias("t")))
+        ticks = self.ticks.join(ends, self.group).where("idx < t").drop("t")
+        runs = self.runs.join(ends, self.group).where("start < t").withColumn("until", F.least("until", "t")).drop("t")
+        return ChannelRuns(self.group, ticks, runs)
+
     def sizes(self) -> DataFrame:
         return self.ticks.groupBy(*self.group).agg(F.count(F.lit(1)).alias("t"))
 
@@ -338,8 +360,8 @@ def channel_runs(points: DataFrame, group: list[str], chunk: Column, channels: D
     ticks = cut(ordered.with_index(points.select(*group, "ts_ns").distinct(), group, ["ts_ns"], chunk, "idx"))
     if channels is None:
         channels = points.where(observed).select(*keys).distinct()
-    order = [c for c in ("seq",) if c in points.columns] or ["value"]
-    vals = points.where(observed & F.col("value").isNotNull()).groupBy(*group, "ts_ns", *st.SERIES).agg(F.max_by("value", F.struct(*order)).alias("value"))
+    order = "seq" if "seq" in points.columns else "value"
+    vals = points.where(observed & F.col("value").isNotNull()).groupBy(*group, "ts_ns", *st.SERIES).agg(F.max_by("value", order).alias("value"))
     vals = vals.join(channels.select(*keys), keys, "left_semi").join(ticks, [*group, "ts_ns"]).withColumn("__back", -F.col("idx"))
     size = ticks.groupBy(*group).agg(F.count(F.lit(1)).alias("t"))
     with_size = lambda df: df.join(size, group) if group else df.withColumn("t", size.scalar())

@@ -199,7 +199,8 @@ G = ["src"]
 
 def channel_points(spark, sf):
     src = F.col("user_id") % 3
-    return labelled(spark, sf).select(src.alias("src"), "seq", "ts_ns", F.concat(F.lit("h"), src.cast("string")).alias("entity_id"), "metric_id", "value", "quality", "k", "split")
+    p = labelled(spark, sf).select(src.alias("src"), "seq", "ts_ns", F.concat(F.lit("h"), src.cast("string")).alias("entity_id"), "metric_id", "value", "quality", "k", "split")
+    return detect.channel_values(p, G, ["split"], k=F.max(F.col("k") % 101))
 
 
 def _matrix(spark, sf):
@@ -214,9 +215,8 @@ def d17(spark, sf):
 def train_and_all(pts, chunk):
     """Channel runs of the train period, with the channels of the whole, and of everything."""
     last = pts.where("split = 'train'").groupBy("src").agg(F.max("ts_ns").alias("c"))
-    channels = cut(pts.where("quality = 'observed'").select(*G, "entity_id", "metric_id").distinct())
-    early = pts.join(last, "src").where("ts_ns <= c").drop("c")
-    return detect.channel_runs(early, G, chunk, channels), detect.channel_runs(pts, G, chunk, channels)
+    m = detect.channel_runs(pts, G, chunk)
+    return m.first(last), m
 
 
 def _fuse_parts(spark, sf):

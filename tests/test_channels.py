@@ -91,3 +91,16 @@ def test_median_filter(spark, n, size):
         picks = [((i + o) % (2 * n)) for o in range(-half, half + 1)]
         assert got[i] == sorted(xs[p] if p < n else xs[2 * n - 1 - p] for p in picks)[half]
     assert detect.median_filter(df.limit(0), ["k"], ["t"], {"y": "x"}, size, F.lit(0)).count() == 0
+
+
+def test_reduced_points_and_a_prefix_give_the_same_runs(spark):
+    points = spark.createDataFrame(data(8), SCHEMA)
+    chunk = ordered.by_time("ts_ns", 9)
+    rows = lambda r: (sorted(map(tuple, r.ticks.select("g", "ts_ns", "idx").collect())), sorted(map(tuple, r.runs.select("g", "metric_id", "start", "until", "value").collect())))
+    once = detect.channel_values(points, ["g"])
+    assert once.count() == points.select("g", "ts_ns", "entity_id", "metric_id").distinct().count()
+    whole = detect.channel_runs(once, ["g"], chunk)
+    assert rows(whole) == rows(detect.channel_runs(points, ["g"], chunk))
+    channels = points.where("quality = 'observed'").select("g", "entity_id", "metric_id").distinct()
+    early = detect.channel_runs(points.where("ts_ns <= 20 + g"), ["g"], chunk, channels)
+    assert rows(whole.first(spark.createDataFrame([(0, 20), (1, 21)], "g int, c long"))) == rows(early)
