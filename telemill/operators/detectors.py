@@ -166,14 +166,14 @@ def _enough(channels: detect.ChannelRuns, p: Params) -> detect.ChannelRuns:
 
 
 def fit_fuse(train: DataFrame, val: DataFrame | None, p: Params) -> Model:
-    channels, q99 = detect.fit_channels(_enough(detect.channel_runs(train, list(p.group), ordered.by_time()), p))
+    channels, q99 = detect.fit_channels(_enough(detect.channel_runs(detect.channel_values(train, list(p.group)), list(p.group), ordered.by_time()), p))
     return {"channels": cut(channels), "q99": cut(q99)}
 
 
 def fuse_segments(model: Model, points: DataFrame, p: Params, raw: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, channel shares) of the fused score. ``raw`` holds (group, ts_ns, raw); ticks without one count as 0."""
     group = list(p.group)
-    m = _enough(detect.channel_runs(points, group, ordered.by_time(), model["channels"].select(*group, *st.SERIES)), p)
+    m = _enough(detect.channel_runs(detect.channel_values(points, group), group, ordered.by_time(), model["channels"].select(*group, *st.SERIES)), p)
     z = detect.max_channel_z(m, model["channels"])
     z = z.join(model["q99"], group) if group else z.withColumn("q99", model["q99"].scalar())
     if raw is None:
