@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,22 +78,67 @@ def places(col: str):
     return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(FILTER_BITS))
 
 
-def marked(df: DataFrame, bitmap: np.ndarray, col: str) -> DataFrame:
-    """Add ``__maybe``: whether the key in ``col`` may be in the bitmap; false for null.
+def unmarked(batch: pa.RecordBatch, bitmap: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The batch without its column ``__place``, and which rows may be in the bitmap; false for a null place."""
+    at = batch.schema.get_field_index("__place")
+    maybe = possible(bitmap, batch.column(at).fill_null(0).to_numpy()) & np.asarray(batch.column(at).is_valid())
+    return batch.select([i for i in range(batch.num_columns) if i != at]), maybe
+
+
+def placed(df: DataFrame, col: str) -> DataFrame:
+    """Add ``__place``, the filter position of ``col``, for ``unmarked``."""
+    return df.withColumn("__place", F.when(F.col(col).isNotNull(), places(col)))
+
+
+def only_possible(df: DataFrame, bitmap: np.ndarray, col: str) -> DataFrame:
+    """The rows whose key in ``col`` may be in the bitmap; a null key is not.
 
     Joins that concern few rows of a wide table then shuffle those rows only.
     """
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("__place")
-            maybe = possible(bitmap, batch.column(at).fill_null(0).to_numpy()) & np.asarray(batch.column(at).is_valid())
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(maybe)], [*[batch.schema.names[i] for i in keep], "__maybe"])
+            rows, maybe = unmarked(batch, bitmap)
+            yield rows.filter(pa.array(maybe))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    place = F.when(F.col(col).isNotNull(), places(col))
-    return df.withColumn("__place", place).mapInArrow(run, f"{kinds}, __maybe boolean")
+    return placed(df, col).mapInArrow(run, kinds)
+
+
+def blobs(rec: np.ndarray, shard: np.ndarray, kind: int) -> pa.RecordBatch:
+    """Records, sorted by shard, as a row per shard: ``shard``, ``kind`` and the records' bytes.
+
+    A shuffle and a sort of such rows move thousands of records at once.
+    """
+    begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(rec) else np.zeros(0, np.int64)
+    ends = np.append(begin, len(rec)) * rec.dtype.itemsize
+    data = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rec))])
+    return pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), pa.array(np.full(len(begin), kind, np.int32)), data], ["shard", "kind", "data"])
+
+
+def records(data: pa.Array, dtype: np.dtype) -> np.ndarray:
+    """The records of all rows of a column made by ``blobs``."""
+    if not len(data):
+        return np.zeros(0, dtype)
+    ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+    return np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(dtype)
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
+    """All records of one shard after the other, from rows sorted by ``shard``."""
+    now, held = None, []
+    for batch in batches:
+        shard = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+        data = batch.column(batch.schema.get_field_index("data"))
+        begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+        for a, b in zip(begin, np.append(begin, len(shard))[1:]):
+            if held and shard[a] != now:
+                yield np.concatenate(held)
+                held = []
+            now = shard[a]
+            held.append(records(data.slice(a, b - a), dtype).copy())
+    if held:
+        yield np.concatenate(held)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

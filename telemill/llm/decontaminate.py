@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm import text as T
-from telemill.llm.common import FILTER_BITS, key_filter, marked, places, possible, salted_join
+from telemill.llm.common import FILTER_BITS, key_filter, only_possible, places, possible, salted_join
 from telemill.session import cut
 
 PERMS = 64
@@ -165,7 +165,7 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
 
     # only texts that have candidates are shuffled
     bitmap = key_filter(wanted.select(places("id").alias("p")), "p")
-    few = marked(d, bitmap, "id").where("__maybe").drop("__maybe")
+    few = only_possible(d, bitmap, "id")
     checked = few.join(wanted, "id").select("id", "text", "w").mapInArrow(verify, "doc_id long, item_id long, shared array<long>")
     shared = checked.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).cast("long").alias("n_shared"))
     full = shared.join(sizes.select(F.col("item").alias("item_id"), "n_shingles"), "item_id")

@@ -22,13 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm import text as T
-from telemill.llm.common import fanned_join, key_filter, marked, places, salted_join, small_batches
+from telemill.llm.common import blobs, by_shard, fanned_join, key_filter, only_possible, placed, places, records, salted_join, small_batches, unmarked
 from telemill.session import cut
 
 SPAN = 3  # lines that a match may grow on either side; more if they have under LEAST_WORDS words
 LEAST_WORDS = 12
 LONE_WORDS = 50
 PIECE = 16
+HELD = 1 << 18  # chunks or matches that a worker holds before it deals them out
+SHIFT = T.U(53)  # shards are the upper 11 bits of a hash
+MANY = 16  # a chunk met so often in what a worker holds, and 1 time in 1024, is dealt on its own
+CHUNK = np.dtype([("h", "<u8"), ("id", "<i8"), ("a", "<i4"), ("n", "<i4")])
+FIRST = np.dtype([("h", "<u8"), ("id", "<i8"), ("a", "<i4")])
+MATCH = np.dtype([("id", "<i8"), ("sid", "<i8"), ("a", "<i4"), ("sa", "<i4"), ("n", "<i4")])
 CASED = np.random.default_rng(0x11E5).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -74,21 +80,90 @@ def _split(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _pieces(found: list[dict], shift: int) -> list[tuple[int, int]]:
-    """Joined bounds of overlapping or touching chunks, cut where the earlier text's line number is a multiple of ``PIECE``."""
-    out: list[tuple[int, int]] = []
-    begin = end = None
-    for a, b in [*sorted((x["a"], x["a"] + x["n"]) for x in found), (None, None)]:
-        if a is not None and end is not None and a <= end:
-            end = max(end, b)
-            continue
-        while begin is not None and begin < end:
-            out.append((begin, stop := min(end, begin + PIECE - (begin - shift) % PIECE)))
-            begin = stop
-        begin, end = a, b
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before in any of the columns."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return new
+
+
+def _dealt(rec: np.ndarray) -> list[pa.RecordBatch]:
+    """Chunks as blobs by hash (kind 0); of a frequent one only the first occurrence, with n below 0, the others are spread (kind 1)."""
+    rec = rec[np.argsort(rec["h"], kind="stable")]
+    begin = np.flatnonzero(_starts(rec["h"]))
+    count = np.diff(np.append(begin, len(rec)))
+    frequent = np.repeat(count >= max(MANY, len(rec) >> 10), count)
+    if not frequent.any():
+        return [blobs(rec, rec["h"] >> SHIFT, 0)]
+    many = rec[frequent]
+    many = many[np.lexsort((many["a"], many["id"], many["h"]))]
+    first = _starts(many["h"])
+    told, rest = many[first], many[~first]
+    told["n"] *= -1
+    rec = np.concatenate([rec[~frequent], told])
+    rec = rec[np.argsort(rec["h"], kind="stable")]
+    spread = np.arange(len(rest)) // 1024 + int(rest["id"][0] & 2047)
+    return [blobs(rec, rec["h"] >> SHIFT, 0), blobs(rest, spread, 1)]
+
+
+def _repeats(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the chunks of a shard: occurrences after the first with the place of the first, and the first of every frequent chunk."""
+    rec = rec[np.argsort(rec["h"], kind="stable")]
+    begin = np.flatnonzero(_starts(rec["h"]))
+    count = np.diff(np.append(begin, len(rec)))
+    frequent = np.logical_or.reduceat(rec["n"] < 0, begin)
+    rec = rec[np.repeat((count > 1) | frequent, count)]
+    rec = rec[np.lexsort((rec["a"], rec["id"], rec["h"]))]
+    new = _starts(rec["h"])
+    first = rec[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    other = (rec["id"] != first["id"]) | (rec["a"] != first["a"])
+    hits = np.empty(int(other.sum()), MATCH)
+    hits["id"], hits["a"], hits["n"] = rec["id"][other], rec["a"][other], np.abs(rec["n"][other])
+    hits["sid"], hits["sa"] = first["id"][other], first["a"][other]
+    hot = first[rec["n"] < 0]
+    hot = hot[_starts(hot["h"])]
+    told = np.empty(len(hot), FIRST)
+    for c in FIRST.names:
+        told[c] = hot[c]
+    return hits, told
+
+
+def _by_id(hits: np.ndarray) -> pa.RecordBatch:
+    """Hits as blobs by a hash of their id."""
+    shard = T.mix(hits["id"].astype(T.U)) >> SHIFT
+    order = np.argsort(shard, kind="stable")
+    return blobs(hits[order], shard[order], 0)
+
+
+def _joined(hits: np.ndarray) -> np.ndarray:
+    """Matches from joined hits that overlap or touch, cut where the earlier text's line number is a multiple of ``PIECE``."""
+    hits = hits[np.lexsort((hits["a"], hits["a"] - hits["sa"], hits["sid"], hits["id"]))]
+    shift = (hits["a"] - hits["sa"]).astype(np.int64)
+    group = _starts(hits["id"], hits["sid"], shift)
+    base = np.cumsum(group) << 32  # the greatest end of a group stays below the starts of the next
+    end = np.maximum.accumulate(base + hits["a"] + hits["n"])
+    new = group.copy()
+    new[1:] |= (base + hits["a"])[1:] > end[:-1]
+    begin = np.flatnonzero(new)
+    last = np.append(begin, len(hits))[1:] - 1
+    lo, hi = hits["sa"][begin].astype(np.int64), (end - base)[last] - shift[begin]
+    count = (hi - 1) // PIECE - lo // PIECE + 1
+    of = np.repeat(np.arange(len(begin)), count)
+    part = lo[of] // PIECE + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    out = np.empty(len(of), MATCH)
+    out["id"], out["sid"] = hits["id"][begin][of], hits["sid"][begin][of]
+    out["sa"] = np.maximum(lo[of], part * PIECE)
+    out["a"] = out["sa"] + shift[begin][of]
+    out["n"] = np.minimum(hi[of], (part + 1) * PIECE) - out["sa"]
     return out
 
 
+def _pieces(found: list[dict], shift: int) -> list[tuple[int, int]]:
+    """Bounds of the matches that come from one pair's chunks."""
+    out = _joined(np.array([(0, 0, x["a"], x["a"] - shift, x["n"]) for x in found], MATCH))
+    return [(int(a), int(a + n)) for a, n in zip(out["a"], out["n"])]
+
+
 def _remove(text: bytes, matches: list[dict]) -> tuple[bytes, int, int]:
     """Text without its confirmed matches, lines before and lines removed."""
     own = _split(text)
@@ -125,25 +200,73 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = base.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     def find(batches):
+        held, size = [], 0
         for batch in T.slices(batches, "text", 1 << 18):
             row, first, n, words, h = chunks(batch.column(1), least_words)
-            use = ((n >= 2) & (words >= least_words)) | ((n == 1) & (words >= LONE_WORDS))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[use])), pa.array(first[use]), pa.array(n[use]), pa.array(h[use].view(np.int64))], ["id", "a", "n", "h"])
-
-    found = cut(src.mapInArrow(find, "id long, a long, n long, h long"))
-    twice = cut(found.groupBy("h").agg(F.min(F.struct("id", "a")).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.col("s.id").alias("sid"), F.col("s.a").alias("sa")))
-    again = marked(found, key_filter(twice.select(places("h").alias("p")), "p"), "h").where("__maybe").drop("__maybe")
-    hits = salted_join(again, twice, "h", "id").where("id != sid or a != sa")
-
-    def join(batches):
+            use = np.flatnonzero(((n >= 2) & (words >= least_words)) | ((n == 1) & (words >= LONE_WORDS)))
+            rec = np.empty(len(use), CHUNK)
+            rec["h"], rec["id"], rec["a"], rec["n"] = h[use], batch.column(0).to_numpy()[row[use]], first[use], n[use]
+            held.append(rec)
+            size += len(rec)
+            if size >= HELD:
+                yield from _dealt(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield from _dealt(np.concatenate(held))
+
+    def match(batches):
+        """Hits (kind 0), what was spread (1) and the first places that it waits for (2)."""
+        aside: list[pa.RecordBatch] = []
+
+        def own():
+            for batch in batches:
+                there = batch.column(1).to_numpy() == 0
+                if not there.all():
+                    aside.append(batch.filter(pa.array(~there)))
+                yield batch.filter(pa.array(there))
+
+        held, size = [], 0
+        for rec in by_shard(own(), CHUNK):
+            hits, told = _repeats(rec)
+            held.append(hits)
+            size += len(hits)
+            if len(told):
+                yield blobs(told, np.zeros(len(told), np.int64), 2)
+            while aside:
+                yield aside.pop()
+            if size >= HELD:
+                yield _by_id(np.concatenate(held))
+                held, size = [], 0
+        yield from aside
+        if size:
+            yield _by_id(np.concatenate(held))
+
+    def unpacked(kind: int, dtype: np.dtype, schema: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                rec = records(batch.column(0), dtype)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rec[c]).view("<i8") if c == "h" else rec[c]) for c in dtype.names], list(dtype.names))
+
+        return pairs.where(F.col("kind") == kind).select("data").mapInArrow(run, schema)
+
+    def packed(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for i, j, shift, found_at in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                out += [(i, a, b - a, j, a - shift) for a, b in _pieces(found_at, shift)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5)], ["id", "a", "n", "sid", "sa"])
+            rec = np.empty(batch.num_rows, MATCH)
+            for i, c in enumerate(MATCH.names):
+                rec[c] = batch.column(i).to_numpy()
+            yield _by_id(rec)
 
-    along = hits.groupBy("id", "sid", (F.col("a") - F.col("sa")).alias("shift")).agg(F.collect_list(F.struct("a", "n")).alias("found"))
-    matches = cut(along.mapInArrow(join, "id long, a long, n long, sid long, sa long"))
+    def join(batches):
+        for rec in by_shard(batches, MATCH):
+            out = _joined(rec)
+            yield pa.RecordBatch.from_arrays([pa.array(out[c].astype(np.int64)) for c in ("id", "a", "n", "sid", "sa")], ["id", "a", "n", "sid", "sa"])
+
+    blob = "shard int, kind int, data binary"
+    pairs = cut(src.mapInArrow(find, blob).repartition("shard").sortWithinPartitions("shard").mapInArrow(match, blob))
+    first = unpacked(2, FIRST, "h long, id long, a int").select("h", F.col("id").alias("sid"), F.col("a").alias("sa"))
+    late = salted_join(unpacked(1, CHUNK, "h long, id long, a int, n int"), first, "h", "id").where("id != sid or a != sa")
+    hits = pairs.where("kind = 0").unionByName(late.select(*MATCH.names).mapInArrow(packed, blob))
+    matches = cut(hits.select("shard", "data").repartition("shard").sortWithinPartitions("shard").mapInArrow(join, "id long, a long, n long, sid long, sa long"))
     from_, into = (key_filter(matches.select(places(c).alias("p")), "p") for c in ("sid", "id"))
 
     def excerpts(batches):
@@ -171,7 +294,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], ["sid", "sa", "n", "core", "lines"])
 
     sources = matches.select("sid", "sa", "n").distinct().groupBy("sid").agg(F.collect_list(F.struct("sa", "n")).alias("wanted"))
-    one = marked(src, from_, "id").where("__maybe").drop("__maybe").join(sources, F.col("id") == F.col("sid")).select("id", "text", "wanted")
+    one = only_possible(src, from_, "id").join(sources, F.col("id") == F.col("sid")).select("id", "text", "wanted")
     texts = one.mapInArrow(excerpts, "sid long, sa long, n long, core long, lines string").dropDuplicates(["sid", "sa", "n"]).withColumn("at", F.struct("sid", "sa", "n")).drop("sid", "sa", "n")
     told = fanned_join(matches.withColumn("at", F.struct("sid", "sa", "n")), texts, "at", "id")
     names = base.columns
@@ -196,7 +319,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def untouched(batches):
         for batch in T.slices(batches, text_col, 1 << 18):
-            yield rewritten(batch, [])
+            rows, maybe = unmarked(batch, into)
+            yield rewritten(rows.filter(pa.array(~maybe)), [])
 
     def rewrite(batches):
         key, rows, found = None, 0, []  # of one id: its rows are counted first, then come its matches, then the rows
@@ -216,10 +340,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if told_at:
                 yield rewritten(batch.filter(pa.array(part == 2)), told_at)
 
-    told_of = marked(base, into, id_col)
     # told rows meet their text by order, so that no join or list holds texts in memory
-    both = told_of.where(F.col("__maybe")).withColumns({"__key": F.col(id_col).cast("long"), "__part": F.explode(F.array(F.lit(0), F.lit(2)))})
+    both = only_possible(base, into, id_col).withColumns({"__key": F.col(id_col).cast("long"), "__part": F.explode(F.array(F.lit(0), F.lit(2)))})
     both = both.select("__key", "__part", *[F.when(F.col("__part") == 2, F.col(f"`{c}`")).alias(c) for c in names])
     met = told.select(F.col("id").alias("__key"), F.lit(1).alias("__part"), F.struct("a", "n", "core", F.col("at.sid").alias("sid"), "lines").alias("__match"))
     changed = both.unionByName(met, allowMissingColumns=True).repartition("__key").sortWithinPartitions("__key", "__part").mapInArrow(rewrite, kinds)
-    return told_of.where(~F.col("__maybe")).drop("__maybe").mapInArrow(untouched, kinds).unionByName(changed)
+    return placed(base, id_col).mapInArrow(untouched, kinds).unionByName(changed)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.llm import text as T
-from telemill.llm.common import components, key_filter, marked, places, salted_join, small_batches
+from telemill.llm.common import components, key_filter, only_possible, places, salted_join, small_batches
 from telemill.session import cut
 
 PERMS, BANDS, ROWS = 128, 25, 5  # a pair at 0.8 shares no band with a chance of 5e-5
@@ -140,7 +140,7 @@ def _survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
 
 def _of(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``docs`` that may have one of ``ids`` (column ``id``): the texts of all others are not shuffled."""
-    return marked(docs, key_filter(ids.select(places("id").alias("p")), "p"), id_col).where("__maybe").drop("__maybe")
+    return only_possible(docs, key_filter(ids.select(places("id").alias("p")), "p"), id_col)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:

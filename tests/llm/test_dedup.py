@@ -190,3 +190,54 @@ def test_vectors_of_nothing(spark):
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     only = spark.createDataFrame([(1, None, None)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in itq.near_duplicates(only).collect()] == [(1, 0, 1, True)]
+
+
+def _chunk_records(seed, n, frequent):
+    g = np.random.default_rng(seed)
+    rec = np.zeros(n, line_dedup.CHUNK)
+    rec["h"] = g.integers(0, 1 << 64, n // 2, dtype=np.uint64)[g.integers(0, n // 2, n)]
+    rec["h"][g.permutation(n)[:frequent]] = rec["h"][0]
+    rec["id"], rec["a"], rec["n"] = g.integers(-40, 40, n), g.integers(0, 90, n), 2
+    return rec
+
+
+@pytest.mark.parametrize("frequent", [0, 400])
+def test_dealt_chunks_find_every_later_occurrence(frequent):
+    from telemill.llm.common import by_shard, records
+
+    parts = [_chunk_records(s, 900, frequent) for s in (1, 1, 2)]
+    first, want = {}, []
+    rows = [tuple(map(int, x)) for x in np.concatenate(parts)]
+    for h, i, a, _ in rows:
+        first[h] = min(first.get(h, (i, a)), (i, a))
+    want = sorted((i, a, *first[h], n) for h, i, a, n in rows if (i, a) != first[h])
+    dealt = [b for p in parts for b in line_dedup._dealt(p)]
+    kind = lambda b: b.column(1)[0].as_py()
+    shards = sorted((r["shard"], r["data"]) for b in dealt if kind(b) == 0 for r in b.to_pylist())
+    import pyarrow as pa
+
+    mixed = [pa.RecordBatch.from_pydict({"shard": [s for s, _ in shards[k : k + 7]], "data": [d for _, d in shards[k : k + 7]]}) for k in range(0, len(shards), 7)]
+    each = [line_dedup._repeats(rec) for rec in by_shard(iter(mixed), line_dedup.CHUNK)]
+    got = [tuple(int(x[c]) for c in ("id", "a", "sid", "sa", "n")) for hits, _ in each for x in hits]
+    told = {int(x["h"]): (int(x["id"]), int(x["a"])) for _, hot in each for x in hot}
+    rest = np.concatenate([records(b.column(2), line_dedup.CHUNK) for b in dealt if kind(b) == 1] or [np.zeros(0, line_dedup.CHUNK)])
+    assert len(told) == (2 if frequent else 0) and (len(rest) > 0) == (frequent > 0)
+    got += [(int(x["id"]), int(x["a"]), *told[int(x["h"])], int(x["n"])) for x in rest if (int(x["id"]), int(x["a"])) != told[int(x["h"])]]
+    assert sorted(got) == want
+    # a frequent chunk sends one row of what a worker holds to its shard
+    assert sum(len(d) for _, d in shards) + rest.nbytes == sum(p.nbytes for p in parts)
+
+
+def test_frequent_passage_equals_brute_force(spark):
+    r = random.Random(3)
+    line = lambda: " ".join(f"w{r.randrange(500)}" for _ in range(7)) + "."
+    passage = [line() for _ in range(40)]
+    rows = [(i, "\n".join([line(), *passage[i % 3 :], line()])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {x.doc_id: x.text for x in line_dedup.remove_repeats(docs).collect()} == _line_oracle(rows)
+
+
+def test_each_text_passes_python_once_at_the_end(spark):
+    plan = line_dedup.remove_repeats(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    kept = plan[: plan.index("MapInArrow rewrite") if "MapInArrow rewrite" in plan else plan.index("RepartitionByExpression")]
+    assert kept.count("untouched") == 1 and "run(" not in kept
