@@ -163,10 +163,10 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
                 cols = list(zip(*out)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], ["doc_id", "item_id", "shared"])
 
-    # only texts that have candidates are shuffled
+    # only texts that have candidates are shuffled; no broadcast, or each task would hold two Python workers
     bitmap = key_filter(wanted.select(places("id").alias("p")), "p")
     few = only_possible(d, bitmap, "id")
-    checked = few.join(wanted, "id").select("id", "text", "w").mapInArrow(verify, "doc_id long, item_id long, shared array<long>")
+    checked = few.join(wanted.hint("merge"), "id").select("id", "text", "w").mapInArrow(verify, "doc_id long, item_id long, shared array<long>")
     shared = checked.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).cast("long").alias("n_shared"))
     full = shared.join(sizes.select(F.col("item").alias("item_id"), "n_shingles"), "item_id")
     return full.where(100 * F.col("n_shared") >= percent * F.col("n_shingles")).select("doc_id", "item_id", "n_shingles", "n_shared")

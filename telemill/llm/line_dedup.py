@@ -264,7 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blob = "shard int, kind int, data binary"
     pairs = cut(src.mapInArrow(find, blob).repartition("shard").sortWithinPartitions("shard").mapInArrow(match, blob))
     first = unpacked(2, FIRST, "h long, id long, a int").select("h", F.col("id").alias("sid"), F.col("a").alias("sa"))
-    late = salted_join(unpacked(1, CHUNK, "h long, id long, a int, n int"), first, "h", "id").where("id != sid or a != sa")
+    late = salted_join(unpacked(1, CHUNK, "h long, id long, a int, n int"), first.hint("merge"), "h", "id").where("id != sid or a != sa")
     hits = pairs.where("kind = 0").unionByName(late.select(*MATCH.names).mapInArrow(packed, blob))
     matches = cut(hits.select("shard", "data").repartition("shard").sortWithinPartitions("shard").mapInArrow(join, "id long, a long, n long, sid long, sa long"))
     from_, into = (key_filter(matches.select(places(c).alias("p")), "p") for c in ("sid", "id"))
@@ -294,7 +294,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], ["sid", "sa", "n", "core", "lines"])
 
     sources = matches.select("sid", "sa", "n").distinct().groupBy("sid").agg(F.collect_list(F.struct("sa", "n")).alias("wanted"))
-    one = only_possible(src, from_, "id").join(sources, F.col("id") == F.col("sid")).select("id", "text", "wanted")
+    # no broadcast here and above, or each task would hold two Python workers
+    one = only_possible(src, from_, "id").join(sources.hint("merge"), F.col("id") == F.col("sid")).select("id", "text", "wanted")
     texts = one.mapInArrow(excerpts, "sid long, sa long, n long, core long, lines string").dropDuplicates(["sid", "sa", "n"]).withColumn("at", F.struct("sid", "sa", "n")).drop("sid", "sa", "n")
     told = fanned_join(matches.withColumn("at", F.struct("sid", "sa", "n")), texts, "at", "id")
     names = base.columns

@@ -167,7 +167,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, si
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("fan"))
     dealt = salted_join(pairs, fan, "a", "b").select("a", "b", F.pmod(F.xxhash64("b", F.lit(7)), F.col("fan")).cast("int").alias("s"))
     hubs = dealt.select("a", "s").distinct().join(heads.select(F.col("b").alias("a"), F.col("tb").alias("ta")), "a")
-    full = dealt.join(texts, "b").join(hubs, ["a", "s"]).select("a", "b", "ta", "tb")
+    # no broadcast, or each task would hold a second Python worker for what it confirms
+    full = dealt.join(texts, "b").join(hubs.hint("merge"), ["a", "s"]).select("a", "b", "ta", "tb")
     return full.mapInArrow(run, "a long, b long")
 
 

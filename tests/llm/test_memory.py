@@ -24,3 +24,15 @@ def test_matches_meet_their_text_by_order(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     last = plan[: plan.index("RepartitionByExpression")]
     assert "Join" not in last and "Aggregate" not in last and "collect_list(struct(a" not in plan
+
+
+def test_confirming_workers_share_no_stage_with_the_filter(spark):
+    from telemill.llm.minhash import _confirmed
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d")], "doc_id long, text string")
+    out = _confirmed(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), docs, "doc_id", "text", 2, 0.8)
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    last = plan[plan.index("MapInArrow") :]
+    assert last.index("SortMergeJoin") < last.index("Exchange") < last.index("MapInArrow", 1)
+    assert "BroadcastHashJoin" not in last[: last.index("Exchange")]
