@@ -128,6 +128,17 @@ def _repeats(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hits, told
 
 
+def _late(rec: np.ndarray, h: np.ndarray, sid: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Hits of spread chunks, all of which are among the chunks ``h``, whose first places are told."""
+    order = np.argsort(h)
+    at = order[np.searchsorted(h, rec["h"], sorter=order)]
+    other = (rec["id"] != sid[at]) | (rec["a"] != sa[at])
+    rec, at = rec[other], at[other]
+    hits = np.empty(len(rec), MATCH)
+    hits["id"], hits["a"], hits["n"], hits["sid"], hits["sa"] = rec["id"], rec["a"], rec["n"], sid[at], sa[at]
+    return hits
+
+
 def _by_id(hits: np.ndarray) -> pa.RecordBatch:
     """Hits as blobs by a hash of their id."""
     shard = T.mix(hits["id"].astype(T.U)) >> SHIFT
@@ -241,20 +252,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if size:
             yield _by_id(np.concatenate(held))
 
-    def unpacked(kind: int, dtype: np.dtype, schema: str) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                rec = records(batch.column(0), dtype)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rec[c]).view("<i8") if c == "h" else rec[c]) for c in dtype.names], list(dtype.names))
+    def asking(batches):
+        """The different chunks of every spread blob; its key is a hash of its bytes, so equal blobs ask as one."""
+        for batch in batches:
+            for key, data in zip(batch.column(0), batch.column(1)):
+                h = np.unique(np.frombuffer(data.as_buffer(), CHUNK)["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key.as_py())), pa.array(h.view("<i8"))], ["key", "h"])
 
-        return pairs.where(F.col("kind") == kind).select("data").mapInArrow(run, schema)
+    def unpacked(batches):
+        for batch in batches:
+            rec = records(batch.column(0), FIRST)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rec[c]).view("<i8") if c == "h" else rec[c]) for c in FIRST.names], ["h", "sid", "sa"])
 
-    def packed(batches):
+    def answered(batches):
+        held, size = [], 0
         for batch in batches:
-            rec = np.empty(batch.num_rows, MATCH)
-            for i, c in enumerate(MATCH.names):
-                rec[c] = batch.column(i).to_numpy()
-            yield _by_id(rec)
+            for data, told in zip(batch.column(0), batch.column(1)):
+                h, sid, sa = (x.to_numpy() for x in told.values.flatten())
+                held.append(_late(np.frombuffer(data.as_buffer(), CHUNK), h.view(T.U), sid, sa))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield _by_id(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield _by_id(np.concatenate(held))
 
     def join(batches):
         for rec in by_shard(batches, MATCH):
@@ -263,9 +284,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     blob = "shard int, kind int, data binary"
     pairs = cut(src.mapInArrow(find, blob).repartition("shard").sortWithinPartitions("shard").mapInArrow(match, blob))
-    first = unpacked(2, FIRST, "h long, id long, a int").select("h", F.col("id").alias("sid"), F.col("a").alias("sa"))
-    late = salted_join(unpacked(1, CHUNK, "h long, id long, a int, n int"), first.hint("merge"), "h", "id").where("id != sid or a != sa")
-    hits = pairs.where("kind = 0").unionByName(late.select(*MATCH.names).mapInArrow(packed, blob))
+    first = pairs.where("kind = 2").select("data").mapInArrow(unpacked, "h long, sid long, sa int")
+    spread = pairs.where("kind = 1").select(F.xxhash64("data").alias("key"), "data")
+    # a blob asks once for each of its chunks, however often it holds it
+    told = salted_join(spread.mapInArrow(asking, "key long, h long"), first.hint("merge"), "h", "key").groupBy("key").agg(F.collect_set(F.struct("h", "sid", "sa")).alias("told"))
+    late = spread.join(told.hint("merge"), "key").select("data", "told")
+    hits = pairs.where("kind = 0").unionByName(late.mapInArrow(answered, blob))
     matches = cut(hits.select("shard", "data").repartition("shard").sortWithinPartitions("shard").mapInArrow(join, "id long, a long, n long, sid long, sa long"))
     from_, into = (key_filter(matches.select(places(c).alias("p")), "p") for c in ("sid", "id"))
 

@@ -237,6 +237,18 @@ def test_frequent_passage_equals_brute_force(spark):
     assert {x.doc_id: x.text for x in line_dedup.remove_repeats(docs).collect()} == _line_oracle(rows)
 
 
+def test_frequent_chunks_are_asked_for_once_a_blob(spark, monkeypatch):
+    r = random.Random(4)
+    passage = [" ".join(f"w{r.randrange(500)}" for _ in range(7)) + "." for _ in range(40)]
+    rows = [(i, "\n".join(passage)) for i in range(200)]
+    asked = []
+    join = line_dedup.salted_join
+    monkeypatch.setattr(line_dedup, "salted_join", lambda left, *more: asked.append(left.count()) or join(left, *more))
+    out = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {x.doc_id: x.text for x in out} == {i: t if i == 0 else "" for i, t in rows}
+    assert 39 <= asked[0] <= 39 + 199 * 39 // 1024 + 1  # of 199 * 39 later occurrences
+
+
 def test_each_text_passes_python_once_at_the_end(spark):
     plan = line_dedup.remove_repeats(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     kept = plan[: plan.index("MapInArrow rewrite") if "MapInArrow rewrite" in plan else plan.index("RepartitionByExpression")]
