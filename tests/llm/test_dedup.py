@@ -249,6 +249,19 @@ def test_frequent_chunks_are_asked_for_once_a_blob(spark, monkeypatch):
     assert 39 <= asked[0] <= 39 + 199 * 39 // 1024 + 1  # of 199 * 39 later occurrences
 
 
+def test_pipeline_asks_for_frequent_chunks_once_a_blob(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    t = "\n".join(" ".join(f"w{r.randrange(500)}" for _ in range(7)) + "." for _ in range(40))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    asked = []
+    join = line_dedup.salted_join
+    monkeypatch.setattr(line_dedup, "salted_join", lambda left, *more: asked.append(left.count()) or join(left, *more))
+    assert [tuple(x) for x in corpus_pipeline.line_dedup(spark, docs.coalesce(1), "").collect()] == [(0, t, "en", "s", len(t))]
+    assert asked[0] <= 39 + 199 * 39 // 1024 + 1  # of 199 * 39 later occurrences
+
+
 def test_each_text_passes_python_once_at_the_end(spark):
     plan = line_dedup.remove_repeats(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     kept = plan[: plan.index("MapInArrow rewrite") if "MapInArrow rewrite" in plan else plan.index("RepartitionByExpression")]
