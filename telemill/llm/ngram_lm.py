@@ -15,9 +15,10 @@
 
 The end token also stands before the first word. An n-gram of a higher order is
 found under ``BITS`` bits: some of its context's hash and, below them, more of a hash
-of the whole n-gram. An unseen n-gram is taken for a seen one with a chance of
+of the whole n-gram. Blocks send it with the latter above, since a shard is a range of
+that: within it numbers are small and take fewer bits. An unseen n-gram is taken for a seen one with a chance of
 k / 2^60 by k seen n-grams of other contexts, however many of them end in its word,
-and of k / 2^40 by k seen ones of its own context. The shard follows from the same bits.
+and of k / 2^40 by k seen ones of its own context.
 """
 
 from __future__ import annotations
@@ -57,6 +58,16 @@ def _sequence(row: dict) -> np.ndarray:
     return np.ascontiguousarray(_expand(row["seq"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in one byte each if all fit."""
+    small = not len(counts) or counts.max() < 256
+    return bytes([1 if small else 4]) + _squeeze(counts.astype(np.uint8 if small else np.uint32))
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    return _expand(b[1:], np.uint8 if b[0] == 1 else np.uint32).astype(np.int64)
+
+
 def quantise(counts: np.ndarray) -> np.ndarray:
     """Nearest code of each count on a log scale; 0 only for 0."""
     big = np.rint(128 + 4 * np.log2(np.maximum(counts, 1) / 128))
@@ -108,8 +119,33 @@ def _grams(words: np.ndarray, seq: np.ndarray, lengths: np.ndarray, order: int):
     return (T.mix(context) >> U(64 - c) << U(b)) | (whole >> U(64 - b)), pos >= order - 2
 
 
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Keys with the bits of the whole n-gram above those of its context."""
+    c, b = BITS
+    return (keys & U((1 << b) - 1)) << U(c) | keys >> U(b)
+
+
+def _turned_back(keys: np.ndarray) -> np.ndarray:
+    c, b = BITS
+    return (keys & U((1 << c) - 1)) << U(b) | keys >> U(c)
+
+
+def _bits(order: int) -> int:
+    return 64 if order == 1 else sum(BITS)
+
+
+def _starts(bits: int, shards: int) -> np.ndarray:
+    """Least number of every shard: equal parts of all numbers of ``bits`` bits."""
+    return np.array([-(-(s << bits) // shards) for s in range(shards)], U)
+
+
+def _within(bits: int, shards: int) -> int:
+    """Bits of a number in its shard, counted from the shard's start."""
+    return bits - (shards.bit_length() - 1)
+
+
 def _asked(row: dict, order: int, shards: int, counted: bool = True):
-    """Distinct keys of a block with training counts (if ``counted``), grouped by shard; and each token's place among them."""
+    """Distinct keys of a block, sorted, with training counts (if ``counted``); bounds of the shards; each token's place among the keys."""
     seq, lengths = _sequence(row), _expand(row["lengths"], np.int64)
     words = _expand(row["words"], np.uint64)
     key, real = _grams(words, seq, lengths, order)
@@ -119,25 +155,34 @@ def _asked(row: dict, order: int, shards: int, counted: bool = True):
         place[rank] = np.arange(len(words))
         keys, place = words[rank], place[seq]
     else:
-        keys, place = np.unique(key[real], return_inverse=True)
-    shard = (T.mix(keys) % U(shards)).astype(np.int64)
-    deal = np.argsort(shard, kind="stable")
+        keys, place = np.unique(_turned(key[real]), return_inverse=True)
     counts = None
     if counted:
         flags = np.repeat(_expand(row["flags"], np.uint8), lengths)[real]
-        counts = np.bincount(place, weights=flags, minlength=len(keys)).astype(np.int64)[deal]
-    return keys[deal], counts, np.searchsorted(shard[deal], np.arange(shards + 1)), np.argsort(deal), place, real
+        counts = np.bincount(place, weights=flags, minlength=len(keys)).astype(np.int64)
+    return keys, counts, np.append(np.searchsorted(keys, _starts(_bits(order), shards)), len(keys)), place, real
+
+
+def _sent(row: dict, order: int, shards: int) -> tuple[list[int], list[tuple[bytes, bytes]]]:
+    """Shards that a block asks, and its keys, counted from the shard's start, and counts for each."""
+    keys, counts, to, _, _ = _asked(row, order, shards)
+    starts, bits = _starts(_bits(order), shards), _within(_bits(order), shards)
+    some = [s for s in range(shards) if to[s] < to[s + 1]]
+    return some, [(ef.encode(keys[to[s] : to[s + 1]] - starts[s], bits), _packed(counts[to[s] : to[s + 1]])) for s in some]
 
 
 def _row(table, i: int = 0) -> dict:
     return {n: table.column(n)[i].as_py() for n in table.schema.names}
 
 
-def _answer_shard(order: int, asked: pa.Table) -> pa.Table:
+def _answer_shard(order: int, shard: int, shards: int, asked: pa.Table) -> pa.Table:
     """Sum the counts of one shard, build and map its trie, and answer every block."""
-    bits = 64 if order == 1 else sum(BITS)
-    keys = [ef.Sequence(b).all() for b in asked.column("keys").to_pylist()]
-    counts = [_expand(b, np.uint32).astype(np.int64) for b in asked.column("counts").to_pylist()]
+    bits = _bits(order)
+    start = _starts(bits, shards)[shard]
+    keys = [ef.Sequence(b).all() + start for b in asked.column("keys").to_pylist()]
+    if order > 1:
+        keys = [_turned_back(k) for k in keys]
+    counts = [_numbers(b) for b in asked.column("counts").to_pylist()]
     kept, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(kept), np.int64)
     np.add.at(total, at, np.concatenate(counts))
@@ -177,10 +222,10 @@ def _token_counts(row: dict, parts: dict, order: int, shards: int):
     pos = np.arange(len(seq)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     lower, ends = None, 0
     for k in range(1, order + 1):
-        _, _, to, back, place, real = _asked(row, k, shards, counted=False)
+        _, _, to, place, real = _asked(row, k, shards, counted=False)
         dtype = np.int64 if k == 1 else np.uint8
         flat = [_expand(parts[k, s], dtype) for s in range(shards) if to[s] < to[s + 1]]
-        by_key = (np.concatenate(flat) if flat else np.zeros(0, dtype))[back]
+        by_key = np.concatenate(flat) if flat else np.zeros(0, dtype)
         if k == 1:
             own, context = by_key[place].astype(float), None
             ends = by_key[np.searchsorted(np.sort(words), END)]
@@ -221,17 +266,14 @@ def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: s
             for i in range(batch.num_rows):
                 row = _row(batch, i)
                 for k in range(1, order + 1):
-                    keys, counts, to, _, _, _ = _asked(row, k, shards)
-                    bits = 64 if k == 1 else sum(BITS)
-                    some = [s for s in range(shards) if to[s] < to[s + 1]]
-                    part = [(ef.encode(keys[to[s] : to[s + 1]], bits), _squeeze(counts[to[s] : to[s + 1]].astype(np.uint32))) for s in some]
+                    some, part = _sent(row, k, shards)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["block"]] * len(some), pa.int64()), pa.array([k] * len(some), pa.int32()), pa.array(some, pa.int64()), pa.array([p[0] for p in part], pa.binary()), pa.array([p[1] for p in part], pa.binary())],
                         ["block", "gram", "shard", "keys", "counts"],
                     )
 
     def answer(key, asked):
-        return _answer_shard(key[0].as_py(), asked)
+        return _answer_shard(key[0].as_py(), key[1].as_py(), shards, asked)
 
     def counted(own, answers):
         """A block's row with its text lengths, and the counts at every token, order by order."""

@@ -257,3 +257,31 @@ def test_many_contexts_of_one_word_hide_no_unseen_ngram():
     trie = ef.Trie(np.frombuffer(ef.build_trie(few >> split, few & mask, np.full(len(few), 7), *ngram_lm.BITS), np.uint8))
     code = trie.lookup(asked >> split, asked & mask)
     assert (code[: len(few)] == 7).all() and not code[len(few) :].any()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("shards", [1, 7, 64])
+def test_keys_sent_to_shards_take_no_more_bits_than_in_one(order, shards):
+    g = np.random.default_rng(11)
+    words = ngram_lm.T.mix(np.arange(1, 20_001, dtype=np.uint64))
+    seq = g.integers(0, len(words), 60_000).astype(np.uint32)
+    seq[:600] = 5  # counts above a byte
+    lengths = np.full(600, 100)
+    row = {"seq": ngram_lm._squeeze(np.ascontiguousarray(seq.view(np.uint8).reshape(-1, 4).T)), "lengths": ngram_lm._squeeze(lengths), "words": ngram_lm._squeeze(words), "flags": ngram_lm._squeeze((np.arange(600) % 5 != 1).astype(np.uint8))}
+    some, part = ngram_lm._sent(row, order, shards)
+    keys, real = ngram_lm._grams(words, seq, lengths, order)
+    flags = np.repeat(np.arange(600) % 5 != 1, 100)
+    want, at = np.unique(keys[real] if order > 1 else np.append(words, keys), return_inverse=True)
+    learned = np.bincount(at, weights=flags[real] if order > 1 else np.append(np.zeros(len(words)), flags), minlength=len(want)).astype(int)
+    asked, counts, answers = [], [], []
+    for s, (k, c) in zip(some, part):
+        own = ef.Sequence(k).all() + ngram_lm._starts(ngram_lm._bits(order), shards)[s]
+        asked.append(ngram_lm._turned_back(own) if order > 1 else own)
+        counts.append(ngram_lm._numbers(c))
+        table = pa.table({"block": [0], "gram": [order], "shard": [s], "keys": pa.array([k], pa.binary()), "counts": pa.array([c], pa.binary())})
+        answers.append(ngram_lm._expand(ngram_lm._answer_shard(order, s, shards, table).column("answer")[0].as_py(), np.int64 if order == 1 else np.uint8))
+    sort = np.argsort(np.concatenate(asked))
+    assert (np.concatenate(asked)[sort] == want).all() and (np.concatenate(counts)[sort] == learned).all() and learned.max() > 255
+    assert (np.concatenate(answers)[sort] == (learned if order == 1 else ngram_lm.quantise(learned))).all()
+    bits = ngram_lm._bits(order) - np.log2(len(want)) + 4.5
+    assert sum(len(k) for k, _ in part) <= len(want) * bits / 8 + 40 * shards  # by hashes over all shards: up to 6 bits more
