@@ -41,6 +41,7 @@ END = U(0x0E0F_0E0F_0E0F_0E0F)
 BLOCK = 16 << 20  # bytes of text per block
 PER_BUCKET = 4  # blocks per bucket of the stored tables
 SHARD = 1_500_000  # tokens per shard
+SLICE = 1 << 18  # tokens whose n-grams are hashed at a time
 CLASSES = 44
 _STEPS = np.concatenate([np.arange(129.0), 128 * 2 ** (np.arange(1, 127) / 4)])  # codebook: counts exact to 128, then quarter powers
 
@@ -65,7 +66,7 @@ def _packed(counts: np.ndarray) -> bytes:
 
 
 def _numbers(b: bytes) -> np.ndarray:
-    return _expand(b[1:], np.uint8 if b[0] == 1 else np.uint32).astype(np.int64)
+    return _expand(b[1:], np.uint8 if b[0] == 1 else np.uint32)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -103,20 +104,43 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, training: Column) -> Dat
 
 def _grams(words: np.ndarray, seq: np.ndarray, lengths: np.ndarray, order: int):
     """Key of the n-gram that ends at each token, and where the text is long enough for it."""
-    w = words[seq]
+    real = np.ones(len(seq), bool)
     if order == 1:
-        return w, np.ones(len(w), bool)
-    pos = np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    before = np.roll(w, 1)
-    before[pos == 0] = END
-    context = before
-    for k in range(2, order):
-        older = np.roll(w, k)
-        older[pos == k - 1] = END
-        context = T.mix(older * T.BASE + context)
+        return words[seq], real
+    starts = np.cumsum(lengths) - lengths
+    for j in range(order - 2):
+        real[starts[lengths > j] + j] = False
+    first = [starts[lengths >= k] + k - 1 for k in range(1, order)]  # where the word k before is an end token
+    out = np.empty(len(seq), U)
+
+    def before(a: int, b: int, k: int) -> np.ndarray:
+        w = np.full(b - a, END)
+        w[max(0, k - a) :] = words[seq[max(0, a - k) : max(0, b - k)]]
+        at = first[k - 1]
+        w[at[np.searchsorted(at, a) : np.searchsorted(at, b)] - a] = END
+        return w
+
     c, b = BITS
-    whole = T.mix(T.mix(context) * T.BASE + w)
-    return (T.mix(context) >> U(64 - c) << U(b)) | (whole >> U(64 - b)), pos >= order - 2
+    for i in range(0, len(seq), SLICE):
+        j = min(i + SLICE, len(seq))
+        context = before(i, j, 1)
+        for k in range(2, order):
+            context = T.mix(before(i, j, k) * T.BASE + context)
+        context = T.mix(context)
+        whole = T.mix(context * T.BASE + words[seq[i:j]])
+        out[i:j] = (context >> U(64 - c) << U(b)) | (whole >> U(64 - b))
+    return out, real
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the place of each key among them, in less memory than ``np.unique``."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], place
 
 
 def _turned(keys: np.ndarray) -> np.ndarray:
@@ -148,14 +172,17 @@ def _asked(row: dict, order: int, shards: int, counted: bool = True):
     """Distinct keys of a block, sorted, with training counts (if ``counted``); bounds of the shards; each token's place among the keys."""
     seq, lengths = _sequence(row), _expand(row["lengths"], np.int64)
     words = _expand(row["words"], np.uint64)
-    key, real = _grams(words, seq, lengths, order)
     if order == 1:
+        real = np.ones(len(seq), bool)
         rank = np.argsort(words)
         place = np.empty(len(words), np.int64)
         place[rank] = np.arange(len(words))
         keys, place = words[rank], place[seq]
     else:
-        keys, place = np.unique(_turned(key[real]), return_inverse=True)
+        key, real = _grams(words, seq, lengths, order)
+        key = _turned(key if real.all() else key[real])
+        keys, place = _distinct(key)
+        del key
     counts = None
     if counted:
         flags = np.repeat(_expand(row["flags"], np.uint8), lengths)[real]
@@ -182,10 +209,11 @@ def _answer_shard(order: int, shard: int, shards: int, asked: pa.Table) -> pa.Ta
     keys = [ef.Sequence(b).all() + start for b in asked.column("keys").to_pylist()]
     if order > 1:
         keys = [_turned_back(k) for k in keys]
-    counts = [_numbers(b) for b in asked.column("counts").to_pylist()]
-    kept, at = np.unique(np.concatenate(keys), return_inverse=True)
+    kept, at = _distinct(np.concatenate(keys))
     total = np.zeros(len(kept), np.int64)
-    np.add.at(total, at, np.concatenate(counts))
+    for place, b in zip(np.split(at, np.cumsum([len(k) for k in keys])[:-1]), asked.column("counts").to_pylist()):
+        total[place] += _numbers(b)  # a block's keys are distinct
+    del at, place
     kept, total = kept[total > 0], total[total > 0]
     split = U(32 if order == 1 else BITS[1])
     mask = (U(1) << split) - U(1)
@@ -219,7 +247,7 @@ def _token_counts(row: dict, parts: dict, order: int, shards: int):
     """
     seq, lengths = _sequence(row), _expand(row["lengths"], np.int64)
     words = _expand(row["words"], np.uint64)
-    pos = np.arange(len(seq)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    starts = np.cumsum(lengths) - lengths
     lower, ends = None, 0
     for k in range(1, order + 1):
         _, _, to, place, real = _asked(row, k, shards, counted=False)
@@ -233,8 +261,9 @@ def _token_counts(row: dict, parts: dict, order: int, shards: int):
             own = np.zeros(len(seq))
             own[real] = _STEPS[by_key[place]]
             context = np.roll(lower, 1)
-            context[pos == 0] = ends if k == 2 else 0
+            context[starts] = ends if k == 2 else 0
             context[~real] = 0
+        del place, real, flat, by_key
         yield own, context
         lower = own
 
@@ -266,6 +295,7 @@ def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: s
             for i in range(batch.num_rows):
                 row = _row(batch, i)
                 for k in range(1, order + 1):
+                    T.release()
                     some, part = _sent(row, k, shards)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["block"]] * len(some), pa.int64()), pa.array([k] * len(some), pa.int32()), pa.array(some, pa.int64()), pa.array([p[0] for p in part], pa.binary()), pa.array([p[1] for p in part], pa.binary())],
@@ -273,6 +303,7 @@ def score_documents(docs: DataFrame, training: Column, order: int = 3, id_col: s
                     )
 
     def answer(key, asked):
+        T.release()
         return _answer_shard(key[0].as_py(), key[1].as_py(), shards, asked)
 
     def counted(own, answers):
